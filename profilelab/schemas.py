@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+
 
 CHUNK_COLUMNS = ["user_id", "source_type", "chunk_id", "section", "content", "repo_id", "metadata"]
 
@@ -20,12 +20,12 @@ META_FIELDS = {
 
 EMBEDDING_DIM = 384
 
-REPO_LISTING = T.StructType.fromDDL(
+REPO_LISTING = (
     "id bigint, name string, full_name string, owner struct<login:string>, fork boolean, pushed_at string, "
     "stargazers_count bigint, forks_count bigint, language string, size bigint, html_url string, clone_url string, "
     "description string, page int, page_pos int")
 
-PROFILE_DOCUMENT = T.StructType.fromDDL(
+PROFILE_DOCUMENT = (
     "login string, name string, createdAt string, followers struct<totalCount:bigint>, "
     "following struct<totalCount:bigint>, starredRepositories struct<totalCount:bigint>, "
     "repositories struct<totalCount:bigint, nodes:array<struct<name:string, stargazerCount:bigint, forkCount:bigint, "
@@ -35,8 +35,8 @@ PROFILE_DOCUMENT = T.StructType.fromDDL(
     "restrictedContributionsCount:bigint, contributionCalendar:struct<totalContributions:bigint, "
     "weeks:array<struct<contributionDays:array<struct<contributionCount:bigint, date:string>>>>>>")
 
-ACTIVITY_EVENT = T.StructType.fromDDL(
+ACTIVITY_EVENT = (
     "id string, actor struct<login:string>, type string, created_at string, "
     "payload struct<commits:array<struct<sha:string>>>")
 
-GAZETTEER_LINE = T.StructType.fromDDL("label string, pattern array<map<string,string>>")
+GAZETTEER_LINE = ("label string, pattern array<map<string,string>>")
