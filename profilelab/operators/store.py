@@ -173,30 +173,46 @@ def merge_repos(store: DataFrame, batch: DataFrame, position: str = "pos") -> Da
     return both.withColumns(out).select(*store.columns)
 
 
-def union_repos(general: DataFrame, project: DataFrame, position: str = "pos") -> DataFrame:
+def union_repos(general: DataFrame, project: DataFrame, position: str = "pos", rounds: int = 2) -> DataFrame:
     """General repositories, then project repositories equal to nothing kept before on name or on url.
 
-    An earlier project repository only blocks later ones when it was kept itself, so the scan is ordered:
-    rows clash inside (user, name) and (user, url) groups, which are settled by a bounded number of rounds.
+    An earlier project repository only blocks later ones when it was kept itself. Rows that come first in both
+    their name group and their url group are certainly kept, and remove the rest of those groups; after
+    `rounds` of that only chains of alternating clashes are left, which an ordered fold settles exactly.
     """
     n = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))  # null equals null here
+    groups = (["user_id", "_n"], ["user_id", "_u"])
+
+    def unlike(rows: DataFrame, kept: DataFrame) -> DataFrame:
+        for g in groups:
+            rows = rows.join(kept.select(*g).distinct(), g, "left_anti")
+        return rows
+
     g = general.select("user_id", n("name").alias("_n"), n("url").alias("_u"))
-    free = (project.withColumn("_n", n("name")).withColumn("_u", n("url"))
-            .join(g.select("user_id", "_n").distinct(), ["user_id", "_n"], "left_anti")
-            .join(g.select("user_id", "_u").distinct(), ["user_id", "_u"], "left_anti"))
-    # Identical (name, url) copies: only the first can survive.
     rest = [c for c in project.columns if c != "user_id"]
-    uniq = free.groupBy("user_id", "_n", "_u").agg(F.min_by(F.struct(*rest), position).alias("_r"),
+    free = unlike(project.withColumn("_n", n("name")).withColumn("_u", n("url")), g)
+    # Identical (name, url) copies: only the first can survive.
+    left = free.groupBy("user_id", "_n", "_u").agg(F.min_by(F.struct(*rest), position).alias("_r"),
                                                    F.min(position).alias("_p"))
-    # Few repositories remain per (user, distinct name, distinct url); the ordered rule folds over them.
-    rows = uniq.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("_p", "_n", "_u"))).alias("_a"))
+    kept = []
+    for _ in range(rounds):
+        sure = left
+        for grp in groups:
+            first = left.groupBy(*grp).agg(F.min("_p").alias("_p"))
+            sure = sure.join(first, [*grp, "_p"], "left_semi")
+        kept.append(sure.select("user_id", "_r", "_n", "_u"))
+        left = unlike(left, sure)
+    rows = left.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("_p", "_n", "_u"))).alias("_a"))
     zero = F.array().cast(rows.schema["_a"].dataType)
-    kept = F.aggregate("_a", zero, lambda acc, x: F.when(
+    folded = F.aggregate("_a", zero, lambda acc, x: F.when(
         F.exists(acc, lambda k: (k["_n"] == x["_n"]) | (k["_u"] == x["_u"])), acc).otherwise(F.concat(acc, F.array(x))))
-    keys = rows.select("user_id", F.explode(kept).alias("k")).select("user_id", "k._n", "k._u")
-    extra = uniq.join(keys, ["user_id", "_n", "_u"], "left_semi").select("user_id", "_r.*").select(*project.columns)
-    return general.withColumn("track", F.lit("general")).unionByName(
-        extra.withColumn("track", F.lit("project")), allowMissingColumns=True)
+    keys = rows.select("user_id", F.explode(folded).alias("k")).select("user_id", "k._n", "k._u")
+    kept.append(left.join(keys, ["user_id", "_n", "_u"], "left_semi").select("user_id", "_r", "_n", "_u"))
+    out = general.withColumn("track", F.lit("general"))
+    for part in kept:
+        out = out.unionByName(part.select("user_id", "_r.*").select(*project.columns).withColumn(
+            "track", F.lit("project")), allowMissingColumns=True)
+    return out
 
 
 SUMMARY_SUB_SCORES = {"volume_score": "volume_and_frequency", "consistency_score": "consistency_and_cadence",
