@@ -30,6 +30,16 @@ def strip(c, chars: str = SPACES) -> Column:
     return F.trim(col(c), F.lit(chars))
 
 
+def trimmed(c) -> Column:
+    """strip() with one argument, for use inside array functions."""
+    return strip(c)
+
+
+def let(value: Column, use) -> Column:
+    """Evaluate `value` once and use it several times inside an expression."""
+    return F.get(F.transform(F.array(value), lambda v: use(v)), F.lit(0))
+
+
 def blank(c) -> Column:
     return strip(F.coalesce(col(c), F.lit(""))) == ""
 
@@ -82,7 +92,7 @@ def clean_lines(c, bullets: str = "-•* ") -> Column:
 
 def paragraphs(c) -> Column:
     """Blank-line separated blocks, trimmed, empty ones dropped."""
-    return F.filter(F.transform(F.split(col(c), r"\n\s*\n", -1), strip), lambda s: s != "")
+    return F.filter(F.transform(F.split(col(c), r"\n\s*\n", -1), trimmed), lambda s: s != "")
 
 
 def _all(c, regex: str) -> Column:
@@ -96,7 +106,7 @@ def emails(c) -> Column:
 def phones(c) -> Column:
     digits = lambda s: F.length(F.regexp_replace(s, r"\D", ""))
     hits = F.filter(_all(c, PHONE_REGEX), lambda s: digits(s) >= 7)
-    return F.array_sort(F.array_distinct(F.transform(hits, strip)))
+    return F.array_sort(F.array_distinct(F.transform(hits, trimmed)))
 
 
 def urls(c) -> Column:
@@ -170,5 +180,19 @@ def contains_whole(text: Column, term: Column) -> Column:
 
 def ends_sliced(items: Column, starts: Column) -> Column:
     """Cut `items` at the 1-based `starts`: array of consecutive slices, one per start, in linear time."""
-    return F.transform(starts, lambda s, j: F.slice(
-        items, s, F.coalesce(F.get(starts, j + 1), F.size(items) + 1) - s))
+    cut = lambda p: F.transform(p["at"], lambda s, j: F.slice(
+        p["items"], s, F.coalesce(F.get(p["at"], j + 1), F.size(p["items"]) + 1) - s))
+    return let(F.struct(items.alias("items"), starts.alias("at")), cut)
+
+
+def exploded(df, keep: list, items, pos: str, item: str):
+    """One row per array element: keep columns, position, element; empty arrays give no row.
+
+    The outer generator keeps the optimizer from copying a costly array expression into a pushed-down filter.
+    """
+    return df.select(*keep, F.posexplode_outer(col(items)).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
+def places(items: Column, test) -> Column:
+    """1-based positions of the items for which test(item, index) holds."""
+    return F.filter(F.transform(items, lambda x, i: F.when(test(x, i), i + 1)), lambda i: i.isNotNull())

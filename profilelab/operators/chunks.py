@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from profilelab import vocab
 from profilelab.functions import text as t
-from profilelab.functions.text import blank, strip
+from profilelab.functions.text import blank, exploded, let, strip, trimmed
 from profilelab.operators.ordered import carried, ranked, salted_join
 from profilelab.operators.structure import entries_of, skill_category
 from profilelab.operators.windows import token_windows_of
@@ -136,11 +136,9 @@ def resume_chunks(sections: DataFrame, max_tokens: int = 250, overlap: int = 20,
     if has_skills:
         rows = rows.where(~(F.lower("section").isin("skills", "technical skills") & F.col(has_skills)))
     extra = [years] if years else []
-    entries = rows.select("user_id", "section", *extra, F.posexplode(
-        entries_of(F.col("body"), F.col("section"))).alias("e", "entry"))
-    cut = entries.withColumn("_w", token_windows_of("entry", max_tokens, overlap))
-    out = (cut.select("user_id", "section", *extra, (F.col("e") + 1).alias("entry_index"),
-                      F.posexplode("_w").alias("w", "content"))
+    entries = exploded(rows, ["user_id", "section", *extra], entries_of(F.col("body"), F.col("section")), "e", "entry")
+    out = (exploded(entries, ["user_id", "section", *extra, (F.col("e") + 1).alias("entry_index")],
+                    token_windows_of("entry", max_tokens, overlap), "w", "content")
            .withColumn("chunk_id", F.concat_ws("-", F.col("user_id").cast("string"), F.lit("resume"),
                                                t.project_key("section"), F.col("entry_index").cast("string"),
                                                (F.col("w") + 1).cast("string"))))
@@ -167,18 +165,22 @@ def cleaned_readme(c) -> Column:
         F.when(x["h"].contains("table of contents") | x["h"].isin("toc", "contents"), "toc")
         .when(x["h"].contains("license"), "license").when(x["h"] != "", "other").alias("kind")))
     with_kinds = F.concat(F.array(F.struct(F.lit("").alias("raw"), F.lit("").alias("s"), F.lit("none").alias("kind"))), kinds)
-    at = lambda arr: F.filter(F.transform(arr, lambda x, i: F.when(x["kind"].isNotNull(), i + 1)), lambda i: i.isNotNull())
+    at = lambda arr: t.places(arr, lambda x, i: x["kind"].isNotNull())
     skip = lambda x: x["s"].rlike(TOC_LINK) | (x["s"] == "")
 
     def body(seg):
-        head, tail = F.get(seg, F.lit(0)), F.slice(seg, F.lit(2), F.size(seg))
-        resume_at = F.get(F.filter(F.transform(tail, lambda x, i: F.when(~skip(x), i + 1)), lambda i: i.isNotNull()), F.lit(0))
+        return let(F.struct(F.get(seg, F.lit(0)).alias("head"), F.slice(seg, F.lit(2), F.size(seg)).alias("tail"),
+                            seg.alias("seg")), visible)
+
+    def visible(p):
+        head, tail, seg = p["head"], p["tail"], p["seg"]
+        resume_at = F.get(t.places(tail, lambda x, i: ~skip(x)), F.lit(0))
         return (F.when(head["kind"] == "license", F.slice(tail, F.lit(1), F.lit(0)))
                 .when(head["kind"] == "toc", F.when(resume_at.isNotNull(), F.slice(
                     tail, resume_at, F.size(tail))).otherwise(F.slice(tail, F.lit(1), F.lit(0))))
                 .when(head["kind"] == "other", seg).otherwise(tail))
 
-    kept = F.flatten(F.transform(_let(with_kinds, lambda arr: t.ends_sliced(arr, at(arr))), body))
+    kept = F.flatten(F.transform(let(with_kinds, lambda arr: t.ends_sliced(arr, at(arr))), body))
     low = lambda x: F.lower(x["s"])
     bare = lambda x: strip(F.regexp_replace(F.regexp_replace(x["s"], LINKED_BADGE, ""), IMAGE_BADGE, ""))
     noise = lambda x: (low(x).contains("<!-- toc -->") | low(x).contains("<!-- /toc -->") | x["s"].rlike(TOC_LINK)
@@ -190,11 +192,6 @@ def cleaned_readme(c) -> Column:
     return F.regexp_replace(joined, r"\n{3,}", "\n\n")
 
 
-def _let(value: Column, use) -> Column:
-    """Evaluate `value` once and use it several times inside an expression."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def clean_readme(df: DataFrame, text: str = "readme_text") -> DataFrame:
     """C6."""
     return df.withColumn("cleaned", cleaned_readme(text))
@@ -205,13 +202,13 @@ def readme_blocks(c) -> Column:
     rows = F.split(t.col(c), "\n", -1)
 
     def cut(rows):
-        at = F.filter(F.transform(rows, lambda s, i: F.when((i == 0) | s.rlike(r"^#{2,3}\s.+$"), i + 1)), lambda i: i.isNotNull())
+        at = t.places(rows, lambda s, i: (i == 0) | s.rlike(r"^#{2,3}\s.+$"))
         return F.filter(F.transform(t.ends_sliced(rows, at), lambda b: F.array_join(b, "\n")), lambda b: ~blank(b))
 
     label = lambda b, i: F.coalesce(
         F.nullif(strip(F.regexp_extract(strip(b), r"^#{2,3}\s+([^\n]+)", 1)), F.lit("")),
         F.concat(F.lit("intro-"), (i + 1).cast("string")))
-    blocks = F.transform(_let(rows, cut), lambda b, i: F.struct(label(b, i).alias("label"), b.alias("body")))
+    blocks = F.transform(let(rows, cut), lambda b, i: F.struct(label(b, i).alias("label"), b.alias("body")))
     headed = t.col(c).rlike(r"(?m)^#{2,3}\s+")
     return F.when(blank(c), F.array().cast("array<struct<label:string,body:string>>")).when(headed, blocks).otherwise(
         F.array(F.struct(F.lit(None).cast("string").alias("label"), t.col(c).alias("body"))))
@@ -221,17 +218,15 @@ def readme_chunks(repos: DataFrame, max_tokens: int = 400, plain_tokens: int = 1
     """repos(user_id, repo_id, repo_name, url, description, is_fork, readme_text) -> heading or window chunks."""
     keep = ["user_id", "repo_id", "repo_name", "url", "description", "is_fork"]
     base = repos.withColumn("_c", cleaned_readme(F.coalesce("readme_text", F.lit(""))))
-    blocks = base.select(*keep, F.posexplode(readme_blocks("_c")).alias("b", "x"))
-    key = t.project_key(F.coalesce("x.label", F.lit("")))
     # Repeats of one heading within one README: numbered inside the row, before any window is cut.
     rows = base.withColumn("_b", readme_blocks("_c")).withColumn("_k", F.transform(
         "_b", lambda x: t.project_key(F.coalesce(x["label"], F.lit("")))))
     numbered = F.transform("_b", lambda x, i: F.struct(x["label"].alias("label"), x["body"].alias("body"), F.size(
         F.filter(F.slice("_k", F.lit(1), i + 1), lambda k: k == F.get("_k", i))).alias("nth")))
-    blocks = rows.select(*keep, F.explode(numbered).alias("x")).select(*keep, "x.label", "x.body", "x.nth")
+    blocks = exploded(rows, keep, numbered, "b", "x").select(*keep, "x.label", "x.body", "x.nth")
     cut = blocks.withColumn("_w", F.when(F.col("label").isNull(), token_windows_of("body", plain_tokens, plain_overlap))
                             .otherwise(token_windows_of("body", max_tokens, 0)))
-    out = cut.withColumn("n_w", F.size("_w")).select("*", F.posexplode("_w").alias("w", "content"))
+    out = exploded(cut, [*keep, "label", "nth", F.size("_w").alias("n_w")], "_w", "w", "content")
     no = (F.col("w") + 1).cast("string")
     base_id = F.coalesce(F.col("repo_id").cast("string"), t.project_key("repo_name"))
     nth = F.when(F.col("nth") > 1, F.concat(F.lit("-"), F.col("nth").cast("string"))).otherwise(F.lit(""))
@@ -327,14 +322,14 @@ LABEL_LINES = ["project:", "technologies:", "link:"]
 def claim_sentences(docs: DataFrame, text: str, verbs: list[str], labelled: bool = False, min_len: int = 15) -> DataFrame:
     """Candidate claims of each text: adds line_no, sent_no, claim and the source line."""
     keep = [c for c in docs.columns if c != text]
-    ln = docs.select(*keep, F.posexplode(t.clean_lines(text)).alias("line_no", "line"))
+    ln = exploded(docs, keep, t.clean_lines(text), "line_no", "line")
     if labelled:
         skip = F.lit(False)
         for w in LABEL_LINES:
             skip = skip | F.lower("line").startswith(w)
         ln = ln.where(~skip).withColumn("line", F.when(F.lower("line").startswith("description:"), strip(
             F.substring("line", len("description:") + 1, 1 << 30))).otherwise(F.col("line")))
-    s = ln.select(*keep, "line_no", "line", F.posexplode(t.sentences("line")).alias("sent_no", "claim"))
+    s = exploded(ln, [*keep, "line_no", "line"], t.sentences("line"), "sent_no", "claim")
     return (s.withColumn("claim", strip("claim"))
             .where((F.length("claim") >= min_len) & F.col("claim").rlike("(?i)" + t.words_regex(verbs))))
 

@@ -9,7 +9,7 @@ from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import strip
 from profilelab.operators import structure
-from profilelab.operators.ordered import carried
+from profilelab.operators.ordered import carried, summed_before
 
 
 def words_to_lines(words: DataFrame, keys: list[str], xy=("x0", "x1", "y0", "y1")) -> DataFrame:
@@ -40,12 +40,11 @@ def tag_lines(lines: DataFrame, key: str = "doc_id", order=("y0", "x0", "line_id
     free = ~sec.isin(vocab.ENTRY_SECTIONS) & F.col("_known").isNull() & F.col("_f.slug").isNotNull()
     known = known.withColumn("_free", F.when(free, F.struct(F.col("_f.slug").alias("key"), place.alias("at"))))
     # A free header that names an entry section ends free splitting until the next known header.
-    known = known.withColumn("_stop", F.when(free & F.col("_f.slug").isin(vocab.ENTRY_SECTIONS), F.col("_free")))
-    both = carried(known, [key], ordering, bucket, "_stop", "_s")
-    after = lambda c: F.when(F.col("_k").isNull() | (F.col(f"{c}.at") > F.col("_k.at")), F.col(c))
-    both = both.withColumn("_s", after("_s")).withColumn(
-        "_free", F.when(F.col("_s").isNull() | (F.col("_s.at") >= F.col("_place")), F.col("_free")))
-    run = carried(both, [key], ordering, bucket, "_free", "_r").withColumn("_r", after("_r"))
+    known = known.withColumn("_run", F.col("_k.at")).withColumn(
+        "_stop", (free & F.col("_f.slug").isin(vocab.ENTRY_SECTIONS)).cast("int"))
+    both = summed_before(known, [key, "_run"], ordering, bucket, "_stop", "_before").withColumn(
+        "_free", F.when(F.col("_before") == 0, F.col("_free")))
+    run = carried(both, [key, "_run"], ordering, bucket, "_free", "_r")
     section = F.coalesce(F.col("_r.key"), sec)
     opened = F.coalesce(F.col("_r.at"), F.col("_k.at"))
     plain = strip(F.rtrim(F.lower("_cand"), F.lit(":")))
@@ -56,12 +55,10 @@ def tag_lines(lines: DataFrame, key: str = "doc_id", order=("y0", "x0", "line_id
              & (F.size(F.split(strip("_cand"), r"\s+", -1)) <= 8))
     titled = run.withColumn("_opened", opened).withColumn("section", section).withColumn(
         "_title", F.when(title, F.struct(F.col("_cand").alias("name"), place.alias("at"))))
-    out = carried(titled, [key], ordering, bucket, "_title", "_p")
+    out = carried(titled, [key, "_opened"], ordering, bucket, "_title", "_p")
     is_known, is_free = F.col("_known").isNotNull(), F.col("_free").isNotNull()
     rest = F.coalesce(F.col("_f.rest"), F.lit(""))
-    return (out.withColumn("project", F.when(
-                ~is_known & ~is_free & (F.col("_opened").isNull() | (F.col("_p.at") > F.col("_opened"))),
-                F.col("_p.name")))
+    return (out.withColumn("project", F.when(~is_known & ~is_free, F.col("_p.name")))
             .withColumn("is_header", F.when(is_known, rest == "").otherwise(is_free))
             .withColumn(text, F.when(is_known & (rest != ""), rest).otherwise(F.col(text)))
             .select(*lines.columns, "section", "project", "is_header"))

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 _B = "_bucket"
 
 
-def _null_safe(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    cond = [left[k].eqNullSafe(right[k]) for k in keys]
-    return left.join(right, cond, how).drop(*[right[k] for k in keys])
+def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on null-safe keys; the right side keeps only its other columns."""
+    right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(right, cond, "left").drop(*[f"_r_{k}" for k in keys])
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str = "rn") -> DataFrame:

@@ -90,7 +90,7 @@ def select_budget(files: DataFrame, max_files: int = 300, max_total_loc: int = 2
         return F.when(fits, F.struct(F.concat(acc["got"], F.array(f)).alias("got"),
                                      (acc["total"] + f["loc"]).alias("total"))).otherwise(acc)
 
-    return (rows.select("repo_id", F.posexplode(F.aggregate("_a", zero, step, lambda a: a["got"])).alias("p", "f"))
+    return (t.exploded(rows, ["repo_id"], F.aggregate("_a", zero, step, lambda a: a["got"]), "p", "f")
             .select("repo_id", (F.col("p") + 1).alias("pick"), F.col("f.o3").alias("path"), "f.loc", "f.is_source"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from profilelab import vocab
 from profilelab.functions import text as t
-from profilelab.functions.text import any_contains, strip
+from profilelab.functions.text import any_contains, exploded, strip, trimmed
 from profilelab.operators.ordered import salted_join
 
 
@@ -177,12 +177,12 @@ def keyword_search(queries: DataFrame, docs: DataFrame, key: str = "doc_id", tex
     stops = vocab.SEARCH_STOP_WORDS if stop is None else stop
     words = F.filter(F.split(strip(F.lower("query")), r"\s+", -1), lambda w: (F.length(w) > min_word) & ~w.isin(stops))
     asked = queries.select("query_id", key, words.alias("_w")).where(F.size("_w") > 0)
-    segs = F.filter(F.transform(F.split(text, r"[.!?\n]+", -1), strip), lambda s: F.length(s) > min_segment)
+    segs = F.filter(F.transform(F.split(text, r"[.!?\n]+", -1), trimmed), lambda s: F.length(s) > min_segment)
     cut = docs.select(key, segs.alias("_s"))
     score = lambda s: F.aggregate("_w", F.lit(0), lambda a, w: a + F.lower(s).contains(w).cast("int"))
     ranked = F.slice(F.array_sort(F.filter(F.transform("_s", lambda s, i: F.struct(
         (-score(s)).alias("neg"), i.alias("pos"), s.alias("segment"))), lambda x: x["neg"] < 0)), 1, n)
-    return (asked.join(cut, key).select("query_id", key, F.posexplode(ranked).alias("rank", "x"))
+    return (exploded(asked.join(cut, key), ["query_id", key], ranked, "rank", "x")
             .select("query_id", key, (F.col("rank") + 1).alias("rank"), "x.segment", (-F.col("x.neg")).alias("score")))
 
 
@@ -191,12 +191,12 @@ def keyword_lines(docs: DataFrame, words: list[str], n: int, text: str = "text",
     """First n lines (or blocks) holding any keyword, longer than min_len."""
     parts = F.filter(F.split(text, split, -1), lambda s: (F.length(strip(s)) > min_len) & any_contains(F.lower(s), words))
     keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.posexplode(F.slice(F.transform(parts, strip), 1, n)).alias("pos", "line"))
+    return exploded(docs, keep, F.slice(F.transform(parts, trimmed), 1, n), "pos", "line")
 
 
 def doc_overview(docs: DataFrame, text: str = "text") -> DataFrame:
     """First line, word count, resume flag, snippet of the first ten lines."""
-    rows = F.filter(F.transform(F.split(text, "\n", -1), strip), lambda s: s != "")
+    rows = F.filter(F.transform(F.split(text, "\n", -1), trimmed), lambda s: s != "")
     keep = [c for c in docs.columns if c != text]
     return docs.select(*keep, F.coalesce(F.get(rows, F.lit(0)), F.lit("the candidate")).alias("first_line"),
                        F.size(F.split(text, r"\s+", -1)).alias("n_words"),
@@ -210,7 +210,7 @@ def label_docs(docs: DataFrame, labels: dict[str, list[str]] | None = None, text
     hits = F.array_compact(F.array(*[F.when(any_contains(low, words), F.lit(name))
                                      for name, words in (labels or vocab.DOCUMENT_LABELS).items()]))
     keep = [c for c in docs.columns if c != text]
-    return docs.select(*keep, F.explode(hits).alias("label"))
+    return exploded(docs, keep, hits, "_i", "label").drop("_i")
 
 
 def query_intent(c, rules: dict[str, list[str]] | None = None) -> Column:

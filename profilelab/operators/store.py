@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from profilelab import vocab
 from profilelab.functions import text as t
-from profilelab.functions.text import blank
+from profilelab.functions.text import blank, let
 from profilelab.operators.ordered import salted_join
 from profilelab.schemas import EMBEDDING_DIM
 
@@ -24,17 +24,17 @@ def hashed_embedding(c, dim: int = EMBEDDING_DIM, token_regex: str = t.TOKEN_REG
     """Default embedder: hashed bag of lower-case tokens, unit length, JVM only."""
     slots = F.array_sort(F.transform(F.regexp_extract_all(F.lower(t.col(c)), F.lit(token_regex), F.lit(0)),
                                      lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")))
-    # Sorted slots: a slot's count is the distance between its first and last place, by array_position on reverses.
-    uniq = F.array_distinct(slots)
-    n = F.size(slots)
-    counted = lambda s: F.transform(uniq, lambda u: F.struct(u.alias("slot"), (
-        n - F.array_position(F.reverse(s), u) + 1 - F.array_position(s, u) + 1).cast("double").alias("n")))
-    norm = lambda cs: F.sqrt(F.aggregate(cs, F.lit(0.0), lambda a, x: a + x["n"] * x["n"]))
-    table = F.map_from_entries(counted(slots))
-    scale = norm(counted(slots))
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: (
-        F.coalesce(F.try_element_at(table, i), F.lit(0.0)) / scale).cast("float"))).otherwise(
-        F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float")))
+    # Sorted slots: the run of a slot starts where its left neighbour differs and ends at the next start.
+    runs = lambda a: t.ends_sliced(a, t.places(a, lambda s, i: (i == 0) | (s != F.get(a, i - 1))))
+    table = F.map_from_entries(F.transform(let(slots, runs), lambda r: F.struct(
+        F.get(r, F.lit(0)).alias("slot"), F.size(r).cast("double").alias("n"))))
+    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x * x))
+    every = F.sequence(F.lit(0), F.lit(dim - 1))
+    spread = lambda p: F.transform(every, lambda i: (
+        F.coalesce(F.try_element_at(p["m"], i), F.lit(0.0)) / p["norm"]).cast("float"))
+    unit = let(table, lambda m: let(F.struct(m.alias("m"), norm(m).alias("norm")), spread))
+    first = F.transform(every, lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))
+    return F.when(F.regexp_like(t.col(c), F.lit(token_regex)), unit).otherwise(first)
 
 
 def register_embedder(load: Callable[[], Callable[[list[str]], list]], dim: int = EMBEDDING_DIM) -> Callable[[Column], Column]:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from profilelab import vocab
 from profilelab.functions import text as t
-from profilelab.functions.text import BULLETS, SPACES, blank, col, strip
+from profilelab.functions.text import BULLETS, SPACES, blank, col, exploded, let, strip, trimmed
 from profilelab.operators.windows import regroup
 
 MONTH = (r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?"
@@ -62,25 +62,23 @@ def with_sections(df: DataFrame, text: str = "text", aliases: dict[str, str] | N
     """Adds `sections`, array<struct<section, body>> in order of first appearance."""
     fixed = F.array(*[F.lit(s) for s in (entry_sections or vocab.ENTRY_SECTIONS)])
     none = F.lit(None).cast("string")
-    numbered = lambda name: F.filter(
-        F.transform(F.col(name), lambda s, i: F.struct((i + 1).alias("at"), s.alias("s"))),
-        lambda x: F.coalesce(x["s"]["key"], x["s"]["slug"]).isNotNull())
     # 1. known headers cut the document; a virtual first line opens section 'header'
     opened = (df.withColumn("_l", F.concat(F.array(F.struct(
         F.lit("").alias("raw"), F.lit("header").alias("key"), none.alias("rest"), none.alias("slug"))),
         tagged_line_array(text, aliases)))
-        .withColumn("_at", F.transform(F.filter(numbered("_l"), lambda x: x["s"]["key"].isNotNull()),
-                                       lambda x: x["at"]))
+        .withColumn("_at", t.places(F.col("_l"), lambda s, i: s["key"].isNotNull()))
         .withColumn("_seg", t.ends_sliced(F.col("_l"), F.col("_at"))))
     # 2. inside free sections, capitalised lines cut again, up to one that names an entry section
-    cuts = lambda seg: F.filter(F.transform(seg, lambda s, i: F.when((i == 0) | s["slug"].isNotNull(), i + 1)),
-                                lambda x: x.isNotNull())
+
+    def until_entry(p):
+        stop = F.array_position(F.transform(p["at"], lambda a: F.array_contains(
+            fixed, F.get(p["seg"], a - 1)["slug"])), True)
+        return t.ends_sliced(p["seg"], let(stop.cast("int"), lambda n: F.when(
+            n > 0, F.slice(p["at"], F.lit(1), n)).otherwise(p["at"])))
 
     def split_free(seg):
-        at = cuts(seg)
-        stop = F.array_position(F.transform(at, lambda a: F.array_contains(fixed, F.get(seg, a - 1)["slug"])), True)
-        at = F.when(stop > 0, F.slice(at, F.lit(1), stop.cast("int"))).otherwise(at)
-        return t.ends_sliced(seg, at)
+        at = t.places(seg, lambda s, i: (i == 0) | s["slug"].isNotNull())
+        return let(F.struct(seg.alias("seg"), at.alias("at")), until_entry)
 
     pieces = F.transform(F.col("_seg"), lambda seg: F.when(
         F.array_contains(fixed, F.get(seg, F.lit(0))["key"]), F.array(seg)).otherwise(split_free(seg)))
@@ -99,15 +97,16 @@ def with_sections(df: DataFrame, text: str = "text", aliases: dict[str, str] | N
 def split_sections(docs: DataFrame, text: str = "text", aliases: dict[str, str] | None = None) -> DataFrame:
     """D1 as rows: (…, pos, section, body)."""
     keep = [c for c in docs.columns if c != text]
-    return (with_sections(docs, text, aliases).select(*keep, F.posexplode("sections").alias("pos", "s"))
-            .select(*keep, "pos", "s.section", "s.body"))
+    return exploded(with_sections(docs, text, aliases), keep, "sections", "pos", "s").select(
+        *keep, "pos", "s.section", "s.body")
 
 
 def section_body(name: str | list[str], sections: str = "sections") -> Column:
     """Body of the first non-empty section among `name`, else ''."""
-    bodies = [F.get(F.filter(sections, lambda s, n=n: (s["section"] == n) & ~blank(s["body"])), F.lit(0))["body"]
-              for n in ([name] if isinstance(name, str) else name)]
-    return strip(F.coalesce(*bodies, F.lit("")))
+    def body(n: str) -> Column:
+        return F.get(F.filter(sections, lambda s: (s["section"] == n) & ~blank(s["body"])), F.lit(0))["body"]
+
+    return strip(F.coalesce(*[body(n) for n in ([name] if isinstance(name, str) else name)], F.lit("")))
 
 
 def pick_summary(df: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -122,7 +121,7 @@ def section_terms(c) -> Column:
     cleaned = F.transform(t.lines(c), lambda s: strip(bare(s)))
     bodies = F.transform(F.filter(cleaned, lambda s: s != ""), lambda s: F.when(
         s.contains(":"), F.substring(s, F.instr(s, ":") + 1, F.length(s))).otherwise(s))
-    listed = lambda s: F.filter(F.transform(F.split(s, ",", -1), strip), lambda x: x != "")
+    listed = lambda s: F.filter(F.transform(F.split(s, ",", -1), trimmed), lambda x: x != "")
     inner = F.flatten(F.flatten(F.transform(bodies, lambda s: F.transform(
         F.regexp_extract_all(s, F.lit(r"\(([^)]*)\)"), F.lit(1)), listed))))
     outer = F.flatten(F.transform(bodies, lambda s: F.transform(
@@ -133,7 +132,7 @@ def section_terms(c) -> Column:
 def skills_section_terms(df: DataFrame, body: str = "body") -> DataFrame:
     """One row per term."""
     keep = [c for c in df.columns if c != body]
-    return df.select(*keep, F.explode(section_terms(body)).alias("term"))
+    return exploded(df, keep, section_terms(body), "_i", "term").drop("_i")
 
 
 def canonical_terms(gazetteer: DataFrame) -> DataFrame:
@@ -174,7 +173,7 @@ def detected_tech(df: DataFrame, gazetteer: DataFrame, keys: list[str], text: st
     grams = (term.withColumn("_g", F.when(F.col("_cased"), F.col("_term")).otherwise(F.lower("_term")))
              .select("_g", "_cased").distinct())
     toks = df.select(*keys, F.regexp_extract_all(F.col(text), F.lit(token_regex), F.lit(0)).alias("_t"))
-    at = toks.where(F.size("_t") > 0).select(*keys, "_t", F.posexplode("_t").alias("_i", "_w"))
+    at = exploded(toks, [*keys, "_t"], "_t", "_i", "_w")
     spans = at.select(*keys, "_i", F.explode(F.transform(
         F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_t") - F.col("_i"))),
         lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_t", F.col("_i") + 1, n), " ").alias("g")))).alias("s"))
@@ -220,7 +219,7 @@ def display_name(docs: DataFrame, entities: DataFrame, key: str = "doc_id", text
     """First PERSON entity, else the first non-blank line (60 characters)."""
     person = (entities.where("label = 'PERSON'").groupBy(key)
               .agg(F.min_by(strip("text"), "pos").alias("_person")))
-    line = F.get(F.filter(F.transform(t.lines(text), strip), lambda s: s != ""), F.lit(0))
+    line = F.get(F.filter(F.transform(t.lines(text), trimmed), lambda s: s != ""), F.lit(0))
     return (docs.withColumn("_line", F.substring(F.coalesce(line, F.lit("")), 1, 60)).join(person, key, "left")
             .withColumn("name", F.coalesce("_person", "_line")).drop("_person", "_line"))
 
@@ -310,7 +309,7 @@ def github_username(links: DataFrame, key: str = "doc_id", reserved: list[str] |
 def _blocks(body: Column) -> Column:
     """Array of struct(block, lines) of a section body, blocks without a visible line dropped."""
     rows = F.transform(t.paragraphs(body), lambda b: F.struct(
-        b.alias("block"), F.filter(F.transform(t.lines(b), strip), lambda s: s != "").alias("lines")))
+        b.alias("block"), F.filter(F.transform(t.lines(b), trimmed), lambda s: s != "").alias("lines")))
     return F.filter(rows, lambda r: F.size(r["lines"]) > 0)
 
 
@@ -350,7 +349,7 @@ def structured_projects(df: DataFrame, keys: list[str], body: str = "projects",
     only = F.transform(F.filter("_k", lambda k: ~F.array_contains(seen, F.lower(k["project"]))), lambda k: F.struct(
         k["project"].alias("title"), F.lit("").alias("description"),
         F.array().cast("array<string>").alias("technologies"), k.alias("link")))
-    return (base.select(*keys, F.posexplode(F.concat(linked, only)).alias("pos", "p"))
+    return (exploded(base, keys, F.concat(linked, only), "pos", "p")
             .select(*keys, "pos", "p.title", "p.description", "p.technologies", "p.link.github", "p.link.live",
                     F.coalesce("p.link.live", "p.link.github", none).alias("url")))
 
@@ -362,7 +361,7 @@ def structured_experience(df: DataFrame, keys: list[str], body: str = "experienc
         F.coalesce(F.get(F.filter(orgs, lambda o: F.lower(r["block"]).contains(F.lower(o))), F.lit(0)),
                    F.get(r["lines"], F.lit(0))).alias("company"),
         _tail(r["lines"]).alias("description"), r["block"].alias("raw_text")))
-    return df.select(*keys, F.posexplode(rows).alias("pos", "e")).select(*keys, "pos", "e.*")
+    return exploded(df, keys, rows, "pos", "e").select(*keys, "pos", "e.*")
 
 
 def structured_education(df: DataFrame, keys: list[str], body: str = "education") -> DataFrame:
@@ -371,7 +370,7 @@ def structured_education(df: DataFrame, keys: list[str], body: str = "education"
         F.get(r["lines"], F.lit(0)).alias("degree"),
         F.coalesce(F.get(r["lines"], F.lit(1)), F.get(r["lines"], F.lit(0))).alias("institution"),
         strip(F.array_join(r["lines"], "\n")).alias("details"), r["block"].alias("raw_text")))
-    return df.select(*keys, F.posexplode(rows).alias("pos", "e")).select(*keys, "pos", "e.*")
+    return exploded(df, keys, rows, "pos", "e").select(*keys, "pos", "e.*")
 
 
 def validate_resumes(df: DataFrame, name: str = "name", n_skills: str = "n_skills", text: str = "text",
@@ -428,26 +427,28 @@ def entries_of(body: Column, section: Column, limit: int = 200, group: int = 180
     """D15/D16 as a column: array of logical entries of one section body."""
     name = F.lower(section)
 
-    def split_block(block):
-        rows = F.split(block, "\n", -1)
-        looked = F.transform(rows, lambda s, i: F.struct(
-            s.alias("raw"), strip(s).alias("cand"), strip(F.coalesce(F.get(rows, i + 1), F.lit(""))).alias("nxt")))
-        seen = F.filter(looked, lambda s: s["cand"] != "")
-        at = F.filter(F.transform(seen, lambda s, i: F.when(
-            (i == 0) | starts_entry(s["cand"], s["nxt"], name), i + 1)), lambda x: x.isNotNull())
-        cut = F.transform(t.ends_sliced(seen, at), lambda e: strip(F.array_join(
+    def looked(p):  # visible lines with the line that follows each
+        return F.filter(F.transform(p["rows"], lambda s, i: F.struct(
+            s.alias("raw"), strip(s).alias("cand"), strip(F.coalesce(F.get(p["rows"], i + 1), F.lit(""))).alias("nxt"))),
+            lambda s: s["cand"] != "")
+
+    def cut(seen):
+        at = t.places(seen, lambda s, i: (i == 0) | starts_entry(s["cand"], s["nxt"], name))
+        return F.transform(t.ends_sliced(seen, at), lambda e: strip(F.array_join(
             F.transform(e, lambda s: s["raw"]), "\n")))
+
+    def split_block(p):
         # A block of one line is an entry whatever its length; one unbroken block may be long prose.
-        return F.when(F.size(rows) <= 1, F.array(block)).when(F.size(cut) > 1, cut).otherwise(
-            regroup(block, limit, group))
+        return F.when(F.size(p["rows"]) <= 1, F.array(p["block"])).otherwise(let(let(looked(p), cut), lambda es: F.when(
+            F.size(es) > 1, es).otherwise(regroup(p["block"], limit, group))))
 
-    return F.flatten(F.transform(t.paragraphs(body), split_block))
+    blocks = F.transform(t.paragraphs(body), lambda b: F.struct(b.alias("block"), F.split(b, "\n", -1).alias("rows")))
+    return F.flatten(F.transform(blocks, split_block))
 
 
 def logical_entries(sections: DataFrame, section: str = "section", body: str = "body", limit: int = 200,
                     group: int = 180) -> DataFrame:
     """One row per entry (entry_index from 1)."""
     keep = [c for c in sections.columns if c not in (body, "pos")]
-    return (sections.select(*keep, F.posexplode(entries_of(F.col(body), F.col(section), limit, group))
-                            .alias("entry_index", "entry"))
-            .withColumn("entry_index", F.col("entry_index") + 1))
+    return exploded(sections, keep, entries_of(F.col(body), F.col(section), limit, group), "entry_index",
+                    "entry").withColumn("entry_index", F.col("entry_index") + 1)
