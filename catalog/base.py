@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,13 +71,3 @@ def query(name: str, sql: str | None = None):
         return fn
 
     return add
-
-
-def scratch(spark: SparkSession) -> str:
-    """New folder under the shared checkpoint directory, or a temporary one where none is configured."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        import uuid
-
-        return f"{shared.rstrip('/')}/profilelab-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="profilelab-")

@@ -369,24 +369,32 @@ def project_names(projects: DataFrame) -> DataFrame:
 
 
 def mentions(texts: DataFrame, names: DataFrame, keys: list[str], text: str, out: str = "mention",
-             longest: int = 64) -> DataFrame:
+             in_row: int = 64, longest: int = 64) -> DataFrame:
     """First project (by ord) whose name occurs in each text: rows (keys…, out struct(key, repo_id)).
 
-    Substring search as an equi-join: a text yields its substrings of exactly the lengths its
-    candidate's names have, so a candidate with many projects never pairs every name with every line.
-    Names longer than `longest` join on their first characters and are verified.
+    A candidate with up to `in_row` names has them searched inside the row. Candidates with more never pair
+    every name with every line: their texts yield substrings of exactly the lengths their names have, which
+    meet the names in an equi-join (names longer than `longest` join on their first characters and are verified).
     """
-    head = names.withColumn("_g", F.substring("name", 1, longest)).withColumn("_n", F.length("_g"))
-    lengths = head.groupBy("user_id").agg(F.collect_set("_n").alias("_ls"))  # at most `longest` numbers
+    sizes = names.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
     low = texts.select("user_id", *keys, F.lower(text).alias("_t"))
-    sized = salted_join(low, lengths, ["user_id"], keys)
+
+    few = names.join(sizes.where(F.col("_n") <= in_row), "user_id", "left_semi").groupBy("user_id").agg(
+        F.sort_array(F.collect_list(F.struct("ord", "name", "key", "repo_id"))).alias("_ns"))
+    small = salted_join(low, few, ["user_id"], keys).select("user_id", *keys, F.get(F.filter(
+        "_ns", lambda n: F.col("_t").contains(n["name"])), F.lit(0)).alias("_m")).where("_m is not null").select(
+        "user_id", *keys, F.struct("_m.key", "_m.repo_id").alias(out))
+
+    head = (names.join(sizes.where(F.col("_n") > in_row), "user_id", "left_semi")
+            .withColumn("_g", F.substring("name", 1, longest)).withColumn("_n", F.length("_g")))
+    lengths = head.groupBy("user_id").agg(F.collect_set("_n").alias("_ls"))  # at most `longest` numbers
     cut = lambda n: F.when(F.length("_t") >= n, F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substring(F.col("_t"), i, n))))
     grams = F.flatten(F.filter(F.transform("_ls", cut), lambda a: a.isNotNull()))
-    hits = sized.select("user_id", *keys, "_t", F.explode(grams).alias("_g")).join(head, ["user_id", "_g"])
-    found = hits.where((F.length("name") <= longest) | F.col("_t").contains(F.col("name")))
-    return found.groupBy("user_id", *keys).agg(
-        F.min_by(F.struct("key", "repo_id"), F.struct("ord", "name")).alias(out))
+    hits = exploded(salted_join(low, lengths, ["user_id"], keys), ["user_id", *keys, "_t"], grams, "_i", "_g").drop("_i").join(
+        head, ["user_id", "_g"]).where((F.length("name") <= longest) | F.col("_t").contains(F.col("name")))
+    large = hits.groupBy("user_id", *keys).agg(F.min_by(F.struct("key", "repo_id"), F.struct("ord", "name")).alias(out))
+    return small.unionByName(large)
 
 
 def attribute_claims(claims: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import strip
 from profilelab.operators import structure
-from profilelab.operators.ordered import carried, summed_before
+from profilelab.operators.ordered import carried, settled
 
 
 def words_to_lines(words: DataFrame, keys: list[str], xy=("x0", "x1", "y0", "y1")) -> DataFrame:
@@ -35,16 +35,18 @@ def tag_lines(lines: DataFrame, key: str = "doc_id", order=("y0", "x0", "line_id
             .withColumn("_place", place)
             .withColumn("_known", F.when(F.col("_f.key").isNotNull(),
                                          F.struct(F.col("_f.key").alias("key"), place.alias("at")))))
-    known = carried(base, [key], ordering, bucket, "_known", "_k")
+    known = settled(carried(settled(base), [key], ordering, bucket, "_known", "_k"))
     sec = F.coalesce(F.col("_k.key"), F.lit("header"))
     free = ~sec.isin(vocab.ENTRY_SECTIONS) & F.col("_known").isNull() & F.col("_f.slug").isNotNull()
     known = known.withColumn("_free", F.when(free, F.struct(F.col("_f.slug").alias("key"), place.alias("at"))))
     # A free header that names an entry section ends free splitting until the next known header.
-    known = known.withColumn("_run", F.col("_k.at")).withColumn(
-        "_stop", (free & F.col("_f.slug").isin(vocab.ENTRY_SECTIONS)).cast("int"))
-    both = summed_before(known, [key, "_run"], ordering, bucket, "_stop", "_before").withColumn(
-        "_free", F.when(F.col("_before") == 0, F.col("_free")))
-    run = carried(both, [key, "_run"], ordering, bucket, "_free", "_r")
+    known = known.withColumn("_run", F.col("_k.at"))
+    stops = (known.where(F.col("_free").isNotNull() & F.col("_f.slug").isin(vocab.ENTRY_SECTIONS))
+             .groupBy(key, F.col("_run").alias("_run2")).agg(F.min("_place").alias("_stop"))
+             .withColumnRenamed(key, "_key2"))
+    both = known.join(stops, (F.col(key) == F.col("_key2")) & F.col("_run").eqNullSafe(F.col("_run2")), "left")
+    both = both.withColumn("_free", F.when(F.col("_stop").isNull() | (F.col("_place") <= F.col("_stop")), F.col("_free")))
+    run = settled(carried(both.drop("_key2", "_run2", "_stop"), [key, "_run"], ordering, bucket, "_free", "_r"))
     section = F.coalesce(F.col("_r.key"), sec)
     opened = F.coalesce(F.col("_r.at"), F.col("_k.at"))
     plain = strip(F.rtrim(F.lower("_cand"), F.lit(":")))

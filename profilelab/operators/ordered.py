@@ -8,12 +8,29 @@ be non-decreasing in the first order column.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _B = "_bucket"
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder under the cluster's shared checkpoint directory; a temporary one only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared.rstrip('/')}/profilelab-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="profilelab-") + "/t"
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """Write an intermediate table once and read it back, so that later branches neither recompute it nor
+    lose it with an executor. Used where a result feeds several dependent passes."""
+    path = scratch_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """Left join on null-safe keys; the right side keeps only its other columns."""
     right = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
@@ -38,9 +55,7 @@ def carried(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
     b = df.withColumn(_B, bucket)
     rank = F.struct(*order)
     before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    lasts = (b.where(F.col(value).isNotNull()).groupBy(*keys, _B).agg(F.max_by(value, rank).alias("_last")))
-    spans = (b.select(*keys, _B).distinct())
-    sums = (_null_safe(spans, lasts, [*keys, _B])
+    sums = (b.groupBy(*keys, _B).agg(F.max_by(value, F.when(F.col(value).isNotNull(), rank)).alias("_last"))
             .withColumn("_carry", F.last("_last", ignorenulls=True).over(before)).drop("_last"))
     inside = F.last(value, ignorenulls=True).over(
         Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))

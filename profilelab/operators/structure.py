@@ -161,6 +161,13 @@ def dedupe_skills(df: DataFrame, gazetteer: DataFrame, keys=("user_id",), skill:
     return canonical_skill(first, gazetteer, skill).select(*keys, "skill_key", F.col("canonical").alias("skill"))
 
 
+def _grams(tokens: str, n: int) -> Column:
+    """Array of struct(i, n, g): every run of n tokens with its start."""
+    return F.filter(F.transform(tokens, lambda w, i: F.when(i + n <= F.size(tokens), F.struct(
+        i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i + 1, F.lit(n)), " ").alias("g")))),
+        lambda s: s.isNotNull())
+
+
 def detected_tech(df: DataFrame, gazetteer: DataFrame, keys: list[str], text: str = "content",
                   max_words: int = 3, token_regex: str = t.TERM_REGEX) -> DataFrame:
     """(keys…, detected_tech): sorted distinct vocabulary terms; longest match first, then leftmost.
@@ -173,11 +180,10 @@ def detected_tech(df: DataFrame, gazetteer: DataFrame, keys: list[str], text: st
     grams = (term.withColumn("_g", F.when(F.col("_cased"), F.col("_term")).otherwise(F.lower("_term")))
              .select("_g", "_cased").distinct())
     toks = df.select(*keys, F.regexp_extract_all(F.col(text), F.lit(token_regex), F.lit(0)).alias("_t"))
-    at = exploded(toks, [*keys, "_t"], "_t", "_i", "_w")
-    spans = at.select(*keys, "_i", F.explode(F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_t") - F.col("_i"))),
-        lambda n: F.struct(n.alias("n"), F.array_join(F.slice("_t", F.col("_i") + 1, n), " ").alias("g")))).alias("s"))
-    spelled = spans.select(*keys, "_i", F.col("s.n").alias("_n"), F.col("s.g").alias("_raw"))
+    # All n-grams are built inside the row, so the exploded rows carry one n-gram each and no token array.
+    sized = [_grams("_t", n) for n in range(1, max_words + 1)]
+    spans = exploded(toks, keys, F.flatten(F.array(*sized)), "_j", "s")
+    spelled = spans.select(*keys, F.col("s.i").alias("_i"), F.col("s.n").alias("_n"), F.col("s.g").alias("_raw"))
     cased = spelled.join(grams.where("_cased").select(F.col("_g").alias("_raw")), "_raw", "left_semi")
     uncased = spelled.withColumn("_low", F.lower("_raw")).join(
         grams.where("not _cased").select(F.col("_g").alias("_low")), "_low", "left_semi").drop("_low")
