@@ -74,6 +74,11 @@ def guard_tokens(df, text: str = "content", max_tokens: int = 480, mode: str = "
     return df.withColumn(text, F.when(n > max_tokens, F.raise_error(msg).cast("string")).otherwise(col(text)))
 
 
+def rounded(c, digits: int) -> Column:
+    """round() half up; noise beyond the tenth decimal cannot flip a tie."""
+    return F.round(F.round(col(c), 10), digits)
+
+
 def lines(c) -> Column:
     """Array of physical lines."""
     return F.split(col(c), LINE_BREAK, -1)

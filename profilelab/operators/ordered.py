@@ -23,6 +23,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{shared.rstrip('/')}/profilelab-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="profilelab-") + "/t"
 
 
+def small_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 8 << 20) -> DataFrame:
+    """Mark a vocabulary-like table for broadcast after measuring it; a larger one is left to Spark's planner."""
+    width = F.octet_length(F.to_json(F.struct(*df.columns)))
+    n, size = df.limit(max_rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(width), F.lit(0))).first()
+    return F.broadcast(df) if n <= max_rows and size <= max_bytes else df
+
+
 def settled(df: DataFrame) -> DataFrame:
     """Write an intermediate table once and read it back, so that later branches neither recompute it nor
     lose it with an executor. Used where a result feeds several dependent passes."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from profilelab.functions.text import col
+from profilelab.functions.text import col, rounded
 from profilelab.operators.repo_metrics import log_score
 
 
@@ -106,7 +106,7 @@ def language_shares(lang: DataFrame, min_share: float = 0.03, min_bytes: int = 5
              .when(F.col("n") == 3, 92.0).otherwise(100.0))
     w = Window.partitionBy("user_id").orderBy(F.desc("bytes"), F.asc("language"))
     best = (sig.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
-            .select("user_id", "rank", "language", F.round(F.col("share") * 100, 1).alias("percentage"), "bytes"))
+            .select("user_id", "rank", "language", rounded(F.col("share") * 100, 1).alias("percentage"), "bytes"))
     return every.select("user_id", F.col("n").alias("significant_languages"), score.alias("language_score")), best
 
 
@@ -127,15 +127,16 @@ def profile_score(df: DataFrame, as_of: str) -> DataFrame:
              "community_impact": impact_score("total_stars", "total_forks", "followers", "n_repos"),
              "language_breadth": F.col("language_score")}
     weight = dict(zip(parts, (0.30, 0.25, 0.20, 0.15, 0.10)))
-    age = F.coalesce(F.greatest(F.lit(1), F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(
-        F.col("account_created").cast("timestamp"))) / 86400e6)), F.lit(365))
+    # greatest() skips nulls, so a missing date is decided first.
+    age = F.when(F.col("account_created").isNull(), F.lit(365)).otherwise(F.greatest(F.lit(1), F.floor((F.unix_micros(F.lit(as_of).cast("timestamp")) - F.unix_micros(
+        F.col("account_created").cast("timestamp"))) / 86400e6)))
     months = F.greatest(F.lit(1.0), age / 30.417)
-    out = df.withColumn("overall_score", F.round(sum((v * weight[k] for k, v in parts.items()), F.lit(0.0)), 2))
-    return (out.withColumns({k: F.round(v, 2) for k, v in parts.items()})
+    out = df.withColumn("overall_score", rounded(sum((v * weight[k] for k, v in parts.items()), F.lit(0.0)), 2))
+    return (out.withColumns({k: rounded(v, 2) for k, v in parts.items()})
             .withColumns({"account_age_days": age.cast("long"),
-                          "contributions_per_month": F.round(F.col("annual_contributions") / F.least(F.lit(12.0), months), 1),
-                          "active_days_ratio": F.round(F.least(F.lit(1.0), F.col("active_days") / 365.0), 4),
-                          "active_weeks_ratio": F.round(F.least(F.lit(52), F.col("active_weeks")) / 52.0, 4)}))
+                          "contributions_per_month": rounded(F.col("annual_contributions") / F.least(F.lit(12.0), months), 1),
+                          "active_days_ratio": rounded(F.least(F.lit(1.0), F.col("active_days") / 365.0), 4),
+                          "active_weeks_ratio": rounded(F.least(F.lit(52), F.col("active_weeks")) / 52.0, 4)}))
 
 
 def profile_text(df: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from profilelab import vocab
 from profilelab.functions import text as t
-from profilelab.functions.text import col, strip
+from profilelab.functions.text import col, rounded, strip
 from profilelab.operators.ordered import salted_join
 
 
@@ -47,8 +47,8 @@ def has_source(repos: DataFrame, root_files: DataFrame, boilerplate: list[str] |
 def score_repos(repos: DataFrame, as_of: str, stars: str = "stars", forks: str = "forks") -> DataFrame:
     """Relevance and its breakdown from pushed_at, stars, forks, has_source."""
     r, p = recency("pushed_at", as_of), popularity(stars, forks)
-    return repos.withColumns({"relevance_score": F.round(0.4 * r + 0.2 * p + 0.4 * F.col("has_source"), 2),
-                              "recency_score": F.round(r, 2), "popularity_score": F.round(p, 2)})
+    return repos.withColumns({"relevance_score": rounded(0.4 * r + 0.2 * p + 0.4 * F.col("has_source"), 2),
+                              "recency_score": rounded(r, 2), "popularity_score": rounded(p, 2)})
 
 
 def top_repos(scored: DataFrame, n: int = 5) -> DataFrame:
@@ -113,8 +113,8 @@ def architecture_score(files: DataFrame, dirs: list[str] | None = None, large: i
     agg = files.groupBy("repo_id").agg(F.avg(organised.cast("double")).alias("ratio"),
                                        F.count_if(F.col("loc") > large).alias("large_files"))
     penalty = F.least(F.lit(most), F.col("large_files") * per_file)
-    return agg.select("repo_id", F.round(F.greatest(F.lit(0.0), F.col("ratio") * 100 - penalty), 2).alias("architecture_score"),
-                      F.round("ratio", 3).alias("organized_ratio"), "large_files", penalty.alias("penalty"))
+    return agg.select("repo_id", rounded(F.greatest(F.lit(0.0), F.col("ratio") * 100 - penalty), 2).alias("architecture_score"),
+                      rounded("ratio", 3).alias("organized_ratio"), "large_files", penalty.alias("penalty"))
 
 
 TEST_FILE = r"(?i)(^|/)(test_[^/]+|[^/]+\.test\.[^/]+|[^/]*spec[^/]*)$"
@@ -126,8 +126,8 @@ def testing_score(files: DataFrame, pattern: str = TEST_FILE) -> DataFrame:
     agg = files.groupBy("repo_id").agg(F.count_if(F.col("is_source") & is_test).alias("test_files"),
                                        F.count_if("is_source").alias("source_files"))
     ratio = F.coalesce(F.try_divide(F.col("test_files"), F.col("source_files")), F.lit(0.0))
-    return agg.select("repo_id", "test_files", "source_files", F.round(F.least(F.lit(100.0), ratio * 100), 2).alias("testing_score"),
-                      F.round(ratio, 3).alias("test_ratio"))
+    return agg.select("repo_id", "test_files", "source_files", rounded(F.least(F.lit(100.0), ratio * 100), 2).alias("testing_score"),
+                      rounded(ratio, 3).alias("test_ratio"))
 
 
 def complexity_score(functions: DataFrame, files: DataFrame, file_key: str = "file_no") -> DataFrame:
@@ -138,7 +138,7 @@ def complexity_score(functions: DataFrame, files: DataFrame, file_key: str = "fi
                                        F.count_if(F.col("m").isNull()).alias("unanalyzable_files"))
     score = F.when(F.col("a") <= 5, 100.0).when(F.col("a") >= 20, 0.0).when(
         F.col("a").isNotNull(), 100.0 - (F.col("a") - 5) / 15.0 * 100.0)
-    return agg.select("repo_id", F.round(score, 2).alias("complexity_score"), F.round("a", 2).alias("avg_complexity"),
+    return agg.select("repo_id", rounded(score, 2).alias("complexity_score"), rounded("a", 2).alias("avg_complexity"),
                       "analyzed_files", "unanalyzable_files")
 
 
@@ -184,8 +184,8 @@ def documentation_score(files: DataFrame, readmes: DataFrame, scale: float = 3.0
     ratio = F.coalesce(F.try_divide(F.col("c"), F.col("loc")), F.lit(0.0))
     density = F.least(F.lit(100.0), ratio * 100 * scale)
     return (agg.join(readmes.select("repo_id", "readme_score"), "repo_id", "left")
-            .select("repo_id", F.round(0.5 * density + 0.5 * F.coalesce("readme_score", F.lit(0.0)), 2).alias("documentation_score"),
-                    F.round(ratio, 4).alias("comment_ratio"), F.round(density, 2).alias("comment_score")))
+            .select("repo_id", rounded(0.5 * density + 0.5 * F.coalesce("readme_score", F.lit(0.0)), 2).alias("documentation_score"),
+                    rounded(ratio, 4).alias("comment_ratio"), rounded(density, 2).alias("comment_score")))
 
 
 def latest_commits(commits: DataFrame, depth: int = 50) -> DataFrame:
@@ -196,7 +196,7 @@ def latest_commits(commits: DataFrame, depth: int = 50) -> DataFrame:
 
 def commit_score(commits: DataFrame, as_of: str) -> DataFrame:
     """Frequency, recency and subject length."""
-    day = lambda c: F.unix_micros(F.col(c)) / 86400e6
+    day = lambda c: F.unix_micros(F.col(c).cast("timestamp")) / 86400e6
     agg = commits.groupBy("repo_id").agg(F.count(F.lit(1)).alias("n"), F.min("committed_at").alias("a"),
                                          F.max("committed_at").alias("b"), F.avg(F.length("subject")).alias("len"))
     rate = F.when(F.col("n") < 2, 0.0).otherwise(F.col("n") / F.greatest(F.lit(1.0), day("b") - day("a")))
@@ -204,11 +204,11 @@ def commit_score(commits: DataFrame, as_of: str) -> DataFrame:
     since = F.greatest(F.lit(0.0), _days("b", as_of))
     rec = F.greatest(F.lit(0.0), 100.0 - since / 365.0 * 100.0)
     msg = F.when(F.col("len") <= 10, 0.0).when(F.col("len") >= 50, 100.0).otherwise((F.col("len") - 10) / 40.0 * 100.0)
-    return agg.select("repo_id", F.round(0.4 * freq + 0.3 * rec + 0.3 * msg, 2).alias("commit_score"),
-                      F.col("n").alias("commit_count"), F.round(rate, 3).alias("commits_per_day"),
-                      F.round(since, 1).alias("days_since_last"), F.round("len", 1).alias("avg_subject_length"),
-                      F.round(freq, 2).alias("frequency_score"), F.round(rec, 2).alias("recency_score"),
-                      F.round(msg, 2).alias("message_score"))
+    return agg.select("repo_id", rounded(0.4 * freq + 0.3 * rec + 0.3 * msg, 2).alias("commit_score"),
+                      F.col("n").alias("commit_count"), rounded(rate, 3).alias("commits_per_day"),
+                      rounded(since, 1).alias("days_since_last"), rounded("len", 1).alias("avg_subject_length"),
+                      rounded(freq, 2).alias("frequency_score"), rounded(rec, 2).alias("recency_score"),
+                      rounded(msg, 2).alias("message_score"))
 
 
 WEIGHTS = {"architecture_score": 0.25, "testing_score": 0.20, "complexity_score": 0.20, "documentation_score": 0.15,
@@ -220,7 +220,7 @@ def overall_code_score(df: DataFrame, weights: dict[str, float] | None = None) -
     w = weights or WEIGHTS
     total = sum((F.when(F.col(c).isNotNull(), v).otherwise(0.0) for c, v in w.items()), F.lit(0.0))
     summed = sum((F.coalesce(F.col(c) * v, F.lit(0.0)) for c, v in w.items()), F.lit(0.0))
-    return df.withColumn("overall_code_score", F.round(F.when(total > 0, summed / total).otherwise(0.0), 2))
+    return df.withColumn("overall_code_score", rounded(F.when(total > 0, summed / total).otherwise(0.0), 2))
 
 
 def weighted_profile(df: DataFrame) -> DataFrame:
@@ -228,7 +228,7 @@ def weighted_profile(df: DataFrame) -> DataFrame:
     agg = df.where("overall_code_score is not null").groupBy("user_id").agg(
         F.sum("relevance_score").alias("w"), F.sum(F.col("overall_code_score") * F.col("relevance_score")).alias("xw"),
         F.avg("overall_code_score").alias("m"))
-    return agg.select("user_id", F.round(F.when(F.col("w") > 0, F.col("xw") / F.col("w")).otherwise(F.col("m")), 2).alias("aggregate_score"))
+    return agg.select("user_id", rounded(F.when(F.col("w") > 0, F.col("xw") / F.col("w")).otherwise(F.col("m")), 2).alias("aggregate_score"))
 
 
 def split_failures(df: DataFrame, error: str = "error") -> tuple[DataFrame, DataFrame]:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,23 +70,19 @@ def retrieve_ann(queries: DataFrame, chunks: DataFrame, k: int = 4, min_sim: flo
 
     Only pairs sharing a bucket are scored; the result is a subset of R1's qualifying pairs.
     """
-    import numpy as np
+    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
+    weights = 1 << np.arange(bits)
 
-    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim)).round(4)
-
-    def buckets(vec: str) -> Column:
-        rows = []
-        for i in range(tables):
-            code = F.lit(0)
-            for b in range(bits):
-                side = dot(vec, F.lit([float(x) for x in planes[i][b]])) >= 0
-                code = code * 2 + F.when(side, 1).otherwise(0)
-            rows.append(F.struct(F.lit(i).alias("tbl"), code.alias("code")))
-        return F.array(*rows)
+    @F.pandas_udf("array<int>")
+    def codes(vectors: pd.Series) -> pd.Series:
+        if not len(vectors):
+            return pd.Series([], dtype=object)
+        side = (np.stack(vectors.to_numpy()).astype("float64") @ planes) >= 0
+        return pd.Series(list((side.reshape(len(vectors), tables, bits) * weights).sum(axis=2).astype("int32")))
 
     # Ids and buckets travel; vectors are fetched only for the distinct candidate pairs.
-    c = live(chunks).select("user_id", "chunk_id", F.inline(buckets("embedding")))
-    q = queries.select("user_id", "query_id", F.inline(buckets("vector")))
+    c = exploded(live(chunks), ["user_id", "chunk_id"], codes("embedding"), "tbl", "code")
+    q = exploded(queries, ["user_id", "query_id"], codes("vector"), "tbl", "code")
     pairs = (c.join(q, ["user_id", "tbl", "code"]).select("user_id", "query_id", "chunk_id").distinct())
     scored = (pairs.join(live(chunks), ["user_id", "chunk_id"]).join(queries.select("query_id", "vector"), "query_id")
               .withColumn("similarity", dot("vector", "embedding")).drop("embedding", "vector")

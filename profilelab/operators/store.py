@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import blank, let
-from profilelab.operators.ordered import salted_join
+from profilelab.operators.ordered import salted_join, settled
 from profilelab.schemas import EMBEDDING_DIM
 
 
@@ -194,14 +194,15 @@ def union_repos(general: DataFrame, project: DataFrame, position: str = "pos", r
     # Identical (name, url) copies: only the first can survive.
     left = free.groupBy("user_id", "_n", "_u").agg(F.min_by(F.struct(*rest), position).alias("_r"),
                                                    F.min(position).alias("_p"))
-    kept = []
+    left, kept = settled(left), []
     for _ in range(rounds):
         sure = left
         for grp in groups:
             first = left.groupBy(*grp).agg(F.min("_p").alias("_p"))
             sure = sure.join(first, [*grp, "_p"], "left_semi")
+        sure = settled(sure)
         kept.append(sure.select("user_id", "_r", "_n", "_u"))
-        left = unlike(left, sure)
+        left = settled(unlike(left, sure))
     rows = left.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("_p", "_n", "_u"))).alias("_a"))
     zero = F.array().cast(rows.schema["_a"].dataType)
     folded = F.aggregate("_a", zero, lambda acc, x: F.when(

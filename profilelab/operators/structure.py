@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import BULLETS, SPACES, blank, col, exploded, let, strip, trimmed
+from profilelab.operators.ordered import small_side
 from profilelab.operators.windows import regroup
 
 MONTH = (r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?"
@@ -177,28 +178,36 @@ def detected_tech(df: DataFrame, gazetteer: DataFrame, keys: list[str], text: st
     """
     term = gazetteer.select(F.col("cased").alias("_cased"), F.array_join(
         F.regexp_extract_all("term", F.lit(token_regex), F.lit(0)), " ").alias("_term"))
-    grams = (term.withColumn("_g", F.when(F.col("_cased"), F.col("_term")).otherwise(F.lower("_term")))
-             .select("_g", "_cased").distinct())
+    grams = small_side(term.select(F.lower("_term").alias("_low"), F.when(F.col("_cased"), F.col("_term")).alias("_exact"))
+                       .where("_low <> ''").distinct())
     toks = df.select(*keys, F.regexp_extract_all(F.col(text), F.lit(token_regex), F.lit(0)).alias("_t"))
     # All n-grams are built inside the row, so the exploded rows carry one n-gram each and no token array.
     sized = [_grams("_t", n) for n in range(1, max_words + 1)]
     spans = exploded(toks, keys, F.flatten(F.array(*sized)), "_j", "s")
     spelled = spans.select(*keys, F.col("s.i").alias("_i"), F.col("s.n").alias("_n"), F.col("s.g").alias("_raw"))
-    cased = spelled.join(grams.where("_cased").select(F.col("_g").alias("_raw")), "_raw", "left_semi")
-    uncased = spelled.withColumn("_low", F.lower("_raw")).join(
-        grams.where("not _cased").select(F.col("_g").alias("_low")), "_low", "left_semi").drop("_low")
+    found = (spelled.withColumn("_low", F.lower("_raw")).join(grams, "_low")
+             .where(F.col("_exact").isNull() | (F.col("_exact") == F.col("_raw"))))
     # One document's hits: bounded by its own length, gathered only to drop overlaps.
-    hits = (cased.select(*keys, "_i", "_n", "_raw").unionByName(uncased.select(*keys, "_i", "_n", "_raw"))
+    hits = (found
             .groupBy(*keys).agg(F.sort_array(F.collect_set(
-                F.struct((-F.col("_n")).alias("neg"), F.col("_i").alias("i"), F.col("_raw").alias("w")))).alias("_h")))
-    # Longest first, leftmost next: a hit is dropped when an already kept one covers any of its tokens.
-    kept = F.aggregate("_h", F.array().cast("array<struct<neg:int,i:int,w:string>>"), lambda acc, h: F.when(
-        F.exists(acc, lambda k: (h["i"] < k["i"] - k["neg"]) & (k["i"] < h["i"] - h["neg"])), acc)
-        .otherwise(F.concat(acc, F.array(h))))
+                F.struct(F.col("_i").alias("i"), F.col("_n").alias("n"), F.col("_raw").alias("w")))).alias("_h")))
+    # Hits further apart than the longest term cannot overlap: cut there, then settle each short run alone.
+    runs = t.ends_sliced(F.col("_h"), t.places(F.col("_h"), lambda h, j: (j == 0) | (
+        h["i"] - F.get("_h", j - 1)["i"] >= max_words)))
+    kept = F.flatten(F.transform(runs, lambda run: F.when(F.size(run) == 1, run).otherwise(_without_overlaps(run))))
     return hits.select(*keys, F.array_sort(F.array_distinct(
         F.transform(kept, lambda k: F.lower(k["w"])))).alias("detected_tech"))
 
 
+def _without_overlaps(run: Column) -> Column:
+    """Longest first, leftmost next: a hit goes when an already kept one covers any of its tokens."""
+    ranked = F.array_sort(F.transform(run, lambda h: F.struct((-h["n"]).alias("o"), h["i"].alias("i"), h["n"].alias("n"),
+                                                              h["w"].alias("w"))))
+    return F.transform(F.aggregate(ranked, F.slice(ranked, F.lit(1), F.lit(0)), lambda acc, h: F.when(
+        F.exists(acc, lambda k: (h["i"] < k["i"] + k["n"]) & (k["i"] < h["i"] + h["n"])), acc)
+        .otherwise(F.concat(acc, F.array(h)))), lambda k: F.struct(k["i"].alias("i"), k["n"].alias("n"), k["w"].alias("w")))
+
+
 def skill_category(c, taxonomy: dict[str, list[str]] | None = None, strict: bool = False,
                    default: str = vocab.DEFAULT_CATEGORY) -> Column:
     """Exact item, else first category with a substring hit either way (strict: whole word), else default.

@@ -86,7 +86,6 @@ def file_inventory(files: DataFrame, skipped_dirs: list[str] | None = None) -> D
     folders = F.slice(F.split("path", "/", -1), F.lit(1), F.size(F.split("path", "/", -1)) - 1)
     skip = F.exists(folders, lambda d: d.isin(skipped_dirs or vocab.SKIPPED_DIRS) | d.startswith(".git"))
     kept = files.where(~skip).withColumn("extension", extension("path")).where(~F.col("extension").isin(vocab.BINARY_EXTENSIONS))
-    body = F.decode("content", F.lit("UTF-8"))
     text = kept.where(F.is_valid_utf8(F.col("content").cast("string")))
     n = F.regexp_count(F.col("content").cast("string"), F.lit(r"\r\n|\r|\n"))
     tail = F.length("content") > 0
@@ -115,11 +114,11 @@ def parse_commits(lines: DataFrame, value: str = "value") -> DataFrame:
 def stack_pages(pages: DataFrame, words: DataFrame, links: DataFrame, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """Shift y of words and links by the height of the pages before theirs. pages(key, page, height)."""
     offs = summed_before(pages.select(key, "page", F.col("height").cast("double").alias("height")), [key], [F.col("page")],
-                         F.floor(F.col("page") / 1024), "height", "_off").drop("height")
+                         F.floor(F.col("page") / 1024), "height", "_shift").drop("height")
 
     def shift(df: DataFrame) -> DataFrame:
-        o = F.coalesce("_off", F.lit(0.0))
-        return df.join(offs, [key, "page"], "left").withColumn("y0", F.col("y0") + o).withColumn("y1", F.col("y1") + o).drop("_off")
+        o = F.coalesce("_shift", F.lit(0.0))
+        return df.join(offs, [key, "page"], "left").withColumn("y0", F.col("y0") + o).withColumn("y1", F.col("y1") + o).drop("_shift")
 
     return shift(words), shift(links)
 
