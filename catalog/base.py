@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from catalog.fixtures import FIXTURES
+from profilelab.sources.readers import spread
 
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
           "embeddings", "pages", "benchmark", "labels", "conversations"]
@@ -32,7 +33,7 @@ def fx(spark: SparkSession, sf: str, name: str) -> DataFrame:
     """A derived input table: the statement of the same name in fixtures.py run over the given tables."""
     sql = FIXTURES.get(name, f"SELECT * FROM {name}")
     for t in _named(sql):
-        spark.read.parquet(f"{sf}/{t}.parquet").createOrReplaceTempView(t)
+        spread(spark.read.parquet(f"{sf}/{t}.parquet")).createOrReplaceTempView(t)
     return spark.sql(sql)
 
 

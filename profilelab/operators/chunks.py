@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import blank, exploded, let, strip, trimmed
-from profilelab.operators.ordered import carried, ranked, salted_join
+from profilelab.operators.ordered import carried, ranked, salted_join, settled
 from profilelab.operators.structure import entries_of, skill_category
 from profilelab.operators.windows import token_windows_of
 from profilelab.schemas import CHUNK_COLUMNS, META_FIELDS
@@ -370,20 +370,18 @@ def project_names(projects: DataFrame) -> DataFrame:
 
 def mentions(texts: DataFrame, names: DataFrame, keys: list[str], text: str, out: str = "mention",
              in_row: int = 64, longest: int = 64) -> DataFrame:
-    """First project (by ord) whose name occurs in each text: rows (keys…, out struct(key, repo_id)).
+    """texts plus `out` struct(key, repo_id): the first project (by ord) whose name occurs in the text, or null.
 
     A candidate with up to `in_row` names has them searched inside the row. Candidates with more never pair
     every name with every line: their texts yield substrings of exactly the lengths their names have, which
     meet the names in an equi-join (names longer than `longest` join on their first characters and are verified).
     """
     sizes = names.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    low = texts.select("user_id", *keys, F.lower(text).alias("_t"))
-
     few = names.join(sizes.where(F.col("_n") <= in_row), "user_id", "left_semi").groupBy("user_id").agg(
         F.sort_array(F.collect_list(F.struct("ord", "name", "key", "repo_id"))).alias("_ns"))
-    small = salted_join(low, few, ["user_id"], keys).select("user_id", *keys, F.get(F.filter(
-        "_ns", lambda n: F.col("_t").contains(n["name"])), F.lit(0)).alias("_m")).where("_m is not null").select(
-        "user_id", *keys, F.struct("_m.key", "_m.repo_id").alias(out))
+    first = F.get(F.filter("_ns", lambda n: F.lower(F.col(text)).contains(n["name"])), F.lit(0))
+    tagged = salted_join(texts, few, ["user_id"], keys, "left").withColumn("_m", first).withColumn(
+        "_m", F.when(F.col("_m").isNotNull(), F.struct("_m.key", "_m.repo_id"))).drop("_ns")
 
     head = (names.join(sizes.where(F.col("_n") > in_row), "user_id", "left_semi")
             .withColumn("_g", F.substring("name", 1, longest)).withColumn("_n", F.length("_g")))
@@ -391,23 +389,22 @@ def mentions(texts: DataFrame, names: DataFrame, keys: list[str], text: str, out
     cut = lambda n: F.when(F.length("_t") >= n, F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substring(F.col("_t"), i, n))))
     grams = F.flatten(F.filter(F.transform("_ls", cut), lambda a: a.isNotNull()))
-    hits = exploded(salted_join(low, lengths, ["user_id"], keys), ["user_id", *keys, "_t"], grams, "_i", "_g").drop("_i").join(
-        head, ["user_id", "_g"]).where((F.length("name") <= longest) | F.col("_t").contains(F.col("name")))
-    large = hits.groupBy("user_id", *keys).agg(F.min_by(F.struct("key", "repo_id"), F.struct("ord", "name")).alias(out))
-    return small.unionByName(large)
+    low = salted_join(texts.select("user_id", *keys, F.lower(text).alias("_t")), lengths, ["user_id"], keys)
+    hits = exploded(low, ["user_id", *keys, "_t"], grams, "_i", "_g").drop("_i").join(head, ["user_id", "_g"]).where(
+        (F.length("name") <= longest) | F.col("_t").contains(F.col("name")))
+    large = hits.groupBy("user_id", *keys).agg(F.min_by(F.struct("key", "repo_id"), F.struct("ord", "name")).alias("_l"))
+    return tagged.join(large, ["user_id", *keys], "left").withColumn(out, F.coalesce("_l", "_m")).drop("_l", "_m")
 
 
 def attribute_claims(claims: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:
     """Resume claims(user_id, seq, line_no, sent_no, claim) get the project named in the sentence, else the
     last project named on the same or an earlier line of lines(user_id, seq, line_no, line)."""
-    on_line = mentions(lines, names, ["seq", "line_no"], "line", "_line")
-    marked = lines.select("user_id", "seq", "line_no").join(on_line, ["user_id", "seq", "line_no"], "left")
-    held = carried(marked, ["user_id"], [F.col("seq"), F.col("line_no")], F.col("seq"), "_line", "_cur").select(
-        "user_id", "seq", "line_no", "_cur")
-    in_sentence = mentions(claims, names, ["seq", "line_no", "sent_no"], "claim", "_own")
-    out = (claims.join(held, ["user_id", "seq", "line_no"], "left")
-           .join(in_sentence, ["user_id", "seq", "line_no", "sent_no"], "left")
-           .withColumn("_a", F.coalesce("_own", "_cur")))
+    names, claims = settled(names), settled(claims)
+    on_line = mentions(lines.select("user_id", "seq", "line_no", "line"), names, ["seq", "line_no"], "line", "_line")
+    held = carried(settled(on_line.drop("line")), ["user_id"], [F.col("seq"), F.col("line_no")], F.col("seq"), "_line",
+                   "_cur").select("user_id", "seq", "line_no", "_cur")
+    out = (mentions(claims, names, ["seq", "line_no", "sent_no"], "claim", "_own")
+           .join(held, ["user_id", "seq", "line_no"], "left").withColumn("_a", F.coalesce("_own", "_cur")))
     return (out.drop(*[c for c in ("project_key", "repo_id") if c in claims.columns])
             .withColumn("project_key", F.col("_a.key")).withColumn("repo_id", F.col("_a.repo_id"))
             .drop("_own", "_cur", "_a"))

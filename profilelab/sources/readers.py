@@ -11,6 +11,15 @@ from profilelab.functions.text import strip
 from profilelab.operators.ordered import summed_before
 
 
+def spread(df: DataFrame, text_columns=("text", "html")) -> DataFrame:
+    """Give every core work when a text table has fewer splits than there are cores (one small file, one row
+    group). Tables with enough splits, as any large one has, are returned as they are, without a shuffle."""
+    if not set(text_columns) & set(df.columns):
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, df.columns[0])
+
+
 def listed_repos(raw: DataFrame) -> DataFrame:
     """Landed listing rows -> one row per repository id, the first page entry wins; fetch_pos keeps page order."""
     pos = (F.coalesce("page", F.lit(0)).cast("long") * 1000 + F.coalesce("page_pos", F.lit(0))).alias("fetch_pos")
