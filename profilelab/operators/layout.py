@@ -108,7 +108,7 @@ def nearest_word(words: DataFrame, links: DataFrame, key: str = "doc_id", link_i
              .withColumn("_o", span("x") * span("y")).where("_o > 0"))
     best = pairs.groupBy(*link_id).agg(F.min_by("text", F.struct(
         (-F.col("_o")).alias("o"), *order)).alias("anchor"))
-    rest = k.join(best, link_id, "left_anti")
+    rest = settled(k.join(best, link_id, "left_anti"))
     found = [best]
     size = cell
     for step in range(4):
@@ -123,7 +123,7 @@ def nearest_word(words: DataFrame, links: DataFrame, key: str = "doc_id", link_i
         done = near.where(F.col("_d") <= edge * edge).drop("_d")
         found.append(done)
         if not last:
-            rest = rest.join(done, link_id, "left_anti")
+            rest = settled(rest.join(done, link_id, "left_anti"))
         size *= 8
     anchors = found[0]
     for f in found[1:]:

@@ -162,15 +162,8 @@ def dedupe_skills(df: DataFrame, gazetteer: DataFrame, keys=("user_id",), skill:
     return canonical_skill(first, gazetteer, skill).select(*keys, "skill_key", F.col("canonical").alias("skill"))
 
 
-def _grams(tokens: str, n: int) -> Column:
-    """Array of struct(i, n, g): every run of n tokens with its start."""
-    return F.filter(F.transform(tokens, lambda w, i: F.when(i + n <= F.size(tokens), F.struct(
-        i.alias("i"), F.lit(n).alias("n"), F.array_join(F.slice(tokens, i + 1, F.lit(n)), " ").alias("g")))),
-        lambda s: s.isNotNull())
-
-
 def detected_tech(df: DataFrame, gazetteer: DataFrame, keys: list[str], text: str = "content",
-                  max_words: int = 3, token_regex: str = t.TERM_REGEX) -> DataFrame:
+                  max_words: int = 3, token_regex: str = t.TERM_REGEX, max_openers: int = 2000) -> DataFrame:
     """(keys…, detected_tech): sorted distinct vocabulary terms; longest match first, then leftmost.
 
     Only rows with a hit are returned. N-grams meet the vocabulary in an equi-join and only the
@@ -181,9 +174,13 @@ def detected_tech(df: DataFrame, gazetteer: DataFrame, keys: list[str], text: st
     grams = small_side(term.select(F.lower("_term").alias("_low"), F.when(F.col("_cased"), F.col("_term")).alias("_exact"))
                        .where("_low <> ''").distinct())
     toks = df.select(*keys, F.regexp_extract_all(F.col(text), F.lit(token_regex), F.lit(0)).alias("_t"))
-    # All n-grams are built inside the row, so the exploded rows carry one n-gram each and no token array.
-    sized = [_grams("_t", n) for n in range(1, max_words + 1)]
-    spans = exploded(toks, keys, F.flatten(F.array(*sized)), "_j", "s")
+    # N-grams are built inside the row, only where a token can open a term, so exploded rows are few and narrow.
+    opens = [r[0] for r in grams.select(F.split_part("_low", F.lit(" "), F.lit(1))).distinct().limit(max_openers + 1).collect()]
+    can_open = lambda w: F.lower(w).isin(opens) if len(opens) <= max_openers else F.lit(True)
+    at = F.filter(F.transform("_t", lambda w, i: F.when(can_open(w), i)), lambda i: i.isNotNull())
+    spans = exploded(toks, keys, F.flatten(F.transform(at, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_t") - i)), lambda n: F.struct(
+            i.alias("i"), n.alias("n"), F.array_join(F.slice("_t", i + 1, n), " ").alias("g"))))), "_j", "s")
     spelled = spans.select(*keys, F.col("s.i").alias("_i"), F.col("s.n").alias("_n"), F.col("s.g").alias("_raw"))
     found = (spelled.withColumn("_low", F.lower("_raw")).join(grams, "_low")
              .where(F.col("_exact").isNull() | (F.col("_exact") == F.col("_raw"))))
