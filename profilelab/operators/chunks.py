@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import blank, exploded, let, strip, trimmed
-from profilelab.operators.ordered import carried, ranked, salted_join, settled
+from profilelab.operators.ordered import carried, ranked, settled
 from profilelab.operators.structure import entries_of, skill_category
 from profilelab.operators.windows import token_windows_of
 from profilelab.schemas import CHUNK_COLUMNS, META_FIELDS
@@ -372,6 +372,7 @@ def mentions(texts: DataFrame, names: DataFrame, keys: list[str], text: str, out
              in_row: int = 64, longest: int = 64) -> DataFrame:
     """texts plus `out` struct(key, repo_id): the first project (by ord) whose name occurs in the text, or null.
 
+    Both joins meet one row per candidate on the right, so adaptive execution may split a hot candidate's texts.
     A candidate with up to `in_row` names has them searched inside the row. Candidates with more never pair
     every name with every line: their texts yield substrings of exactly the lengths their names have, which
     meet the names in an equi-join (names longer than `longest` join on their first characters and are verified).
@@ -380,7 +381,7 @@ def mentions(texts: DataFrame, names: DataFrame, keys: list[str], text: str, out
     few = names.join(sizes.where(F.col("_n") <= in_row), "user_id", "left_semi").groupBy("user_id").agg(
         F.sort_array(F.collect_list(F.struct("ord", "name", "key", "repo_id"))).alias("_ns"))
     first = F.get(F.filter("_ns", lambda n: F.lower(F.col(text)).contains(n["name"])), F.lit(0))
-    tagged = salted_join(texts, few, ["user_id"], keys, "left").withColumn("_m", first).withColumn(
+    tagged = texts.join(few, "user_id", "left").withColumn("_m", first).withColumn(
         "_m", F.when(F.col("_m").isNotNull(), F.struct("_m.key", "_m.repo_id"))).drop("_ns")
 
     head = (names.join(sizes.where(F.col("_n") > in_row), "user_id", "left_semi")
@@ -389,7 +390,7 @@ def mentions(texts: DataFrame, names: DataFrame, keys: list[str], text: str, out
     cut = lambda n: F.when(F.length("_t") >= n, F.array_distinct(F.transform(
         F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substring(F.col("_t"), i, n))))
     grams = F.flatten(F.filter(F.transform("_ls", cut), lambda a: a.isNotNull()))
-    low = salted_join(texts.select("user_id", *keys, F.lower(text).alias("_t")), lengths, ["user_id"], keys)
+    low = texts.select("user_id", *keys, F.lower(text).alias("_t")).join(lengths, "user_id")
     hits = exploded(low, ["user_id", *keys, "_t"], grams, "_i", "_g").drop("_i").join(head, ["user_id", "_g"]).where(
         (F.length("name") <= longest) | F.col("_t").contains(F.col("name")))
     large = hits.groupBy("user_id", *keys).agg(F.min_by(F.struct("key", "repo_id"), F.struct("ord", "name")).alias("_l"))

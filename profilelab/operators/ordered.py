@@ -84,12 +84,21 @@ def summed_before(df: DataFrame, keys: list[str], order: list[Column], bucket: C
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: list[str], how: str = "inner",
-                salts: int = 16) -> DataFrame:
-    """Equi-join whose hot keys are spread: `small` (aggregated, one row per key) is repeated per salt.
+                counts: DataFrame | None = None, rows_per_task: int = 500_000, max_hot: int = 10_000) -> DataFrame:
+    """Equi-join (inner, left or left_semi) that splits only the keys that need it.
 
-    `how` is inner, left or left_semi. Spark still replaces it by a broadcast when it measures
-    `small` below its own threshold.
+    Keys with more than `rows_per_task` rows in `counts` (a cheap table with the keys of `big`; default `big`) are
+    measured first; their rows are spread over ceil(rows / rows_per_task) salts and the matching rows of `small`
+    repeated as often. All other keys join unsalted, so `small` hardly grows. With more than `max_hot` such keys
+    none holds a notable share of the rows, and the plain join is balanced as it is.
     """
-    left = big.withColumn("_salt", F.pmod(F.xxhash64(*salt_on), F.lit(salts)).cast("int"))
-    right = small.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    sizes = (big if counts is None else counts).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
+    hot = sizes.where(F.col("_c") > rows_per_task).select(*keys, F.ceil(F.col("_c") / rows_per_task).cast("int").alias("_salts"))
+    found = hot.limit(max_hot + 1).collect()  # at most max_hot + 1 keys
+    if not found or len(found) > max_hot:
+        return big.join(small, keys, how)
+    hot = F.broadcast(big.sparkSession.createDataFrame(found, hot.schema))
+    n = F.coalesce("_salts", F.lit(1))
+    left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_on), n).cast("int")).drop("_salts")
+    right = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import col, rounded, strip
-from profilelab.operators.ordered import salted_join
 
 
 def filter_forks(repos: DataFrame, commits: DataFrame, author: str = "user_id") -> DataFrame:
@@ -63,7 +62,9 @@ def resolve_links(links: DataFrame, repos: DataFrame, url: str = "github") -> Da
     known = repos.groupBy(key(F.col("owner"), F.col("name")).alias("_k")).agg(F.min("repo_id").alias("repo_id"))
     parsed = links.withColumn("_or", t.owner_repo(url)).withColumn(
         "_k", F.when(F.col("_or").isNotNull(), key(F.col("_or.owner"), F.col("_or.repo"))))
-    out = salted_join(parsed, known, ["_k"], ["user_id", "project"], "left")
+    # Links without a repository get keys of their own, so they spread instead of meeting in one task.
+    spread = F.coalesce("_k", F.concat(F.lit("?"), F.xxhash64("user_id", "project").cast("string")))
+    out = parsed.withColumn("_k", spread).join(known, "_k", "left")
     return out.withColumn("resolved", F.col("repo_id").isNotNull()).drop("_or", "_k")
 
 

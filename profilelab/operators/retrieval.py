@@ -35,12 +35,12 @@ def _top(df: DataFrame, keys: list[str], order: list[Column], k) -> DataFrame:
 
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int | str = 4, min_sim: float | None = 0.35,
              source_types: list[str] | None = None, repo_id=None, k_max: int | None = None,
-             condition: Column | None = None, salts: int = 16) -> DataFrame:
+             condition: Column | None = None, rows_per_task: int = 500_000) -> DataFrame:
     """Exact top-k of unit vectors within the candidate.
 
     queries(query_id, user_id, vector[, source_types, k]); chunks(user_id, chunk_id, source_type, embedding…).
-    Cheap column filters run before the join; the small side (queries) is repeated per salt so one candidate
-    with most of the chunks is scored by many tasks. `k` may name a query column, bounded by `k_max`.
+    Cheap column filters run before the join; a candidate with very many chunks is measured, salted and scored
+    by many tasks. `k` may name a query column, bounded by `k_max`.
     """
     pool = live(chunks)
     if source_types is not None:
@@ -48,7 +48,7 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int | str = 4, min_sim: f
     if repo_id is not None:
         pool = pool.where(F.col("repo_id") == repo_id)
     q = queries.withColumnRenamed("source_types", "_types") if "source_types" in queries.columns else queries
-    pairs = salted_join(pool, q, ["user_id"], ["chunk_id"], salts=salts)
+    pairs = salted_join(pool, q, ["user_id"], ["chunk_id"], counts=pool.select("user_id"), rows_per_task=rows_per_task)
     if condition is not None:
         pairs = pairs.where(condition)
     if "_types" in pairs.columns:

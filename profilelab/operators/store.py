@@ -104,7 +104,8 @@ def upsert_chunks(store: DataFrame, batch: DataFrame, as_of: str, mode: str = "a
     if covered_types:
         extra = batch.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(s) for s in covered_types])).alias("source_type"))
         touched = touched.union(extra).distinct()
-    flagged = salted_join(merged, touched.withColumn("_touched", F.lit(True)), ["user_id", "source_type"], ["chunk_id"], "left")
+    flagged = salted_join(merged, touched.withColumn("_touched", F.lit(True)), ["user_id", "source_type"], ["chunk_id"], "left",
+                          counts=store.select("user_id", "source_type"))
     stale = ~hit & F.col("deleted_at").isNull() & F.coalesce("_touched", F.lit(False))
     return flagged.withColumn("deleted_at", F.when(hit, F.lit(None).cast("timestamp")).when(stale, now).otherwise(
         F.col("deleted_at"))).select(*store.columns)
@@ -118,7 +119,8 @@ def tombstone(store: DataFrame, batch: DataFrame, as_of: str, covered_types: lis
             "user_id", F.explode(F.array(*[F.lit(s) for s in covered_types])).alias("source_type"))).distinct()
     ids = batch.select("user_id", "source_type", "chunk_id").distinct().withColumn("_in", F.lit(True))
     seen = store.join(ids, ["user_id", "source_type", "chunk_id"], "left")
-    flagged = salted_join(seen, touched.withColumn("_touched", F.lit(True)), ["user_id", "source_type"], ["chunk_id"], "left")
+    flagged = salted_join(seen, touched.withColumn("_touched", F.lit(True)), ["user_id", "source_type"], ["chunk_id"], "left",
+                          counts=store.select("user_id", "source_type"))
     stale = F.col("_in").isNull() & F.col("_touched").isNotNull() & F.col("deleted_at").isNull()
     return flagged.withColumn("deleted_at", F.when(stale, F.lit(as_of).cast("timestamp")).otherwise(
         F.col("deleted_at"))).select(*store.columns)
@@ -328,7 +330,8 @@ def apply_fk_actions(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]
             gone[a["table"]] = gone[a["table"]].unionByName(lost) if a["table"] in gone else lost
             out[a["table"]] = child.join(ids, a["column"], "left_anti")
         else:
-            marked = salted_join(child, ids.withColumn("_gone", F.lit(True)), [a["column"]], [a["key"]], "left")
+            marked = salted_join(child, ids.withColumn("_gone", F.lit(True)), [a["column"]], [a["key"]], "left",
+                                 counts=child.where(F.col(a["column"]).isNotNull()).select(a["column"]))
             out[a["table"]] = marked.withColumn(a["column"], F.when(F.col("_gone").isNull(), F.col(a["column"]))).select(*child.columns)
     return out
 
@@ -336,13 +339,17 @@ def apply_fk_actions(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]
 def delete_question_trees(questions: DataFrame, roots: DataFrame, max_depth: int = 16) -> DataFrame:
     """Self-referencing cascade: drop `roots` and every follow-up below them (question_id, parent_question_id).
 
-    Pointer doubling: each round doubles the ancestor distance seen, so 2**max_depth levels are covered.
+    Pointer doubling: each round doubles the ancestor distance seen, so `max_depth` rounds cover 2**max_depth
+    levels; it stops as soon as every pointer has run out. Each round is settled, so plans stay one round deep.
     """
-    up = questions.select("question_id", F.col("parent_question_id").alias("anc"))
-    bad = questions.select("question_id").join(roots.select("question_id").distinct().withColumn("_bad", F.lit(True)), "question_id", "left")
-    state = up.join(bad, "question_id").withColumn("_bad", F.coalesce("_bad", F.lit(False)))
+    bad = roots.select("question_id").distinct().withColumn("_bad", F.lit(True))
+    state = settled(questions.select("question_id", F.col("parent_question_id").alias("anc")).join(bad, "question_id", "left")
+                    .withColumn("_bad", F.coalesce("_bad", F.lit(False))))
     for _ in range(max_depth):
+        if state.where("anc is not null").isEmpty():
+            break
         above = state.select(F.col("question_id").alias("anc"), F.col("anc").alias("_anc2"), F.col("_bad").alias("_bad2"))
-        state = (state.join(above, "anc", "left").withColumn("_bad", F.col("_bad") | F.coalesce("_bad2", F.lit(False)))
-                 .select("question_id", F.col("_anc2").alias("anc"), "_bad"))
+        moved = salted_join(state.where("anc is not null"), above, ["anc"], ["question_id"], "left").select(
+            "question_id", F.col("_anc2").alias("anc"), (F.col("_bad") | F.coalesce("_bad2", F.lit(False))).alias("_bad"))
+        state = settled(moved.unionByName(state.where("anc is null")))
     return questions.join(state.where("_bad").select("question_id"), "question_id", "left_anti")

@@ -64,6 +64,7 @@ def test_exact_and_approximate_retrieval(spark):
     v, chunks = vectors(spark)
     q = chunks.where("user_id = 'hot'").limit(40).selectExpr("chunk_id as query_id", "user_id", "embedding as vector")
     exact = {(r.query_id, r.chunk_id) for r in R.retrieve(q, chunks, k=3, min_sim=0.5).collect()}
+    assert exact == {(r.query_id, r.chunk_id) for r in R.retrieve(q, chunks, k=3, min_sim=0.5, rows_per_task=20).collect()}
     rows = chunks.collect()
     want = set()
     for r in q.collect():

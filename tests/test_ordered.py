@@ -44,9 +44,12 @@ def test_summed_before(spark):
 def test_salted_join_spreads_a_hot_key(spark):
     big = spark.range(1000).select(F.lit(1).alias("k"), F.col("id"))
     small = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    out = O.salted_join(big, small, ["k"], ["id"])
-    assert out.count() == 1000 and set(out.columns) == {"k", "id", "v"}
-    assert O.salted_join(big.withColumn("k", F.lit(3)), small, ["k"], ["id"], "left").where("v is null").count() == 1000
+    for per_task in (10, 10_000):  # split into 100 salts, and not at all
+        out = O.salted_join(big, small, ["k"], ["id"], rows_per_task=per_task)
+        assert out.count() == 1000 and set(out.columns) == {"k", "id", "v"}
+        lone = big.withColumn("k", F.lit(3))
+        assert O.salted_join(lone, small, ["k"], ["id"], "left", rows_per_task=per_task).where("v is null").count() == 1000
+        assert O.salted_join(big, small, ["k"], ["id"], "left_semi", rows_per_task=per_task).count() == 1000
 
 
 def test_small_side_measures_before_broadcasting(spark):
