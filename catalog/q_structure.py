@@ -11,6 +11,7 @@ from profilelab.functions import text as t
 from profilelab.operators import layout as L
 from profilelab.operators import structure as S
 from profilelab.operators import windows as W
+from profilelab.operators.ordered import settled
 
 ALIASES = ", ".join(f"('{a}', '{k}')" for a, k in vocab.section_alias_map().items())
 ENTRY = "('header', 'experience', 'education', 'projects')"
@@ -88,7 +89,8 @@ def _(spark, sf):
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, uri ORDER BY o DESC, CASE WHEN o > 0 THEN 0 ELSE d END, word_no) AS rn FROM p)
     SELECT doc_id, uri, coalesce(text, '') AS anchor FROM r WHERE rn = 1""")
 def _(spark, sf):
-    return L.nearest_word(fx(spark, sf, "words"), fx(spark, sf, "links_box")).select("doc_id", "uri", "anchor")
+    # The operator reads its inputs once per search radius; derived inputs are therefore stored first.
+    return L.nearest_word(settled(fx(spark, sf, "words")), settled(fx(spark, sf, "links_box"))).select("doc_id", "uri", "anchor")
 
 
 @query("d06_owning_line", """SELECT k.doc_id, k.link_id, coalesce(l.section, 'header') AS section FROM asof_links k ASOF LEFT JOIN tagged_lines l ON k.doc_id = l.doc_id AND k.cy >= l.y0""")

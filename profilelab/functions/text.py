@@ -15,6 +15,7 @@ LINE_BREAK = r"\r\n|[\n\r\u000B\u000C\u001C\u001D\u001E\u0085\u2028\u2029]"
 TOKEN_REGEX = r"[\p{L}\p{N}_]+|[^\s\p{Z}\x1c-\x1f\x{85}\p{L}\p{N}_]"
 # Tokens for vocabulary matching keep inner punctuation: Node.js, C++, CI/CD.
 TERM_REGEX = r"[\p{L}\p{N}_]+(?:[./+#-][\p{L}\p{N}_]+)*(?:\+\+|#)?"
+# Contact and link patterns.
 EMAIL_REGEX = r"[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\.[a-zA-Z]{2,}"
 PHONE_REGEX = r"(?:(?:\+?\d{1,3}[-.\s]?)?(?:\(?\d{2,4}\)?[-.\s]?){2,4}\d{3,4})"
 URL_REGEX = r"https?://[^\s)]+"

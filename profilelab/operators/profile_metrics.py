@@ -151,6 +151,7 @@ def profile_text(df: DataFrame) -> DataFrame:
     weeks = F.floor(F.col("active_weeks_ratio") * 52).cast("string")
     days = F.floor(F.col("active_days_ratio") * 365).cast("string")
     lang = lambda i: F.get("languages", F.lit(i))["language"]
+    # The wording of the briefing.
     lines = [
         cat("### Overall GitHub Candidate Developer Profile (@", F.col("username"), ")"),
         cat("- **Overall GitHub Profile Score**: ", s("overall_score"), "/100 (", rating, ")"),

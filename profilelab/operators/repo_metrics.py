@@ -118,6 +118,7 @@ def architecture_score(files: DataFrame, dirs: list[str] | None = None, large: i
                       rounded("ratio", 3).alias("organized_ratio"), "large_files", penalty.alias("penalty"))
 
 
+# Fixed value: names of test files.
 TEST_FILE = r"(?i)(^|/)(test_[^/]+|[^/]+\.test\.[^/]+|[^/]*spec[^/]*)$"
 
 
@@ -212,6 +213,7 @@ def commit_score(commits: DataFrame, as_of: str) -> DataFrame:
                       rounded(msg, 2).alias("message_score"))
 
 
+# Weights of the code scores.
 WEIGHTS = {"architecture_score": 0.25, "testing_score": 0.20, "complexity_score": 0.20, "documentation_score": 0.15,
            "commit_score": 0.20}
 

@@ -16,6 +16,7 @@ from profilelab.functions.text import BULLETS, SPACES, blank, col, exploded, let
 from profilelab.operators.ordered import small_side
 from profilelab.operators.windows import regroup
 
+# Date patterns.
 MONTH = (r"(?:jan(?:uary)?|feb(?:ruary)?|mar(?:ch)?|apr(?:il)?|may|jun(?:e)?|jul(?:y)?|aug(?:ust)?"
          r"|sep(?:t(?:ember)?)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)")
 YEAR = r"(?:19|20)\d{2}"
@@ -341,7 +342,8 @@ def structured_projects(df: DataFrame, keys: list[str], body: str = "projects",
     `links` is an array<struct<project, github, live>>; skills an array<string>.
     """
     title = lambda first: strip(F.regexp_replace(bare(first), TITLE_DATE, ""))
-    found = lambda b: F.slice(F.filter(skills, lambda s: t.contains_whole(F.lower(b), F.lower(s))), 1, 8)
+    found = lambda b: F.slice(F.filter(skills, lambda s: F.lower(b).contains(F.lower(s)) & t.contains_whole(
+        F.lower(b), F.lower(s))), 1, 8)
     rows = F.transform(_blocks(F.col(body)), lambda r: F.struct(
         F.when(F.length(title(F.get(r["lines"], F.lit(0)))) < 60, title(F.get(r["lines"], F.lit(0))))
         .otherwise(F.substring(F.get(r["lines"], F.lit(0)), 1, 60)).alias("title"),

@@ -104,7 +104,10 @@ def file_inventory(files: DataFrame, skipped_dirs: list[str] | None = None) -> D
 
 
 def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Landed clones root/<repo_id>/<path…> as files(repo_id, path, content)."""
+    """Landed clones root/<repo_id>/<path…> as files(repo_id, path, content).
+
+    Spark's file sources never plan files of zero bytes, so empty files do not appear.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     rel = F.regexp_replace("path", "^.*?" + root.strip("/").split("/")[-1] + "/", "")
     return raw.select(F.split_part(rel, F.lit("/"), F.lit(1)).alias("repo_id"),
