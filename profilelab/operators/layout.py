@@ -83,7 +83,9 @@ def _cells(df: DataFrame, size: float, around: int, box: bool) -> DataFrame:
     else:
         cx, cy = F.floor(F.col("cx") / size), F.floor(F.col("cy") / size)
         xs, ys = F.sequence(cx - around, cx + around), F.sequence(cy - around, cy + around)
-    return df.withColumn("_gx", F.explode(xs)).withColumn("_gy", F.explode(ys))
+    cells = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("_gx"), y.alias("_gy")))))
+    # The planner takes exploded rows for as few as their input and would broadcast them; they are shuffled instead.
+    return df.select("*", F.inline(cells)).hint("merge")
 
 
 def nearest_word(words: DataFrame, links: DataFrame, key: str = "doc_id", link_id: list[str] | None = None,
