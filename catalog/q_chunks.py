@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.base import fx, query, strip
-from catalog.q_structure import ENTRIES_SQL, ub
+from catalog.q_structure import ub
 from catalog.q_text import CLEAN, TAXONOMY, category_sql
 from profilelab import vocab
 from profilelab.functions import text as t

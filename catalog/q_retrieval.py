@@ -8,7 +8,6 @@ from catalog.base import fx, query, strip
 from catalog.q_chunks import C, TAXONOMY
 from catalog.q_text import category_sql
 from profilelab import vocab
-from profilelab.functions import text as t
 from profilelab.operators import retrieval as R
 
 # list_inner_product over doubles adds in list order, as the operator does.

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog.base import AS_OF, WS, fx, query, strip
+from catalog.base import WS, fx, query, strip
 from catalog.q_text import hrefs
 from profilelab import vocab
 from profilelab.functions import text as t

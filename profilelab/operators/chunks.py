@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from profilelab import vocab
 from profilelab.functions import text as t
-from profilelab.functions.text import blank, exploded, let, strip, trimmed
+from profilelab.functions.text import blank, exploded, let, strip
 from profilelab.operators.ordered import carried, ranked, settled
 from profilelab.operators.structure import entries_of, skill_category
 from profilelab.operators.windows import token_windows_of
