@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from profilelab.llm import decontaminate, line_dedup, near_dups, quality_rules, toxicity
+from profilelab.llm import decontaminate, line_dedup, near_dups, packing, quality_rules, toxicity
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_minhash_near_dedup": near_dups.op4_minhash_near_dedup,
+    "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
