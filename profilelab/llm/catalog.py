@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from profilelab.llm import decontaminate, line_dedup, near_dups, packing, quality_rules, toxicity
+from profilelab.llm import decontaminate, html_extract, line_dedup, near_dups, packing, quality_rules, toxicity, warc
 
 QUERIES = {
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_minhash_near_dedup": near_dups.op4_minhash_near_dedup,
+    "op6_warc_bundles": warc.op6_warc_bundles,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
+    "op8_html_extraction": html_extract.op8_html_extraction,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_quality_rules": quality_rules.op10_quality_rules,
 }
@@ -16,5 +18,6 @@ ORACLES = {
     "op2_decontamination": decontaminate.ORACLE,
     "op3_line_dedup": line_dedup.ORACLE,
     "op4_minhash_near_dedup": near_dups.ORACLE,
+    "op6_warc_bundles": warc.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }
