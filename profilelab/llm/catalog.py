@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from profilelab.llm import decontaminate, html_extract, line_dedup, near_dups, packing, quality_rules, toxicity, warc
+from profilelab.llm import decontaminate, html_extract, line_dedup, near_dups, packing, quality_rules, secrets, toxicity, warc
 
 QUERIES = {
+    "op1_secret_scan": secrets.op1_secret_scan,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_minhash_near_dedup": near_dups.op4_minhash_near_dedup,
