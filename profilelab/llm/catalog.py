@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from profilelab.llm import decontaminate, html_extract, line_dedup, near_dups, packing, quality_rules, secrets, toxicity, warc
+from profilelab.llm import decontaminate, html_extract, line_dedup, near_dups, packing, quality_rules, secrets, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_decontamination": decontaminate.op2_decontamination,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_minhash_near_dedup": near_dups.op4_minhash_near_dedup,
+    "op5_suffix_array_dedup": suffix_dedup.op5_suffix_array_dedup,
     "op6_warc_bundles": warc.op6_warc_bundles,
     "op7_best_fit_packing": packing.op7_best_fit_packing,
     "op8_html_extraction": html_extract.op8_html_extraction,
