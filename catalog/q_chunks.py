@@ -48,7 +48,7 @@ def _(spark, sf):
 
 @query("c03_project_chunks", f"""WITH {MATCH_SQL}, j AS (SELECT p.*, h.repo_id, h.repo_name, h.repo_url, {PK('coalesce(h.repo_name, p.title)')} AS key FROM projects p LEFT JOIN hits h ON p.project_id = h.project_id),
     o AS (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY project_id) AS n FROM j)
-    SELECT user_id, concat(user_id, '-project-', key, CASE WHEN n > 1 THEN concat('-', n) ELSE '' END) AS chunk_id, concat('project:', title) AS section, CAST(o.repo_id AS VARCHAR) AS repo_id, key AS project_key,
+    SELECT user_id, concat(user_id, '-project-', key, CASE WHEN n > 1 THEN concat('~', n) ELSE '' END) AS chunk_id, concat('project:', title) AS section, CAST(o.repo_id AS VARCHAR) AS repo_id, key AS project_key,
         concat('Project: ', title, CASE WHEN description <> '' THEN concat(chr(10), 'Description: ', description) ELSE '' END, chr(10), 'Technologies: ', replace(tech, ',', ', '), CASE WHEN o.url <> '' THEN concat(chr(10), 'Link: ', o.url) ELSE '' END) AS content,
         repo_url AS github_url FROM o JOIN (SELECT repo_id AS rid FROM repos) ON rid = project_id""")
 def _(spark, sf):
@@ -57,7 +57,7 @@ def _(spark, sf):
 
 @query("c04_project_link_chunks", f"""WITH {MATCH_SQL}, j AS (SELECT p.*, h.repo_id, {PK('coalesce(h.repo_name, p.title)')} AS key FROM projects p LEFT JOIN hits h ON p.project_id = h.project_id WHERE p.url <> ''),
     o AS (SELECT *, row_number() OVER (PARTITION BY user_id, key ORDER BY project_id) AS n FROM j)
-    SELECT user_id, concat(user_id, '-project-link-', key, CASE WHEN n > 1 THEN concat('-', n) ELSE '' END) AS chunk_id, CAST(o.repo_id AS VARCHAR) AS repo_id, key AS project_key,
+    SELECT user_id, concat(user_id, '-project-link-', key, CASE WHEN n > 1 THEN concat('~', n) ELSE '' END) AS chunk_id, CAST(o.repo_id AS VARCHAR) AS repo_id, key AS project_key,
         concat('Project Link: ', title, chr(10), 'URL: ', o.url, chr(10), 'Context: ', description) AS content FROM o JOIN (SELECT repo_id AS rid FROM repos) ON rid = project_id""")
 def _(spark, sf):
     return C.project_link_chunks(matched(spark, sf).withColumn("context", F.col("description"))).select("user_id", "chunk_id", "repo_id", "content", "metadata.project_key")
@@ -176,7 +176,8 @@ def _(spark, sf):
 NAMED = """SELECT user_id, seq, project_name, concat('key-', project_name, '-', seq % 3) AS project_key, CASE WHEN seq % 2 = 0 THEN concat('r', seq) END AS repo_id FROM
     (SELECT CAST(floor(doc_id / 5) AS BIGINT) AS user_id, doc_id AS seq, CASE doc_id % 4 WHEN 0 THEN 'Their' WHEN 1 THEN 'tion' WHEN 2 THEN concat('no such ', doc_id) ELSE 'and the' END AS project_name FROM documents) q"""
 ATTR_SQL = f"""nm0 AS ({NAMED}), nm1 AS (SELECT user_id, seq, 0 AS i, lower(project_key) AS name, project_key, repo_id FROM nm0 UNION ALL SELECT user_id, seq, 1, lower(project_name), project_key, repo_id FROM nm0),
-    nm AS (SELECT user_id, name, min(seq * 2 + i) AS ord, arg_max(project_key, seq * 2 + i) AS key, arg_max(repo_id, seq * 2 + i) FILTER (WHERE repo_id IS NOT NULL) AS repo FROM nm1 GROUP BY ALL),
+    nm2 AS (SELECT user_id, name, min(seq * 2 + i) AS ord, arg_max(project_key, seq * 2 + i) AS key, arg_max(repo_id, seq * 2 + i) FILTER (WHERE repo_id IS NOT NULL) AS repo FROM nm1 GROUP BY ALL),
+    nm AS (SELECT a.user_id, a.name, a.ord, a.key, b.repo FROM nm2 a LEFT JOIN nm2 b ON b.user_id = a.user_id AND b.name = lower(a.key)),
     ln AS (SELECT user_id, seq, generate_subscripts(ls, 1) - 1 AS line_no, unnest(ls) AS line FROM (SELECT user_id, seq, {CLEAN} AS ls FROM ({CLAIM_DOCS}))),
     lm AS (SELECT ln.user_id, seq, line_no, arg_min({{'k': key, 'r': repo}}, (ord, name)) AS m FROM ln JOIN nm ON nm.user_id = ln.user_id AND contains(lower(line), name) GROUP BY ALL),
     lc AS (SELECT ln.user_id, ln.seq, ln.line_no, last_value(m IGNORE NULLS) OVER (PARTITION BY ln.user_id ORDER BY ln.seq, ln.line_no ROWS UNBOUNDED PRECEDING) AS cur FROM ln LEFT JOIN lm USING (user_id, seq, line_no)),

@@ -20,7 +20,7 @@ def chunk_rows(df):
     return df.withColumn("section", F.lit(None).cast("string")).withColumn("metadata", F.struct(F.lit(None).cast("string").alias("section")))
 
 
-@query("u01_embed")
+@query("u01_embed", f"SELECT user_id, chunk_id, greatest(1, len(regexp_extract_all(content, '{t.TOKEN_REGEX}'))) AS token_count, 384 AS dim, CAST(1 AS DOUBLE) AS norm FROM chunk_store")
 def _(spark, sf):
     out = U.embed(chunk_rows(fx(spark, sf, "chunk_store")))
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
@@ -223,7 +223,7 @@ QUESTIONS = "SELECT event_id AS question_id, CASE WHEN event_id % 9 = 0 THEN NUL
 def _(spark, sf):
     fx(spark, sf, "events")
     q = spark.sql(QUESTIONS)
-    return U.delete_question_trees(q, q.where("event_type = 'purchase'").select("question_id"), max_depth=4).select("question_id", "parent_question_id")
+    return U.delete_question_trees(q, q.where("event_type = 'purchase'").select("question_id")).select("question_id", "parent_question_id")
 
 
 # --- streaming ----------------------------------------------------------------------------------------------

@@ -8,9 +8,12 @@ linked when the Jaccard similarity of their full sets is at least `percent` / 10
    of four full minima each, the size and a 128-bit digest of the set. A pair at the threshold shares no band with a
    probability of 5e-6.
 2. Equal sets are one class; only its smallest id goes on, so copies cost nothing further.
-3. Rounds: inside each band key members meet a leader, whatever the size of the key; later rounds use other leaders
+3. Shingles that only one candidate holds are in no intersection. A set where these are over 1 - `percent` / 100 has no
+   partner and goes no further, and a pair whose sizes leave no room beside them is none; so documents that merely share a
+   common passage drop out unpaired.
+4. Rounds: inside each band key members meet a leader, whatever the size of the key; later rounds use other leaders
    and skip keys whose members are in one component. What is then still apart inside a key is compared with all of
-   the key's members of other components, so no link is lost and no group is ever expanded into all of its pairs.
+   the key's members of other components, so no link is lost and no group of copies is expanded into all of its pairs.
    A pair is first judged by bit counts: similarity = (equal share - 1/4) / (3/4), less five standard deviations;
    those that pass are confirmed on the full sets.
 
@@ -37,6 +40,7 @@ _A = _RNG.integers(0, 1 << 32, N_HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, N_HASHES, dtype=np.uint32)
 _C = _RNG.integers(0, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 BROADCAST_ROWS = 200_000
+LEADER_TURNS = 4
 
 SIGNATURE = "doc long, n int, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
@@ -134,15 +138,18 @@ def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def estimated(percent: int) -> Column:
-    """Whether bit counts leave room for the threshold: packed signatures a0..a3 and b0..b3."""
-    s = percent / 100
-    c = 2.0 ** -BITS
-    p = c + (1 - c) * s
-    least = N_HASHES * p - 5 * (N_HASHES * p * (1 - p)) ** 0.5
+def different() -> Column:
+    """Number of hashes whose low bits differ, from packed signatures as0..as3 and bs0..bs3."""
     low = F.lit(0x5555555555555555)
-    different = sum((F.bit_count((x := F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))).bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low)) for i in range(4)), F.lit(0))
-    return (N_HASHES - different) >= F.lit(int(least))
+    pairs = [F.col(f"as{i}").bitwiseXOR(F.col(f"bs{i}")) for i in range(4)]
+    return sum((F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 1)).bitwiseAND(low)) for x in pairs), F.lit(0))
+
+
+def least_equal(percent: int) -> int:
+    """The least number of equal low bits that leaves room for the threshold: five standard deviations below it."""
+    c = 2.0 ** -BITS
+    p = c + (1 - c) * percent / 100
+    return int(N_HASHES * p - 5 * (N_HASHES * p * (1 - p)) ** 0.5)
 
 
 def similarity(equal: Column) -> Column:
@@ -151,42 +158,54 @@ def similarity(equal: Column) -> Column:
     return F.greatest(F.lit(0.0), (equal / F.lit(N_HASHES) - F.lit(c)) / F.lit(1 - c))
 
 
+def sized(df: DataFrame, rows: int) -> DataFrame:
+    """A staged table in as many partitions as its counted rows need; what fits in one is grouped and joined without a shuffle."""
+    return df.coalesce(-(-rows // BROADCAST_ROWS) or 1)
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp): the smallest id of each connected component, by alternating stars; ids without edges are absent."""
     e = staged(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
     stamp = lambda t: t.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = None
-    while (now := stamp(e)) != before:
-        before = now
-        both = e.union(e.select(F.col("v"), F.col("u"))).toDF("u", "v")
+    before, now = None, stamp(e)
+    while now != before:
+        small_enough = sized(e, now[0])
+        both = small_enough.union(small_enough.select(F.col("v"), F.col("u"))).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        down = staged(large.where("u != v"))
+        down = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().where("u != v")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = staged(small.union(least).where("u != v").distinct())
-        drop(down)
         drop(e)
-        e = after
+        e, before, now = after, now, stamp(after)
+    e = sized(e, now[0])
     out = e.groupBy("u").agg(F.min("v").alias("comp")).select(F.col("u").alias("id"), "comp")
-    return staged(out.union(out.select(F.col("comp").alias("id"), "comp").distinct()))
+    return out.union(out.select(F.col("comp").alias("id"), "comp").distinct())
+
+
+SIDE = ["id", "comp", "n", "c", "s0", "s1", "s2", "s3"]
+
 
+def _likely(percent: int) -> Column:
+    """Whether a pair (columns of SIDE with a and b in front) may reach the threshold, by shared shingles and bit counts."""
+    room = F.least("ac", "bc") * (100 + percent) >= (F.col("an") + F.col("bn")) * percent  # |A and B| <= shingles that any other set has
+    return (F.col("acomp") != F.col("bcomp")) & room & (F.lit(N_HASHES) - different() >= least_equal(percent))
 
-def _leaders(active: DataFrame, turn: int) -> DataFrame:
-    """Members of each key against its leader of this turn."""
-    order = F.col("id") if turn == 0 else F.xxhash64(F.lit(turn), "id")
-    leaders = active.groupBy("key").agg(F.min_by(F.struct("id", "comp"), order).alias("lead"))
-    pairs = active.join(leaders, "key").where(F.col("comp") != F.col("lead.comp"))
-    return pairs.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
 
+def _leaders(active: DataFrame, turn: int, percent: int) -> DataFrame:
+    """Members of each key against its leader of this turn; the first leader is the one with the least of its own."""
+    order = F.struct((F.col("n") - F.col("c")) / F.col("n"), "id") if turn == 0 else F.struct(F.xxhash64(F.lit(turn), "id"), "id")
+    lead = active.groupBy("key").agg(F.min_by(F.struct(*SIDE), order).alias("l")).select("key", *[F.col(f"l.{x}").alias(f"b{x}") for x in SIDE])
+    return active.select("key", *[F.col(x).alias(f"a{x}") for x in SIDE]).join(lead, "key").where(_likely(percent))
 
-def _across(active: DataFrame) -> DataFrame:
+
+def _across(active: DataFrame, percent: int) -> DataFrame:
     """Members outside each key's largest component against all of the key's members of other components."""
-    sizes = active.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"))
-    few = active.join(largest, "key").where(F.col("comp") != F.col("most")).select("key", F.col("id").alias("i"), F.col("comp").alias("ci"))
-    pairs = active.join(few, "key").where(F.col("comp") != F.col("ci"))
-    return pairs.select(F.least("id", "i").alias("a"), F.greatest("id", "i").alias("b")).distinct()
+    sizes = active.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
+    few = active.join(largest, "key").where(F.col("comp") != F.col("most")).select("key", *[F.col(x).alias(f"a{x}") for x in SIDE])
+    every = active.select(F.col("key").alias("bkey"), *[F.col(x).alias(f"b{x}") for x in SIDE])
+    return few.join(every, (F.col("key") == F.col("bkey")) & _likely(percent))
 
 
 def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -195,60 +214,76 @@ def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     bits = [f"s{i}" for i in range(4)]
     classes = sig.where("n > 0").groupBy("d1", "d2").agg(F.min_by(F.struct("doc", "n", *bits, "bands"), "doc").alias("r"))
     reps = staged(classes.select("d1", "d2", F.col("r.doc").alias("id"), *[F.col(f"r.{c}").alias(c) for c in ("n", *bits, "bands")]))
+    comps = _linked(docs, doc_id, text, reps, bits, percent)
+    known = reps.select("d1", "d2", "id")
+    if comps is not None:
+        known = known.join(comps, "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("id"))
+    return sig.select("doc", "n", "d1", "d2").join(known, ["d1", "d2"], "left").select("doc", "n", "d1", "d2", F.coalesce("id", "doc").alias("component"))
+
+
+def _linked(docs: DataFrame, doc_id: str, text: str, reps: DataFrame, bits: list[str], percent: int) -> DataFrame | None:
+    """(id, comp) of the representatives with links; None without any."""
     keyed = reps.select("id", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("key")
-    members = staged(keyed.join(shared, "key").select("key", "id"))
-    marks = reps.select("id", "n", *bits)
-    candidates = members.select("id").distinct()
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("key")
+    plain = staged(keyed.join(shared, "key").select("key", "id"))
+    candidates = staged(plain.select("id").distinct())
     n_candidates = candidates.count()
     if not n_candidates:
-        return sig.select("doc", "n", "d1", "d2").withColumn("_n_rep", F.col("doc")).join(
-            reps.select("d1", "d2", "id"), ["d1", "d2"], "left").select("doc", "n", "d1", "d2", F.coalesce("id", "doc").alias("component"))
-    candidates = staged(candidates)
+        return None
     texts = _ids_and_texts(docs, doc_id, text).join(bounded_broadcast(candidates.withColumnRenamed("id", "doc"), n_candidates), "doc", "left_semi")
     sets = staged(texts.mapInArrow(_set_batches, "id long, set array<long>").dropDuplicates(["id"]))
-    comps, links, tested, turn, per_id = None, [], [], 0, 1
-    while True:
-        active = members.withColumn("comp", F.col("id"))
+    # Shingles of one candidate only are in no intersection; with too many of them a set has no partner at all.
+    owned = sets.select("id", F.explode("set").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
+    marks = staged(reps.select("id", "n", *bits).join(candidates, "id", "left_semi").join(owned, "id", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)).cast("int"))
+                   .where(F.col("c") * 100 >= F.col("n") * percent).select("id", "n", "c", *bits))
+    members = staged(plain.join(bounded_broadcast(marks, n_candidates), "id").select("key", "id", "n", "c", *bits))
+    size = members.count()
+    comps, n_comps, tested, turn, per_id = None, 0, None, 0, 1
+    while size:
+        active, full = members.withColumn("comp", F.col("id")), False
         if comps is not None:
             active = members.join(bounded_broadcast(comps, n_comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             apart = active.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
             active = staged(active.join(apart, "key"))
-        pairs = _leaders(active, turn) if turn < 3 else _across(active)
-        if tested:
-            done = tested[0]
-            for t in tested[1:]:
-                done = done.union(t)
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        side = lambda x: marks.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), *[F.col(f"s{i}").alias(f"{x}{i}") for i in range(4)])
-        both = pairs.join(side("a"), "a").join(side("b"), "b")
-        fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent  # sizes alone rule out the rest
-        likely = both.where(fits & estimated(percent)).select("a", "b", "na", "nb", F.xxhash64("a", "b").alias("h"))
-        # One pair of each id goes first, as most groups are joined by it; the number grows while pairs are left.
-        first = Window.partitionBy("b").orderBy("a", "h")
-        chosen = staged(likely.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_id).drop("r", "h"))
-        n = chosen.count()
-        if not n:
-            if turn >= 3:
+            # Comparing all that is apart is due once it is about as much work as reading the members.
+            sizes = active.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max("k").alias("top"))
+            across = sizes.agg(F.coalesce(F.sum((F.col("all") - F.col("top")).cast("double") * F.col("all")), F.lit(0.0))).first()[0]
+            full = turn >= LEADER_TURNS or across <= 4.0 * size
+        pairs = _across(active, percent) if full else _leaders(active, turn, percent)
+        likely = pairs.select("aid", "bid", F.col("an").alias("na"), F.col("bn").alias("nb"), different().alias("gap")).groupBy(
+            F.col("aid").alias("a"), F.col("bid").alias("b")).agg(*[F.min(x).alias(x) for x in ("na", "nb", "gap")])
+        if tested is not None:
+            likely = likely.join(tested, (F.least("a", "b") == F.col("ta")) & (F.greatest("a", "b") == F.col("tb")), "left_anti")
+        # The most likely pairs of each id go first, as most groups are joined by one; the number grows while pairs are left.
+        first = Window.partitionBy("a").orderBy("gap", "b")
+        chosen = staged(likely.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_id + 1))
+        n, more = chosen.agg(F.count(F.lit(1)), F.coalesce(F.max("r"), F.lit(0))).first()
+        due = sized(chosen, n).where(F.col("r") <= per_id)
+        if n:
+            left = sets.join(bounded_broadcast(due, n), sets["id"] == F.col("a")).select("a", "b", "na", "nb", F.col("set").alias("sa"))
+            common = left.join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b").select(
+                "a", "b", (F.size(F.array_intersect("sa", "sb")) * 100).alias("i"), "na", "nb")
+            checked = staged(common.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), (F.col("i") >= (F.col("na") + F.col("nb") - F.col("i") / 100) * percent).alias("linked")))
+            now = checked.select(F.col("a").alias("ta"), F.col("b").alias("tb"))
+            tested = now if tested is None else tested.union(now)
+            links = checked.where("linked").select("a", "b")
+            if comps is not None:  # links between components, then every id's new component
+                known = lambda x: bounded_broadcast(comps.select(F.col("id").alias(x), F.col("comp").alias(f"c{x}")), n_comps)
+                links = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+            fresh = components(links)
+            if comps is not None:
+                moved = comps.join(fresh.select(F.col("id").alias("comp"), F.col("comp").alias("to")), "comp", "left").select("id", F.coalesce("to", "comp").alias("comp"))
+                fresh = moved.union(fresh.join(comps.select("id"), "id", "left_anti"))
+            comps = staged(fresh)
+            n_comps = comps.count()
+            comps = sized(comps, n_comps)
+        if full:
+            if more <= per_id:  # every pair that was apart has been compared
                 break
-            turn += 1
-            continue
-        left = sets.join(bounded_broadcast(chosen, n), sets["id"] == F.col("b")).select("a", "b", "na", "nb", F.col("set").alias("sb"))
-        common = left.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").select(
-            "a", "b", (F.size(F.array_intersect("sa", "sb")) * 100).alias("i"), "na", "nb")
-        checked = staged(common.select("a", "b", (F.col("i") >= (F.col("na") + F.col("nb") - F.col("i") / 100) * percent).alias("linked")))
-        tested.append(checked.select("a", "b"))
-        links.append(checked.where("linked").select("a", "b"))
-        edges = links[0]
-        for more in links[1:]:
-            edges = edges.union(more)
-        comps = components(edges)
-        n_comps = comps.count()
-        turn, per_id = (turn + 1, 1) if turn < 3 else (turn, per_id * 4)
-    known = reps.select("d1", "d2", "id")
-    if comps is not None:
-        known = known.join(bounded_broadcast(comps, n_comps), "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("id"))
-    return sig.select("doc", "n", "d1", "d2").join(known, ["d1", "d2"], "left").select("doc", "n", "d1", "d2", F.coalesce("id", "doc").alias("component"))
+            per_id *= 4
+        else:
+            turn, per_id = turn + 1, 64
+    return bounded_broadcast(comps, n_comps) if n_comps else None
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:

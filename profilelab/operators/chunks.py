@@ -86,10 +86,16 @@ def match_repos(projects: DataFrame, repos: DataFrame, project_id: str = "projec
 
 
 def _occurrence(df: DataFrame, keys: list[str], order: list[Column]) -> Column:
-    """'' for the first row of a key, '-2', '-3'… for repeats."""
+    """'' for the first row of a key, '~2', '~3'… for repeats; no slug has a '~'."""
     from pyspark.sql import Window
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return F.when(n > 1, F.concat(F.lit("-"), n.cast("string"))).otherwise(F.lit(""))
+    return F.when(n > 1, F.concat(F.lit("~"), n.cast("string"))).otherwise(F.lit(""))
+
+
+def _id_key(key: str, title: str) -> Column:
+    """The slug as part of an id: a hash of the title where it is empty, marked where it reads like a link's id."""
+    return (F.when(F.coalesce(F.col(key), F.lit("")) == "", F.concat(F.lit("~"), F.substring(F.sha1(F.coalesce(F.col(title), F.lit(""))), 1, 8)))
+            .when(F.col(key).startswith("link-"), F.concat(F.lit("~"), F.col(key))).otherwise(F.col(key)))
 
 
 def project_chunks(matched: DataFrame, project_id: str = "project_id") -> DataFrame:
@@ -104,8 +110,9 @@ def project_chunks(matched: DataFrame, project_id: str = "project_id") -> DataFr
     out = (matched.withColumn("key", key).withColumn("content", content)
            .withColumn("section", F.concat(F.lit("project:"), "title")).withColumn("repo_id", F.col("repo.repo_id")))
     # Partitioned by the project slug, not by the candidate: only true repeats share a task.
-    out = out.withColumn("chunk_id", F.concat(F.col("user_id").cast("string"), F.lit("-project-"), "key", _occurrence(
-        out, ["user_id", "key"], [F.col(project_id)])))
+    out = out.withColumn("_id", _id_key("key", "title"))
+    out = out.withColumn("chunk_id", F.concat(F.col("user_id").cast("string"), F.lit("-project-"), "_id", _occurrence(
+        out, ["user_id", "_id"], [F.col(project_id)])))
     return as_chunks(out, "project", section=F.col("section"), project_name=F.col("title"), project_key=F.col("key"),
                      description=F.col("description"), technologies=F.col("technologies"), url=F.col("url"),
                      github_repo_id=F.col("repo.repo_id"), github_repo_name=F.col("repo.repo_name"),
@@ -122,8 +129,9 @@ def project_link_chunks(matched: DataFrame, link_id: str = "project_id") -> Data
            .withColumn("repo_id", F.col("repo.repo_id"))
            .withColumn("content", F.concat(F.lit("Project Link: "), "title", F.lit("\nURL: "), "url",
                                            F.lit("\nContext: "), "context")))
-    out = out.withColumn("chunk_id", F.concat(F.col("user_id").cast("string"), F.lit("-project-link-"), "key", _occurrence(
-        out, ["user_id", "key"], [F.col(link_id)])))
+    out = out.withColumn("_id", _id_key("key", "title"))
+    out = out.withColumn("chunk_id", F.concat(F.col("user_id").cast("string"), F.lit("-project-link-"), "_id", _occurrence(
+        out, ["user_id", "_id"], [F.col(link_id)])))
     return as_chunks(out, "project", section=F.col("section"), project_name=F.col("title"), project_key=F.col("key"),
                      url=F.col("url"), context=F.col("context"), github_repo_id=F.col("repo.repo_id"),
                      github_repo_name=F.col("repo.repo_name"))
@@ -224,13 +232,16 @@ def readme_chunks(repos: DataFrame, max_tokens: int = 400, plain_tokens: int = 1
     numbered = F.transform("_b", lambda x, i: F.struct(x["label"].alias("label"), x["body"].alias("body"), F.size(
         F.filter(F.slice("_k", F.lit(1), i + 1), lambda k: k == F.get("_k", i))).alias("nth")))
     blocks = exploded(rows, keep, numbered, "b", "x").select(*keep, "x.label", "x.body", "x.nth")
-    cut = blocks.withColumn("_w", F.when(F.col("label").isNull(), token_windows_of("body", plain_tokens, plain_overlap))
-                            .otherwise(token_windows_of("body", max_tokens, 0)))
+    # Each block reaches one of the two window calls only; the other gets null.
+    split = blocks.withColumn("_plain", F.when(F.col("label").isNull(), F.col("body"))).withColumn("_headed", F.when(F.col("label").isNotNull(), F.col("body")))
+    cut = split.withColumn("_w", F.when(F.col("label").isNull(), token_windows_of("_plain", plain_tokens, plain_overlap))
+                           .otherwise(token_windows_of("_headed", max_tokens, 0)))
     out = exploded(cut, [*keep, "label", "nth", F.size("_w").alias("n_w")], "_w", "w", "content")
     no = (F.col("w") + 1).cast("string")
     base_id = F.coalesce(F.col("repo_id").cast("string"), t.project_key("repo_name"))
-    nth = F.when(F.col("nth") > 1, F.concat(F.lit("-"), F.col("nth").cast("string"))).otherwise(F.lit(""))
-    suffix = F.when(F.col("n_w") > 1, F.concat(F.lit("-"), no)).otherwise(F.lit(""))
+    # Repeats of a heading and windows of a block have markers of their own, which no slug has.
+    nth = F.when(F.col("nth") > 1, F.concat(F.lit("~"), F.col("nth").cast("string"))).otherwise(F.lit(""))
+    suffix = F.when(F.col("n_w") > 1, F.concat(F.lit("."), no)).otherwise(F.lit(""))
     out = (out.withColumn("section", F.when(F.col("label").isNull(), F.concat("repo_name", F.lit(":section-"), no))
                           .otherwise(F.concat("repo_name", F.lit(":"), "label")))
            .withColumn("chunk_id", F.when(F.col("label").isNull(), F.concat(base_id, F.lit("-readme-"), no)).otherwise(
@@ -357,15 +368,19 @@ def extract_claims(projects: DataFrame | None, resumes: DataFrame | None, projec
 
 
 def project_names(projects: DataFrame) -> DataFrame:
-    """(user_id, name, ord, key, repo_id): every lower-case spelling; position of the first, value of the last."""
+    """(user_id, name, ord, key, repo_id): every lower-case spelling; position of the first, key of the last, and the
+    repository that is stored under that key (not under the name)."""
     two = projects.select("user_id", "seq", F.explode(F.array(
         F.struct(F.lit(0).alias("i"), F.lower("project_key").alias("name")),
         F.struct(F.lit(1).alias("i"), F.lower("project_name").alias("name")))).alias("n"), "project_key", "repo_id")
     named = two.where(F.col("project_key").isNotNull() & (F.col("project_key") != "") & (F.col("n.name") != ""))
     at = F.struct("seq", "n.i")
-    return named.groupBy("user_id", F.col("n.name").alias("name")).agg(
+    spelled = named.groupBy("user_id", F.col("n.name").alias("name")).agg(
         F.min(at).alias("ord"), F.max_by("project_key", at).alias("key"),
         F.max_by("repo_id", F.when(F.col("repo_id").isNotNull(), at)).alias("repo_id"))
+    under = spelled.select("user_id", F.col("name").alias("_key"), F.col("repo_id").alias("_repo"))
+    return (spelled.drop("repo_id").withColumn("_key", F.lower("key")).join(under, ["user_id", "_key"], "left")
+            .select("user_id", "name", "ord", "key", F.col("_repo").alias("repo_id")))
 
 
 def mentions(texts: DataFrame, names: DataFrame, keys: list[str], text: str, out: str = "mention",

@@ -8,6 +8,7 @@ be non-decreasing in the first order column.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,13 @@ _B = "_bucket"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder under the cluster's shared checkpoint directory; a temporary one only where none is set."""
+    """A new folder under the cluster's shared checkpoint directory. Without one only a local master gets a temporary folder."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared.rstrip('/')}/profilelab-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="profilelab-") + "/t"
+    if not shared:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir()
+    return f"{shared.rstrip('/')}/profilelab-{uuid.uuid4().hex}"
 
 
 def small_side(df: DataFrame, max_rows: int = 100_000, max_bytes: int = 8 << 20) -> DataFrame:
@@ -84,20 +89,21 @@ def summed_before(df: DataFrame, keys: list[str], order: list[Column], bucket: C
 
 
 def salted_join(big: DataFrame, small: DataFrame, keys: list[str], salt_on: list[str], how: str = "inner",
-                counts: DataFrame | None = None, rows_per_task: int = 500_000, max_hot: int = 10_000) -> DataFrame:
+                counts: DataFrame | None = None, rows_per_task: int = 500_000) -> DataFrame:
     """Equi-join (inner, left or left_semi) that splits only the keys that need it.
 
     Keys with more than `rows_per_task` rows in `counts` (a cheap table with the keys of `big`; default `big`) are
     measured first; their rows are spread over ceil(rows / rows_per_task) salts and the matching rows of `small`
-    repeated as often. All other keys join unsalted, so `small` hardly grows. With more than `max_hot` such keys
-    none holds a notable share of the rows, and the plain join is balanced as it is.
+    repeated as often. All other keys join unsalted, so `small` hardly grows. The list of hot keys is broadcast while it
+    is counted as short, and joined by a shuffle beyond.
     """
     sizes = (big if counts is None else counts).groupBy(*keys).agg(F.count(F.lit(1)).alias("_c"))
     hot = sizes.where(F.col("_c") > rows_per_task).select(*keys, F.ceil(F.col("_c") / rows_per_task).cast("int").alias("_salts"))
-    found = hot.limit(max_hot + 1).collect()  # at most max_hot + 1 keys
-    if not found or len(found) > max_hot:
+    found = hot.limit(10_001).collect()  # a bounded look; a longer list stays a table
+    if not found:
         return big.join(small, keys, how)
-    hot = F.broadcast(big.sparkSession.createDataFrame(found, hot.schema))
+    if len(found) <= 10_000:
+        hot = F.broadcast(big.sparkSession.createDataFrame(found, hot.schema))
     n = F.coalesce("_salts", F.lit(1))
     left = big.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_on), n).cast("int")).drop("_salts")
     right = small.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), n - 1))).drop("_salts")

@@ -65,9 +65,15 @@ def embed(chunks: DataFrame, embedder: Callable[[Column], Column] = hashed_embed
 
 # --- U2 / U3 ------------------------------------------------------------------------------------------------
 
-def last_per_key(batch: DataFrame, keys: list[str], version: Column) -> DataFrame:
-    """Keep the greatest version of each key (map-side combined, so copies never pile up in one task)."""
+def last_per_key(batch: DataFrame, keys: list[str], version: Column | None) -> DataFrame:
+    """Keep the greatest version of each key (map-side combined, so copies never pile up in one task).
+
+    Without a version a key may occur once only; differing copies raise when the result is read."""
     rest = [c for c in batch.columns if c not in keys]
+    if version is None:
+        one = batch.groupBy(*keys).agg(F.any_value(F.struct(*rest)).alias("_r"), F.count(F.lit(1)).alias("_c"))
+        row = F.when(F.col("_c") == 1, F.col("_r")).otherwise(F.raise_error(F.lit("several rows of one key need a version")).cast(one.schema["_r"].dataType))
+        return one.select(*keys, row.alias("_r")).select(*keys, "_r.*").select(*batch.columns)
     return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
 
 
@@ -82,8 +88,7 @@ def upsert_chunks(store: DataFrame, batch: DataFrame, as_of: str, mode: str = "a
     """
     keys = ["user_id", "chunk_id"]
     body = [c for c in batch.columns if c not in (*keys, "source_type")]
-    new = last_per_key(batch, keys, F.struct("source_type", *[c for c in body if c == "content"])
-                       if version is None else version)
+    new = last_per_key(batch, keys, version)
     now = F.lit(as_of).cast("timestamp")
     fresh = new.select(*keys, F.struct("source_type", *body).alias("_new"))
     both = store.withColumn("_old", F.lit(True)).join(fresh, keys, "full_outer")
@@ -175,12 +180,12 @@ def merge_repos(store: DataFrame, batch: DataFrame, position: str = "pos") -> Da
     return both.withColumns(out).select(*store.columns)
 
 
-def union_repos(general: DataFrame, project: DataFrame, position: str = "pos", rounds: int = 2) -> DataFrame:
+def union_repos(general: DataFrame, project: DataFrame, position: str = "pos", in_row: int = 256) -> DataFrame:
     """General repositories, then project repositories equal to nothing kept before on name or on url.
 
     An earlier project repository only blocks later ones when it was kept itself. Rows that come first in both
-    their name group and their url group are certainly kept, and remove the rest of those groups; after
-    `rounds` of that only chains of alternating clashes are left, which an ordered fold settles exactly.
+    their name group and their url group are certainly kept, and remove the rest of those groups. Rounds of that go on
+    until each user has at most `in_row` rows left, which an ordered fold inside the row settles exactly.
     """
     n = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))  # null equals null here
     groups = (["user_id", "_n"], ["user_id", "_u"])
@@ -197,20 +202,26 @@ def union_repos(general: DataFrame, project: DataFrame, position: str = "pos", r
     left = free.groupBy("user_id", "_n", "_u").agg(F.min_by(F.struct(*rest), position).alias("_r"),
                                                    F.min(position).alias("_p"))
     left, kept = settled(left), []
-    for _ in range(rounds):
+    while True:
+        # Users with few rows left fold them in order inside a row; the others settle all sure rows and go on.
+        n = left.groupBy("user_id").agg(F.count(F.lit(1)).alias("_c"))
+        rows = left.join(n.where(F.col("_c") <= in_row), "user_id", "left_semi").groupBy("user_id").agg(
+            F.sort_array(F.collect_list(F.struct("_p", "_n", "_u"))).alias("_a"))
+        zero = F.array().cast(rows.schema["_a"].dataType)
+        folded = F.aggregate("_a", zero, lambda acc, x: F.when(
+            F.exists(acc, lambda k: (k["_n"] == x["_n"]) | (k["_u"] == x["_u"])), acc).otherwise(F.concat(acc, F.array(x))))
+        keys = rows.select("user_id", F.explode(folded).alias("k")).select("user_id", "k._n", "k._u")
+        kept.append(left.join(keys, ["user_id", "_n", "_u"], "left_semi").select("user_id", "_r", "_n", "_u"))
+        left = settled(left.join(n.where(F.col("_c") > in_row), "user_id", "left_semi"))
+        if left.isEmpty():
+            break
         sure = left
         for grp in groups:
             first = left.groupBy(*grp).agg(F.min("_p").alias("_p"))
             sure = sure.join(first, [*grp, "_p"], "left_semi")
-        sure = settled(sure)
+        sure = settled(sure)  # each user's first row at least, so every round gets on
         kept.append(sure.select("user_id", "_r", "_n", "_u"))
         left = settled(unlike(left, sure))
-    rows = left.groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("_p", "_n", "_u"))).alias("_a"))
-    zero = F.array().cast(rows.schema["_a"].dataType)
-    folded = F.aggregate("_a", zero, lambda acc, x: F.when(
-        F.exists(acc, lambda k: (k["_n"] == x["_n"]) | (k["_u"] == x["_u"])), acc).otherwise(F.concat(acc, F.array(x))))
-    keys = rows.select("user_id", F.explode(folded).alias("k")).select("user_id", "k._n", "k._u")
-    kept.append(left.join(keys, ["user_id", "_n", "_u"], "left_semi").select("user_id", "_r", "_n", "_u"))
     out = general.withColumn("track", F.lit("general"))
     for part in kept:
         out = out.unionByName(part.select("user_id", "_r.*").select(*project.columns).withColumn(
@@ -336,18 +347,21 @@ def apply_fk_actions(tables: dict[str, DataFrame], deleted: dict[str, DataFrame]
     return out
 
 
-def delete_question_trees(questions: DataFrame, roots: DataFrame, max_depth: int = 16) -> DataFrame:
+def delete_question_trees(questions: DataFrame, roots: DataFrame) -> DataFrame:
     """Self-referencing cascade: drop `roots` and every follow-up below them (question_id, parent_question_id).
 
-    Pointer doubling: each round doubles the ancestor distance seen, so `max_depth` rounds cover 2**max_depth
-    levels; it stops as soon as every pointer has run out. Each round is settled, so plans stay one round deep.
+    Pointer doubling: each round doubles the ancestor distance seen, until every pointer has run out. Once that distance
+    exceeds the number of questions only a cycle can still point on, which raises. Each round is settled, so plans stay
+    one round deep.
     """
     bad = roots.select("question_id").distinct().withColumn("_bad", F.lit(True))
     state = settled(questions.select("question_id", F.col("parent_question_id").alias("anc")).join(bad, "question_id", "left")
                     .withColumn("_bad", F.coalesce("_bad", F.lit(False))))
-    for _ in range(max_depth):
-        if state.where("anc is not null").isEmpty():
-            break
+    reach, total = 1, state.count()
+    while not state.where("anc is not null").isEmpty():
+        if reach > total:
+            raise ValueError("parent_question_id has a cycle")
+        reach *= 2
         above = state.select(F.col("question_id").alias("anc"), F.col("anc").alias("_anc2"), F.col("_bad").alias("_bad2"))
         moved = salted_join(state.where("anc is not null"), above, ["anc"], ["question_id"], "left").select(
             "question_id", F.col("_anc2").alias("anc"), (F.col("_bad") | F.coalesce("_bad2", F.lit(False))).alias("_bad"))

@@ -163,24 +163,31 @@ def dedupe_skills(df: DataFrame, gazetteer: DataFrame, keys=("user_id",), skill:
     return canonical_skill(first, gazetteer, skill).select(*keys, "skill_key", F.col("canonical").alias("skill"))
 
 
+OPENERS = 50_000  # first words of a vocabulary that are held in the expression as a set; beyond, every token may open
+
+
 def detected_tech(df: DataFrame, gazetteer: DataFrame, keys: list[str], text: str = "content",
-                  max_words: int = 3, token_regex: str = t.TERM_REGEX, max_openers: int = 2000) -> DataFrame:
+                  token_regex: str = t.TERM_REGEX) -> DataFrame:
     """(keys…, detected_tech): sorted distinct vocabulary terms; longest match first, then leftmost.
 
     Only rows with a hit are returned. N-grams meet the vocabulary in an equi-join and only the
-    hits are shuffled back to their text.
+    hits are shuffled back to their text. The longest n-gram is the vocabulary's longest term.
     """
     term = gazetteer.select(F.col("cased").alias("_cased"), F.array_join(
         F.regexp_extract_all("term", F.lit(token_regex), F.lit(0)), " ").alias("_term"))
     grams = small_side(term.select(F.lower("_term").alias("_low"), F.when(F.col("_cased"), F.col("_term")).alias("_exact"))
                        .where("_low <> ''").distinct())
     toks = df.select(*keys, F.regexp_extract_all(F.col(text), F.lit(token_regex), F.lit(0)).alias("_t"))
-    # N-grams are built inside the row, only where a token can open a term, so exploded rows are few and narrow.
-    opens = [r[0] for r in grams.select(F.split_part("_low", F.lit(" "), F.lit(1))).distinct().limit(max_openers + 1).collect()]
-    can_open = lambda w: F.lower(w).isin(opens) if len(opens) <= max_openers else F.lit(True)
+    # N-grams are built inside the row, only where a token can open a term and only of the numbers of words that terms
+    # have, so exploded rows are few and narrow. Each look is at a bounded list: openers by a set in the expression.
+    sizes = sorted(r[0] for r in grams.select(F.size(F.split("_low", " "))).distinct().collect())  # a few numbers of words
+    max_words = max(sizes, default=1)
+    first_words = grams.select(F.split_part("_low", F.lit(" "), F.lit(1)).alias("o")).distinct()
+    opens = [r[0] for r in first_words.limit(OPENERS + 1).collect()]
+    can_open = (lambda w: F.lower(w).isin(opens)) if len(opens) <= OPENERS else (lambda w: F.lit(True))
     at = F.filter(F.transform("_t", lambda w, i: F.when(can_open(w), i)), lambda i: i.isNotNull())
     spans = exploded(toks, keys, F.flatten(F.transform(at, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_words), F.size("_t") - i)), lambda n: F.struct(
+        F.filter(F.array(*[F.lit(n) for n in sizes or [1]]), lambda n: n <= F.size("_t") - i), lambda n: F.struct(
             i.alias("i"), n.alias("n"), F.array_join(F.slice("_t", i + 1, n), " ").alias("g"))))), "_j", "s")
     spelled = spans.select(*keys, F.col("s.i").alias("_i"), F.col("s.n").alias("_n"), F.col("s.g").alias("_raw"))
     found = (spelled.withColumn("_low", F.lower("_raw")).join(grams, "_low")

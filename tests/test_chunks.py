@@ -76,7 +76,7 @@ def test_three_isolated_code_summaries(chunks):
 
 def test_readme_repeats_get_own_ids(chunks):
     ids = {r.chunk_id for r in chunks.where("source_type = 'readme' and repo_id = 'r-1'").collect()}
-    assert {"r-1-readme-notes", "r-1-readme-notes-2", "r-1-readme-setup"} <= ids
+    assert {"r-1-readme-notes", "r-1-readme-notes~2", "r-1-readme-setup"} <= ids
     text = " ".join(r.content for r in chunks.where("repo_id = 'r-1' and source_type = 'readme'").collect())
     assert "shields" not in text and "License" not in text
     assert chunks.where("repo_id = 'r-2' and source_type = 'readme'").count() > 1
@@ -127,3 +127,22 @@ def test_deep_dive_and_unverified(chunks):
     slots = {r.slot for r in R.project_deep_dive(flat).where("project_key = 'harbor-map'").collect()}
     assert slots == {"project", "claim", "readme", "code_architecture", "code_testing", "code_commits"}
     assert R.unverified_claims(flat, "metric", 5).count() >= 2
+
+
+def test_chunk_ids_do_not_collide(spark):
+    windows = "word " * 900
+    readme = f"## Install\n{windows}\n## Install\nshort text\n## Install 2\nother text\n## 安装\nlocal text\n## 使用\nlocal use"
+    repos = spark.createDataFrame([("u", 7, "r", None, None, False, readme)], "user_id string, repo_id int, repo_name string, url string, description string, is_fork boolean, readme_text string")
+    ids = [r.chunk_id for r in C.readme_chunks(repos).collect()]
+    assert len(ids) == len(set(ids)) >= 7
+    titles = ["App", "App", "App 2", "Link X", "X", "应用", "程序"]
+    rows = spark.createDataFrame([("u", i, t, "https://x.org") for i, t in enumerate(titles)], "user_id string, project_id int, title string, url string")
+    made = rows.selectExpr("*", "'' as description", "cast(null as array<string>) as technologies", "'' as context", "cast(null as struct<repo_id:int,repo_name:string,url:string>) as repo")
+    ids = [r.chunk_id for r in C.project_chunks(made).union(C.project_link_chunks(made)).collect()]
+    assert len(ids) == len(set(ids)) == 14
+
+
+def test_claim_repository_is_that_of_the_key(spark):
+    rows = spark.createDataFrame([("u", 1, "foo", "k1", "r1"), ("u", 2, "foo", "k2", None)], "user_id string, seq int, project_name string, project_key string, repo_id string")
+    got = {r.name: (r.key, r.repo_id) for r in C.project_names(rows).collect()}
+    assert got == {"foo": ("k2", None), "k1": ("k1", "r1"), "k2": ("k2", None)}

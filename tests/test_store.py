@@ -43,7 +43,8 @@ def test_append_keeps_earlier_turns(spark, store):
 
 def test_batch_copies_of_one_key(spark, store):
     batch = spark.createDataFrame([("a", "1", "readme", f"v{i}") for i in range(50)], BATCH)
-    assert U.upsert_chunks(store, batch, "2024-01-01").where("user_id = 'a' and chunk_id = '1'").first().content == "v9"
+    settled = U.upsert_chunks(store, batch, "2024-01-01", version=F.col("content"))
+    assert settled.where("user_id = 'a' and chunk_id = '1'").first().content == "v9"
 
 
 def test_union_repos_matches_the_ordered_rule(spark):
@@ -58,8 +59,8 @@ def test_union_repos_matches_the_ordered_rule(spark):
             if not any(r[2] == s[2] or r[3] == s[3] for s in seen):
                 seen.append(r)
                 kept.append(r)
-    for rounds in (0, 2):
-        out = U.union_repos(spark.createDataFrame(gen, ddl), spark.createDataFrame(proj, ddl), rounds=rounds)
+    for rounds in (0, 3, 256):
+        out = U.union_repos(spark.createDataFrame(gen, ddl), spark.createDataFrame(proj, ddl), in_row=rounds)
         assert sorted((r.user_id, r.pos) for r in out.where("track = 'project'").collect()) == sorted((r[0], r[1]) for r in kept)
 
 
@@ -110,6 +111,23 @@ def test_stream_takes_the_newest_version_in_any_order(spark, tmp_path):
 
 def test_question_trees(spark):
     q = spark.createDataFrame([(i, i - 1 if i % 50 else None) for i in range(200)], "question_id int, parent_question_id int")
-    left = U.delete_question_trees(q, spark.createDataFrame([(3,), (120,)], "question_id int"), max_depth=6)
+    left = U.delete_question_trees(q, spark.createDataFrame([(3,), (120,)], "question_id int"))
     gone = {i for i in range(200) if 3 <= i < 50 or 120 <= i < 150}
     assert {r.question_id for r in left.collect()} == set(range(200)) - gone
+
+
+def test_question_trees_of_any_depth(spark):
+    rows = [(i, i - 1 if i else None) for i in range(300)] + [(1000, None)]
+    q = spark.createDataFrame(rows, "question_id int, parent_question_id int")
+    left = U.delete_question_trees(q, spark.createDataFrame([(5,)], "question_id int"))
+    assert sorted(r.question_id for r in left.collect()) == [0, 1, 2, 3, 4, 1000]
+    ring = spark.createDataFrame([(1, 2), (2, 1), (3, None)], "question_id int, parent_question_id int")
+    with pytest.raises(ValueError, match="cycle"):
+        U.delete_question_trees(ring, spark.createDataFrame([(1,)], "question_id int"))
+
+
+def test_copies_of_a_key_need_a_version(spark):
+    rows = spark.createDataFrame([("u", "c", 1), ("u", "c", 2)], "user_id string, chunk_id string, v int")
+    with pytest.raises(Exception, match="need a version"):
+        U.last_per_key(rows, ["user_id", "chunk_id"], None).collect()
+    assert [r.v for r in U.last_per_key(rows, ["user_id", "chunk_id"], F.col("v")).collect()] == [2]

@@ -90,3 +90,13 @@ def test_nearest_word_falls_back_across_any_distance(spark):
     k = spark.createDataFrame(links, "doc_id int, uri string, x0 double, x1 double, y0 double, y1 double")
     got = {r.uri: r.anchor for r in L.nearest_word(w, k).collect()}
     assert got == {"on": "w2", "near": "w4", "far": "w0", "none": ""}
+
+
+def test_terms_of_any_length_and_large_vocabularies(spark):
+    from profilelab.operators import structure
+
+    terms = [("natural language processing toolkit kit", False), ("a b c", False)] + [(f"opener{i} tail", False) for i in range(2500)]
+    gaz = spark.createDataFrame(terms, "term string, cased boolean")
+    docs = spark.createDataFrame([(1, "with natural language processing toolkit kit and a b c, opener2400 tail")], "doc_id int, content string")
+    got = structure.detected_tech(docs, gaz, ["doc_id"]).first().detected_tech
+    assert got == ["a b c", "natural language processing toolkit kit", "opener2400 tail"]
