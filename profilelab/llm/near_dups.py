@@ -12,8 +12,9 @@ linked when the Jaccard similarity of their full sets is at least `percent` / 10
    partner and goes no further, and a pair whose sizes leave no room beside them is none; so documents that merely share a
    common passage drop out unpaired.
 4. Rounds: inside each band key members meet a leader, whatever the size of the key; later rounds use other leaders
-   and skip keys whose members are in one component. What is then still apart inside a key is compared with all of
-   the key's members of other components, so no link is lost and no group of copies is expanded into all of its pairs.
+   and skip keys whose members are in one component. What is then still apart is compared wherever two sets of different
+   components share one of their rarest shingles, without which they can't reach the threshold, so no link is lost and
+   no group of copies is expanded into all of its pairs.
    A pair is first judged by bit counts: similarity = (equal share - 1/4) / (3/4), less five standard deviations;
    those that pass are confirmed on the full sets.
 
@@ -40,7 +41,7 @@ _A = _RNG.integers(0, 1 << 32, N_HASHES, dtype=np.uint32) | np.uint32(1)
 _B = _RNG.integers(0, 1 << 32, N_HASHES, dtype=np.uint32)
 _C = _RNG.integers(0, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 BROADCAST_ROWS = 200_000
-LEADER_TURNS = 4
+LEADER_TURNS = 2
 
 SIGNATURE = "doc long, n int, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
@@ -199,13 +200,30 @@ def _leaders(active: DataFrame, turn: int, percent: int) -> DataFrame:
     return active.select("key", *[F.col(x).alias(f"a{x}") for x in SIDE]).join(lead, "key").where(_likely(percent))
 
 
-def _across(active: DataFrame, percent: int) -> DataFrame:
-    """Members outside each key's largest component against all of the key's members of other components."""
-    sizes = active.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"))
-    few = active.join(largest, "key").where(F.col("comp") != F.col("most")).select("key", *[F.col(x).alias(f"a{x}") for x in SIDE])
-    every = active.select(F.col("key").alias("bkey"), *[F.col(x).alias(f"b{x}") for x in SIDE])
-    return few.join(every, (F.col("key") == F.col("bkey")) & _likely(percent))
+def _prefixes(active: DataFrame, sets: DataFrame, n_active: int, percent: int) -> DataFrame:
+    """The rarest shingles of each active member, as keys: sets of sizes a <= b that reach the threshold share one of the
+    a - 2 t a / (1 + t) + 1 rarest of the smaller (`short`) and the b - t b + 1 rarest of the larger, by any fixed order."""
+    ids = active.groupBy("id").agg(*[F.first(x).alias(x) for x in SIDE if x != "id"])
+    held = staged(sets.join(bounded_broadcast(ids.select("id"), n_active), "id").select("id", F.explode("set").alias("key")))
+    rarity = held.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1")
+    # Shingles of one member come first in its order, so only how many they are matters.
+    order = Window.partitionBy("id").orderBy("k", "key")
+    shared = held.join(rarity, "key").withColumn("r", F.row_number().over(order))
+    ranked = shared.join(bounded_broadcast(ids, n_active), "id").join(bounded_broadcast(held.join(rarity, "key", "left_anti").groupBy("id").agg(F.count(F.lit(1)).alias("alone")), n_active), "id", "left")
+    at = F.col("r") + F.coalesce("alone", F.lit(0))
+    long = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    short = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)) + 1
+    return staged(ranked.where(at <= long).select("key", *SIDE, (at <= short).alias("short")))
+
+
+def _across(tokens: DataFrame, percent: int) -> DataFrame:
+    """Members outside each key's largest component against the key's members of other components."""
+    sizes = tokens.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("key").agg(F.max_by("comp", F.struct("k", "comp")).alias("most"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    few = tokens.join(largest, "key").where(F.col("comp") != F.col("most")).select("key", *[F.col(x).alias(f"a{x}") for x in (*SIDE, "short")])
+    every = tokens.select(F.col("key").alias("bkey"), *[F.col(x).alias(f"b{x}") for x in (*SIDE, "short")])
+    fits = F.when(F.col("an") < F.col("bn"), F.col("ashort")).when(F.col("an") > F.col("bn"), F.col("bshort")).otherwise(F.col("ashort") & F.col("bshort"))
+    return few.join(every, (F.col("key") == F.col("bkey")) & fits & _likely(percent))
 
 
 def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -245,11 +263,15 @@ def _linked(docs: DataFrame, doc_id: str, text: str, reps: DataFrame, bits: list
             active = members.join(bounded_broadcast(comps, n_comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
             apart = active.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
             active = staged(active.join(apart, "key"))
+            n_active = active.select("id").distinct().count()
+            if not n_active:
+                break
+            tokens = _prefixes(active, sets, n_active, percent)
             # Comparing all that is apart is due once it is about as much work as reading the members.
-            sizes = active.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max("k").alias("top"))
+            sizes = tokens.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("k")).groupBy("key").agg(F.sum("k").alias("all"), F.max("k").alias("top"))
             across = sizes.agg(F.coalesce(F.sum((F.col("all") - F.col("top")).cast("double") * F.col("all")), F.lit(0.0))).first()[0]
-            full = turn >= LEADER_TURNS or across <= 4.0 * size
-        pairs = _across(active, percent) if full else _leaders(active, turn, percent)
+            full = turn >= LEADER_TURNS or across <= 8.0 * size
+        pairs = _across(tokens, percent) if full else _leaders(active, turn, percent)
         likely = pairs.select("aid", "bid", F.col("an").alias("na"), F.col("bn").alias("nb"), different().alias("gap")).groupBy(
             F.col("aid").alias("a"), F.col("bid").alias("b")).agg(*[F.min(x).alias(x) for x in ("na", "nb", "gap")])
         if tested is not None:
@@ -282,7 +304,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, reps: DataFrame, bits: list
                 break
             per_id *= 4
         else:
-            turn, per_id = turn + 1, 64
+            turn, per_id = turn + 1, 1024
     return bounded_broadcast(comps, n_comps) if n_comps else None
 
 
