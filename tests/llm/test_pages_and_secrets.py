@@ -1,0 +1,104 @@
+import base64
+import hashlib
+
+from profilelab.llm import html_extract, secrets, warc
+from tests.llm.conftest import frame
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body><header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
+<div class="cookie-notice">We use cookies<p>ok</div><div class="ad-box">buy</div>{main}<div id="comments"><p>a reader says something long enough to count as text</p></div>
+<form><p>Enter your name</p></form><script>var t="</p>";</script><footer>&copy; foot</footer></body></html>"""
+
+
+def pages(spark, rows):
+    return spark.createDataFrame([(*r, "x", 5) for r in rows], "page_id long, url string, html string, text string, n_chars int")
+
+
+def test_main_text():
+    article = "<article><h1>A &amp; B</h1><p>First\n\n paragraph <b>bold</b>.<p>Second &#233;&nbsp;x<br>y<ul><li>one<li>two</ul></article>"
+    assert html_extract.main_text(PAGE.replace("{main}", article)) == "A & B\nFirst paragraph bold.\nSecond é x y\none\ntwo"
+    plain = "<div id=content><h2>A heading here</h2><p>A long first paragraph with many words in it.</p><p>A long second paragraph with many words in it.</p></div>"
+    assert html_extract.main_text(PAGE.replace("{main}", plain)) == "A heading here\nA long first paragraph with many words in it.\nA long second paragraph with many words in it."
+    assert html_extract.main_text("") == "" and html_extract.main_text("just <b>text") == "just text"
+    assert html_extract.main_text("<article><p>A</p><div class='share'>tweet</div><aside>x</aside></article>") == "A"
+    assert len(html_extract.main_text("<article>" + "<p>word word</p>" * 5000 + "</article>").split("\n")) == 5000
+    assert html_extract.main_text("<div>" * 2000 + "deep text" + "</div>" * 2000) == "deep text"
+
+
+def test_smoothing_and_clusters():
+    import numpy as np
+
+    x = np.array([1.0, 1, 1, 60, 70, 65, 1, 1])
+    s = html_extract.smoothed(x, 1.0)
+    assert abs(html_extract.smoothed(np.ones(5), 2.0) - 1).max() < 1e-9
+    cut = html_extract.two_means_cut(s)
+    assert [bool(v > cut) for v in s] == [False, False, False, True, True, True, False, False]
+
+
+def test_extract_keeps_other_columns(spark):
+    got = html_extract.extract(pages(spark, [(1, "u", "<article><p>é é</p></article>"), (2, None, None), (2, None, None)])).collect()
+    assert sorted((r.page_id, r.text, r.n_chars) for r in got) == [(1, "é é", 3), (2, "", 0), (2, "", 0)]
+    assert html_extract.extract(pages(spark, [])).count() == 0
+
+
+def test_round_trip_of_archives(spark):
+    long = "<p>" + "é lang " * 60_000
+    rows = [(1, "http://a/ b\n", "same"), (2, None, "same"), (3, "u", None), (4, "u", ""), (5, "u", long), (None, "u", "same"), (6, "u", "own"), (6, "u", "own")]
+    index = warc.write_archives(pages(spark, rows).repartition(3), frame_bytes=1000, bundle_bytes=5000)
+    got = warc.read_archives(index).collect()
+    last = {}
+    for i, _, h in rows:
+        last[h or ""] = max(last.get(h or "", -1), -1 if i is None else i)
+    want = []
+    for i, _, h in rows:
+        raw = (h or "").encode()
+        first = i == last[h or ""]
+        want.append((i, len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if first else "revisit", None if first else last[h or ""]))
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got), key=key) == sorted(want, key=key)
+    assert {r.page_id: bytes(r.payload) for r in got if r.page_id == 5} == {5: long.encode()}
+    one = warc.fetch(index, spark.createDataFrame([(5,), (2,)], "record_id long")).collect()
+    assert sorted((r.page_id, bytes(r.payload) if r.payload is not None else None) for r in one)[0][0] == 2 and len(one) == 2
+    many = warc.read_archives(warc.write_archives(pages(spark, rows), min_bytes=4)).where("record_type = 'revisit'").collect()
+    assert sorted(str(r.page_id) for r in many) == ["1", "None"]  # shorter payloads are all responses
+    assert warc.read_archives(warc.write_archives(pages(spark, []))).count() == 0
+
+
+def secret_docs(spark):
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    token = lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40))
+    rows, real = [], {}
+    for i in range(300):
+        t = token()
+        if i % 3 == 0:
+            rows.append((i, f"{word()} é {word()} token = \"{t}\" {word()}"))
+            real[i] = t
+        elif i % 3 == 1:
+            rows.append((i, f"{word()} commit {t} {word()} {word()}"))
+        else:
+            rows.append((i, f"{word()} {word() * 4} {word()}"))
+    return frame(spark, rows), real
+
+
+def test_forest_removes_false_positives(spark, edge, empty):
+    docs, real = secret_docs(spark)
+    pairs, words = secrets.byte_pairs(docs), secrets.dictionary(docs)
+    found = secrets.candidates(docs, pairs, words).cache()
+    assert found.count() == 300
+    model = secrets.train(secrets.label_by_context(found.where("doc_id < 200")), trees=10)
+    kept = secrets.scan(found, model).where("doc_id >= 200").collect()
+    assert {r.doc_id: r.match for r in kept} == {i: t for i, t in real.items() if i >= 200}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert all(texts[r.doc_id][r.start : r.start + r.length] == r.match for r in found.collect())
+    odd = secrets.candidates(edge, pairs, words).collect()
+    assert {r.doc_id for r in odd} >= {15, 16}
+    assert secrets.candidates(empty, pairs, words).count() == 0
+    assert secrets.scan(found, secrets.train(secrets.label_by_context(found.where("doc_id < 0")))).where("score is null").count() == 300
+
+
+def test_private_key_header(spark):
+    docs = frame(spark, [(1, "é x -----BEGIN RSA PRIVATE KEY----- y"), (2, None)])
+    got = secrets.candidates(docs, secrets.byte_pairs(docs), secrets.dictionary(docs), path=None).collect()
+    assert [(r.doc_id, r.start, r.kind) for r in got] == [(1, 4, "pem")]
