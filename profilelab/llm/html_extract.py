@@ -85,7 +85,7 @@ class _Events(HTMLParser):
             self._close_implied(tag)
             hidden, article = self._state()
             self._new_line()
-        self.tags += 1
+        self.tags += not hidden
         if tag in VOID:
             if tag == "br" and not hidden:
                 self._add(" ")
@@ -122,7 +122,7 @@ class _Events(HTMLParser):
         del self.open[i:]
 
     def handle_endtag(self, tag):
-        self.tags += 1
+        self.tags += not self._state()[0]
         if tag in BLOCKS:
             self._new_line()
         for i in range(len(self.open) - 1, -1, -1):

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from profilelab.llm import packing, toxicity
 from tests.llm.conftest import frame
@@ -94,7 +95,7 @@ def test_held_out_accuracy(spark, toxic_rows, edge):
     docs = frame(spark, [r[:2] for r in toxic_rows])
     labels = spark.createDataFrame([(r[0], r[2]) for r in toxic_rows] + [(5000, 1), (None, 1), (3, None)], "doc_id long, toxic int")
     model = toxicity.train(docs, labels, max_rows=400)
-    held = {r.doc_id: r.score for r in toxicity.score(docs, model).where(toxicity.crc_part(docs["doc_id"]) == 1).collect()}
+    held = {r.doc_id: r.score for r in toxicity.score(docs, model).where(toxicity.crc_part(F.col("doc_id")) == 1).collect()}
     truth = {r[0]: r[2] for r in toxic_rows}
     right = sum((s >= toxicity.THRESHOLD) == bool(truth[i]) for i, s in held.items())
     assert len(held) > 200 and right / len(held) > 0.93
