@@ -110,7 +110,7 @@ FIXTURES = {
     # interview turns
     "turns": "SELECT conv_id AS user_id, turn, role, text FROM conversations WHERE role IN ('user', 'assistant')",
     "turn_vectors": """SELECT c.conv_id AS user_id, c.turn AS turn_number, concat(c.conv_id, '-turn-', c.turn) AS chunk_id, e.embedding AS embedding
-        FROM conversations c JOIN embeddings e ON e.vec_id = (c.conv_id * 8 + c.turn) % 500 WHERE c.role = 'user'""",
+        FROM (SELECT *, (SELECT count(*) FROM embeddings) AS n_vectors FROM conversations WHERE role = 'user') c JOIN embeddings e ON e.vec_id = (c.conv_id * 8 + c.turn) % c.n_vectors""",
     # profiles
     "profiles": """SELECT c_custkey AS user_id, CASE WHEN c_custkey % 5 = 0 THEN 'Candidate' WHEN c_custkey % 7 = 0 THEN NULL ELSE c_name END AS name,
         CASE WHEN c_custkey % 3 = 0 THEN '' ELSE concat('u', c_custkey, '@example.org') END AS email, CASE WHEN c_nationkey > 12 THEN concat('+1 ', c_custkey) ELSE NULL END AS phone FROM customer""",

@@ -100,7 +100,7 @@ def _(spark, sf):
 
 @query("c08_code_summary_chunks", """WITH s AS (SELECT r.*, CASE WHEN is_fork THEN NULL ELSE concat(stars, '.5') END AS arch, concat(forks, '') AS tst, CASE WHEN stars > 150 THEN 'n/k' ELSE concat(stars, '') END AS com FROM repos r)
     SELECT user_id, concat(repo_id, '-', kind) AS chunk_id, concat(repo_name, ':', kind) AS section, CASE kind
-        WHEN 'architecture' THEN concat('Repository Architecture & Stack: ', repo_name, chr(10), 'Description: ', description, chr(10), 'URL: ', url, chr(10), 'Architecture score: ', coalesce(arch, 'N/A'), '/100. Overall code score: N/A/100. Primary languages: Go/SQL.')
+        WHEN 'architecture' THEN concat('Repository Architecture & Stack: ', repo_name, chr(10), 'Description: ', description, chr(10), 'URL: ', url, chr(10), 'Architecture score: ', coalesce(arch, 'N/A'), '/100. Overall code score: N/A/100. Primary languages: Go, SQL.')
         WHEN 'testing' THEN concat('Repository Testing & Quality: ', repo_name, chr(10), 'Testing score: ', tst, '/100. Code complexity score: N/A/100. Documentation score: N/A/100.')
         ELSE concat('Repository Commit Habits & Consistency: ', repo_name, chr(10), 'Commit history score: N/A/100.', CASE WHEN try_cast(com AS DOUBLE) = 0 THEN '' ELSE concat(chr(10), 'Total commits analyzed: ', com, '.') END) END AS content,
         CASE kind WHEN 'architecture' THEN try_cast(arch AS DOUBLE) WHEN 'testing' THEN try_cast(tst AS DOUBLE) ELSE try_cast(com AS DOUBLE) END AS score

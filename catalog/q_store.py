@@ -269,7 +269,7 @@ LISTED = """SELECT o_orderkey AS id, concat('r', o_orderkey) AS name, named_stru
 
 @query("s01_read_repos", """SELECT o_orderkey AS repo_id, concat('u', o_custkey) AS owner, concat('r', o_orderkey) AS name, o_orderstatus = 'F' AS is_fork, CAST(CAST(o_orderdate AS DATE) AS TIMESTAMP) AS pushed_at, CAST(floor(o_totalprice) AS BIGINT) % 300 AS stars,
     CASE WHEN o_orderstatus = 'P' THEN 0 ELSE CAST(floor(o_totalprice) AS BIGINT) % 7 END AS forks, o_orderpriority AS language, o_orderkey % 9 AS size_kb, CASE WHEN o_orderstatus = 'O' THEN concat('https://github.com/', o_orderkey, '.git') ELSE concat('https://github.com/', o_orderkey) END AS url,
-    CAST(NULL AS VARCHAR) AS description, o_orderkey % 4 * 1000 + o_orderkey % 50 AS fetch_pos FROM orders""")
+    CAST(NULL AS VARCHAR) AS description, o_orderkey % 4 * 4294967296 + o_orderkey % 50 AS fetch_pos FROM orders""")
 def _(spark, sf):
     fx(spark, sf, "orders")
     root = scratch_dir(spark)

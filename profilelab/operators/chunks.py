@@ -224,8 +224,8 @@ def readme_blocks(c) -> Column:
 
 def readme_chunks(repos: DataFrame, max_tokens: int = 400, plain_tokens: int = 100, plain_overlap: int = 20) -> DataFrame:
     """repos(user_id, repo_id, repo_name, url, description, is_fork, readme_text) -> heading or window chunks."""
-    keep = ["user_id", "repo_id", "repo_name", "url", "description", "is_fork"]
-    base = repos.withColumn("_c", cleaned_readme(F.coalesce("readme_text", F.lit(""))))
+    keep = ["user_id", "repo_id", "repo_name", "url", "description", "is_fork", "languages"]
+    base = repos.withColumn("languages", language_list(repos)).withColumn("_c", cleaned_readme(F.coalesce("readme_text", F.lit(""))))
     # Repeats of one heading within one README: numbered inside the row, before any window is cut.
     rows = base.withColumn("_b", readme_blocks("_c")).withColumn("_k", F.transform(
         "_b", lambda x: t.project_key(F.coalesce(x["label"], F.lit("")))))
@@ -248,9 +248,18 @@ def readme_chunks(repos: DataFrame, max_tokens: int = 400, plain_tokens: int = 1
                F.concat(base_id, F.lit("-readme-"), t.project_key("label"), nth, suffix))))
     return as_chunks(out, "readme", section=F.col("section"), repo_name=F.col("repo_name"),
                      project_key=t.project_key("repo_name"), url=F.col("url"), description=F.col("description"),
-                     is_fork=F.col("is_fork"))
+                     is_fork=F.col("is_fork"), languages=F.col("languages"))
 
 
+def language_list(repos: DataFrame) -> Column:
+    """The repositories' languages as a list: names of a map, a list as it is, one language alone; null without the column."""
+    kind = dict(repos.dtypes).get("languages")
+    if kind is None:
+        return F.lit(None).cast("array<string>")
+    return F.map_keys("languages") if kind.startswith("map") else F.col("languages") if kind.startswith("array") else F.array(F.col("languages").cast("string"))
+
+
+# Score fields in the order of the summaries.
 SCORE_FIELDS = ["overall_code_score", "architecture_score", "testing_score", "complexity_score", "documentation_score",
                 "commit_score", "commit_count", "streak_days", "active_days_ratio"]
 
@@ -258,7 +267,7 @@ SCORE_FIELDS = ["overall_code_score", "architecture_score", "testing_score", "co
 def code_summary_chunks(repos: DataFrame) -> DataFrame:
     """Three chunks per repository; a missing score reads N/A.
 
-    repos(user_id, repo_id, repo_name, url, description, languages array<string>, score columns as text or number).
+    repos(user_id, repo_id, repo_name, url, description, languages as map, array or string, score columns as text or number).
     """
     for c in SCORE_FIELDS:
         if c not in repos.columns:
@@ -266,7 +275,10 @@ def code_summary_chunks(repos: DataFrame) -> DataFrame:
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
     number = lambda c: F.expr(f"try_cast({c} as double)")
     positive = lambda c: F.coalesce(number(c) != 0, F.col(c).isNotNull() & (F.col(c).cast("string") != ""))
-    langs = F.coalesce(F.nullif(F.array_join("languages", "/"), F.lit("")), F.lit("unspecified language(s)"))
+    # A map of languages is joined by "/", a list by ", ", one language is shown as it is.
+    listed = language_list(repos)
+    joined = F.array_join(listed, "/" if dict(repos.dtypes).get("languages", "").startswith("map") else ", ")
+    langs = F.coalesce(F.nullif(joined, F.lit("")), F.lit("unspecified language(s)"))
     arch = F.concat_ws("\n", F.concat(F.lit("Repository Architecture & Stack: "), "repo_name"),
                        F.when(~blank("description"), F.concat(F.lit("Description: "), "description")),
                        F.when(~blank("url"), F.concat(F.lit("URL: "), "url")),
@@ -296,7 +308,7 @@ def code_summary_chunks(repos: DataFrame) -> DataFrame:
            .withColumn("chunk_id", F.concat(base, F.lit("-"), "kind")))
     is_arch = F.col("kind") == "architecture"
     return as_chunks(out, "code_summary", section=F.col("section"), repo_name=F.col("repo_name"), project_key=key,
-                     summary_kind=F.col("kind"), scores=F.col("scores"), url=F.when(is_arch, F.col("url")),
+                     summary_kind=F.col("kind"), scores=F.col("scores"), languages=F.when(is_arch, listed), url=F.when(is_arch, F.col("url")),
                      description=F.when(is_arch, F.col("description")))
 
 

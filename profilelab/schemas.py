@@ -12,7 +12,7 @@ META_FIELDS = {
     "all_skills_count": "int", "project_name": "string", "project_key": "string", "description": "string",
     "technologies": "array<string>", "url": "string", "context": "string", "github_repo_id": "string",
     "github_repo_name": "string", "github_url": "string", "entry_index": "int", "years_of_experience": "double",
-    "repo_name": "string", "is_fork": "boolean", "summary_kind": "string", "scores": "map<string,double>",
+    "repo_name": "string", "languages": "array<string>", "is_fork": "boolean", "summary_kind": "string", "scores": "map<string,double>",
     "claim_type": "string", "verified": "boolean", "question_topic": "string", "turn_number": "int",
     "evaluation_score": "double", "username": "string", "overall_score": "double",
     "sub_scores": "map<string,double>", "detected_tech": "array<string>",
@@ -39,4 +39,3 @@ ACTIVITY_EVENT = (
     "id string, actor struct<login:string>, type string, created_at string, "
     "payload struct<commits:array<struct<sha:string>>>")
 
-GAZETTEER_LINE = ("label string, pattern array<map<string,string>>")

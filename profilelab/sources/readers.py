@@ -22,7 +22,8 @@ def spread(df: DataFrame, text_columns=("text", "html")) -> DataFrame:
 
 def listed_repos(raw: DataFrame) -> DataFrame:
     """Landed listing rows -> one row per repository id, the first page entry wins; fetch_pos keeps page order."""
-    pos = (F.coalesce("page", F.lit(0)).cast("long") * 1000 + F.coalesce("page_pos", F.lit(0))).alias("fetch_pos")
+    # Page and place in one number: places have 32 bits, so no page is too long.
+    pos = (F.shiftleft(F.coalesce("page", F.lit(0)).cast("long"), 32) + F.coalesce("page_pos", F.lit(0))).alias("fetch_pos")
     rest = [c for c in raw.columns if c not in ("id", "page", "page_pos")]
     first = raw.select("id", pos, F.struct(*rest).alias("r")).groupBy("id").agg(
         F.min_by("r", "fetch_pos").alias("r"), F.min("fetch_pos").alias("fetch_pos"))

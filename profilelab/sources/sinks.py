@@ -1,8 +1,12 @@
-"""Versioned tables. A write lands in a new directory and becomes visible when the pointer file is replaced."""
+"""Versioned tables. A write lands in a new directory and becomes visible when the pointer file is replaced.
+
+The pointer names the directories of the current version, one a line: one after an overwrite, one more after each append.
+It is written beside its place and renamed over it, so a reader sees the old or the new list, never a part of one."""
 
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,43 +19,56 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def current_version(spark: SparkSession, root: str, name: str) -> str | None:
-    """Directory the table's pointer names, None before the first write."""
+def current_parts(spark: SparkSession, root: str, name: str) -> list[str]:
+    """Directories the table's pointer names, none before the first write."""
     fs, p = _fs(spark, f"{root}/{name}/{_POINTER}")
     if not fs.exists(p):
-        return None
+        return []
     stream = fs.open(p)
     try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").strip()
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
     finally:
         stream.close()
 
 
+def current_version(spark: SparkSession, root: str, name: str) -> str | None:
+    """Directory of the last overwrite, None before the first write."""
+    return next(iter(current_parts(spark, root, name)), None)
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    version = current_version(spark, root, name)
-    return None if version is None else spark.read.parquet(f"{root}/{name}/{version}")
+    parts = current_parts(spark, root, name)
+    tables = [spark.read.parquet(f"{root}/{name}/{p}") for p in parts]  # each directory has its own partition folders
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else None
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", partition_by: list[str] | None = None,
                 rows_per_file: int = 2_000_000) -> str:
     """Write a snapshot ('overwrite': swap in a new version) or add rows to the current one ('append').
 
-    A failed or repeated overwrite never disturbs readers: the pointer moves only after the data is complete.
+    A failed or repeated write never disturbs readers: the pointer moves only after the data is complete.
     """
     spark = df.sparkSession
-    version = current_version(spark, root, name)
-    fresh = mode == "overwrite" or version is None
-    if fresh:
-        version = f"v-{uuid.uuid4().hex}"
-    writer = df.write.mode("errorifexists" if fresh else "append").option("maxRecordsPerFile", rows_per_file)
+    version = f"v-{uuid.uuid4().hex}"
+    kept = [] if mode == "overwrite" else current_parts(spark, root, name)
+    writer = df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file)
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{root}/{name}/{version}")
-    if fresh:
-        fs, p = _fs(spark, f"{root}/{name}/{_POINTER}")
-        out = fs.create(p, True)
-        try:
-            out.write(bytearray(version.encode("utf-8")))
-        finally:
-            out.close()
+    _point(spark, root, name, [*kept, version])
     return version
+
+
+def _point(spark: SparkSession, root: str, name: str, parts: list[str]) -> None:
+    """Replace the pointer by one rename."""
+    fs, beside = _fs(spark, f"{root}/{name}/{_POINTER}-{uuid.uuid4().hex}")
+    out = fs.create(beside, True)
+    try:
+        out.write(bytearray("\n".join(parts).encode("utf-8")))
+    finally:
+        out.close()
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{_POINTER}")
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(beside, target, options)

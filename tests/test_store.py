@@ -131,3 +131,17 @@ def test_copies_of_a_key_need_a_version(spark):
     with pytest.raises(Exception, match="need a version"):
         U.last_per_key(rows, ["user_id", "chunk_id"], None).collect()
     assert [r.v for r in U.last_per_key(rows, ["user_id", "chunk_id"], F.col("v")).collect()] == [2]
+
+
+def test_readers_see_whole_versions(spark, tmp_path):
+    import os
+
+    root = str(tmp_path / "tables")
+    sinks.write_table(spark.range(3), root, "t")
+    before = sinks.read_table(spark, root, "t")
+    sinks.write_table(spark.range(4), root, "t", mode="append")
+    assert before.count() == 3 and sinks.read_table(spark, root, "t").count() == 7
+    assert len(sinks.current_parts(spark, root, "t")) == 2
+    sinks.write_table(spark.range(1), root, "t")
+    assert sinks.read_table(spark, root, "t").count() == 1
+    assert [f for f in os.listdir(f"{root}/t") if f.startswith("_current-")] == []
