@@ -18,11 +18,6 @@ def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def cosine(a, b) -> Column:
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return dot(a, b) / (norm(a) * norm(b))
-
-
 def live(chunks: DataFrame) -> DataFrame:
     return chunks.where("deleted_at is null") if "deleted_at" in chunks.columns else chunks
 
@@ -48,11 +43,14 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int | str = 4, min_sim: f
     if repo_id is not None:
         pool = pool.where(F.col("repo_id") == repo_id)
     q = queries.withColumnRenamed("source_types", "_types") if "source_types" in queries.columns else queries
-    pairs = salted_join(pool, q, ["user_id"], ["chunk_id"], counts=pool.select("user_id"), rows_per_task=rows_per_task)
+    pair = lambda own, keys: salted_join(pool, own, keys, ["chunk_id"], counts=pool.select(*keys), rows_per_task=rows_per_task)
+    if "_types" in q.columns:  # the wanted types are part of the key, so no vector is copied for a pair of another type
+        typed = q.withColumn("source_type", F.explode(F.array_distinct("_types"))).drop("_types")
+        pairs = pair(q.where("_types is null").drop("_types"), ["user_id"]).unionByName(pair(typed, ["user_id", "source_type"]))
+    else:
+        pairs = pair(q, ["user_id"])
     if condition is not None:
         pairs = pairs.where(condition)
-    if "_types" in pairs.columns:
-        pairs = pairs.where(F.col("_types").isNull() | F.array_contains("_types", F.col("source_type")))
     scored = pairs.withColumn("similarity", dot("vector", "embedding")).drop("embedding", "vector")
     if min_sim is not None:
         scored = scored.where(F.col("similarity") >= min_sim)
