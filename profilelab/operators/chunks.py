@@ -14,8 +14,8 @@ from profilelab.operators.windows import token_windows_of
 from profilelab.schemas import CHUNK_COLUMNS, META_FIELDS
 
 
-def as_chunks(df: DataFrame, source_type: str, **meta: Column) -> DataFrame:
-    """Project to the chunk columns; absent metadata fields are typed nulls."""
+def as_chunks(df: DataFrame, source_type: str, keep: tuple[str, ...] = (), **meta: Column) -> DataFrame:
+    """Project to the chunk columns (and those of `keep`); absent metadata fields are typed nulls."""
     missing = set(meta) - set(META_FIELDS)
     if missing:
         raise ValueError(f"unknown metadata fields: {sorted(missing)}")
@@ -23,7 +23,7 @@ def as_chunks(df: DataFrame, source_type: str, **meta: Column) -> DataFrame:
                         for n, ty in META_FIELDS.items()])
     repo = F.col("repo_id").cast("string") if "repo_id" in df.columns else F.lit(None).cast("string")
     return df.select(F.col("user_id"), F.lit(source_type).alias("source_type"), F.col("chunk_id"), F.col("section"),
-                     F.col("content"), repo.alias("repo_id"), struct.alias("metadata")).select(*CHUNK_COLUMNS)
+                     F.col("content"), repo.alias("repo_id"), struct.alias("metadata"), *keep).select(*CHUNK_COLUMNS, *keep)
 
 
 def skill_chunks(skills: DataFrame, taxonomy: dict | None = None, batch: int = 15) -> DataFrame:
@@ -98,7 +98,13 @@ def _id_key(key: str, title: str) -> Column:
             .when(F.col(key).startswith("link-"), F.concat(F.lit("~"), F.col(key))).otherwise(F.col(key)))
 
 
-def project_chunks(matched: DataFrame, project_id: str = "project_id") -> DataFrame:
+def _list_order(df: DataFrame, track: int, position: str) -> Column:
+    """Track and position as sortable text: projects before links, each in list order."""
+    at = F.col(position).cast("string")
+    return F.concat(F.lit(f"{track}:"), at if dict(df.dtypes)[position] == "string" else F.lpad(at, 20, "0"))
+
+
+def project_chunks(matched: DataFrame, project_id: str = "project_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """matched(user_id, project_id, title, description, technologies, url, repo) -> one chunk per project."""
     have = lambda c: ~blank(c)
     tech = F.array_join(F.coalesce("technologies", F.array().cast("array<string>")), ", ")
@@ -113,13 +119,14 @@ def project_chunks(matched: DataFrame, project_id: str = "project_id") -> DataFr
     out = out.withColumn("_id", _id_key("key", "title"))
     out = out.withColumn("chunk_id", F.concat(F.col("user_id").cast("string"), F.lit("-project-"), "_id", _occurrence(
         out, ["user_id", "_id"], [F.col(project_id)])))
-    return as_chunks(out, "project", section=F.col("section"), project_name=F.col("title"), project_key=F.col("key"),
+    out = out.withColumn("seq", _list_order(out, 0, project_id))
+    return as_chunks(out, "project", keep, section=F.col("section"), project_name=F.col("title"), project_key=F.col("key"),
                      description=F.col("description"), technologies=F.col("technologies"), url=F.col("url"),
                      github_repo_id=F.col("repo.repo_id"), github_repo_name=F.col("repo.repo_name"),
                      github_url=F.col("repo.url"))
 
 
-def project_link_chunks(matched: DataFrame, link_id: str = "project_id") -> DataFrame:
+def project_link_chunks(matched: DataFrame, link_id: str = "project_id", keep: tuple[str, ...] = ()) -> DataFrame:
     """C4: matched(user_id, id, title, url, context, repo) -> one chunk per link that has a URI."""
     name = F.when(~blank("title"), F.col("title")).otherwise("Project Link")
     out = (matched.where(~blank("url")).withColumn("title", name)
@@ -132,7 +139,8 @@ def project_link_chunks(matched: DataFrame, link_id: str = "project_id") -> Data
     out = out.withColumn("_id", _id_key("key", "title"))
     out = out.withColumn("chunk_id", F.concat(F.col("user_id").cast("string"), F.lit("-project-link-"), "_id", _occurrence(
         out, ["user_id", "_id"], [F.col(link_id)])))
-    return as_chunks(out, "project", section=F.col("section"), project_name=F.col("title"), project_key=F.col("key"),
+    out = out.withColumn("seq", _list_order(out, 1, link_id))
+    return as_chunks(out, "project", keep, section=F.col("section"), project_name=F.col("title"), project_key=F.col("key"),
                      url=F.col("url"), context=F.col("context"), github_repo_id=F.col("repo.repo_id"),
                      github_repo_name=F.col("repo.repo_name"))
 

@@ -146,3 +146,21 @@ def test_claim_repository_is_that_of_the_key(spark):
     rows = spark.createDataFrame([("u", 1, "foo", "k1", "r1"), ("u", 2, "foo", "k2", None)], "user_id string, seq int, project_name string, project_key string, repo_id string")
     got = {r.name: (r.key, r.repo_id) for r in C.project_names(rows).collect()}
     assert got == {"foo": ("k2", None), "k1": ("k1", "r1"), "k2": ("k2", None)}
+
+
+def test_sections_stand_in_for_a_missing_resume(spark):
+    from profilelab.plans import jobs
+
+    sections = spark.createDataFrame([("a", "Work", "built it"), ("a", "Awards", "won"), ("b", "Work", "x"), ("c", "Work", " ")], "user_id string, section string, body string")
+    resumes = spark.createDataFrame([("b", "1", "own text"), ("c", "1", "")], "user_id string, seq string, text string")
+    assert {(r.user_id, r.text) for r in jobs.with_section_text(resumes, sections).collect()} == {("a", "won\n\nbuilt it"), ("b", "own text")}
+    assert jobs.with_section_text(None, sections).count() == 2
+
+
+def test_first_project_in_list_order_names_the_claim(spark):
+    from profilelab.plans import jobs
+
+    projects = spark.createDataFrame([("u", 2, "Zeta app", "We built a zeta tool for many users.", None, ""), ("u", 10, "Alpha app", "We built a zeta tool for many users.", None, "")],
+                                     "user_id string, project_id int, title string, description string, technologies array<string>, url string")
+    got = jobs.build_all_chunks(projects=projects, on_long="keep").where("source_type = 'claim'").collect()
+    assert [r.metadata.project_key for r in got] == ["zeta-app"]
