@@ -261,6 +261,7 @@ def _linked(docs: DataFrame, doc_id: str, text: str, reps: DataFrame, bits: list
         active, full = members.withColumn("comp", F.col("id")), False
         if comps is not None:
             active = members.join(bounded_broadcast(comps, n_comps), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        if turn > 0:
             apart = active.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo != hi").select("key")
             active = staged(active.join(apart, "key"))
             n_active = active.select("id").distinct().count()

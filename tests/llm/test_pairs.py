@@ -117,7 +117,7 @@ def items(spark, rows):
 def test_contamination_matches_brute_force(spark, edge, edge_rows, monkeypatch):
     tests = [(1, edge_rows[0][1][:200]), (20, "TOK tok, tok"), (3, None), (4, ""), (5, "..."), (6, "Two words!"), (7, edge_rows[11][1]), (8, "never found at all")]
     want = brute_contamination(edge_rows, tests)
-    for chunk in (50_000, 7):  # windows in one broadcast, and in many
+    for chunk in (50_000, 60):  # windows in one broadcast, and in many
         monkeypatch.setattr(decontaminate, "CHUNK", chunk)
         got = decontaminate.contamination(edge, items(spark, tests))
         assert sorted((r.doc, r.n_words, r.n_hit, ",".join(r["items"])) for r in got.collect()) == want
@@ -172,3 +172,14 @@ def test_short_spans(spark):
     rows = [(i, "".join(rng.choice("ab") for _ in range(120))) for i in range(30)]
     got = suffix_dedup.dedup_spans(frame(spark, rows), span=20, step=5)
     assert sorted((r.doc, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_spans(rows, 20)
+
+
+def test_candidates_without_any_link(spark, words):
+    """Pairs that share band keys but not enough shingles: the rounds end, and nobody is grouped."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(40):
+        common = [rng.choice(words) for _ in range(100)]
+        rows += [(2 * i, " ".join(common + [rng.choice(words) for _ in range(22)])), (2 * i + 1, " ".join(common + [rng.choice(words) for _ in range(22)]))]
+    got = sorted((r.doc, r.n, r.component) for r in near_dups.group_near_duplicates(frame(spark, rows)).collect())
+    assert got == brute_groups(rows)
