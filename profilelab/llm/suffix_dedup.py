@@ -36,9 +36,9 @@ from profilelab.llm.common import drop, shared_dir, staged, table
 from profilelab.llm.near_dups import bounded_broadcast
 from profilelab.llm.words import mix, prefix_hashes, row_groups, span_hashes, string_parts
 
-SPAN, STEP, GRAM, FAN_IN, BLOCK_BYTES = 100, 25, 16, 64, 4 << 20
+SPAN, STEP, GRAM, FAN_IN, BLOCK_BYTES = 100, 50, 16, 64, 2 << 20
 _LAST = (1 << 63) - 1
-BLOCKS = "block long, path string, start long, size long, part int, hashes binary"
+BLOCKS = "block long, path string, start long, size long, hashes binary"
 RESULT = "doc long, fp long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -97,7 +97,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, span: int) -> Runs:
     return Runs(h[place[head]], valid[head], np.diff(head, append=len(valid)))
 
 
-SEGMENTS = ("block", "row", "doc", "at", "run")
+SEGMENTS = ("block", "row", "doc", "at", "run", "anchor")
 
 
 def pack_segments(cols: dict[str, np.ndarray], data: np.ndarray) -> bytes:
@@ -222,22 +222,28 @@ def _flag_runs(cols: dict[str, np.ndarray], flags: np.ndarray) -> tuple[np.ndarr
     return seg, a - begin[seg], b - a
 
 
-MERGED = "kind int, block long, part int, packed binary"
+MERGED = "kind int, block long, part long, packed binary"
 
 
-def _merge_group(rows: pa.Table, span: int, step: int, last: bool) -> pa.Table:
-    """Marks of repeats for each block (kind 0), and the segments whose spans go on as one shard (kind 1)."""
-    parts = [unpack_segments(x) for x in rows.column("packed").to_pylist()]
-    part = rows.column("part")[0].as_py()
-    cols, data, offsets, flags = repeated_starts(parts, span, step)
+def dealt(anchors: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
+    """(part, indexes) of the anchors, by part."""
+    to = (mix(anchors.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    by = np.argsort(to, kind="stable")
+    return [(int(to[g[0]]), g) for g in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(g)]
+
+
+def _merge_group(rows: pa.Table, span: int, step: int, parts: int) -> pa.Table:
+    """Marks of repeats for each block (kind 0), and the segments whose spans go on (kind 1), dealt to the next level's
+    `parts`, one shard each; 0 at the last level."""
+    cols, data, offsets, flags = repeated_starts([unpack_segments(x) for x in rows.column("packed").to_pylist()], span, step)
     out: list[tuple] = []
     seg, at, n = _flag_runs(cols, flags)
     home = cols["block"][seg]
     by = np.argsort(home, kind="stable")
     for own in np.split(by, np.flatnonzero(np.diff(home[by])) + 1) if len(by) else []:
         marks = np.stack([cols["row"][seg[own]], cols["at"][seg[own]] + at[own], n[own]]).astype(np.int64)
-        out.append((0, int(home[own[0]]), part, zstandard.ZstdCompressor(level=1).compress(marks.tobytes())))
-    if not last:
+        out.append((0, int(home[own[0]]), 0, zstandard.ZstdCompressor(level=1).compress(marks.tobytes())))
+    if parts:
         seg, at, n = _flag_runs(cols, ~flags)
         if len(seg):
             keep = np.unique(seg)
@@ -247,17 +253,19 @@ def _merge_group(rows: pa.Table, span: int, step: int, last: bool) -> pa.Table:
             np.maximum.at(hi, seg, at + n)
             lo, hi = lo[keep], hi[keep]
             new = {c: cols[c][keep] for c in SEGMENTS} | {"at": cols["at"][keep] + lo, "run": hi - lo}
-            out.append((1, 0, part, pack_segments(new, data[_ranges(offsets[keep] + lo, hi - lo + span - 1)])))
+            first = offsets[keep] + lo
+            for part, g in dealt(new["anchor"], parts):
+                out.append((1, 0, part, pack_segments({c: new[c][g] for c in SEGMENTS}, data[_ranges(first[g], new["run"][g] + span - 1)])))
     kinds, blocks, parts_, packed = zip(*out) if out else ((), (), (), ())
-    return pa.table({"kind": pa.array(kinds, pa.int32()), "block": pa.array(blocks, pa.int64()), "part": pa.array(parts_, pa.int32()), "packed": pa.array(packed, pa.binary())})
+    return pa.table({"kind": pa.array(kinds, pa.int32()), "block": pa.array(blocks, pa.int64()), "part": pa.array(parts_, pa.int64()), "packed": pa.array(packed, pa.binary())})
 
 
-def _merger(span: int, step: int, last: bool):
-    return lambda rows: _merge_group(rows, span, step, last)
+def _merger(span: int, step: int, parts: int):
+    return lambda rows: _merge_group(rows, span, step, parts)
 
 
-def _write_blocks(docs: DataFrame, folder: str, span: int, parts: int) -> DataFrame:
-    """Write the blocks; one row per block and part with its distinct anchors, a row at least for each block."""
+def _write_blocks(docs: DataFrame, folder: str, span: int) -> DataFrame:
+    """Write the blocks; one row per block with its distinct anchors."""
     def batches(it):
         out, at, path = None, 0, f"{folder}/{uuid.uuid4().hex}.blocks"
         for batch in it:
@@ -273,15 +281,8 @@ def _write_blocks(docs: DataFrame, folder: str, span: int, parts: int) -> DataFr
                 out.write(packed)
                 number = int.from_bytes(hashlib.blake2b(f"{path}:{at}".encode(), digest_size=8).digest(), "little", signed=True)
                 own = np.unique(anchor_runs(block.data, block.offsets, span).hashes)
-                to = (mix(own) % np.uint64(parts)).astype(np.int32)
-                order = np.argsort(to, kind="stable")
-                cuts = np.flatnonzero(np.diff(to[order])) + 1
-                groups = [g for g in np.split(order, cuts) if len(g)]
-                named = [int(to[g[0]]) for g in groups] or [-1]
-                k = len(named)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([number] * k), pa.array([path] * k), pa.array([at] * k), pa.array([len(packed)] * k), pa.array(named, pa.int32()),
-                    pa.array([own[g].tobytes() for g in groups] or [b""], pa.binary())], ["block", "path", "start", "size", "part", "hashes"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([path]), pa.array([at]), pa.array([len(packed)]), pa.array([own.tobytes()], pa.binary())],
+                                                 ["block", "path", "start", "size", "hashes"])
                 at += len(packed)
         if out is not None:
             out.close()
@@ -308,7 +309,6 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     if span % step or span < 2 * step or span < GRAM:
         raise ValueError("span must be a multiple of step, at least two of them, and no shorter than an anchor")
     spark = docs.sparkSession
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     t = F.coalesce(F.col(text), F.lit(""))
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(_LAST)).alias("doc"), F.xxhash64(t).alias("fp"), t.alias("text"))
     digests = rows.select("doc", "fp", F.xxhash64(F.lit("second"), "text").alias("fp2"), F.octet_length("text").cast("long").alias("n_bytes"))
@@ -319,9 +319,22 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     copies = digests.join(listed, ["fp", "fp2", "n_bytes"]).where(copy & (F.col("n_bytes") >= span))
     own = rows.select("*", F.xxhash64(F.lit("second"), "text").alias("fp2"), F.octet_length("text").cast("long").alias("n_bytes")).join(listed, ["fp", "fp2", "n_bytes"], "left")
     own = own.where(~(copy & (F.col("n_bytes") >= span))).select("doc", "fp", "text")
-    blocks = _write_blocks(own, shared_dir(spark), span, parts)
-    places = blocks.select("block", "path", "start", "size").distinct()
-    bits = blocks.where("part >= 0").select("block", "part", "hashes").groupBy("part").applyInArrow(_shared_anchors, "block long, part int, bits binary")
+    blocks = _write_blocks(own, shared_dir(spark), span)
+    places = blocks.select("block", "path", "start", "size")
+    n_blocks = places.count()
+    # Parts grow with the number of blocks: a few blocks' anchors each, and at every level of merging about the same load.
+    anchor_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 4)
+    parts = 2 * max(1, min(n_blocks, fan_in))
+
+    def by_part(it):
+        for batch in it:
+            for block, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = np.frombuffer(raw, np.uint64)
+                for part, g in dealt(own, anchor_parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([part]), pa.array([own[g].tobytes()], pa.binary())], ["block", "part", "hashes"])
+
+    split = blocks.select("block", "hashes").mapInArrow(by_part, "block long, part long, hashes binary")
+    bits = split.groupBy("part").applyInArrow(_shared_anchors, "block long, part long, bits binary")
     flags = bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("flags"))
 
     def segments(it):
@@ -330,36 +343,33 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
                 block = read_block(row["path"], row["start"], row["size"])
                 runs = anchor_runs(block.data, block.offsets, span)
                 own, inverse, count = np.unique(runs.hashes, return_inverse=True, return_counts=True)
-                to = (mix(own) % np.uint64(parts)).astype(np.int32)
-                shared = count > 1
+                shared, of = count > 1, dict(dealt(own, anchor_parts))
                 for f in row["flags"]:
-                    mine = np.flatnonzero(to == f["part"])
+                    mine = of[f["part"]]
                     shared[mine] |= np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=len(mine)).astype(bool)
                 chosen = np.flatnonzero(shared[inverse])
-                part = to[inverse[chosen]]
-                by = np.argsort(part, kind="stable")
-                for g in np.split(chosen[by], np.flatnonzero(np.diff(part[by])) + 1):
-                    if len(g):
-                        start, n = runs.starts[g], runs.lengths[g]
-                        d = np.searchsorted(block.offsets, start, side="right") - 1
-                        cols = {"block": np.full(len(g), row["block"]), "row": d, "doc": block.ids[d], "at": start - block.offsets[d], "run": n}
-                        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([row["block"]]), pa.array([int(to[inverse[g[0]]])], pa.int32()),
-                                                          pa.array([pack_segments(cols, block.data[_ranges(start, n + span - 1)])], pa.binary())], ["kind", "block", "part", "packed"])
+                anchor = runs.hashes[chosen]
+                for part, g in dealt(anchor, parts):
+                    start, n = runs.starts[chosen[g]], runs.lengths[chosen[g]]
+                    d = np.searchsorted(block.offsets, start, side="right") - 1
+                    cols = {"block": np.full(len(g), row["block"]), "row": d, "doc": block.ids[d], "at": start - block.offsets[d], "run": n, "anchor": anchor[g].view(np.int64)}
+                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([row["block"]]), pa.array([part]),
+                                                      pa.array([pack_segments(cols, block.data[_ranges(start, n + span - 1)])], pa.binary())], ["kind", "block", "part", "packed"])
 
     current = staged(places.join(flags, "block").mapInArrow(segments, MERGED))
-    marks, groups = None, -(-places.count() // fan_in) or 1
+    marks, teams = None, -(-n_blocks // fan_in) or 1
     while True:
-        last = groups == 1
-        dealt = current.where("kind = 1").withColumn("team", F.pmod(F.xxhash64("block", F.col("packed")), F.lit(groups)))
-        merged = staged(dealt.groupBy("part", "team").applyInArrow(_merger(span, step, last), MERGED))
-        drop_after, current = current, merged
+        following = 0 if teams == 1 else parts * min(teams, fan_in)
+        by_team = current.where("kind = 1").withColumn("team", F.pmod(F.xxhash64("block", F.col("packed")), F.lit(teams)))
+        merged = staged(by_team.groupBy("part", "team").applyInArrow(_merger(span, step, following), MERGED))
         if marks is None:
-            drop(drop_after)
+            drop(current)
+        current, parts = merged, following
         found = merged.where("kind = 0").select("block", "packed")
         marks = found if marks is None else marks.union(found)
-        if last:
+        if teams == 1:
             break
-        groups = -(-groups // fan_in)
+        teams = -(-teams // fan_in)
 
     def results(it):
         for batch in it:
