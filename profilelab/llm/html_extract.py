@@ -2,11 +2,14 @@
 
 The standard library's streaming parser turns a page into lines, one for each block (paragraph, heading, list item,
 table cell and so on), with its text, its number of tags and the characters that are links. Parts that can't be main text
-by their element, role or class words (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments) make no
-lines. Of the rest, the ratio of text to tags is smoothed along the page with a Gaussian; two clusters of the ratios (means
-found by iteration) set the threshold, and lines above it are content regions. Where the page marks its article (`article`, `main`, or
-the matching roles), the region is the marked part, in which only lines that are mostly links are dropped, so that short
-headings and paragraphs stay.
+by their element, role or a whole class name or id (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, reader comments)
+make no lines. Of the rest, the logarithm of the ratio of text to tags is smoothed along the page with a Gaussian; two clusters (the low one at
+zero, the mean of the high one found by iteration) set the threshold, and on every page the lines that reach it are the content regions.
+Lines that are mostly links and lie between lines of a region belong to it.
+
+A mark of the article (`article`, `main`, the matching roles or class names) is a feature of the ratio and decides nothing by itself: marked
+lines count links as text and have at least the mean of the marked lines, so that short headings and list items follow
+their article; other lines of such a page have half their value. Elsewhere only characters outside links are text.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one \\n. Null and empty
 pages give the empty text. Unclosed and stray tags are tolerated; a hidden part left open ends with the block that encloses it.
@@ -38,10 +41,13 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 MARKS = frozenset((
     "ad ads advert adverts advertisement advertisements advertising adbox adsense banner sponsor sponsored promo promotion "
     "nav navbar navigation menu menus breadcrumb breadcrumbs header masthead footer sidebar aside widget widgets "
+    "ad-box ad-banner ad-container ad-slot ad-unit ad-wrapper nav-bar nav-menu main-nav main-menu site-nav site-navigation site-header site-footer side-bar "
+    "cookie-notice cookie-banner cookie-bar cookie-consent share-buttons social-links social-share related-posts comment-list comments-area "
     "cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login "
     "comment comments commentlist respond reply replies disqus share sharing social related recommended pagination pager toolbar").split())
 ARTICLE_MARKS = frozenset("article-body article-content articlebody entry-content main-content post-body post-content story-body".split())
-_SPLIT = re.compile(r"[^A-Za-z0-9]+|(?<=[a-z])(?=[A-Z])")
+HEAD = frozenset("base link meta title style script noscript template".split())
+UNMARKED = 0.5
 _SPACE = re.compile(r"\s+")
 _UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -55,7 +61,8 @@ class Line:
 
 
 def _names(value: str) -> set[str]:
-    return {w.lower() for w in _SPLIT.split(value) if w}
+    """Class names or ids as whole tokens, with hyphens for underscores."""
+    return set(value.lower().replace("_", "-").split())
 
 
 class _Events(HTMLParser):
@@ -80,6 +87,9 @@ class _Events(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         hidden, article = self._state()
+        if tag == "body" or tag not in HEAD and self.open and self.open[-1][0] == "head":
+            self._close_head()
+            hidden, article = self._state()
         if tag in BLOCKS:
             # A paragraph, an item or a cell ends where a block begins or the next of its kind does.
             self._close_implied(tag)
@@ -94,13 +104,20 @@ class _Events(HTMLParser):
         if attrs and not out:
             a = dict(attrs)
             role, label = (a.get("role") or "").lower(), (a.get("class") or "") + " " + (a.get("id") or "")
-            marks_article = marks_article or role in ("main", "article") or bool(set(label.lower().split()) & ARTICLE_MARKS)
+            marks_article = marks_article or role in ("main", "article") or bool(_names(label) & ARTICLE_MARKS)
             out = (role in ROLES or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true"
                    or bool(_UNSEEN.search(a.get("style") or ""))
                    or not marks_article and tag not in ("html", "body") and bool(_names(label) & MARKS))
         self.links += tag == "a"
         self.open.append((tag, hidden or out, article or marks_article, marks_article))
 
+    def _close_head(self):
+        """A head without an end tag ends where the body or any element of it begins."""
+        for i, (name, *_) in enumerate(self.open):
+            if name == "head":
+                self._pop_to(i)
+                return
+
     def _close_implied(self, tag: str):
         ends = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(tag, ()) + ("p",)
         stop = {"li": ("ul", "ol", "menu"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "dt": ("dl",), "dd": ("dl",)}.get(tag, ())
@@ -176,35 +193,39 @@ def smoothed(values: np.ndarray, sigma: float) -> np.ndarray:
 
 
 def two_means_cut(values: np.ndarray) -> float:
-    """The middle between the means of a low and a high cluster, found by iteration from the extremes."""
-    low, high = float(values.min()), float(values.max())
+    """The middle between the mean of a high cluster, found by iteration from the greatest value, and a low cluster kept at zero:
+    a page without anything low is one region, however its lines differ."""
+    high = float(values.max())
     for _ in range(50):
-        cut = (low + high) / 2
-        above = values > cut
-        if above.all() or not above.any():
-            break
-        new = float(values[~above].mean()), float(values[above].mean())
-        if new == (low, high):
+        new = float(values[values >= high / 2].mean())
+        if new == high:
             break
-        low, high = new
-    return (low + high) / 2
+        high = new
+    return high / 2
+
+
+def line_values(lines: list[tuple[str, int, int, bool]]) -> np.ndarray:
+    """Logarithms of the ratios of text to tags, with the article mark as a feature."""
+    chars, tags, links = (np.array(x, float) for x in ([len(x[0]) for x in lines], [x[1] for x in lines], [x[2] for x in lines]))
+    marked = np.array([x[3] for x in lines])
+    out = np.log1p(np.where(marked, chars, np.maximum(chars - links, 0)) / np.maximum(tags, 1))
+    if marked.any():
+        out = np.where(marked, np.maximum(out, out[marked].mean()), UNMARKED * out)
+    return out
 
 
 def main_text(html: str, sigma: float = 1.0, max_linked: float = 0.5) -> str:
     lines = page_lines(html)
     if not lines:
         return ""
-    chars = np.array([len(x[0]) for x in lines], float)
-    linked = np.array([x[2] for x in lines], float) / chars > max_linked
-    marked = np.array([x[3] for x in lines])
-    if marked.any():
-        keep = marked & ~linked
-    else:
-        ratio = np.where(linked, 0.0, np.minimum(chars / np.maximum([x[1] for x in lines], 1), 400))
-        smooth = smoothed(ratio, sigma)
-        keep = (smooth >= min(two_means_cut(smooth), 10.0)) & ~linked
-        if not keep.any():
-            keep = ~linked
+    smooth = smoothed(line_values(lines), sigma)
+    keep = smooth >= two_means_cut(smooth)
+    # Runs of mostly linked lines between two kept lines are inside a region: every other line that is not kept ends it.
+    linked = np.array([x[2] > max_linked * len(x[0]) for x in lines])
+    ends = np.flatnonzero(keep | ~linked)
+    for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+        if keep[a] and keep[b]:
+            keep[a:b] = True
     return "\n".join(x[0] for x, k in zip(lines, keep) if k)
 
 

@@ -24,6 +24,39 @@ def test_main_text():
     assert html_extract.main_text("<div>" * 2000 + "deep text" + "</div>" * 2000) == "deep text"
 
 
+def test_ratios_decide_on_marked_pages():
+    body = "".join(f"<div>Paragraph {i} of the body, which is long enough to be dense text beside the cards of the page and their titles.</div>" for i in range(4))
+    cards = "".join(f"<article><b><i>card {i}</i></b></article>" for i in range(2))
+    got = html_extract.main_text(f"<body><div>{body}</div>{cards}</body>")
+    assert all(f"Paragraph {i} of" in got for i in range(4))
+    teaser = "<section>" + "".join(f"<div><b><i><u>more {i}</u></i></b></div>" for i in range(6)) + "</section>"
+    assert "more 3" not in html_extract.main_text(f"<main><h1>Head</h1>{body}</main>{teaser}")
+    # Reference lists of an article stay, and links between paragraphs of a page without marks.
+    refs = "<ul>" + "".join(f"<li><a href='/{i}'>reference {i}</a></li>" for i in range(12)) + "</ul>"
+    assert html_extract.main_text(f"<article><h1>Head</h1>{body}<h2>References</h2>{refs}</article>").count("reference") == 12
+    assert html_extract.main_text(f"<body><h1>Head</h1>{body}<p><a href=x>linked one</a></p><p><a href=y>linked two</a></p>{body}</body>").count("linked") == 2
+
+
+def test_short_lines_beside_a_low_cluster():
+    menu = "".join(f"<div><b><a href='/{i}'>go {i}</a></b></div>" for i in range(8))
+    text = "".join(f"<p>{w} words make a paragraph of sixty characters or a few more here.</p>" for w in ("Some", "Other", "Last"))
+    assert html_extract.main_text(f"<body>{menu}<h2>A short heading of it</h2>{text}</body>").split("\n")[-4:] == [
+        "A short heading of it", *(f"{w} words make a paragraph of sixty characters or a few more here." for w in ("Some", "Other", "Last"))]
+    assert "go 3" not in html_extract.main_text(f"<body>{menu}<h2>A short heading of it</h2>{text}</body>")
+    # Dense pages have no constant threshold: what is sparse beside them goes, though it has over ten characters a tag.
+    dense = "".join(f"<p>{'dense words of a long paragraph ' * 20}{i}</p>" for i in range(5))
+    sparse = "".join(f"<div>twelve chars{i}</div>" for i in range(6))
+    assert "twelve chars5" not in html_extract.main_text(f"<body>{dense}{sparse}</body>")
+
+
+def test_whole_class_names_and_open_heads():
+    for name in ("post-header-title", "social-history", "no-sidebar", "shareholders-related-text"):
+        assert html_extract.main_text(f"<body><div class='{name}'><p>Text of a block that stays</p></div></body>") == "Text of a block that stays"
+    assert html_extract.main_text("<body><div class='wide sidebar'><p>gone</p></div><p>here</p></body>") == "here"
+    assert html_extract.main_text("<html><head><title>T</title><meta charset=x><body><p>Text after a head left open</p></body>") == "Text after a head left open"
+    assert html_extract.main_text("<head><title>T</title><p>No body tag</p>") == "No body tag"
+
+
 def test_smoothing_and_clusters():
     import numpy as np
 
