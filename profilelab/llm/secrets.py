@@ -1,16 +1,18 @@
 """Secret scans: candidates by shape, false positives removed by a random forest trained from labelled findings.
 
-`candidates` finds runs of 20 or more token characters, and private-key headers, in whole texts, with features: length,
-character transitions (switches between kinds of characters, and the mean surprise of its byte pairs under the pairs of
-the corpus), dictionary coverage (share of its letters inside words of the corpus dictionary), the path (depth, words
-that point to tests or samples, a hashed bucket) and the neighbouring words (credential words, assignment, quotes, a hashed
-bucket of the word before). `train` fits Spark's random forest on labelled findings, `scan` scores all candidates and
-keeps those of `threshold` and more.
+`candidates` finds, in whole texts, keys of known shapes by their own patterns whatever their length, private-key headers,
+runs of 20 or more token characters, and runs of 8 or more that are assigned to a name with a credential word. `=` ends a run,
+so NAME=value is a name and a value; padding at its end belongs to it. Features: length, character transitions (switches between kinds
+of characters, and the mean surprise of its byte pairs under the pairs of the corpus), dictionary coverage (share of its letters inside
+words of the corpus dictionary), the path (depth, words that point to tests or samples, a hashed bucket) and the neighbouring
+words (quotes, a hashed bucket of the word before, letters after). `train` fits Spark's random forest on labelled findings, `scan`
+scores all candidates and keeps those of `threshold` and more, and the known shapes whatever their score.
 
 Corpus statistics cover all texts: byte pairs (at most 65,536 counts) and word counts, of which the `dictionary_words`
 most frequent make the dictionary; that number is a parameter of the method. The given tables have no labelled
 findings, so the query labels candidates by `label_by_context` for documents whose crc32(id) mod 3 is not 1, at most
-`max_rows` of each label.
+`max_rows` of each label. Whether a credential word stands before a candidate and assigns it makes these labels and is withheld from the features,
+so the forest cannot repeat the rule and judges the candidates by the rest.
 
 Null and empty texts have no candidates; a null path is empty. Equal candidates in several places are separate findings;
 repeated rows repeat their findings. Extra columns are not carried.
@@ -30,10 +32,12 @@ from pyspark.sql import functions as F
 from profilelab.llm.common import staged, table
 from profilelab.llm.words import LOWER, prefix_hashes, row_groups, span_hashes, string_parts, word_spans
 
-LEAST = 20
+LEAST, LEAST_ASSIGNED = 20, 8
 TOKEN = np.zeros(256, bool)
 TOKEN[48:58] = TOKEN[65:91] = TOKEN[97:123] = True
-TOKEN[[ord(c) for c in "+/_=-"]] = True
+TOKEN[[ord(c) for c in "+/_-"]] = True
+BLANK = np.zeros(256, bool)  # between an assignment and its value
+BLANK[[9, 32, 34, 39, 96]] = True
 LETTERS = np.zeros(256, bool)
 LETTERS[97:123] = True
 LETTERS[128:] = True
@@ -41,14 +45,20 @@ WORD_SIZES = range(4, 13)
 BUCKETS = 8
 
 # Shapes with a known prefix, credential words and path words.
-SHAPES = [("aws_key", re.compile(r"A(?:KI|SI)A[0-9A-Z]{16}")), ("github", re.compile(r"gh[pousr]_[A-Za-z0-9]{20,}")), ("slack", re.compile(r"xox[abprs]-[A-Za-z0-9-]{10,}")),
-          ("google", re.compile(r"AIza[0-9A-Za-z_-]{30,}")), ("jwt", re.compile(r"eyJ[A-Za-z0-9_=-]{10,}")), ("hex", re.compile(r"[0-9a-fA-F]{20,}"))]
+SHAPES = [("aws_key", re.compile(rb"A(?:KI|SI)A[0-9A-Z]{16}(?![0-9A-Za-z])")), ("github", re.compile(rb"gh[pousr]_[A-Za-z0-9]{20,}|github_pat_[A-Za-z0-9_]{20,}")),
+          ("slack", re.compile(rb"xox[abprs]-[A-Za-z0-9-]{10,}")), ("google", re.compile(rb"AIza[0-9A-Za-z_-]{30,}")),
+          ("jwt", re.compile(rb"eyJ[A-Za-z0-9_-]{10,}(?:\.[A-Za-z0-9_-]+){0,2}={0,2}"))]
+PREFIX = re.compile(rb"A(?:KI|SI)A|gh[pousr]_|github_pat_|xox[abprs]-|AIza|eyJ")
+HEX = re.compile(r"[0-9a-fA-F]{20,}")
+KNOWN = ("pem", *(k for k, _ in SHAPES))
 PEM = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----")
-CREDENTIAL_WORDS = re.compile(r"\b(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)s?\b", re.I)
+CREDENTIAL_WORDS = re.compile(r"(?<![a-z0-9])(?:token|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|auth|bearer|credential|private[_-]?key)s?(?![a-z0-9])", re.I)
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+ASSIGNED = re.compile(r"[=:]\s*[\"'`]?$")
 PATH_WORDS = re.compile(r"test|spec|sample|example|fixture|mock|demo|doc", re.I)
 
-FEATURES = ["length", "digits", "uppers", "switches", "surprise", "coverage", "known_shape", "path_depth", "path_words", "path_bucket", "credential_before", "assigned", "quoted", "before_bucket", "after_letters"]
-CANDIDATE = "doc_id long, start int, length int, kind string, match string, features array<double>"
+FEATURES = ["length", "digits", "uppers", "switches", "surprise", "coverage", "hex", "path_depth", "path_words", "path_bucket", "quoted", "before_bucket", "after_letters"]
+CANDIDATE = "doc_id long, start int, length int, kind string, match string, features array<double>, credential boolean, assigned boolean"
 
 
 def byte_pairs(docs: DataFrame, text: str = "text") -> np.ndarray:
@@ -108,22 +118,62 @@ def _bucket(word: str) -> float:
     return float(int.from_bytes(word.lower().encode()[-4:] or b"\0", "little") * 2654435761 % 2**32 % BUCKETS)
 
 
+def _near(before: str) -> list[str]:
+    return before.split()[-3:]
+
+
+def credential_before(before: str) -> bool:
+    """Whether one of the last three words holds a credential word, also as a part of a name (DB_PASSWORD, clientSecret)."""
+    return bool(CREDENTIAL_WORDS.search(CAMEL.sub("_", " ".join(_near(before)))))
+
+
 def features(match: str, before: str, after: str, path: str, cost: np.ndarray, words: np.ndarray) -> list[float]:
     raw = match.encode()
     data = np.frombuffer(raw, np.uint8)
     kinds = np.select([(data >= 48) & (data < 58), (data >= 65) & (data < 91), (data >= 97) & (data < 123)], [0, 1, 2], 3)
     low = LOWER[data].astype(np.int64)
-    near = before.split()[-3:]
-    last = re.sub(r"[^\w]+", "", near[-1]) if near else ""
-    if not last and len(near) > 1:
-        last = re.sub(r"[^\w]+", "", near[-2])
+    last = next((w for w in (re.sub(r"[^\w]+", "", x) for x in reversed(_near(before))) if w), "")
     return [float(len(raw)), float((kinds == 0).mean()), float((kinds == 1).mean()), float((kinds[1:] != kinds[:-1]).mean()) if len(raw) > 1 else 0.0,
-            float(cost[low[:-1] * 256 + low[1:]].mean()) if len(raw) > 1 else 0.0, coverage(raw, words), float(any(p.fullmatch(match) for _, p in SHAPES)),
+            float(cost[low[:-1] * 256 + low[1:]].mean()) if len(raw) > 1 else 0.0, coverage(raw, words), float(bool(HEX.fullmatch(match))),
             float(path.count("/")), float(bool(PATH_WORDS.search(path))), _bucket(path.rsplit(".", 1)[-1]),
-            float(bool(CREDENTIAL_WORDS.search(" ".join(near)))), float(bool(re.search(r"[=:]\s*[\"']?$", before))), float(before[-1:] in "\"'" and before[-1:] != ""), _bucket(last),
+            float(before[-1:] in "\"'" and before[-1:] != ""), _bucket(last),
             float(sum(c.isalpha() for c in after[:20]))]
 
 
+def known_shapes(raw: bytes, offsets: np.ndarray) -> list[tuple[int, int, str]]:
+    """(start, end, kind) of the keys of known shapes in the rows of `raw`; none crosses a row."""
+    out, free = [], 0
+    for m in PREFIX.finditer(raw):
+        row = int(np.searchsorted(offsets, m.start(), side="right")) - 1
+        if m.start() >= free and (m.start() == offsets[row] or not raw[m.start() - 1 : m.start()].isalnum()):
+            for kind, shape in SHAPES:
+                if got := shape.match(raw, m.start(), int(offsets[row + 1])):
+                    out.append((m.start(), got.end(), kind))
+                    free = got.end()
+                    break
+    return out
+
+
+def token_runs(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of LEAST token characters, and of LEAST_ASSIGNED after an assignment, with their padding."""
+    starts, ends = word_spans(data, offsets, TOKEN)
+    some = ends - starts >= LEAST_ASSIGNED
+    starts, ends = starts[some], ends[some]
+    row = np.searchsorted(offsets, starts, side="right") - 1
+    seen = np.maximum.accumulate(np.where(BLANK[data], -1, np.arange(len(data)))) if len(data) else starts
+    last = np.where(starts > 0, seen[np.maximum(starts - 1, 0)], -1)
+    assigned = (last >= offsets[row]) & np.isin(data[np.maximum(last, 0)], (58, 61))
+    chosen = (ends - starts >= LEAST) | assigned
+    starts, ends, stops = starts[chosen], ends[chosen], offsets[row[chosen] + 1]
+    for i, (e, stop) in enumerate(zip(ends.tolist(), stops.tolist())):
+        pad = e
+        while pad < stop and pad < e + 2 and data[pad] == 61:
+            pad += 1
+        if (pad == stop or not TOKEN[data[pad]]) and (pad - starts[i]) % 4 == 0:  # base64
+            ends[i] = pad
+    return starts, ends
+
+
 def candidates(docs: DataFrame, pairs: np.ndarray, words: np.ndarray, doc_id: str = "doc_id", text: str = "text", path: str | None = "source") -> DataFrame:
     """One row per candidate of every text, with its place in code points and its features."""
     table_ = pairs.reshape(256, 256) + 0.1
@@ -137,35 +187,48 @@ def candidates(docs: DataFrame, pairs: np.ndarray, words: np.ndarray, doc_id: st
             data, offsets = string_parts(texts)
             rows: list[tuple] = []
             for a, b in row_groups(offsets, 4 << 20):
-                starts, ends = word_spans(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], TOKEN)
-                long = ends - starts >= LEAST
-                starts, ends = starts[long] + offsets[a], ends[long] + offsets[a]
-                row = np.searchsorted(offsets, starts, side="right") - 1
-                for r, s, e in zip(row.tolist(), starts.tolist(), ends.tolist()):
+                part, rel = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                shapes = known_shapes(part.tobytes(), rel)
+                rest = part
+                if shapes:  # what is around a known shape is searched without it
+                    rest = part.copy()
+                    for s, e, _ in shapes:
+                        rest[s:e] = 32
+                starts, ends = token_runs(rest, rel)
+                spans = [*shapes, *((s, e, None) for s, e in zip(starts.tolist(), ends.tolist()))]
+                for s, e, kind in sorted(spans, key=lambda x: x[0]):
+                    s, e = s + int(offsets[a]), e + int(offsets[a])
+                    r = int(np.searchsorted(offsets, s, side="right")) - 1
                     o, stop = int(offsets[r]), int(offsets[r + 1])
-                    match = bytes(data[s:e]).decode("ascii")
                     before = bytes(data[max(o, s - 80) : s]).decode("utf-8", "ignore")
+                    credential = credential_before(before)
+                    if kind is None and e - s < LEAST and not credential:
+                        continue
+                    match = bytes(data[s:e]).decode("ascii")
                     after = bytes(data[e : min(stop, e + 80)]).decode("utf-8", "ignore")
-                    kind = next((k for k, p in SHAPES if p.fullmatch(match)), "token")
+                    kind = kind or ("hex" if HEX.fullmatch(match) else "token")
                     at = int((data[o:s] & 0xC0 != 0x80).sum())  # code points before it
-                    rows.append((r, at, e - s, kind, match, features(match, before, after, paths[r].as_py(), cost, words)))
+                    rows.append((r, at, e - s, kind, match, features(match, before, after, paths[r].as_py(), cost, words), credential, bool(ASSIGNED.search(before))))
             for r, t in enumerate(texts):
                 if "PRIVATE KEY" in (t := t.as_py()):
                     for m in PEM.finditer(t):
-                        rows.append((r, m.start(), m.end() - m.start(), "pem", m[0], features(m[0], t[max(0, m.start() - 80) : m.start()], t[m.end() : m.end() + 80], paths[r].as_py(), cost, words)))
+                        before = t[max(0, m.start() - 80) : m.start()]
+                        rows.append((r, m.start(), m.end() - m.start(), "pem", m[0], features(m[0], before, t[m.end() : m.end() + 80], paths[r].as_py(), cost, words),
+                                     credential_before(before), bool(ASSIGNED.search(before))))
             if rows:
                 r, *rest = zip(*rows)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()))))],
-                                                 ["doc_id", "start", "length", "kind", "match", "features"])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(r)), *(pa.array(c, t) for c, t in zip(rest, (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64()), pa.bool_(), pa.bool_())))],
+                                                 ["doc_id", "start", "length", "kind", "match", "features", "credential", "assigned"])
 
     where = F.coalesce(F.col(path).cast("string"), F.lit("")) if path else F.lit("")
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), where.alias("path")).mapInArrow(batches, CANDIDATE)
 
 
 def label_by_context(found: DataFrame) -> DataFrame:
-    """Candidates with a label: 1 for a mixed token that a credential word assigns, 0 for the rest."""
-    f = lambda name: F.col("features")[FEATURES.index(name)]
-    real = (F.col("kind") == "pem") | (f("credential_before") == 1) & (f("assigned") == 1) & (f("digits") > 0)
+    """Candidates with a label: 1 for known shapes and for a token with digits that a credential word assigns, 0 for the rest. The
+    credential word and the assignment are columns beside the features, which the forest does not see."""
+    digits = F.col("features")[FEATURES.index("digits")]
+    real = F.col("kind").isin(*KNOWN) | F.col("credential") & F.col("assigned") & (digits > 0)
     return found.withColumn("label", real.cast("double"))
 
 
@@ -183,11 +246,11 @@ def train(findings: DataFrame, max_rows: int = 20_000, trees: int = 30, seed: in
 
 
 def scan(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
-    """Candidates that the forest takes for secrets, with their score; without a forest all of them, with a null score."""
+    """Candidates that the forest takes for secrets and all known shapes, with their score; without a forest all candidates, with a null score."""
     if model is None:
-        return found.drop("features").withColumn("score", F.lit(None).cast("double"))
+        return found.drop("features", "credential", "assigned").withColumn("score", F.lit(None).cast("double"))
     scored = model.transform(found.withColumn("vector", array_to_vector("features")))
-    return scored.withColumn("score", vector_to_array("probability")[1]).where(F.col("score") >= threshold).select("doc_id", "start", "length", "kind", "match", "score")
+    return scored.withColumn("score", vector_to_array("probability")[1]).where((F.col("score") >= threshold) | F.col("kind").isin(*KNOWN)).select("doc_id", "start", "length", "kind", "match", "score")
 
 
 def op1_secret_scan(spark, sf: str) -> DataFrame:
