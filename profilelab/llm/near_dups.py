@@ -18,8 +18,10 @@ linked when the Jaccard similarity of their full sets is at least `percent` / 10
    A pair is first judged by bit counts: similarity = (equal share - 1/4) / (3/4), less five standard deviations;
    those that pass are confirmed on the full sets.
 
-Null ids count as one document with the greatest id, rows of one id as one document. Extra columns stay as they are,
-except names starting with `_n_`. All intermediate tables are in the shared folder.
+A null id is reported as the greatest id. A document is an id and a set: rows of one id (or without one) with other texts are
+documents of their own, of which each is linked, kept or removed for itself; `component` is the smallest id of the group,
+and of its documents with that id the one with the least digest is kept. Rows of one id and set are one document, repeated. Extra
+columns stay as they are, except names starting with `_n_`. All intermediate tables are in the shared folder.
 """
 
 from __future__ import annotations
@@ -43,7 +45,7 @@ _C = _RNG.integers(0, 1 << 63, 8, dtype=np.uint64) | np.uint64(1)
 BROADCAST_ROWS = 200_000
 LEADER_TURNS = 2
 
-SIGNATURE = "doc long, n int, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
+SIGNATURE = "doc long, fp long, n int, d1 long, d2 long, s0 long, s1 long, s2 long, s3 long, bands array<long>"
 
 
 def shingle_sets(texts: pa.Array, k: int = 5):
@@ -87,9 +89,14 @@ def band_keys(m: np.ndarray) -> np.ndarray:
     return mix(keys).view(np.int64)
 
 
+def _digest(values: np.ndarray) -> np.ndarray:
+    """128 bits of a sorted set; zeros of the empty one."""
+    return np.frombuffer(hashlib.blake2b(values.tobytes(), digest_size=16).digest(), np.int64) if len(values) else np.zeros(2, np.int64)
+
+
 def _signature_batches(batches):
     for batch in batches:
-        docs = batch.column(0).to_numpy(zero_copy_only=False)
+        docs, fps = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
         pending: list[tuple[int, np.ndarray]] = []
 
         def flush():
@@ -98,15 +105,14 @@ def _signature_batches(batches):
             n = np.array([len(s) for s in sets], np.int32)
             full = np.flatnonzero(n)
             sig, bands = np.zeros((len(sets), 4), np.int64), [[] for _ in sets]
-            digests = np.zeros((len(sets), 2), np.int64)
+            digests = np.array([_digest(x) for x in sets], np.int64).reshape(len(sets), 2)
             if len(full):
                 m = minima(np.concatenate([sets[i] for i in full]), np.concatenate(([0], np.cumsum(n[full])[:-1])))
                 sig[full] = packed(m)
                 for i, keys in zip(full, band_keys(m)):
                     bands[i] = keys
-                    digests[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
-            cols = [pa.array(docs[rows]), pa.array(n), *(pa.array(digests[:, i].copy()) for i in range(2)), *(pa.array(sig[:, i].copy()) for i in range(4)), pa.array(bands, pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(cols, ["doc", "n", "d1", "d2", "s0", "s1", "s2", "s3", "bands"])
+            cols = [pa.array(docs[rows]), pa.array(fps[rows]), pa.array(n), *(pa.array(digests[:, i].copy()) for i in range(2)), *(pa.array(sig[:, i].copy()) for i in range(4)), pa.array(bands, pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(cols, ["doc", "fp", "n", "d1", "d2", "s0", "s1", "s2", "s3", "bands"])
 
         size = 0
         for row, found in shingle_sets(batch.column(1)):
@@ -124,14 +130,15 @@ def _ids_and_texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: set size, digest, packed signature and band keys."""
-    return _ids_and_texts(docs, doc_id, text).mapInArrow(_signature_batches, SIGNATURE)
+    """One row per row of `docs`: hash of the text, set size, digest, packed signature and band keys."""
+    return _ids_and_texts(docs, doc_id, text).withColumn("fp", F.xxhash64("text")).mapInArrow(_signature_batches, SIGNATURE)
 
 
 def _set_batches(batches):
     for batch in batches:
         sets = [s.view(np.int64) for _, s in shingle_sets(batch.column(1))]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "set"])
+        digests = np.array([_digest(x) for x in sets], np.int64).reshape(len(sets), 2)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(digests[:, i].copy()) for i in range(2)), pa.array(sets, pa.list_(pa.int64()))], ["doc", "d1", "d2", "set"])
 
 
 def bounded_broadcast(df: DataFrame, rows: int) -> DataFrame:
@@ -226,17 +233,41 @@ def _across(tokens: DataFrame, percent: int) -> DataFrame:
     return few.join(every, (F.col("key") == F.col("bkey")) & fits & _likely(percent))
 
 
+def _with_ids(reps: DataFrame) -> tuple[DataFrame, bool]:
+    """Representatives with a distinct id each: their doc where no other has it, else (True) a hash of doc and digest."""
+    n, n_docs = reps.agg(F.count(F.lit(1)), F.count_distinct("doc")).first()
+    if n == n_docs:
+        return reps.withColumn("id", F.col("doc")), False
+    salt = 0
+    while True:
+        hashed = reps.withColumn("id", F.xxhash64(F.lit(salt), "doc", "d1", "d2"))
+        if hashed.select("id").distinct().count() == n:
+            return hashed, True
+        salt += 1
+
+
 def group_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """(doc, n, d1, d2, component): one row per row of `docs`, with doc as in `signatures`."""
+    """(doc, fp, n, d1, d2, component, kept): one row per row of `docs`, with doc and fp as in `signatures`."""
     sig = staged(signatures(docs, doc_id, text))
     bits = [f"s{i}" for i in range(4)]
     classes = sig.where("n > 0").groupBy("d1", "d2").agg(F.min_by(F.struct("doc", "n", *bits, "bands"), "doc").alias("r"))
-    reps = staged(classes.select("d1", "d2", F.col("r.doc").alias("id"), *[F.col(f"r.{c}").alias(c) for c in ("n", *bits, "bands")]))
+    reps, hashed = _with_ids(staged(classes.select("d1", "d2", F.col("r.doc").alias("doc"), *[F.col(f"r.{c}").alias(c) for c in ("n", *bits, "bands")])))
     comps = _linked(docs, doc_id, text, reps, bits, percent)
-    known = reps.select("d1", "d2", "id")
+    known = reps.select("d1", "d2", "doc", "id")
     if comps is not None:
-        known = known.join(comps, "id", "left").select("d1", "d2", F.coalesce("comp", "id").alias("id"))
-    return sig.select("doc", "n", "d1", "d2").join(known, ["d1", "d2"], "left").select("doc", "n", "d1", "d2", F.coalesce("id", "doc").alias("component"))
+        known = known.join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+    else:
+        known = known.withColumn("comp", F.col("id"))
+    if hashed:  # the smallest document of each component of more than one
+        least = known.where("comp <> id").select("comp").distinct()
+        least = known.join(least, "comp", "left_semi").groupBy("comp").agg(F.min(F.struct("doc", "d1", "d2")).alias("least"))
+        known = known.join(least, "comp", "left").withColumn("least", F.coalesce("least", F.struct("doc", "d1", "d2")))
+        known = known.select("d1", "d2", F.col("least.doc").alias("id"), (F.struct("d1", "d2") == F.struct("least.d1", "least.d2")).alias("first"))
+    else:  # a class whose doc is the component's is the only one with it
+        known = known.select("d1", "d2", F.col("comp").alias("id"), F.lit(True).alias("first"))
+    rows = sig.select("doc", "fp", "n", "d1", "d2").join(known, ["d1", "d2"], "left")
+    component = F.coalesce("id", "doc")
+    return rows.select("doc", "fp", "n", "d1", "d2", component.alias("component"), ((F.col("doc") == component) & F.coalesce("first", F.lit(True))).alias("kept"))
 
 
 def _linked(docs: DataFrame, doc_id: str, text: str, reps: DataFrame, bits: list[str], percent: int) -> DataFrame | None:
@@ -248,8 +279,11 @@ def _linked(docs: DataFrame, doc_id: str, text: str, reps: DataFrame, bits: list
     n_candidates = candidates.count()
     if not n_candidates:
         return None
-    texts = _ids_and_texts(docs, doc_id, text).join(bounded_broadcast(candidates.withColumnRenamed("id", "doc"), n_candidates), "doc", "left_semi")
-    sets = staged(texts.mapInArrow(_set_batches, "id long, set array<long>").dropDuplicates(["id"]))
+    chosen = staged(reps.select("id", "doc", "d1", "d2").join(bounded_broadcast(candidates, n_candidates), "id", "left_semi"))
+    texts = _ids_and_texts(docs, doc_id, text).join(bounded_broadcast(chosen.select("doc").distinct(), n_candidates), "doc", "left_semi")
+    same = ["doc", "d1", "d2"]  # a document without its set would take the one of another text
+    sets = staged(texts.mapInArrow(_set_batches, "doc long, d1 long, d2 long, set array<long>").join(bounded_broadcast(chosen, n_candidates), same)
+                  .dropDuplicates(same).select("id", "set"))
     # Shingles of one candidate only are in no intersection; with too many of them a set has no partner at all.
     owned = sets.select("id", F.explode("set").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("k"), F.min("id").alias("id")).where("k = 1").groupBy("id").agg(F.count(F.lit(1)).alias("own"))
     marks = staged(reps.select("id", "n", *bits).join(candidates, "id", "left_semi").join(owned, "id", "left").withColumn("c", F.col("n") - F.coalesce("own", F.lit(0)).cast("int"))
@@ -310,16 +344,16 @@ def _linked(docs: DataFrame, doc_id: str, text: str, reps: DataFrame, bits: list
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
-    """The rows of `docs` whose id is the smallest of its group; a null id stays only if nothing is linked with it."""
+    """The rows of `docs` that are the first document of their group (by id, then digest), and those that are linked with nothing."""
     groups = group_near_duplicates(docs, doc_id, text, percent)
-    gone = groups.where(F.col("doc") != F.col("component")).select(F.col("doc").alias("_n_doc")).distinct()
-    return docs.withColumn("_n_id", F.coalesce(F.col(doc_id), F.lit(_LAST))).join(gone, F.col("_n_id") == F.col("_n_doc"), "left_anti").drop("_n_id")
+    gone = groups.where(~F.col("kept")).select(F.col("doc").alias("_n_doc"), F.col("fp").alias("_n_fp")).distinct()
+    keyed = docs.withColumn("_n_id", F.coalesce(F.col(doc_id), F.lit(_LAST))).withColumn("_n_text", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return keyed.join(gone, (F.col("_n_id") == F.col("_n_doc")) & (F.col("_n_text") == F.col("_n_fp")), "left_anti").drop("_n_id", "_n_text")
 
 
 def op4_minhash_near_dedup(spark, sf: str) -> DataFrame:
     got = group_near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
-    return got.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"),
-                      (F.col("doc") == F.col("component")).alias("kept"))
+    return got.select(F.col("doc").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
 
 
 ORACLE = r"""

@@ -183,3 +183,24 @@ def test_candidates_without_any_link(spark, words):
         rows += [(2 * i, " ".join(common + [rng.choice(words) for _ in range(22)])), (2 * i + 1, " ".join(common + [rng.choice(words) for _ in range(22)]))]
     got = sorted((r.doc, r.n, r.component) for r in near_dups.group_near_duplicates(frame(spark, rows)).collect())
     assert got == brute_groups(rows)
+
+
+def test_rows_of_one_id_with_other_texts(spark, words):
+    import random
+
+    rng = random.Random(12)
+    base = [[rng.choice(words) for _ in range(60)] for _ in range(6)]
+    texts = [" ".join(b) for b in base]
+    near = lambda i, at: " ".join(base[i][:at] + ["other"] + base[i][at + 1 :])
+    rows = [(None, texts[0]), (None, texts[1]), (None, texts[2]), (None, near(2, 30)), (3, near(0, 2)), (7, texts[3]), (7, texts[4]), (7, texts[4]),
+            (5, near(4, 58)), (8, texts[3]), (None, ""), (None, None), (9, texts[5]), (9, near(5, 1))]
+    last = (1 << 63) - 1
+    for parts in (1, 4):
+        docs = frame(spark, rows).repartition(parts)
+        got = sorted((r.doc, r.component, r.kept) for r in near_dups.group_near_duplicates(docs).collect())
+        assert [x for x in got if x[0] == last] == sorted([(last, 3, False), (last, last, True), (last, last, True), (last, last, False), (last, last, True), (last, last, True)])
+        assert [x for x in got if x[0] < last] == [(3, 3, True), (5, 5, True), (7, 5, False), (7, 5, False), (7, 7, True), (8, 7, False), (9, 9, False), (9, 9, True)]
+        kept = [(r.doc_id, r.text) for r in near_dups.keep_one(docs).collect()]
+        assert (None, texts[0]) not in kept and (7, texts[4]) not in kept and (8, texts[3]) not in kept
+        assert {(None, texts[1]), (3, near(0, 2)), (7, texts[3]), (5, near(4, 58)), (None, ""), (None, None)} <= set(kept)
+        assert len(kept) == 8 and len({(None, texts[2]), (None, near(2, 30))} & set(kept)) == 1 and len([x for x in kept if x[0] == 9]) == 1
