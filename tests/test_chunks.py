@@ -164,3 +164,22 @@ def test_first_project_in_list_order_names_the_claim(spark):
                                      "user_id string, project_id int, title string, description string, technologies array<string>, url string")
     got = jobs.build_all_chunks(projects=projects, on_long="keep").where("source_type = 'claim'").collect()
     assert [r.metadata.project_key for r in got] == ["zeta-app"]
+
+
+def test_sections_stay_rows(spark):
+    from profilelab.plans import jobs
+
+    rows = [("a", 10, "Work", "We built a parser for many users."), ("a", -1, "Intro", "Alpha app"), ("a", 9, "Work", "We designed a store for many users."), ("b", 1, "Work", "We built it for nobody at all.")]
+    sections = spark.createDataFrame(rows, "user_id string, pos int, section string, body string")
+    resumes = spark.createDataFrame([("b", "1", "own text"), ("c", "1", "")], "user_id string, seq string, text string")
+    got = jobs.with_section_rows(resumes, sections)
+    assert [r.text for r in got.where("user_id = 'a'").orderBy("seq").collect()] == ["Alpha app", "We designed a store for many users.", "We built a parser for many users."]
+    assert [r.text for r in got.where("user_id <> 'a'").collect()] == ["own text"]
+    assert jobs.with_section_rows(None, sections.drop("pos")).count() == 4
+    projects = spark.createDataFrame([("a", 1, "Alpha app", "", None, "")], "user_id string, project_id int, title string, description string, technologies array<string>, url string")
+    claims = jobs.build_all_chunks(projects=projects, sections=sections.unionByName(sections), resumes=resumes, on_long="keep").where("source_type = 'claim'").collect()
+    # The project named in an earlier section carries on to the later ones, as it did in one joined text.
+    assert sorted((r.user_id, r.content, r.metadata.project_key) for r in claims) == [
+        ("a", "We built a parser for many users.", "alpha-app"), ("a", "We designed a store for many users.", "alpha-app")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
