@@ -101,7 +101,7 @@ def _phrase_starts(block: _Block, hashes: np.ndarray, offsets: np.ndarray, sizes
     first = terms[possible, 0]
     length = block.heads[first + 1] - block.heads[first]
     found = []
-    cuts = np.searchsorted(np.cumsum(length), np.arange(0, length.sum() + most, most))
+    cuts = np.append(np.searchsorted(np.cumsum(length), np.arange(0, length.sum(), most)), len(length))
     for a, b in zip(cuts[:-1], cuts[1:]):  # as many lists at a time as fit in memory
         if a == b:
             continue

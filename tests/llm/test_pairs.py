@@ -204,3 +204,15 @@ def test_rows_of_one_id_with_other_texts(spark, words):
         assert (None, texts[0]) not in kept and (7, texts[4]) not in kept and (8, texts[3]) not in kept
         assert {(None, texts[1]), (3, near(0, 2)), (7, texts[3]), (5, near(4, 58)), (None, ""), (None, None)} <= set(kept)
         assert len(kept) == 8 and len({(None, texts[2]), (None, near(2, 30))} & set(kept)) == 1 and len([x for x in kept if x[0] == 9]) == 1
+
+
+def test_lists_that_fill_a_turn_exactly():
+    class Lists:
+        heads, positions = np.array([0, 5, 8, 12]), np.arange(12)
+
+        def find(self, hashes):
+            return hashes
+
+    for most in (1, 3, 4, 6, 8, 12, 13):
+        phrase, start = decontaminate._phrase_starts(Lists(), np.array([[0], [1], [2]]), np.zeros((3, 1), np.int64), np.ones(3, np.int64), most)
+        assert phrase.tolist() == [0] * 5 + [1] * 3 + [2] * 4 and start.tolist() == list(range(12))
