@@ -9,7 +9,7 @@ from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import strip
 from profilelab.operators import structure
-from profilelab.operators.ordered import carried, settled
+from profilelab.operators.ordered import carried, salted_join, settled
 
 
 def words_to_lines(words: DataFrame, keys: list[str], xy=("x0", "x1", "y0", "y1")) -> DataFrame:
@@ -75,61 +75,95 @@ def sections_from_tags(tagged: DataFrame, key: str = "doc_id", order=("y0", "x0"
         strip(F.array_join(F.transform(body, lambda x: x["line"]), "\n")).alias("body"))
 
 
-def _cells(df: DataFrame, size: float, around: int, box: bool) -> DataFrame:
-    """Explode rows to the grid cells of edge `size` they touch (box) or that surround their centre."""
-    lo = (lambda c: F.floor(F.col(c) / size))
-    if box:
-        xs, ys = F.sequence(lo("x0"), lo("x1")), F.sequence(lo("y0"), lo("y1"))
-    else:
-        cx, cy = F.floor(F.col("cx") / size), F.floor(F.col("cy") / size)
-        xs, ys = F.sequence(cx - around, cx + around), F.sequence(cy - around, cy + around)
+def _cells(df: DataFrame, size: float) -> DataFrame:
+    """Explode rows to the grid cells of edge `size` that their box touches."""
+    xs, ys = (F.sequence(F.floor(F.col(f"{c}0") / size), F.floor(F.col(f"{c}1") / size)) for c in ("x", "y"))
     cells = F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("_gx"), y.alias("_gy")))))
     # The planner takes exploded rows for as few as their input and would broadcast them; they are shuffled instead.
     return df.select("*", F.inline(cells)).hint("merge")
 
 
+def _overlap() -> Column:
+    span = lambda a: F.greatest(F.lit(0.0), F.least(F.col(f"{a}1"), F.col(f"w_{a}1")) - F.greatest(F.col(f"{a}0"), F.col(f"w_{a}0")))
+    return span("x") * span("y")
+
+
+def _distance() -> Column:
+    return F.pow(F.col("cx") - F.col("w_cx"), 2) + F.pow(F.col("cy") - F.col("w_cy"), 2)
+
+
+def _nearest_centres(points: DataFrame, open_links: DataFrame, key: str, link_id: list[str], order: list[str], finest: float) -> DataFrame:
+    """(link_id…, anchor): the nearest of `points` (one row per document and centre) by a pyramid of cells.
+
+    Each level holds, for every cell with points, the box of its centres. A link starts at the few cells of the coarsest
+    level, drops those whose box lies beyond a distance at which some point is known to be, and goes on to the cells
+    inside the rest, down to cells of edge `finest`.
+    """
+    size = F.greatest(F.max("w_cx") - F.min("w_cx"), F.max("w_cy") - F.min("w_cy"))
+    widest = points.groupBy(key).agg(size.alias("s")).agg(F.max("s")).first()[0] or 0.0
+    edges = [finest]
+    while edges[-1] < widest:
+        edges.append(edges[-1] * 4)
+    cell = lambda e: [F.floor(F.col(c) / e).alias(g) for c, g in (("w_cx", "_gx"), ("w_cy", "_gy"))]
+    ids = list(dict.fromkeys([key, *link_id]))
+    front = None
+    for level in range(len(edges) - 1, -1, -1):
+        e = edges[level]
+        up = [F.floor(F.col(c) / edges[min(level + 1, len(edges) - 1)]).alias(g) for c, g in (("w_cx", "_ux"), ("w_cy", "_uy"))]
+        boxes = points.groupBy(key, *up, *cell(e)).agg(*[f(c).alias(f"{f.__name__}_{c[2:]}") for c in ("w_cx", "w_cy") for f in (F.min, F.max)])
+        if front is None:
+            met = salted_join(open_links, boxes.drop("_ux", "_uy"), [key], link_id)
+        else:
+            met = salted_join(front, boxes, [key, "_ux", "_uy"], link_id)
+        side = lambda c: (F.greatest(F.lit(0.0), F.col(f"min_{c}") - F.col(c), F.col(c) - F.col(f"max_{c}")),
+                          F.greatest(F.abs(F.col(c) - F.col(f"min_{c}")), F.abs(F.col(c) - F.col(f"max_{c}"))))
+        (near_x, far_x), (near_y, far_y) = side("cx"), side("cy")
+        met = settled(met.select(*ids, "cx", "cy", "_gx", "_gy", (near_x * near_x + near_y * near_y).alias("_near"), (far_x * far_x + far_y * far_y).alias("_far")))
+        within = met.groupBy(*ids).agg(F.min("_far").alias("_most"))
+        # Bounds and distances are rounded alike; the small allowance keeps ties.
+        front = met.join(within, ids).where(F.col("_near") <= F.col("_most") * (1 + 1e-9) + 1e-9).select(
+            *ids, "cx", "cy", F.col("_gx").alias("_ux"), F.col("_gy").alias("_uy"))
+    last = points.select(key, *[c.alias(n) for c, n in zip(cell(edges[0]), ("_ux", "_uy"))], "w_cx", "w_cy", *order, "text")
+    return (salted_join(front, last, [key, "_ux", "_uy"], link_id).withColumn("_d", _distance())
+            .groupBy(*link_id).agg(F.min_by("text", F.struct("_d", *order)).alias("anchor")))
+
+
 def nearest_word(words: DataFrame, links: DataFrame, key: str = "doc_id", link_id: list[str] | None = None,
-                 word_order: list[str] | None = None, cell: float = 64.0) -> DataFrame:
+                 word_order: list[str] | None = None, cell: float = 64.0, direct: int = 1024) -> DataFrame:
     """Links plus `anchor`: the word overlapping the link most, else the word with the nearest centre.
 
-    A grid turns both searches into equi-joins on (document, cell), so only neighbours meet. The
-    nearest-centre search widens its cells until the 3x3 block around the link provably holds the answer.
-    Ties take the lowest reading order.
+    A document with at most `direct` pairs of a word and a link is settled by one join on the document. In larger ones a
+    grid makes the overlap search an equi-join on (document, cell), and links that overlap nothing descend a pyramid of
+    cells, so that only neighbours meet however many words and links a document has. Ties take the lowest reading order.
     """
     link_id = link_id or [key, "uri"]
     order = word_order or ["word_no"]
-    centre = lambda df: (df.withColumn("cx", (F.col("x0") + F.col("x1")) / 2)
-                         .withColumn("cy", (F.col("y0") + F.col("y1")) / 2))
-    w = centre(words.select(key, *order, "text", "x0", "x1", "y0", "y1"))
-    k = centre(links.select(*dict.fromkeys([key, *link_id, "x0", "x1", "y0", "y1"])))
-    wc = _cells(w, cell, 0, True).select(key, "_gx", "_gy", *order, "text",
-                                         *[F.col(c).alias(f"w_{c}") for c in ("x0", "x1", "y0", "y1")])
-    span = lambda a: F.greatest(F.lit(0.0), F.least(F.col(f"{a}1"), F.col(f"w_{a}1")) - F.greatest(
-        F.col(f"{a}0"), F.col(f"w_{a}0")))
-    pairs = (_cells(k, cell, 0, True).join(wc, [key, "_gx", "_gy"])
-             .withColumn("_o", span("x") * span("y")).where("_o > 0"))
-    best = pairs.groupBy(*link_id).agg(F.min_by("text", F.struct(
-        (-F.col("_o")).alias("o"), *order)).alias("anchor"))
-    rest = settled(k.join(best, link_id, "left_anti"))
-    found = [best]
-    size = cell
-    for step in range(4):
-        last = step == 3
-        edge = float(2 ** 40) if last else size
-        near = (_cells(rest, edge, 1, False).join(
-            w.select(key, F.floor(F.col("cx") / edge).alias("_gx"), F.floor(F.col("cy") / edge).alias("_gy"), *order,
-                     "text", F.col("cx").alias("w_cx"), F.col("cy").alias("w_cy")), [key, "_gx", "_gy"])
-                .withColumn("_d", F.pow(F.col("cx") - F.col("w_cx"), 2) + F.pow(F.col("cy") - F.col("w_cy"), 2))
-                .groupBy(*link_id).agg(F.min("_d").alias("_d"),
-                                       F.min_by("text", F.struct("_d", *order)).alias("anchor")))
-        done = near.where(F.col("_d") <= edge * edge).drop("_d")
-        found.append(done)
-        if not last:
-            rest = settled(rest.join(done, link_id, "left_anti"))
-        size *= 8
-    anchors = found[0]
-    for f in found[1:]:
-        anchors = anchors.unionByName(f)
+    middle = lambda c: (F.col(f"{c}0") + F.col(f"{c}1")) / 2
+    box = ["x0", "x1", "y0", "y1"]
+    w = words.select(key, *order, "text", *[F.col(c).alias(f"w_{c}") for c in box], middle("x").alias("w_cx"), middle("y").alias("w_cy"))
+    w = w.where(F.col("w_cx").isNotNull() & F.col("w_cy").isNotNull())
+    k = links.select(*dict.fromkeys([key, *link_id, *box]), middle("x").alias("cx"), middle("y").alias("cy"))
+    sizes = (w.groupBy(key).agg(F.count(F.lit(1)).alias("_w")).join(k.groupBy(key).agg(F.count(F.lit(1)).alias("_k")), key)
+             .where(F.col("_w") * F.col("_k") > direct).select(key))
+    large = settled(sizes)
+    none_large = not large.limit(1).count()
+    small_k = k if none_large else k.join(large, key, "left_anti")
+    pairs = salted_join(small_k, w, [key], link_id).withColumn("_o", _overlap())
+    rank = F.struct((-F.col("_o")).alias("o"), F.when(F.col("_o") > 0, F.lit(0.0)).otherwise(_distance()).alias("d"), *order)
+    anchors = pairs.groupBy(*link_id).agg(F.min_by("text", rank).alias("anchor"))
+    if not none_large:
+        k, w = settled(k.join(large, key, "left_semi")), settled(w.join(large, key, "left_semi"))
+        boxed = _cells(w.withColumnsRenamed({f"w_{c}": c for c in box}), cell).withColumnsRenamed({c: f"w_{c}" for c in box})
+        over = _cells(k, cell).join(boxed.select(key, "_gx", "_gy", *order, "text", *[f"w_{c}" for c in box]), [key, "_gx", "_gy"])
+        best = settled(over.withColumn("_o", _overlap()).where("_o > 0").groupBy(*link_id).agg(
+            F.min_by("text", F.struct((-F.col("_o")).alias("o"), *order)).alias("anchor")))
+        rest = settled(k.join(best.select(*link_id), link_id, "left_anti"))
+        anchors = anchors.unionByName(best)
+        if rest.limit(1).count():
+            points = w.join(rest.select(key).distinct(), key, "left_semi").groupBy(key, "w_cx", "w_cy").agg(
+                F.min(F.struct(*order, "text")).alias("_p"))
+            points = settled(points.select(key, "w_cx", "w_cy", *[f"_p.{c}" for c in order], "_p.text"))
+            anchors = anchors.unionByName(_nearest_centres(points, rest.select(*dict.fromkeys([key, *link_id, "cx", "cy"])), key, link_id, order, cell / 16))
     return links.join(anchors, link_id, "left").withColumn("anchor", F.coalesce("anchor", F.lit("")))
 
 
