@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import blank, exploded, let, strip
-from profilelab.operators.ordered import carried, ranked, settled
+from profilelab.operators.ordered import carried, ranked, salted_join, settled
 from profilelab.operators.structure import entries_of, skill_category
 from profilelab.operators.windows import token_windows_of
 from profilelab.schemas import CHUNK_COLUMNS, META_FIELDS
@@ -403,33 +403,56 @@ def project_names(projects: DataFrame) -> DataFrame:
             .select("user_id", "name", "ord", "key", F.col("_repo").alias("repo_id")))
 
 
-def mentions(texts: DataFrame, names: DataFrame, keys: list[str], text: str, out: str = "mention",
-             in_row: int = 64, longest: int = 64) -> DataFrame:
+GRAMS = (1, 2, 4, 8, 16)  # lengths of the first characters by which names are looked up
+GRAM_BLOCK = 4096  # grams of a candidate that one row carries
+
+
+def mentions(texts: DataFrame, names: DataFrame, keys: list[str], text: str, out: str = "mention", few: int = 64,
+             block: int = GRAM_BLOCK) -> DataFrame:
     """texts plus `out` struct(key, repo_id): the first project (by ord) whose name occurs in the text, or null.
 
-    Both joins meet one row per candidate on the right, so adaptive execution may split a hot candidate's texts.
-    A candidate with up to `in_row` names has them searched inside the row. Candidates with more never pair
-    every name with every line: their texts yield substrings of exactly the lengths their names have, which
-    meet the names in an equi-join (names longer than `longest` join on their first characters and are verified).
+    A candidate with up to `few` names has them in one row, and looking for each in the text is the quickest way; adaptive
+    execution may split a hot candidate's texts, as one row meets them. The texts of candidates with more names never meet
+    every name; if there are none of these, their pass is left out.
     """
-    sizes = names.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n"))
-    few = names.join(sizes.where(F.col("_n") <= in_row), "user_id", "left_semi").groupBy("user_id").agg(
+    sizes = settled(names.groupBy("user_id").agg(F.count(F.lit(1)).alias("_n")))
+    listed = names.join(sizes.where(F.col("_n") <= few), "user_id", "left_semi").groupBy("user_id").agg(
         F.sort_array(F.collect_list(F.struct("ord", "name", "key", "repo_id"))).alias("_ns"))
-    first = F.get(F.filter("_ns", lambda n: F.lower(F.col(text)).contains(n["name"])), F.lit(0))
-    tagged = texts.join(few, "user_id", "left").withColumn("_m", first).withColumn(
-        "_m", F.when(F.col("_m").isNotNull(), F.struct("_m.key", "_m.repo_id"))).drop("_ns")
-
-    head = (names.join(sizes.where(F.col("_n") > in_row), "user_id", "left_semi")
-            .withColumn("_g", F.substring("name", 1, longest)).withColumn("_n", F.length("_g")))
-    lengths = head.groupBy("user_id").agg(F.collect_set("_n").alias("_ls"))  # at most `longest` numbers
-    cut = lambda n: F.when(F.length("_t") >= n, F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("_t") - n + 1), lambda i: F.substring(F.col("_t"), i, n))))
-    grams = F.flatten(F.filter(F.transform("_ls", cut), lambda a: a.isNotNull()))
-    low = texts.select("user_id", *keys, F.lower(text).alias("_t")).join(lengths, "user_id")
-    hits = exploded(low, ["user_id", *keys, "_t"], grams, "_i", "_g").drop("_i").join(head, ["user_id", "_g"]).where(
-        (F.length("name") <= longest) | F.col("_t").contains(F.col("name")))
-    large = hits.groupBy("user_id", *keys).agg(F.min_by(F.struct("key", "repo_id"), F.struct("ord", "name")).alias("_l"))
-    return tagged.join(large, ["user_id", *keys], "left").withColumn(out, F.coalesce("_l", "_m")).drop("_l", "_m")
+    low = F.lower(F.col(text))
+    first = let(low, lambda line: F.get(F.filter("_ns", lambda n: line.contains(n["name"])), F.lit(0)))
+    tagged = texts.join(listed, "user_id", "left").withColumn("_m", first).withColumn(out, F.when(F.col("_m").isNotNull(), F.struct("_m.key", "_m.repo_id"))).select(*texts.columns, out)
+    many = sizes.where(F.col("_n") > few)
+    if not many.limit(1).count():
+        return tagged
+    more = _mentions_by_grams(texts, names.join(many, "user_id", "left_semi"), keys, text, block)
+    return tagged.join(more, ["user_id", *keys], "left").withColumn(out, F.coalesce("_more", out)).drop("_more")
+
+
+def _mentions_by_grams(texts: DataFrame, names: DataFrame, keys: list[str], text: str, block: int) -> DataFrame:
+    """(user_id, keys…, _more): the same for candidates with many names. Names are indexed by their first characters; the
+    number is that of the largest of GRAMS that all names of a candidate have. A text keeps those of its substrings of that
+    one length that the candidate's grams hold (dealt in blocks, so that a row has a bounded list). They meet the index in
+    an equi-join, and names longer than the gram are looked for in the text. The work is linear in a text.
+    """
+    shortest = names.where(F.length("name") > 0).groupBy("user_id").agg(F.min(F.length("name")).alias("_least"))
+    size = F.lit(GRAMS[0])
+    for n in GRAMS[1:]:
+        size = F.when(F.col("_least") >= n, F.lit(n)).otherwise(size)
+    index = names.join(shortest, "user_id").withColumn("_size", size)
+    index = settled(index.withColumn("_g", F.substring(F.col("name"), F.lit(1), F.col("_size"))).where(F.col("_g") != ""))
+    grams = index.select("user_id", "_size", "_g").distinct()
+    parts = F.ceil(F.count(F.lit(1)) / block)
+    dealt = (grams.join(grams.groupBy("user_id").agg(parts.alias("_parts")), "user_id")
+             .groupBy("user_id", "_size", F.pmod(F.xxhash64("_g"), "_parts").alias("_part")).agg(F.collect_list("_g").alias("_gs")))
+    every = F.lit(None).cast("array<string>")
+    for n in GRAMS:
+        every = F.when(F.col("_size") == n, F.regexp_extract_all(F.lower("_line"), F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))).otherwise(every)
+    lines = settled(texts.join(shortest.select("user_id"), "user_id", "left_semi").select("user_id", *keys, F.col(text).alias("_line")).where(F.col("_line") != ""))
+    seen = exploded(salted_join(lines, dealt, ["user_id"], keys), ["user_id", *keys], F.array_intersect(every, F.col("_gs")), "_i", "_g").drop("_i")
+    hits = settled(salted_join(seen, index, ["user_id", "_g"], keys))
+    whole = F.length("name") == F.length("_g")
+    longer = hits.where(~whole).join(lines, ["user_id", *keys]).where(F.lower("_line").contains(F.col("name"))).drop("_line")
+    return hits.where(whole).unionByName(longer).groupBy("user_id", *keys).agg(F.min_by(F.struct("key", "repo_id"), F.struct("ord", "name")).alias("_more"))
 
 
 def attribute_claims(claims: DataFrame, lines: DataFrame, names: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ source is.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import BULLETS, SPACES, blank, col, exploded, let, strip, trimmed
-from profilelab.operators.ordered import small_side
+from profilelab.operators.ordered import salted_join, settled
 from profilelab.operators.windows import regroup
 
 # Date patterns.
@@ -163,45 +165,113 @@ def dedupe_skills(df: DataFrame, gazetteer: DataFrame, keys=("user_id",), skill:
     return canonical_skill(first, gazetteer, skill).select(*keys, "skill_key", F.col("canonical").alias("skill"))
 
 
-OPENERS = 50_000  # first words of a vocabulary that are held in the expression as a set; beyond, every token may open
+IN_ROW = 10_000  # terms of a vocabulary that is held in the expression; a larger one is met in a join
+
+
+@dataclass(frozen=True)
+class Terms:
+    """A vocabulary by its tokens: terms of any case in lower case, cased ones as written, first words, numbers of words."""
+
+    low: tuple[str, ...]
+    exact: tuple[str, ...]
+    openers: tuple[str, ...]
+    sizes: tuple[int, ...]
+
+
+def _term_table(gazetteer: DataFrame, token_regex: str) -> DataFrame:
+    """(_low, _exact): terms with their tokens joined by one space; _exact is set for those whose case counts."""
+    term = gazetteer.select(F.col("cased").alias("_cased"), F.array_join(
+        F.regexp_extract_all("term", F.lit(token_regex), F.lit(0)), " ").alias("_term"))
+    return term.select(F.lower("_term").alias("_low"), F.when(F.col("_cased"), F.col("_term")).alias("_exact")).where("_low <> ''").distinct()
+
+
+def held_terms(gazetteer: DataFrame, token_regex: str = t.TERM_REGEX, most: int = IN_ROW) -> Terms | None:
+    """The vocabulary for `tech_array`; None if it has more than `most` terms."""
+    rows = _term_table(gazetteer, token_regex).limit(most + 1).collect()
+    if len(rows) > most:
+        return None
+    low = sorted({r[0] for r in rows if r[1] is None})
+    exact = sorted({r[1] for r in rows if r[1] is not None})
+    every = {*low, *(x.lower() for x in exact)}
+    return Terms(tuple(low), tuple(exact), tuple(sorted({x.split(" ", 1)[0] for x in every})), tuple(sorted({x.count(" ") + 1 for x in every})))
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _among(expression: str, words) -> str:
+    """SQL for membership in a set of constants, which Spark looks up by hash."""
+    return f"{expression} IN ({', '.join(map(_quoted, words))})" if words else "false"
+
+
+def _term_hits(opens: str, found: str, sizes, token_regex: str) -> Column:
+    """Array of (i, n, w): the n tokens of the column `_text` from token i on, where `opens` holds for the first, w, and `found`
+    for all of them, s.w. The tokens are a variable of the expression, so they are made once a row."""
+    at = f"filter(transform(tk, (w, i) -> if({opens}, i, -1)), i -> i >= 0)"
+    spans = f"""flatten(transform({at}, i -> filter(transform(filter(array({', '.join(map(str, sizes or (1,)))}), n -> i + n <= size(tk)),
+        n -> struct(i AS i, n AS n, array_join(slice(tk, i + 1, n), ' ') AS w)), s -> {found})))"""
+    return F.expr(f"flatten(transform(array(regexp_extract_all(coalesce(_text, ''), {_quoted(token_regex)}, 0)), tk -> {spans}))")
+
+
+def _chosen(hits: Column, max_words: int) -> Column:
+    """Sorted distinct terms of the hits (i, n, w) in order of i and n: longest first, then leftmost, without overlaps."""
+    # Hits further apart than the longest term cannot overlap: cut there, then settle each short run alone.
+    runs = let(hits, lambda hs: t.ends_sliced(hs, t.places(hs, lambda h, j: (j == 0) | (h["i"] - F.get(hs, j - 1)["i"] >= max_words))))
+    kept = F.flatten(F.transform(runs, lambda run: F.when(F.size(run) == 1, run).otherwise(_without_overlaps(run))))
+    return F.array_sort(F.array_distinct(F.transform(kept, lambda k: F.lower(k["w"]))))
+
+
+def with_tech(df: DataFrame, terms: Terms, text: Column, name: str = "detected_tech", token_regex: str = t.TERM_REGEX) -> DataFrame:
+    """T9 inside the row: adds the sorted distinct terms of `text` (an empty array without any). Nothing is shuffled."""
+    hits = _term_hits(_among("lower(w)", terms.openers), f"{_among('lower(s.w)', terms.low)} OR {_among('s.w', terms.exact)}", terms.sizes, token_regex)
+    return df.withColumn("_text", text).withColumn(name, _chosen(hits, max(terms.sizes, default=1))).drop("_text")
+
+
+def _bits(terms: DataFrame) -> tuple[str, int]:
+    """A Bloom filter (as SQL for an array of longs, and its number of bits) of the terms and their first words."""
+    keys = terms.select("_low").union(terms.select(F.split_part("_low", F.lit(" "), F.lit(1)))).distinct()
+    bits = 1 << min(23, max(14, (16 * keys.count() - 1).bit_length()))
+    h = F.xxhash64("_low")
+    places = F.explode(F.array(F.pmod(h, F.lit(bits)), F.pmod(F.shiftright(h, 32), F.lit(bits))))
+    words = keys.select(places.alias("b")).select(F.floor(F.col("b") / 64).cast("int").alias("at"), F.expr("shiftleft(1L, cast(b % 64 AS INT))").alias("v"))
+    held = {r["at"]: r["v"] for r in words.groupBy("at").agg(F.bit_or("v").alias("v")).collect()}  # 131,072 numbers at most
+    return "array(" + ", ".join(f"cast('{held.get(i, 0)}' AS BIGINT)" if held.get(i, 0) == -(1 << 63) else f"{held.get(i, 0)}L" for i in range(bits // 64)) + ")", bits
+
+
+def _maybe(expression: str, bits: tuple[str, int]) -> str:
+    array, n = bits
+    one = lambda h: f"(shiftrightunsigned(get({array}, cast(pmod({h}, {n}L) DIV 64 AS INT)), cast(pmod({h}, {n}L) % 64 AS INT)) & 1L) = 1L"
+    h = f"xxhash64({expression})"
+    return f"{one(h)} AND {one(f'shiftright({h}, 32)')}"
 
 
 def detected_tech(df: DataFrame, gazetteer: DataFrame, keys: list[str], text: str = "content",
-                  token_regex: str = t.TERM_REGEX) -> DataFrame:
+                  token_regex: str = t.TERM_REGEX, most: int = IN_ROW) -> DataFrame:
     """(keys…, detected_tech): sorted distinct vocabulary terms; longest match first, then leftmost.
 
-    Only rows with a hit are returned. N-grams meet the vocabulary in an equi-join and only the
-    hits are shuffled back to their text. The longest n-gram is the vocabulary's longest term.
+    Only rows with a hit are returned. A vocabulary of at most `most` terms is held in the expression and every text is
+    settled in its row. For a larger one a Bloom filter of its terms and first words, held in the expression, leaves few
+    n-grams beside the hits; those meet the vocabulary in a join that splits frequent n-grams, and the hits go back to
+    their key. The longest n-gram is the vocabulary's longest term.
     """
-    term = gazetteer.select(F.col("cased").alias("_cased"), F.array_join(
-        F.regexp_extract_all("term", F.lit(token_regex), F.lit(0)), " ").alias("_term"))
-    grams = small_side(term.select(F.lower("_term").alias("_low"), F.when(F.col("_cased"), F.col("_term")).alias("_exact"))
-                       .where("_low <> ''").distinct())
-    toks = df.select(*keys, F.regexp_extract_all(F.col(text), F.lit(token_regex), F.lit(0)).alias("_t"))
-    # N-grams are built inside the row, only where a token can open a term and only of the numbers of words that terms
-    # have, so exploded rows are few and narrow. Each look is at a bounded list: openers by a set in the expression.
+    terms = held_terms(gazetteer, token_regex, most)
+    if terms is not None:
+        tagged = with_tech(df.select(*keys, text), terms, F.col(text), "detected_tech", token_regex)
+        return tagged.select(*keys, F.explode_outer(F.array("detected_tech")).alias("detected_tech")).where(F.size("detected_tech") > 0)  # computed once
+    grams = settled(_term_table(gazetteer, token_regex))
     sizes = sorted(r[0] for r in grams.select(F.size(F.split("_low", " "))).distinct().collect())  # a few numbers of words
-    max_words = max(sizes, default=1)
-    first_words = grams.select(F.split_part("_low", F.lit(" "), F.lit(1)).alias("o")).distinct()
-    opens = [r[0] for r in first_words.limit(OPENERS + 1).collect()]
-    can_open = (lambda w: F.lower(w).isin(opens)) if len(opens) <= OPENERS else (lambda w: F.lit(True))
-    at = F.filter(F.transform("_t", lambda w, i: F.when(can_open(w), i)), lambda i: i.isNotNull())
-    spans = exploded(toks, keys, F.flatten(F.transform(at, lambda i: F.transform(
-        F.filter(F.array(*[F.lit(n) for n in sizes or [1]]), lambda n: n <= F.size("_t") - i), lambda n: F.struct(
-            i.alias("i"), n.alias("n"), F.array_join(F.slice("_t", i + 1, n), " ").alias("g"))))), "_j", "s")
-    spelled = spans.select(*keys, F.col("s.i").alias("_i"), F.col("s.n").alias("_n"), F.col("s.g").alias("_raw"))
-    found = (spelled.withColumn("_low", F.lower("_raw")).join(grams, "_low")
+    bits = _bits(grams)
+    toks = df.select(*keys, F.col(text).alias("_text"))
+    spans = _term_hits(_maybe("lower(w)", bits), _maybe("lower(s.w)", bits), sizes, token_regex)
+    spelled = settled(exploded(toks, keys, spans, "_j", "s").select(*keys, F.col("s.i").alias("_i"), F.col("s.n").alias("_n"), F.col("s.w").alias("_raw"), F.lower("s.w").alias("_low")))
+    found = (salted_join(spelled, grams, ["_low"], [*keys, "_i"])
              .where(F.col("_exact").isNull() | (F.col("_exact") == F.col("_raw"))))
     # One document's hits: bounded by its own length, gathered only to drop overlaps.
     hits = (found
             .groupBy(*keys).agg(F.sort_array(F.collect_set(
                 F.struct(F.col("_i").alias("i"), F.col("_n").alias("n"), F.col("_raw").alias("w")))).alias("_h")))
-    # Hits further apart than the longest term cannot overlap: cut there, then settle each short run alone.
-    runs = t.ends_sliced(F.col("_h"), t.places(F.col("_h"), lambda h, j: (j == 0) | (
-        h["i"] - F.get("_h", j - 1)["i"] >= max_words)))
-    kept = F.flatten(F.transform(runs, lambda run: F.when(F.size(run) == 1, run).otherwise(_without_overlaps(run))))
-    return hits.select(*keys, F.array_sort(F.array_distinct(
-        F.transform(kept, lambda k: F.lower(k["w"])))).alias("detected_tech"))
+    return hits.select(*keys, _chosen(F.col("_h"), max(sizes, default=1)).alias("detected_tech"))
 
 
 def _without_overlaps(run: Column) -> Column:

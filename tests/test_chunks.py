@@ -118,7 +118,7 @@ def test_mentions_agree_for_few_and_many_names(spark):
     pick = lambda rows, u, s: min(((r.ord, r.name, r.key) for r in rows if r.user_id == u and r.name in s.lower()), default=(None, None, None))[2]
     want = {i: pick(n.collect(), u, s) for u, i, s in texts}
     for bound in (0, 64, 1000):
-        got = {r.id: (r.m.key if r.m else None) for r in C.mentions(t_, n, ["id"], "s", "m", in_row=bound).collect()}
+        got = {r.id: (r.m.key if r.m else None) for r in C.mentions(t_, n, ["id"], "s", "m", few=bound, block=5).collect()}
         assert got == want
 
 
@@ -148,15 +148,6 @@ def test_claim_repository_is_that_of_the_key(spark):
     assert got == {"foo": ("k2", None), "k1": ("k1", "r1"), "k2": ("k2", None)}
 
 
-def test_sections_stand_in_for_a_missing_resume(spark):
-    from profilelab.plans import jobs
-
-    sections = spark.createDataFrame([("a", "Work", "built it"), ("a", "Awards", "won"), ("b", "Work", "x"), ("c", "Work", " ")], "user_id string, section string, body string")
-    resumes = spark.createDataFrame([("b", "1", "own text"), ("c", "1", "")], "user_id string, seq string, text string")
-    assert {(r.user_id, r.text) for r in jobs.with_section_text(resumes, sections).collect()} == {("a", "won\n\nbuilt it"), ("b", "own text")}
-    assert jobs.with_section_text(None, sections).count() == 2
-
-
 def test_first_project_in_list_order_names_the_claim(spark):
     from profilelab.plans import jobs
 
@@ -183,3 +174,34 @@ def test_sections_stay_rows(spark):
         ("a", "We built a parser for many users.", "alpha-app"), ("a", "We designed a store for many users.", "alpha-app")]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan
+
+
+def test_mentions_by_grams_equal_the_plain_search(spark):
+    """One path for candidates with one name and with thousands, short and long names, and a line of 100 kB."""
+    import random
+
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abé") for _ in range(n))
+    names = {"few": ["app", "x", "a much longer project name than any gram"], "many": list(dict.fromkeys(["zz top", "q", "aé"] + [word(rng.randint(3, 20)) + str(i) for i in range(3000)]))}
+    rows = [(u, n, (f"{i:05d}", 0), f"key-{n}", f"r{i}") for u, ns in names.items() for i, n in enumerate(ns)]
+    table = spark.createDataFrame(rows, "user_id string, name string, ord struct<seq:string,i:int>, key string, repo_id string")
+    long = " ".join(word(9) for _ in range(10_000)) + " zz top and " + names["many"][2000]
+    texts = [("few", 1, "My APP here"), ("few", 2, "nothing, see"), ("few", 3, ""), ("few", 4, None), ("few", 5, "A MUCH longer project name than any gram"), ("few", 6, "a much longer project name than any gra"),
+             ("many", 1, long), ("many", 2, names["many"][1500].upper() + "!"), ("many", 3, "b " + names["many"][9] + names["many"][8]), ("none", 1, "app")]
+    got = C.mentions(spark.createDataFrame(texts, "user_id string, line_no int, line string"), table, ["line_no"], "line", few=64)
+    found = {(r.user_id, r.line_no): r.mention and r.mention.key for r in got.collect()}
+    want = {(u, i): next((f"key-{n}" for n in names.get(u, []) if s and n in s.lower()), None) for u, i, s in texts}
+    assert found == want and got.columns == ["user_id", "line_no", "line", "mention"]
+
+
+def test_tags_of_a_large_vocabulary_equal_those_in_the_row(spark):
+    from profilelab.plans import jobs
+
+    projects = spark.createDataFrame([("u", i, f"App {i}", f"Built with tool {i} and tool {i % 3} for C++", None, "") for i in range(30)],
+                                     "user_id string, project_id int, title string, description string, technologies array<string>, url string")
+    gaz = spark.createDataFrame([(f"tool {i}", False) for i in range(20)] + [("C++", True), ("app", False), ("it's", False)], "term string, cased boolean")
+    made = jobs.build_all_chunks(projects=projects, on_long="keep")
+    tags = lambda most: {r.chunk_id: r.metadata.detected_tech for r in jobs.tag_chunks(made, gaz, most=most).collect()}
+    assert tags(10_000) == tags(3)
+    plan = jobs.tag_chunks(made, gaz)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == made._jdf.queryExecution().optimizedPlan().toString().count("Join")  # no join back
