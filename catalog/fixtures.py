@@ -85,6 +85,17 @@ FIXTURES = {
     "resume_docs": """SELECT doc_id, concat('Person ', doc_id, chr(10), 'mail', doc_id, '@example.org  +1 555 ', 1000000 + doc_id, chr(10), 'Skills: ', lang, ', ', source, ' (alpha, beta)', chr(10),
         'SIDE WORK ', upper(lang), chr(10), 'helped in ', source, chr(10), chr(10), 'Experience', chr(10), 'Engineer at Acme, Jan 2015 - Mar 2018', chr(10), 'NOT A HEADER', chr(10), text, chr(10),
         '* Awards:', chr(10), 'HELLO WORLD', chr(10), text, chr(10), 'EDUCATION', chr(10), source, chr(10), 'Summary: about ', lang) AS text FROM documents""",
+    "layout_lines": """SELECT doc_id, CAST(n AS BIGINT) AS n, CASE n WHEN 0 THEN concat('Person ', doc_id) WHEN 1 THEN concat('mail', doc_id, '@example.org') WHEN 2 THEN concat('Skills: ', lang, ', Small Ring, ', source)
+        WHEN 3 THEN 'Projects' WHEN 4 THEN concat('App ', source) WHEN 5 THEN 'GitHub Live' WHEN 6 THEN concat('- built with small rod for ', lang) WHEN 7 THEN 'Tool Two' WHEN 8 THEN 'Code'
+        WHEN 9 THEN 'Experience' WHEN 10 THEN concat('Engineer at ', source, ' Labs, Jan 2015 - Mar 2018') WHEN 11 THEN concat('made hot rod parts in ', lang) WHEN 12 THEN 'EDUCATION' WHEN 13 THEN concat('B.S. ', source)
+        WHEN 14 THEN 'State University' WHEN 15 THEN '* Awards:' WHEN 16 THEN concat('BIG WORK ', upper(lang)) WHEN 17 THEN concat('won in ', lang) ELSE concat('Summary: about ', lang) END AS line
+        FROM documents CROSS JOIN (SELECT 0 AS n UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4 UNION ALL SELECT 5 UNION ALL SELECT 6 UNION ALL SELECT 7 UNION ALL SELECT 8 UNION ALL SELECT 9 UNION ALL SELECT 10
+            UNION ALL SELECT 11 UNION ALL SELECT 12 UNION ALL SELECT 13 UNION ALL SELECT 14 UNION ALL SELECT 15 UNION ALL SELECT 16 UNION ALL SELECT 17 UNION ALL SELECT 18) ns""",
+    "layout_links": """SELECT doc_id, CAST(k AS BIGINT) AS pos, CASE k WHEN 0 THEN concat('https://github.com/u', doc_id, '/app') WHEN 1 THEN concat('https://', source, '.example.org') WHEN 2 THEN concat('https://github.com/u', doc_id, '/tool')
+        WHEN 3 THEN concat('https://www.linkedin.com/in/p', doc_id) ELSE concat('https://far.example.org/', doc_id) END AS uri,
+        CASE k WHEN 0 THEN 0.0 WHEN 1 THEN 62.0 WHEN 2 THEN 3.0 WHEN 3 THEN 70.0 ELSE 5000.0 END AS x0, CASE k WHEN 0 THEN 40.0 WHEN 1 THEN 90.0 WHEN 2 THEN 30.0 WHEN 3 THEN 90.0 ELSE 5010.0 END AS x1,
+        CASE k WHEN 0 THEN 100.0 WHEN 1 THEN 100.0 WHEN 2 THEN 160.0 WHEN 3 THEN -30.0 ELSE 900.0 END AS y0, CASE k WHEN 0 THEN 110.0 WHEN 1 THEN 110.0 WHEN 2 THEN 170.0 WHEN 3 THEN -20.0 ELSE 910.0 END AS y1
+        FROM documents CROSS JOIN (SELECT 0 AS k UNION ALL SELECT 1 UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) ks""",
     "person_entities": "SELECT doc_id, CAST(quality AS BIGINT) AS pos, CASE WHEN toxic = 0 THEN 'PERSON' ELSE 'ORG' END AS label, concat(' Name ', doc_id, ' ') AS text FROM labels",
     "section_rows": """SELECT doc_id AS user_id, n.section, CASE n.section
         WHEN 'Experience' THEN concat('Engineer | Acme ', source, chr(10), '- built it', chr(10), text, chr(10), 'Analyst at ', lang, chr(10), '2019 - 2021 again', chr(10), chr(10), 'Lone block')

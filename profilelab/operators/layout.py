@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from profilelab import vocab
 from profilelab.functions import text as t
-from profilelab.functions.text import strip
+from profilelab.functions.text import let, strip
 from profilelab.operators import structure
 from profilelab.operators.ordered import carried, salted_join, settled
 
@@ -202,11 +202,117 @@ def rollup_links(resolved: DataFrame, key: str = "doc_id") -> tuple[DataFrame, D
     return by_class, by_section, by_project
 
 
-def links_from_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Links of a document without layout: distinct (key, type, url)."""
-    hits = lambda rx: F.regexp_extract_all(F.col(text), F.lit(rx), F.lit(0))
+def text_links(c) -> Column:
+    """D8 as a column: distinct array of struct(type, url)."""
+    hits = lambda rx: F.regexp_extract_all(t.col(c), F.lit(rx), F.lit(0))
     tagged = lambda arr, kind: F.transform(arr, lambda u: F.struct(F.lit(kind).alias("type"), u.alias("url")))
     other = F.filter(hits(t.URL_REGEX), lambda u: ~u.contains("linkedin.com") & ~u.contains("github.com"))
-    found = F.array_distinct(F.concat(tagged(hits(t.LINKEDIN_REGEX), "linkedin"), tagged(hits(t.GITHUB_REGEX), "github"),
-                                      tagged(other, "other")))
-    return docs.select(key, F.explode(found).alias("l")).select(key, "l.type", "l.url")
+    return F.array_distinct(F.concat(tagged(hits(t.LINKEDIN_REGEX), "linkedin"), tagged(hits(t.GITHUB_REGEX), "github"),
+                                     tagged(other, "other")))
+
+
+def links_from_text(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Links of a document without layout: distinct (key, type, url)."""
+    return docs.select(key, F.explode(text_links(text)).alias("l")).select(key, "l.type", "l.url")
+
+
+# --- one document in a row -----------------------------------------------------------------------------------
+
+def line_array(words) -> Column:
+    """D2 for the words of one document, an array of struct(page, block, line, word_no, text, x0, x1, y0, y1): its lines
+    as struct(y0, x0, text) from top to bottom."""
+    place = lambda w: F.struct(w["page"], w["block"], w["line"])
+
+    def cut(ws):
+        return t.ends_sliced(ws, t.places(ws, lambda w, i: (i == 0) | (place(w) != place(F.get(ws, i - 1)))))
+
+    made = F.transform(let(F.array_sort(words), cut), lambda ws: F.struct(
+        F.array_min(F.transform(ws, lambda w: w["y0"])).alias("y0"), F.array_min(F.transform(ws, lambda w: w["x0"])).alias("x0"),
+        F.get(ws, F.lit(0))["page"].alias("page"), F.get(ws, F.lit(0))["block"].alias("block"), F.get(ws, F.lit(0))["line"].alias("line"),
+        F.array_join(F.transform(ws, lambda w: w["text"]), " ").alias("text")))
+    return F.transform(F.array_sort(made), lambda x: F.struct(x["y0"].alias("y0"), x["x0"].alias("x0"), x["text"].alias("text")))
+
+
+def tag_array(lines, aliases: dict[str, str] | None = None) -> Column:
+    """D3 for the lines of one document: struct(y0, text, section, project, is_header) of each. Known headers cut the
+    document, free headers cut a free section up to one that names an entry section, and titles cut projects."""
+    fixed = F.array(*[F.lit(x) for x in vocab.ENTRY_SECTIONS])
+    none = F.lit(None).cast("string")
+
+    def seen(ls):
+        return F.transform(F.arrays_zip(ls.alias("at"), structure.line_facts(F.transform(ls, lambda x: x["text"]), aliases).alias("f")), lambda z: F.struct(
+            z["at"]["y0"].alias("y0"), z["f"]["raw"].alias("raw"), structure.bare(z["f"]["raw"]).alias("cand"), z["f"]["key"].alias("key"), z["f"]["rest"].alias("rest"), z["f"]["slug"].alias("slug")))
+
+    opening = F.array(F.struct(F.lit(None).cast("double").alias("y0"), F.lit("").alias("raw"), F.lit("").alias("cand"), F.lit("header").alias("key"), none.alias("rest"), none.alias("slug")))
+    segments = let(F.concat(opening, let(lines, seen)), lambda ls: t.ends_sliced(ls, t.places(ls, lambda x, i: x["key"].isNotNull())))
+
+    def until_entry(p):
+        stop = F.array_position(F.transform(p["at"], lambda a: F.array_contains(fixed, F.get(p["seg"], a - 1)["slug"])), True)
+        return t.ends_sliced(p["seg"], let(stop.cast("int"), lambda n: F.when(n > 0, F.slice(p["at"], F.lit(1), n)).otherwise(p["at"])))
+
+    free = lambda seg: let(F.struct(seg.alias("seg"), t.places(seg, lambda x, i: (i == 0) | x["slug"].isNotNull()).alias("at")), until_entry)
+    runs = F.flatten(F.transform(segments, lambda seg: F.when(F.array_contains(fixed, F.get(seg, F.lit(0))["key"]), F.array(seg)).otherwise(free(seg))))
+
+    def title(x):
+        plain = strip(F.rtrim(F.lower(x["cand"]), F.lit(":")))
+        marker = plain.startswith("technologies") | ((plain != "") & F.forall(F.split(plain, r"\s+", -1), lambda w: w.isin(vocab.LINK_MARKER_WORDS)))
+        return (x["key"].isNull() & ~marker & (x["cand"] != "") & (F.length(x["cand"]) <= 60) & ~x["cand"].contains(":")
+                & ~x["cand"].rlike(r"^[•\-*●▪]") & (F.size(F.split(strip(x["cand"]), r"\s+", -1)) <= 8))
+
+    def tagged(run):
+        head = F.get(run, F.lit(0))
+        section = F.coalesce(head["key"], head["slug"])
+        first = F.struct(head["y0"].alias("y0"), F.when(head["key"].isNotNull() & (F.coalesce(head["rest"], F.lit("")) != ""), head["rest"]).otherwise(head["raw"]).alias("text"),
+                         section.alias("section"), none.alias("project"), F.when(head["key"].isNotNull(), F.coalesce(head["rest"], F.lit("")) == "").otherwise(True).alias("is_header"))
+        owned = lambda part, name: F.transform(part, lambda x: F.struct(x["y0"].alias("y0"), x["raw"].alias("text"), section.alias("section"), name.alias("project"), F.lit(False).alias("is_header")))
+        parts = lambda ls: t.ends_sliced(ls, t.places(ls, lambda x, i: (i == 0) | title(x)))
+        named = lambda part: owned(part, F.when(title(F.get(part, F.lit(0))), F.get(part, F.lit(0))["cand"]))
+        rest = F.slice(run, F.lit(2), F.size(run))
+        body = F.when(section == "projects", F.flatten(F.transform(let(rest, parts), named))).otherwise(owned(rest, none))
+        return F.concat(F.array(first), body)
+
+    every = F.flatten(F.transform(runs, tagged))
+    return F.slice(every, F.lit(2), F.size(every))  # without the opening line
+
+
+def section_array(tagged) -> Column:
+    """D4 for one document: struct(section, body) in order of first appearance."""
+    names = F.array_distinct(F.transform(tagged, lambda x: x["section"]))
+    return F.transform(names, lambda n: F.struct(n.alias("section"), strip(F.array_join(F.transform(
+        F.filter(tagged, lambda x: (x["section"] == n) & ~x["is_header"]), lambda x: x["text"]), "\n")).alias("body")))
+
+
+def link_array(links, tagged, slack: float = 2.0) -> Column:
+    """D6 for one document: links struct(pos, uri, cy, anchor) with type, section and project of the line they belong to.
+    Lines and links are sorted together once, and every link follows its line."""
+    line = lambda x, i: F.struct(x["y0"].alias("y"), F.lit(0).alias("kind"), i.alias("i"))
+    link = lambda x, i: F.struct((x["cy"] + slack).alias("y"), F.lit(1).alias("kind"), i.alias("i"))
+
+    def merged(v):
+        rows = F.array_sort(F.concat(F.transform(v["t"], line), F.transform(v["k"], link)))
+        runs = let(rows, lambda rs: t.ends_sliced(rs, t.places(rs, lambda r, j: (j == 0) | (r["kind"] == 0))))
+
+        def owned(run):
+            own = F.when(F.get(run, F.lit(0))["kind"] == 0, F.get(v["t"], F.get(run, F.lit(0))["i"]))
+            return F.transform(F.filter(run, lambda r: r["kind"] == 1), lambda r: F.struct(
+                F.get(v["k"], r["i"])["pos"].alias("pos"), F.get(v["k"], r["i"])["uri"].alias("url"), F.get(v["k"], r["i"])["anchor"].alias("anchor"),
+                t.link_class(F.get(v["k"], r["i"])["uri"]).alias("type"), F.coalesce(own["section"], F.lit("header")).alias("section"), own["project"].alias("project")))
+
+        return F.array_sort(F.flatten(F.transform(runs, owned)))
+
+    return let(F.struct(tagged.alias("t"), links.alias("k")), merged)
+
+
+def project_links(resolved) -> Column:
+    """D7's project part for one document: struct(project, github, live, other) in order of the first link."""
+    slot = lambda r: (F.when(r["type"] == "github", "github").when(F.lower(F.coalesce(r["anchor"], F.lit(""))).contains("live") | F.lower(
+        F.coalesce(r["anchor"], F.lit(""))).contains("demo"), "live").otherwise("other"))
+    inside = F.transform(F.filter(resolved, lambda r: (r["section"] == "projects") & r["project"].isNotNull() & (r["project"] != "")),
+                         lambda r: F.struct(r["project"].alias("project"), r["pos"].alias("pos"), r["url"].alias("url"), slot(r).alias("slot")))
+    cut = lambda rs: t.ends_sliced(rs, t.places(rs, lambda r, i: (i == 0) | (r["project"] != F.get(rs, i - 1)["project"])))
+    of = lambda run, s: F.transform(F.filter(run, lambda r: r["slot"] == s), lambda r: r["url"])
+    last = lambda xs: F.get(xs, F.size(xs) - 1)
+    made = F.transform(let(F.array_sort(inside), cut), lambda run: F.struct(
+        F.get(run, F.lit(0))["pos"].alias("pos"), F.get(run, F.lit(0))["project"].alias("project"), last(of(run, "github")).alias("github"),
+        last(of(run, "live")).alias("live"), of(run, "other").alias("other")))
+    return F.transform(F.array_sort(made), lambda p: F.struct(p["project"].alias("project"), p["github"].alias("github"), p["live"].alias("live"), p["other"].alias("other")))

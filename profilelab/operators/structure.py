@@ -46,9 +46,14 @@ def looks_like_header(c: Column, max_words: int = 4, max_len: int = 40) -> Colum
 
 def tagged_line_array(c, aliases: dict[str, str] | None = None) -> Column:
     """Array of struct(raw, cand, key, rest, slug): header facts of every line, no section state yet."""
+    return line_facts(t.lines(c), aliases)
+
+
+def line_facts(lines: Column, aliases: dict[str, str] | None = None) -> Column:
+    """`tagged_line_array` for an array of lines."""
     names = _literal_map(aliases or vocab.section_alias_map())
     known = lambda s: F.when((F.length(s) < 40) & (s != ""), F.try_element_at(names, s))
-    seen = F.transform(t.lines(c), lambda s: F.struct(s.alias("raw"), bare(s).alias("cand")))
+    seen = F.transform(lines, lambda s: F.struct(s.alias("raw"), bare(s).alias("cand")))
     keyed = F.transform(seen, lambda s: F.struct(
         s["raw"].alias("raw"), s["cand"].alias("cand"),
         known(strip(F.rtrim(F.lower(s["cand"]), F.lit(":")))).alias("whole"),
@@ -170,12 +175,14 @@ IN_ROW = 10_000  # terms of a vocabulary that is held in the expression; a large
 
 @dataclass(frozen=True)
 class Terms:
-    """A vocabulary by its tokens: terms of any case in lower case, cased ones as written, first words, numbers of words."""
+    """A vocabulary by its tokens: terms of any case in lower case, cased ones as written, first words, numbers of words;
+    and the cased terms with all their characters."""
 
     low: tuple[str, ...]
     exact: tuple[str, ...]
     openers: tuple[str, ...]
     sizes: tuple[int, ...]
+    cased: tuple[str, ...]
 
 
 def _term_table(gazetteer: DataFrame, token_regex: str) -> DataFrame:
@@ -188,12 +195,13 @@ def _term_table(gazetteer: DataFrame, token_regex: str) -> DataFrame:
 def held_terms(gazetteer: DataFrame, token_regex: str = t.TERM_REGEX, most: int = IN_ROW) -> Terms | None:
     """The vocabulary for `tech_array`; None if it has more than `most` terms."""
     rows = _term_table(gazetteer, token_regex).limit(most + 1).collect()
-    if len(rows) > most:
+    cased = [r[0] for r in gazetteer.where("cased").select("term").distinct().limit(most + 1).collect()]
+    if max(len(rows), len(cased)) > most:
         return None
     low = sorted({r[0] for r in rows if r[1] is None})
     exact = sorted({r[1] for r in rows if r[1] is not None})
     every = {*low, *(x.lower() for x in exact)}
-    return Terms(tuple(low), tuple(exact), tuple(sorted({x.split(" ", 1)[0] for x in every})), tuple(sorted({x.count(" ") + 1 for x in every})))
+    return Terms(tuple(low), tuple(exact), tuple(sorted({x.split(" ", 1)[0] for x in every})), tuple(sorted({x.count(" ") + 1 for x in every})), tuple(sorted(c for c in cased if c is not None)))
 
 
 def _quoted(text: str) -> str:
@@ -283,6 +291,29 @@ def _without_overlaps(run: Column) -> Column:
         .otherwise(F.concat(acc, F.array(h)))), lambda k: F.struct(k["i"].alias("i"), k["n"].alias("n"), k["w"].alias("w")))
 
 
+def held_canonicals(terms: Terms) -> dict[str, str]:
+    """T11's table (skill key to longest cased spelling) for a vocabulary held in the expression."""
+    best: dict[str, str] = {}
+    for term in terms.cased:
+        k = "".join(ch for ch in term.lower() if ch.isascii() and ch.isalnum())
+        if k and (k not in best or (len(term), term) > (len(best[k]), best[k])):
+            best[k] = term
+    return best
+
+
+def deduped(skills: Column, canonicals: dict[str, str], labels: list[str] | None = None, max_len: int = 60) -> Column:
+    """T12 inside the row: canonical skills of an array, one per key, in order of lower case."""
+    stop = ["".join(ch for ch in w.lower() if ch.isascii() and ch.isalnum()) for w in (labels or vocab.SKILL_LABELS)]
+    kept = F.filter(F.transform(F.array_sort(F.array_distinct(F.transform(skills, lambda s: strip(s)))), lambda s: F.struct(t.skill_key(s).alias("k"), s.alias("s"))),
+                    lambda x: (x["s"] != "") & (F.length(x["s"]) <= max_len) & (x["k"] != "") & ~x["k"].isin(stop))
+    ordered = F.array_sort(kept)  # by key, then spelling: the first of a key is its least
+    first = let(ordered, lambda xs: F.filter(F.transform(xs, lambda x, i: F.when((i == 0) | (x["k"] != F.get(xs, i - 1)["k"]), x)), lambda x: x.isNotNull()))
+    names = _literal_map(canonicals) if canonicals else None
+    spelled = lambda x: x["s"] if names is None else F.when(x["k"].isin(list(canonicals)), F.try_element_at(names, x["k"])).otherwise(x["s"])
+    shown = F.array_sort(F.array_distinct(F.transform(first, lambda x: F.struct(F.lower(spelled(x)).alias("low"), spelled(x).alias("s")))))
+    return F.transform(shown, lambda x: x["s"])
+
+
 def skill_category(c, taxonomy: dict[str, list[str]] | None = None, strict: bool = False,
                    default: str = vocab.DEFAULT_CATEGORY) -> Column:
     """Exact item, else first category with a substring hit either way (strict: whole word), else default.
@@ -347,8 +378,9 @@ def span_years(start: Column, end: Column) -> Column:
 
 
 def years_experience(df: DataFrame, as_of: str, text: str = "text", experience: str = "experience",
-                     entities: DataFrame | None = None, key: str = "doc_id", merge: bool = False) -> DataFrame:
-    """Stated years, else summed date ranges, else summed pairs of DATE entities."""
+                     entities: DataFrame | None = None, key: str = "doc_id", merge: bool = False, dates: Column | None = None) -> DataFrame:
+    """Stated years, else summed date ranges, else summed pairs of DATE entities: those of `entities`, or an array
+    of their texts in order."""
     y, m = int(as_of[:4]), int(as_of[5:7])
     now = y + m / 12.0
     phrase = F.regexp_extract(F.col(text), YEARS_PHRASE, 1)
@@ -374,6 +406,10 @@ def years_experience(df: DataFrame, as_of: str, text: str = "text", experience:
         paired = (dates.select(key, span_years(year_value("text"), year_value("_next", now)).alias("_d"))
                   .groupBy(key).agg(F.round(F.sum("_d"), 1).alias("_ents")))
         out = out.join(paired, key, "left")
+    elif dates is not None:
+        pair = lambda i: span_years(year_value(F.get(dates, i)), year_value(F.get(dates, i + 1), now))
+        spans = F.array_compact(F.transform(F.filter(F.transform(dates, lambda _, i: i), lambda i: (i % 2 == 0) & (i + 1 < F.size(dates))), pair))
+        out = out.withColumn("_ents", F.when(F.size(spans) > 0, F.round(F.aggregate(spans, F.lit(0.0), lambda a, x: a + x), 1)))
     else:
         out = out.withColumn("_ents", F.lit(None).cast("double"))
     return (out.withColumn("years_of_experience", F.coalesce("_phrase", "_spans", "_ents"))
@@ -418,50 +454,62 @@ def structured_projects(df: DataFrame, keys: list[str], body: str = "projects",
 
     `links` is an array<struct<project, github, live>>; skills an array<string>.
     """
+    none = F.array().cast("array<struct<project:string,github:string,live:string>>")
+    rows = project_entries(F.col(body), F.col(skills), none if links is None else F.col(links))
+    return exploded(df, keys, rows, "pos", "p").select(*keys, "pos", "p.*")
+
+
+def project_entries(body: Column, skills: Column, links: Column) -> Column:
+    """D10 as a column: array of struct(title, description, technologies, github, live, url)."""
     title = lambda first: strip(F.regexp_replace(bare(first), TITLE_DATE, ""))
     found = lambda b: F.slice(F.filter(skills, lambda s: F.lower(b).contains(F.lower(s)) & t.contains_whole(
         F.lower(b), F.lower(s))), 1, 8)
-    rows = F.transform(_blocks(F.col(body)), lambda r: F.struct(
+    rows = F.transform(_blocks(body), lambda r: F.struct(
         F.when(F.length(title(F.get(r["lines"], F.lit(0)))) < 60, title(F.get(r["lines"], F.lit(0))))
         .otherwise(F.substring(F.get(r["lines"], F.lit(0)), 1, 60)).alias("title"),
         F.get(r["lines"], F.lit(0)).alias("first"), _tail(r["lines"]).alias("description"),
         found(r["block"]).alias("technologies")))
-    none = F.lit(None).cast("string")
-    base = df.withColumn("_p", rows)
-    if links is None:
-        base = base.withColumn("_k", F.array().cast("array<struct<project:string,github:string,live:string>>"))
-    else:
-        base = base.withColumn("_k", F.filter(links, lambda k: k["project"].isNotNull() & (k["project"] != "")))
-    link = lambda name: F.get(F.filter("_k", lambda k: k["project"] == name), F.lit(0))
-    linked = F.transform("_p", lambda p: F.struct(
-        p["title"].alias("title"), p["description"].alias("description"), p["technologies"].alias("technologies"),
-        F.coalesce(link(p["title"]), link(p["first"])).alias("link")))
-    seen = F.transform("_p", lambda p: F.lower(p["title"]))
-    only = F.transform(F.filter("_k", lambda k: ~F.array_contains(seen, F.lower(k["project"]))), lambda k: F.struct(
-        k["project"].alias("title"), F.lit("").alias("description"),
-        F.array().cast("array<string>").alias("technologies"), k.alias("link")))
-    return (exploded(base, keys, F.concat(linked, only), "pos", "p")
-            .select(*keys, "pos", "p.title", "p.description", "p.technologies", "p.link.github", "p.link.live",
-                    F.coalesce("p.link.live", "p.link.github", none).alias("url")))
+    named = F.filter(links, lambda k: k["project"].isNotNull() & (k["project"] != ""))
+
+    def joined(v):
+        link = lambda name: F.get(F.filter(v["k"], lambda k: k["project"] == name), F.lit(0))
+        with_link = lambda title, description, technologies, k: F.struct(
+            title.alias("title"), description.alias("description"), technologies.alias("technologies"), k["github"].alias("github"),
+            k["live"].alias("live"), F.coalesce(k["live"], k["github"]).alias("url"))
+        linked = F.transform(v["p"], lambda p: with_link(p["title"], p["description"], p["technologies"], F.coalesce(link(p["title"]), link(p["first"]))))
+        seen = F.transform(v["p"], lambda p: F.lower(p["title"]))
+        only = F.transform(F.filter(v["k"], lambda k: ~F.array_contains(seen, F.lower(k["project"]))), lambda k: with_link(
+            k["project"], F.lit(""), F.array().cast("array<string>"), k))
+        return F.concat(linked, only)
+
+    return let(F.struct(rows.alias("p"), named.alias("k")), joined)
 
 
 def structured_experience(df: DataFrame, keys: list[str], body: str = "experience", orgs: str = "orgs") -> DataFrame:
     """Role, company (first organisation named in the block, else the role), description."""
-    rows = F.transform(_blocks(F.col(body)), lambda r: F.struct(
+    return exploded(df, keys, experience_entries(F.col(body), F.col(orgs)), "pos", "e").select(*keys, "pos", "e.*")
+
+
+def experience_entries(body: Column, orgs: Column) -> Column:
+    """D11 as a column: array of struct(role, company, description, raw_text)."""
+    return F.transform(_blocks(body), lambda r: F.struct(
         F.get(r["lines"], F.lit(0)).alias("role"),
         F.coalesce(F.get(F.filter(orgs, lambda o: F.lower(r["block"]).contains(F.lower(o))), F.lit(0)),
                    F.get(r["lines"], F.lit(0))).alias("company"),
         _tail(r["lines"]).alias("description"), r["block"].alias("raw_text")))
-    return exploded(df, keys, rows, "pos", "e").select(*keys, "pos", "e.*")
 
 
 def structured_education(df: DataFrame, keys: list[str], body: str = "education") -> DataFrame:
     """Degree (line 1), institution (line 2, else line 1), details."""
-    rows = F.transform(_blocks(F.col(body)), lambda r: F.struct(
+    return exploded(df, keys, education_entries(F.col(body)), "pos", "e").select(*keys, "pos", "e.*")
+
+
+def education_entries(body: Column) -> Column:
+    """D12 as a column: array of struct(degree, institution, details, raw_text)."""
+    return F.transform(_blocks(body), lambda r: F.struct(
         F.get(r["lines"], F.lit(0)).alias("degree"),
         F.coalesce(F.get(r["lines"], F.lit(1)), F.get(r["lines"], F.lit(0))).alias("institution"),
         strip(F.array_join(r["lines"], "\n")).alias("details"), r["block"].alias("raw_text")))
-    return exploded(df, keys, rows, "pos", "e").select(*keys, "pos", "e.*")
 
 
 def validate_resumes(df: DataFrame, name: str = "name", n_skills: str = "n_skills", text: str = "text",

@@ -53,3 +53,45 @@ def test_one_document_with_many_words_and_far_links(spark):
         d = ((spots[a : a + 500, None, :] - at[None]) ** 2).sum(2)
         near.update((f"u{a + i}", f"w{j}") for i, j in enumerate(d.argmin(1)))
     assert {r.uri: r.anchor for r in got.collect()} == near
+
+
+LINES = ["Projects", "App one", "- did a thing", "Live GitHub", "Skills: go, sql", "OPEN SOURCE", "note", "Technologies: a, b", "* Awards:", "EXTRA WORK", "EXPERIENCE!", "EXPERIENCE", "Tool", "plain text, with more words than a title can hold here now", "PROJECTS", "Summary:", "EDUCATION", ""]
+
+
+def test_tags_in_the_row_equal_those_of_rows(spark):
+    from pyspark.sql import functions as F
+
+    rng = random.Random(5)
+    rows = [(d, i, float(12 * i), float(rng.randrange(3)), rng.choice(LINES)) for d in range(40) for i in range(rng.randrange(1, 40))]
+    df = spark.createDataFrame(rows, "doc_id int, line_id int, y0 double, x0 double, text string")
+    flat = {(r.doc_id, r.y0): (r.text, r.section, r.project, r.is_header) for r in L.tag_lines(df).collect()}
+    held = df.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("y0", "x0", "text"))).alias("ls"))
+    rowed = held.select("doc_id", F.inline(L.tag_array(F.col("ls"))))
+    assert {(r.doc_id, r.y0): (r.text, r.section, r.project, r.is_header) for r in rowed.collect()} == flat
+    bodies = {(r.doc_id, r.section): r.body for r in L.sections_from_tags(L.tag_lines(df)).collect()}
+    assert {(r.doc_id, r.section): r.body for r in held.select("doc_id", F.inline(L.section_array(L.tag_array(F.col("ls"))))).collect()} == bodies
+
+
+def test_parse_reads_layouts_and_plain_texts_together(spark, monkeypatch):
+    from profilelab.plans import jobs
+
+    docs = spark.createDataFrame([(1, "Ann Lee\nSkills: go"), (2, "Bob\nbob@x.org\nSkills: Go, C++ (a, b)\nSummary: see github.com/bob/app"), (3, None)], "doc_id int, text string")
+    words = spark.createDataFrame([(1, 0, 0, 0, 0, "Ann", 0.0, 9.0, 0.0, 9.0), (1, 0, 0, 0, 1, "Lee", 10.0, 19.0, 0.0, 9.0), (1, 1, 0, 0, 0, "Projects", 0.0, 9.0, 20.0, 29.0),
+                                   (1, 1, 0, 1, 0, "App", 0.0, 9.0, 40.0, 49.0), (1, 1, 0, 2, 0, "demo", 0.0, 9.0, 60.0, 69.0), (9, 0, 0, 0, 0, "lost", 0.0, 1.0, 0.0, 1.0)],
+                                  "doc_id int, page int, block int, line int, word_no int, text string, x0 double, x1 double, y0 double, y1 double")
+    links = spark.createDataFrame([(1, 0, "https://github.com/ann/app", 0.0, 9.0, 40.0, 49.0), (1, 1, "https://app.org", 0.0, 9.0, 60.0, 69.0), (2, 0, "https://no.words", 0.0, 1.0, 0.0, 1.0)],
+                                  "doc_id int, pos int, uri string, x0 double, x1 double, y0 double, y1 double")
+    gaz = spark.createDataFrame([("Go", True), ("c++", False)] + [(f"other {i}", False) for i in range(5)], "term string, cased boolean")
+    ents = spark.createDataFrame([(2, 1, "ORG", "Acme"), (2, 0, "PERSON", " Bob B "), (1, 0, "DATE", "2015"), (1, 1, "DATE", "2018")], "doc_id int, pos int, label string, text string")
+    got = {r.doc_id: r for r in jobs.parse_resumes(docs, words, links, ents, gaz, "2024-02-01").collect()}
+    assert sorted(got) == [1, 2, 3]
+    one, two, three = got[1], got[2], got[3]
+    assert [(p.title, p.github, p.live) for p in one.projects] == [("App", "https://github.com/ann/app", "https://app.org")]
+    assert [(k.url, k.anchor, k.section, k.project) for k in one.links] == [("https://github.com/ann/app", "App", "projects", "App"), ("https://app.org", "demo", "projects", "App")]
+    assert one.years_of_experience == 3.0 and one.skills == [] and one.name == "Ann Lee"
+    assert (two.name, two.emails, two.organizations, two.skills) == ("Bob B", ["bob@x.org"], ["Acme"], ["a", "b", "C++", "Go"])
+    assert two.github and two.projects == [] and [k.section for k in two.links] == [None]
+    assert (three.name, three.status, three.links, three.sections[0].section) == ("", "failed", [], "header")
+    monkeypatch.setattr(jobs.S, "held_terms", lambda *_, **__: None)  # as for a vocabulary too large for the expression
+    wide = {r.doc_id: r.skills for r in jobs.parse_resumes(docs, words, links, ents, gaz, "2024-02-01").collect()}
+    assert wide == {i: r.skills for i, r in got.items()}
