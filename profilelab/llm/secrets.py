@@ -246,9 +246,10 @@ def train(findings: DataFrame, max_rows: int = 20_000, trees: int = 30, seed: in
 
 
 def scan(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = 0.5) -> DataFrame:
-    """Candidates that the forest takes for secrets and all known shapes, with their score; without a forest all candidates, with a null score."""
+    """Candidates that the forest takes for secrets and all known shapes, with their score. Without a forest nothing tells the other candidates
+    from hashes and ids: known shapes alone are reported, with a null score."""
     if model is None:
-        return found.drop("features", "credential", "assigned").withColumn("score", F.lit(None).cast("double"))
+        return found.where(F.col("kind").isin(*KNOWN)).drop("features", "credential", "assigned").withColumn("score", F.lit(None).cast("double"))
     scored = model.transform(found.withColumn("vector", array_to_vector("features")))
     return scored.withColumn("score", vector_to_array("probability")[1]).where((F.col("score") >= threshold) | F.col("kind").isin(*KNOWN)).select("doc_id", "start", "length", "kind", "match", "score")
 
