@@ -191,6 +191,48 @@ def _(spark, sf):
     return U.audit(tables, RULES)
 
 
+# Tables of the store's shape, with some rows that break its rules.
+_AT = "CAST('2024-01-01' AS TIMESTAMP)"
+STORE = {
+    "profiles": f"SELECT c_custkey AS user_id, {_AT} AS created_at, CASE WHEN c_custkey % 50 = 0 THEN NULL ELSE {_AT} END AS updated_at FROM customer",
+    "rubrics": f"SELECT r_regionkey AS rubric_id, CASE r_regionkey WHEN 0 THEN 'technical-depth' WHEN 1 THEN 'communication' WHEN 2 THEN 'communication' ELSE r_name END AS competency_type, 'c' AS criteria, 100 AS total_max, {_AT} AS created_at FROM region",
+    "repos": f"SELECT o_orderkey AS repo_id, CASE WHEN o_orderkey % 101 = 0 THEN -o_custkey ELSE o_custkey END AS user_id, 'r' AS repo_name, false AS is_fork, {_AT} AS created_at, {_AT} AS updated_at FROM orders",
+    "summaries": f"SELECT c_custkey AS summary_id, c_custkey AS user_id, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_name END AS username, {_AT} AS created_at, {_AT} AS updated_at FROM customer",
+    "resumes": f"SELECT o_orderkey AS resume_id, o_custkey AS user_id, {_AT} AS created_at FROM orders WHERE o_orderstatus <> 'P'",
+    "reports": f"SELECT o_orderkey AS report_id, o_orderkey AS resume_id, o_custkey AS user_id, {_AT} AS created_at FROM orders",
+    "sessions": f"SELECT event_id AS session_id, c_custkey AS user_id, CASE event_type WHEN 'view' THEN 'paused' WHEN 'click' THEN 'completed' ELSE 'abandoned' END AS status, 2 AS current_difficulty, {_AT} AS started_at, CAST(NULL AS BIGINT) AS resume_id FROM events JOIN customer ON c_custkey = event_id % 100 + 1",
+    "chunks": f"SELECT vec_id AS chunk_row_id, vec_id % 90 + 1 AS user_id, CASE label WHEN 3 THEN 'memo' WHEN 4 THEN 'claim' ELSE 'skills' END AS source_type, concat('c', vec_id % 400) AS chunk_id, 'x' AS content, {_AT} AS created_at, CAST(NULL AS BIGINT) AS repo_id, embedding FROM embeddings",
+    "questions": f"SELECT event_id AS question_id, event_id AS session_id, 1 AS question_number, 't' AS text, {_AT} AS asked_at, false AS is_followup, CASE WHEN event_id % 40 = 0 THEN -event_id ELSE CAST(NULL AS BIGINT) END AS parent_question_id, event_id % 7 AS rubric_id, CAST(NULL AS BIGINT) AS source_repo_id, event_id % 8 AS difficulty FROM events",
+    "scores": f"SELECT event_id AS score_id, event_id - event_id % 2 AS session_id, 1.0 AS technical_depth_score, 1.0 AS problem_solving_score, 1.0 AS communication_score, 1.0 AS confidence_score, value AS avg_final_score, CASE WHEN event_id % 9 = 0 THEN 'Hire' ELSE 'Not ready yet' END AS hiring_recommendation, 's' AS strengths, 'w' AS weaknesses, {_AT} AS created_at FROM events WHERE event_id > 1",
+    "answers": f"SELECT event_id AS answer_id, event_id AS question_id, {_AT} AS answered_at FROM events",
+    "evaluations": f"SELECT event_id AS evaluation_id, event_id + 10 AS answer_id, {_AT} AS created_at FROM events",
+}
+STORE_SQL = ", ".join(f"st_{n} AS ({sql})" for n, sql in STORE.items())
+
+
+@query("u12_store_audit", f"""WITH {STORE_SQL}, q AS (SELECT * FROM st_questions)
+    SELECT 'profiles_updated_at_set' AS rule, 'profiles' AS "table", CAST(user_id AS VARCHAR) AS key FROM st_profiles WHERE user_id % 50 = 0
+    UNION ALL SELECT 'rubrics_competency_type_unique', 'rubrics', 'communication' FROM region WHERE r_regionkey = 1
+    UNION ALL SELECT 'rubrics_competency_type_domain', 'rubrics', CAST(r_regionkey AS VARCHAR) FROM region WHERE r_regionkey > 2
+    UNION ALL SELECT 'repos_user_id_known', 'repos', CAST(repo_id AS VARCHAR) FROM st_repos WHERE repo_id % 101 = 0
+    UNION ALL SELECT 'summaries_username_set', 'summaries', CAST(c_custkey AS VARCHAR) FROM customer WHERE c_acctbal < 0
+    UNION ALL SELECT 'reports_resume_id_known', 'reports', CAST(o_orderkey AS VARCHAR) FROM orders WHERE o_orderstatus = 'P'
+    UNION ALL SELECT 'sessions_status_domain', 'sessions', CAST(event_id AS VARCHAR) FROM events WHERE event_type = 'view'
+    UNION ALL SELECT 'chunks_user_id_chunk_id_unique', 'chunks', concat(user_id, '|', chunk_id) FROM st_chunks GROUP BY user_id, chunk_id HAVING count(*) > 1
+    UNION ALL SELECT 'chunks_source_type_domain', 'chunks', CAST(vec_id AS VARCHAR) FROM embeddings WHERE label = 3
+    UNION ALL SELECT 'chunks_embedding_size', 'chunks', CAST(vec_id AS VARCHAR) FROM embeddings WHERE len(embedding) <> 384
+    UNION ALL SELECT 'questions_parent_question_id_known', 'questions', CAST(question_id AS VARCHAR) FROM q WHERE parent_question_id IS NOT NULL AND parent_question_id NOT IN (SELECT question_id FROM q)
+    UNION ALL SELECT 'questions_rubric_id_known', 'questions', CAST(question_id AS VARCHAR) FROM q WHERE question_id % 7 > 4
+    UNION ALL SELECT 'questions_difficulty_range', 'questions', CAST(question_id AS VARCHAR) FROM q WHERE question_id % 8 NOT IN (1, 2, 3, 4, 5)
+    UNION ALL SELECT 'scores_session_id_unique', 'scores', CAST(session_id AS VARCHAR) FROM st_scores GROUP BY session_id HAVING count(*) > 1
+    UNION ALL SELECT 'scores_hiring_recommendation_domain', 'scores', CAST(event_id AS VARCHAR) FROM events WHERE event_id > 1 AND event_id % 9 = 0
+    UNION ALL SELECT 'evaluations_answer_id_known', 'evaluations', CAST(event_id AS VARCHAR) FROM events WHERE event_id + 10 NOT IN (SELECT event_id FROM events)""")
+def _(spark, sf):
+    for n in ("customer", "region", "orders", "events", "embeddings"):
+        fx(spark, sf, n)
+    return U.audit({n: spark.sql(sql) for n, sql in STORE.items()}, U.audit_rules())
+
+
 ACTIONS = [dict(table="resumes", key="resume_id", column="user_id", parent="profiles", parent_key="user_id", on_delete="cascade"),
            dict(table="reports", key="resume_id", column="resume_id", parent="resumes", parent_key="resume_id", on_delete="cascade"),
            dict(table="sessions", key="session_id", column="resume_id", parent="resumes", parent_key="resume_id", on_delete="set_null")]

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import any_contains, exploded, strip, trimmed
-from profilelab.operators.ordered import salted_join
 
 
 def dot(a, b) -> Column:
@@ -28,14 +27,34 @@ def _top(df: DataFrame, keys: list[str], order: list[Column], k) -> DataFrame:
     return ranked.where(F.col("rank") <= (F.col(k) if isinstance(k, str) else k))
 
 
+def paired(pool: DataFrame, queries: DataFrame, keys: list[str], side: int = 8192) -> DataFrame:
+    """Every chunk with every query of its key. A key with more than side * side pairs is measured and cut into tiles of
+    about `side` chunks by `side` queries, so neither many chunks nor many queries of one candidate stay in one task."""
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    large = count(pool, "_c").join(count(queries, "_q"), keys).where(F.col("_c") * F.col("_q") > side * side)
+    tiles = lambda n: F.ceil(F.col(n) / side).cast("int")
+    hot = large.select(*keys, tiles("_c").alias("_rows"), tiles("_q").alias("_cols"))
+    found = hot.limit(10_001).collect()  # a bounded look; a longer list stays a table
+    if not found:
+        return pool.join(queries, keys)
+    if len(found) <= 10_000:
+        hot = F.broadcast(pool.sparkSession.createDataFrame(found, hot.schema))
+    n = lambda name: F.coalesce(name, F.lit(1))
+    own = lambda column, name: F.pmod(F.xxhash64(column), n(name)).cast("int")
+    every = lambda name: F.explode(F.sequence(F.lit(0), n(name) - 1))
+    left = pool.join(hot, keys, "left").withColumn("_i", own("chunk_id", "_rows")).withColumn("_j", every("_cols")).drop("_rows", "_cols")
+    right = queries.join(hot, keys, "left").withColumn("_j", own("query_id", "_cols")).withColumn("_i", every("_rows")).drop("_rows", "_cols")
+    return left.join(right, [*keys, "_i", "_j"]).drop("_i", "_j")
+
+
 def retrieve(queries: DataFrame, chunks: DataFrame, k: int | str = 4, min_sim: float | None = 0.35,
              source_types: list[str] | None = None, repo_id=None, k_max: int | None = None,
-             condition: Column | None = None, rows_per_task: int = 500_000) -> DataFrame:
+             condition: Column | None = None, side: int = 8192, on: tuple[str, ...] = ("user_id",)) -> DataFrame:
     """Exact top-k of unit vectors within the candidate.
 
     queries(query_id, user_id, vector[, source_types, k]); chunks(user_id, chunk_id, source_type, embedding…).
-    Cheap column filters run before the join; a candidate with very many chunks is measured, salted and scored
-    by many tasks. `k` may name a query column, bounded by `k_max`.
+    Cheap column filters run before the join; a candidate with very many pairs is measured and scored in tiles by many
+    tasks. `on` names the columns that a query shares with its chunks. `k` may name a query column, bounded by `k_max`.
     """
     pool = live(chunks)
     if source_types is not None:
@@ -43,12 +62,12 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int | str = 4, min_sim: f
     if repo_id is not None:
         pool = pool.where(F.col("repo_id") == repo_id)
     q = queries.withColumnRenamed("source_types", "_types") if "source_types" in queries.columns else queries
-    pair = lambda own, keys: salted_join(pool, own, keys, ["chunk_id"], counts=pool.select(*keys), rows_per_task=rows_per_task)
+    pair = lambda own, keys: paired(pool, own, keys, side)
     if "_types" in q.columns:  # the wanted types are part of the key, so no vector is copied for a pair of another type
         typed = q.withColumn("source_type", F.explode(F.array_distinct("_types"))).drop("_types")
-        pairs = pair(q.where("_types is null").drop("_types"), ["user_id"]).unionByName(pair(typed, ["user_id", "source_type"]))
+        pairs = pair(q.where("_types is null").drop("_types"), [*on]).unionByName(pair(typed, [*on, "source_type"]))
     else:
-        pairs = pair(q, ["user_id"])
+        pairs = pair(q, [*on])
     if condition is not None:
         pairs = pairs.where(condition)
     scored = pairs.withColumn("similarity", dot("vector", "embedding")).drop("embedding", "vector")
@@ -129,8 +148,9 @@ def unverified_claims(chunks: DataFrame, claim_type: str | None = None, n: int =
 
 def search_by_tech(queries: DataFrame, chunks: DataFrame, k: int = 3) -> DataFrame:
     """Queries carry `technology`; only chunks tagged with it compete, without a floor."""
-    cond = F.array_contains("detected_tech", F.lower(strip("technology")))
-    return retrieve(queries, chunks, k=k, min_sim=None, condition=cond)
+    tagged = chunks.withColumn("_tag", F.explode(F.array_distinct("detected_tech")))  # the tag is part of the key
+    asked = queries.withColumn("_tag", F.lower(strip("technology")))
+    return retrieve(asked, tagged, k=k, min_sim=None, on=("user_id", "_tag")).drop("_tag")
 
 
 def tags_has(tags, tag: str) -> Column:

@@ -5,6 +5,7 @@ Merges are single full outer joins on unique keys, so no key can be hot; lookups
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -285,41 +286,67 @@ def audit(tables: dict[str, DataFrame], rules: list[dict]) -> DataFrame:
     between(column, low, high) | array_size(column, size) | foreign_key(column, parent, parent_column);
     `key` names the reported column.
     """
-    found = []
+    out, by_row = [], {}
     for r in rules:
         df, kind = tables[r["table"]], r["kind"]
-        key = F.col(r["key"]).cast("string")
         if kind == "unique":
-            bad = df.groupBy(*r["columns"]).count().where("count > 1").select(
+            bad = df.dropna(subset=r["columns"]).groupBy(*r["columns"]).count().where("count > 1").select(
                 F.concat_ws("|", *[F.col(c).cast("string") for c in r["columns"]]).alias("key"))
         elif kind == "foreign_key":
             parent = tables[r["parent"]].select(F.col(r["parent_column"]).alias(r["column"])).distinct()
-            bad = df.where(F.col(r["column"]).isNotNull()).join(parent, r["column"], "left_anti").select(key.alias("key"))
-        else:
-            c = F.col(r["column"])
-            wrong = {"not_null": lambda: c.isNull(), "domain": lambda: ~c.isin(r["values"]),
-                     "between": lambda: ~c.between(r["low"], r["high"]),
-                     "array_size": lambda: F.size(c) != r["size"]}[kind]()
-            bad = df.where(wrong).select(key.alias("key"))
-        found.append(bad.select(F.lit(r["name"]).alias("rule"), F.lit(r["table"]).alias("table"), "key"))
-    out = found[0]
-    for f in found[1:]:
-        out = out.unionByName(f)
-    return out
+            bad = df.where(F.col(r["column"]).isNotNull()).join(parent, r["column"], "left_anti").select(F.col(r["key"]).cast("string").alias("key"))
+        else:  # rules of one row share one scan of their table
+            by_row.setdefault(r["table"], []).append(r)
+            continue
+        out.append(bad.select(F.lit(r["name"]).alias("rule"), F.lit(r["table"]).alias("table"), "key"))
+    for name, own in by_row.items():
+        broken = [F.when(_wrong(r), F.struct(F.lit(r["name"]).alias("rule"), F.lit(name).alias("table"), F.col(r["key"]).cast("string").alias("key"))) for r in own]
+        out.append(tables[name].select(F.inline(F.array_compact(F.array(*broken)))))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def _wrong(rule: dict) -> Column:
+    """Whether a row breaks a rule that needs no other row; nulls break `not_null` alone."""
+    c = F.col(rule["column"])
+    return {"not_null": lambda: c.isNull(), "domain": lambda: ~c.isin(rule["values"]),
+            "between": lambda: ~c.between(rule["low"], rule["high"]),
+            "array_size": lambda: F.size(c) != rule["size"]}[rule["kind"]]()
+
+
+# The store's declared tables: key, columns that must be set, references (column, table, its column).
+STORE_TABLES = {
+    "profiles": ("user_id", ["created_at", "updated_at"], []),
+    "rubrics": ("rubric_id", ["competency_type", "criteria", "total_max", "created_at"], []),
+    "repos": ("repo_id", ["user_id", "repo_name", "is_fork", "created_at", "updated_at"], [("user_id", "profiles", "user_id")]),
+    "summaries": ("summary_id", ["user_id", "username", "created_at", "updated_at"], [("user_id", "profiles", "user_id")]),
+    "resumes": ("resume_id", ["user_id", "created_at"], [("user_id", "profiles", "user_id")]),
+    "reports": ("report_id", ["user_id", "created_at"], [("resume_id", "resumes", "resume_id"), ("user_id", "profiles", "user_id")]),
+    "sessions": ("session_id", ["user_id", "current_difficulty", "status", "started_at"], [("resume_id", "resumes", "resume_id"), ("user_id", "profiles", "user_id")]),
+    "chunks": ("chunk_row_id", ["user_id", "source_type", "chunk_id", "content", "created_at"], [("repo_id", "repos", "repo_id"), ("user_id", "profiles", "user_id")]),
+    "questions": ("question_id", ["session_id", "question_number", "text", "asked_at", "is_followup"],
+                  [("parent_question_id", "questions", "question_id"), ("rubric_id", "rubrics", "rubric_id"), ("session_id", "sessions", "session_id"), ("source_repo_id", "repos", "repo_id")]),
+    "scores": ("score_id", ["session_id", "technical_depth_score", "problem_solving_score", "communication_score", "confidence_score", "avg_final_score",
+                            "hiring_recommendation", "strengths", "weaknesses", "created_at"], [("session_id", "sessions", "session_id")]),
+    "answers": ("answer_id", ["question_id", "answered_at"], [("question_id", "questions", "question_id")]),
+    "evaluations": ("evaluation_id", ["answer_id", "created_at"], [("answer_id", "answers", "answer_id")]),
+}
 
 
 def audit_rules() -> list[dict]:
-    """The constraints of the candidate store."""
-    domain = lambda name, table, column, values, key: dict(name=name, table=table, kind="domain", column=column, values=values, key=key)
+    """The constraints of the candidate store: every key, reference, required column, unique pair and check."""
+    rules = []
+    for table, (key, required, references) in STORE_TABLES.items():
+        rules.append(dict(name=f"{table}_key", table=table, kind="unique", columns=[key], key=key))
+        rules += [dict(name=f"{table}_{c}_set", table=table, kind="not_null", column=c, key=key) for c in [key, *required]]
+        rules += [dict(name=f"{table}_{c}_known", table=table, kind="foreign_key", column=c, parent=p, parent_column=pc, key=key) for c, p, pc in references]
+    unique = lambda table, *columns: dict(name=f"{table}_{'_'.join(columns)}_unique", table=table, kind="unique", columns=list(columns), key=columns[-1])
+    domain = lambda table, column, values: dict(name=f"{table}_{column}_domain", table=table, kind="domain", column=column, values=values, key=STORE_TABLES[table][0])
     return [
-        dict(name="chunk_unique", table="chunks", kind="unique", columns=["user_id", "chunk_id"], key="chunk_id"),
-        dict(name="chunk_dim", table="chunks", kind="array_size", column="embedding", size=EMBEDDING_DIM, key="chunk_id"),
-        dict(name="chunk_owner", table="chunks", kind="foreign_key", column="user_id", parent="profiles", parent_column="user_id", key="chunk_id"),
-        domain("chunk_type", "chunks", "source_type", vocab.SOURCE_TYPES, "chunk_id"),
-        domain("session_status", "sessions", "status", vocab.SESSION_STATUSES, "session_id"),
-        domain("rubric_competency", "rubrics", "competency_type", vocab.COMPETENCIES, "rubric_id"),
-        domain("recommendation", "scores", "hiring_recommendation", vocab.RECOMMENDATIONS, "session_id"),
-        dict(name="question_difficulty", table="questions", kind="between", column="difficulty", low=1, high=5, key="question_id"),
+        *rules, unique("chunks", "user_id", "chunk_id"), unique("rubrics", "competency_type"), unique("scores", "session_id"),
+        dict(name="chunks_embedding_size", table="chunks", kind="array_size", column="embedding", size=EMBEDDING_DIM, key="chunk_row_id"),
+        domain("chunks", "source_type", vocab.SOURCE_TYPES), domain("sessions", "status", vocab.SESSION_STATUSES),
+        domain("rubrics", "competency_type", vocab.COMPETENCIES), domain("scores", "hiring_recommendation", vocab.RECOMMENDATIONS),
+        dict(name="questions_difficulty_range", table="questions", kind="between", column="difficulty", low=1, high=5, key="question_id"),
     ]
 
 

@@ -64,7 +64,7 @@ def test_exact_and_approximate_retrieval(spark):
     v, chunks = vectors(spark)
     q = chunks.where("user_id = 'hot'").limit(40).selectExpr("chunk_id as query_id", "user_id", "embedding as vector")
     exact = {(r.query_id, r.chunk_id) for r in R.retrieve(q, chunks, k=3, min_sim=0.5).collect()}
-    assert exact == {(r.query_id, r.chunk_id) for r in R.retrieve(q, chunks, k=3, min_sim=0.5, rows_per_task=20).collect()}
+    assert exact == {(r.query_id, r.chunk_id) for r in R.retrieve(q, chunks, k=3, min_sim=0.5, side=5).collect()}
     rows = chunks.collect()
     want = set()
     for r in q.collect():
@@ -81,3 +81,18 @@ def test_keyword_search_is_stable(spark):
     q = spark.createDataFrame([(9, 1, "what about kafka streams offset")], "query_id int, doc_id int, query string")
     got = [(r.rank, r.score, r.segment[:6]) for r in R.keyword_search(q, docs).orderBy("rank").collect()]
     assert got == [(1, 3, "Kafka "), (2, 3, "Kafka "), (3, 1, "Stream")]
+
+
+def test_many_queries_and_chunks_of_one_candidate_are_tiled(spark):
+    chunks = spark.range(900).selectExpr("1 as user_id", "concat('c', id) as chunk_id").union(spark.range(5).selectExpr("2", "concat('d', id)"))
+    queries = spark.range(700).selectExpr("1 as user_id", "concat('q', id) as query_id").union(spark.range(3).selectExpr("2", "concat('p', id)"))
+    got = R.paired(chunks, queries, ["user_id"], side=100)
+    assert got.count() == got.distinct().count() == 900 * 700 + 15 and got.columns == ["user_id", "chunk_id", "query_id"]
+
+
+def test_tags_are_part_of_the_join_key(spark):
+    chunks = spark.createDataFrame([("u", "a", "readme", ["go", "go"], [1.0, 0.0]), ("u", "b", "readme", [], [1.0, 0.0])], "user_id string, chunk_id string, source_type string, detected_tech array<string>, embedding array<double>")
+    asked = spark.createDataFrame([("q", "u", " Go ", [1.0, 0.0])], "query_id string, user_id string, technology string, vector array<double>")
+    got = R.search_by_tech(asked, chunks)
+    assert [(r.chunk_id, r["rank"]) for r in got.collect()] == [("a", 1)]
+    assert "array_contains" not in got._jdf.queryExecution().optimizedPlan().toString()
