@@ -95,3 +95,27 @@ def test_parse_reads_layouts_and_plain_texts_together(spark, monkeypatch):
     monkeypatch.setattr(jobs.S, "held_terms", lambda *_, **__: None)  # as for a vocabulary too large for the expression
     wide = {r.doc_id: r.skills for r in jobs.parse_resumes(docs, words, links, ents, gaz, "2024-02-01").collect()}
     assert wide == {i: r.skills for i, r in got.items()}
+
+
+def test_ingest_twice_is_once_and_finds_its_chunks(spark):
+    from pyspark.sql import functions as F
+
+    from profilelab.operators import retrieval as R
+    from profilelab.plans import jobs
+
+    text = "Ann Lee\nann@x.org\nSkills: Go, Spark\nProjects\nRocket\nBuilt a launcher in Go for many users\nExperience\nEngineer at Acme, Jan 2015 - Mar 2018"
+    docs = spark.createDataFrame([("a", text), ("b", text.replace("Rocket", "Boat")), ("c", "")], "user_id string, text string")
+    gaz = spark.createDataFrame([("Go", True)], "term string, cased boolean")
+    run = lambda store, d, at: jobs.ingest_resumes(store, d, None, None, None, gaz, at, on_long="keep")
+    parsed, one = run(jobs.chunk_store(spark), docs, "2024-02-01")
+    assert {r.user_id: r.status for r in parsed.collect()} == {"a": "ok", "b": "ok", "c": "failed"}
+    one = jobs.settled(one)
+    two = jobs.settled(run(one, docs, "2024-03-01")[1])
+    key = lambda df: sorted((r.user_id, r.chunk_id, r.content, r.created_at, r.deleted_at, tuple(r.embedding)) for r in df.collect())
+    assert key(one) == key(two) and {r.source_type for r in one.collect()} >= {"skills", "project", "resume", "claim"}
+    asked = one.where("source_type = 'project'").select(F.col("chunk_id").alias("query_id"), "user_id", F.col("embedding").alias("vector"))
+    assert {r.query_id: r.chunk_id for r in R.retrieve(asked, one, k=1).collect()} == {"a-project-rocket": "a-project-rocket", "b-project-boat": "b-project-boat"}
+    # A changed résumé retires what it no longer holds, for its candidate only.
+    later = run(two, docs.where("user_id = 'a'").withColumn("text", F.regexp_replace("text", "Rocket", "Plane")), "2024-04-01")[1]
+    gone = later.where("deleted_at is not null and source_type = 'project'").collect()
+    assert [(r.user_id, r.chunk_id) for r in gone] == [("a", "a-project-rocket")]
