@@ -40,6 +40,14 @@ def _(spark, sf):
     return shown(R.retrieve_ann(q, c, k=4, min_sim=0.35))
 
 
+@query("r02_self_hits", f"""SELECT query_id, user_id, chunk_id, rank FROM ({topk_sql('', '1', 'WHERE sim >= 0.35')}) r WHERE query_id IN (SELECT vec_id FROM vec_chunks WHERE deleted_at IS NULL)""")
+def _(spark, sf):
+    """A query that is a stored vector finds itself, or its copy of the smaller id, first."""
+    q, c = both(spark, sf)
+    asked = q.join(R.live(c).select(F.col("vec_id").alias("query_id")), "query_id", "left_semi")
+    return R.retrieve_ann(asked, c, k=1, min_sim=0.35).select("query_id", "user_id", "chunk_id", "rank")
+
+
 @query("r03_source_types", topk_sql("AND c.source_type IN ('skills', 'project')", "4", "WHERE sim >= 0.1"))
 def _(spark, sf):
     q, c = both(spark, sf)

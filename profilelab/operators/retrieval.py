@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
+from pyspark.ml.clustering import KMeans
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import any_contains, exploded, strip, trimmed
+from profilelab.operators.ordered import salted_join, settled, small_side
 
 
 def dot(a, b) -> Column:
@@ -81,29 +86,92 @@ def retrieve(queries: DataFrame, chunks: DataFrame, k: int | str = 4, min_sim: f
     return _top(scored, ["query_id"], order, k)
 
 
-def retrieve_ann(queries: DataFrame, chunks: DataFrame, k: int = 4, min_sim: float = 0.35, dim: int = 64,
-                 tables: int = 24, bits: int = 5, seed: int = 7) -> DataFrame:
-    """R2: approximate top-k. Sign-random-projection buckets, joined on (candidate, table, bucket), exact re-rank.
+def coarse_lists(chunks: DataFrame, base: int = 8, step: int = 4, per_list: int = 64, most: int = 2048, seed: int = 7) -> list[np.ndarray]:
+    """The trained part of R2: k-means centres at resolutions of base, base * step, … lists, unit length, coarse first.
 
-    Only pairs sharing a bucket are scored; the result is a subset of R1's qualifying pairs.
+    The finest resolution is the one that the candidate with most chunks asks for (`resolution`), `most` at the most. Each is
+    fitted on at most `per_list` vectors a list (the first by hash of their ids); every chunk is indexed later.
     """
-    planes = np.random.default_rng(seed).standard_normal((dim, tables * bits))
-    weights = 1 << np.arange(bits)
+    spark, rows = chunks.sparkSession, live(chunks).where("embedding is not null")
+    top = rows.groupBy("user_id").count().agg(F.max("count")).first()[0]
+    if top is None:
+        return []
+    sizes = [base]
+    while sizes[-1] * step * step <= top and sizes[-1] * step <= most:  # the rule of `resolution`
+        sizes.append(sizes[-1] * step)
+    order = [F.xxhash64("user_id", "chunk_id"), F.col("chunk_id")]
+    sample = rows.select("user_id", "chunk_id", "embedding").orderBy(*order).limit(per_list * sizes[-1])
+    points = settled(sample.select(array_to_vector(F.col("embedding").cast("array<double>")).alias("features")))
+    out = []
+    for k in sizes:
+        model = KMeans(k=k, seed=seed, maxIter=10).fit(points)
+        centres = np.stack(model.clusterCenters()).astype("float64")
+        norms = np.linalg.norm(centres, axis=1, keepdims=True)
+        out.append(centres / np.where(norms > 0, norms, 1.0))
+    return out
+
+
+def resolution(n, levels: int, base: int = 8, step: int = 4) -> Column:
+    """Which resolution a candidate of n chunks uses: by the logarithm of n, so a list holds about `step` chunks or more."""
+    level = F.floor(F.log(F.greatest(n / F.lit(base * step), F.lit(1.0))) / F.log(F.lit(float(step))) + F.lit(1e-9))
+    return F.least(level, F.lit(levels - 1)).cast("int")
+
+
+def _nearest(centres: list[np.ndarray], probes: Callable[[int], int]) -> Callable[[Column, Column], Column]:
+    """(vector, level) -> the nearest lists of that resolution, nearest first."""
 
     @F.pandas_udf("array<int>")
-    def codes(vectors: pd.Series) -> pd.Series:
-        if not len(vectors):
-            return pd.Series([], dtype=object)
-        side = (np.stack(vectors.to_numpy()).astype("float64") @ planes) >= 0
-        return pd.Series(list((side.reshape(len(vectors), tables, bits) * weights).sum(axis=2).astype("int32")))
-
-    # Ids and buckets travel; vectors are fetched only for the distinct candidate pairs.
-    c = exploded(live(chunks), ["user_id", "chunk_id"], codes("embedding"), "tbl", "code")
-    q = exploded(queries, ["user_id", "query_id"], codes("vector"), "tbl", "code")
-    pairs = (c.join(q, ["user_id", "tbl", "code"]).select("user_id", "query_id", "chunk_id").distinct())
-    scored = (pairs.join(live(chunks), ["user_id", "chunk_id"]).join(queries.select("query_id", "vector"), "query_id")
-              .withColumn("similarity", dot("vector", "embedding")).drop("embedding", "vector")
-              .where(F.col("similarity") >= min_sim))
+    def lists(vectors: pd.Series, level: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(vectors), index=vectors.index, dtype=object)
+        for at in level.dropna().unique():
+            c = centres[int(at)]
+            chosen = (level == at) & vectors.notna()
+            if chosen.any():
+                score = np.stack(vectors[chosen].to_numpy()).astype("float64") @ c.T
+                best = np.argsort(-score, axis=1, kind="stable")[:, :probes(len(c))]
+                out[chosen] = pd.Series(list(best.astype("int32")), index=vectors.index[chosen], dtype=object)
+        return out
+
+    return lists
+
+
+def probes_for(lists: int) -> int:
+    """Lists that a query visits: two more than the square root of their number."""
+    return min(lists, int(np.ceil(np.sqrt(lists))) + 2)
+
+
+def ann_pairs(queries: DataFrame, chunks: DataFrame, centres: list[np.ndarray] | None = None, probes: Callable[[int], int] = probes_for,
+              side: int = 8192) -> DataFrame:
+    """The pairs that R2 scores. A chunk is in one list, so no pair comes twice; a query takes `probes` lists of its candidate's resolution."""
+    centres = coarse_lists(chunks) if centres is None else centres
+    pool = live(chunks).where("embedding is not null")
+    if not centres:
+        return pool.join(queries.limit(0), "user_id")
+    if len(centres) == 1:  # one resolution, nothing to look up
+        own = lambda df, key: df.withColumn("_level", F.lit(0))
+    else:
+        levels = candidate_levels(pool, len(centres))
+        own = lambda df, key: salted_join(df, levels, ["user_id"], [key], "inner")
+    left = own(pool, "chunk_id").withColumn("_list", _nearest(centres, lambda k: 1)("embedding", "_level")[0]).drop("_level")
+    right = own(queries, "query_id").withColumn("_list", F.explode(_nearest(centres, probes)("vector", "_level"))).drop("_level")
+    return paired(left, right, ["user_id", "_list"], side).drop("_list")
+
+
+def candidate_levels(pool: DataFrame, levels: int) -> DataFrame:
+    """(user_id, _level). One row per candidate, counted with partial sums."""
+    return small_side(pool.groupBy("user_id").count().select("user_id", resolution(F.col("count"), levels).alias("_level")))
+
+
+def retrieve_ann(queries: DataFrame, chunks: DataFrame, k: int = 4, min_sim: float = 0.35, centres: list[np.ndarray] | None = None,
+                 probes: Callable[[int], int] = probes_for, side: int = 8192) -> DataFrame:
+    """R2: approximate top-k over inverted lists of a trained coarse index.
+
+    `centres` comes from `coarse_lists` (trained here when absent; keep it for later batches). A candidate's number of lists
+    grows with the logarithm of its chunks. Only pairs of a probed list are scored, exactly, so the result is a subset of
+    R1's qualifying pairs; a query that is a stored vector always finds it.
+    """
+    scored = (ann_pairs(queries, chunks, centres, probes, side).withColumn("similarity", dot("vector", "embedding"))
+              .drop("embedding", "vector").where(F.col("similarity") >= min_sim))
     return _top(scored, ["query_id"], [F.desc("similarity"), F.asc("chunk_id")], k)
 
 

@@ -76,6 +76,40 @@ def test_exact_and_approximate_retrieval(spark):
     assert len(near & exact) >= 0.9 * len(exact)
 
 
+def test_coarse_lists_score_fewer_pairs_with_recall(spark):
+    """On the given vectors: fewer scored pairs than the exact search, recall with and without the query's own row."""
+    from catalog.q_retrieval import both
+
+    q, chunks = both(spark, "/root/testdata/sf0.1")
+    chunks = chunks.cache()
+    centres = R.coarse_lists(chunks)
+    assert [len(c) for c in centres] == [8]  # 50 chunks a candidate
+    pairs, scored = R.paired(R.live(chunks), q, ["user_id"]).count(), R.ann_pairs(q, chunks, centres)
+    assert scored.count() == scored.select("query_id", "chunk_id").distinct().count() < 0.65 * pairs
+    rows = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
+    exact, near = rows(R.retrieve(q, chunks, k=4)), rows(R.retrieve_ann(q, chunks, k=4, centres=centres))
+    assert len(near & exact) >= 0.9 * len(exact)
+    other = {x for x in exact if x[1] != f"chunk-{x[0]}"}
+    assert len(near & other) >= 0.8 * len(other)
+
+
+def test_large_candidates_have_more_lists(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.standard_normal((40, 16))
+    v = centre[rng.integers(0, 40, 3000)] + 0.4 * rng.standard_normal((3000, 16))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [("large" if i < 2900 else f"s{i % 4}", f"c{i}", "project", [float(x) for x in v[i]]) for i in range(3000)]
+    chunks = spark.createDataFrame([*rows, ("none", "x", "project", None)], "user_id string, chunk_id string, source_type string, embedding array<double>").repartition(4).cache()
+    q = chunks.where("embedding is not null and crc32(cast(chunk_id as binary)) % 10 = 0").selectExpr("chunk_id as query_id", "user_id", "embedding as vector")
+    centres = R.coarse_lists(chunks)
+    assert [len(c) for c in centres] == [8, 32, 128, 512]  # about step chunks a list or more
+    assert R.ann_pairs(q, chunks, centres).count() < 0.3 * R.paired(R.live(chunks), q, ["user_id"]).count()
+    rows = lambda df: {(r.query_id, r.chunk_id) for r in df.collect()}
+    exact, near = rows(R.retrieve(q, chunks, k=4)), rows(R.retrieve_ann(q, chunks, k=4, centres=centres))
+    assert len(near & exact) >= 0.9 * len(exact) and {x for x, y in near if x == y} == {r.query_id for r in q.collect()}
+    assert R.retrieve_ann(q, chunks.limit(0)).count() == 0 and R.retrieve_ann(q.limit(0), chunks, centres=centres).count() == 0
+
+
 def test_keyword_search_is_stable(spark):
     docs = spark.createDataFrame([(1, "Nothing to see in this one here. Kafka streams keep every offset safe. Kafka and streams and offset together now. Streams are long segments too.")], "doc_id int, text string")
     q = spark.createDataFrame([(9, 1, "what about kafka streams offset")], "query_id int, doc_id int, query string")
