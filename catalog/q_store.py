@@ -46,6 +46,25 @@ def _(spark, sf):
     return upserted(spark, sf, "append")
 
 
+def stored(spark, sf, mode):
+    """The same merge on a table laid out by hash of the owner, applied twice."""
+    root, have = scratch_dir(spark), fx(spark, sf, "chunk_store")
+    sinks.write_store(have, root, 64)
+    for _ in range(2):
+        U.merge_store(root, have.schema, fx(spark, sf, "chunk_batch"), NOW, mode, parts=64)
+    return sinks.read_store(spark, root, have.schema, parts=64)
+
+
+@query("u02_merge_store", MERGED.format("CASE WHEN b.chunk_id IS NULL THEN s.deleted_at END"))
+def _(spark, sf):
+    return stored(spark, sf, "append")
+
+
+@query("u03_merge_store_snapshot", MERGED.format(f"CASE WHEN b.chunk_id IS NOT NULL THEN NULL WHEN s.deleted_at IS NULL AND {TOUCHED} THEN CAST('2024-02-01' AS TIMESTAMP) ELSE s.deleted_at END"))
+def _(spark, sf):
+    return stored(spark, sf, "snapshot")
+
+
 @query("u03_upsert_snapshot", MERGED.format(f"CASE WHEN b.chunk_id IS NOT NULL THEN NULL WHEN s.deleted_at IS NULL AND {TOUCHED} THEN CAST('2024-02-01' AS TIMESTAMP) ELSE s.deleted_at END"))
 def _(spark, sf):
     return upserted(spark, sf, "snapshot")
@@ -289,6 +308,26 @@ def _(spark, sf):
     return X.read_transcripts(spark, f"{root}/log").select("user_id", "chunk_id", "metadata.turn_number", "metadata.evaluation_score", "content")
 
 
+TURN_STORE = "user_id string, source_type string, chunk_id string, content string, embedding array<float>, token_count int, version timestamp, created_at timestamp, deleted_at timestamp"
+
+
+@query("x01_paired_turns", f"""WITH {PAIRS_SQL} SELECT CAST(user_id AS VARCHAR) AS user_id, concat(user_id, '-turn-', turn) AS chunk_id, 'transcript' AS source_type, greatest(1, len(regexp_extract_all(concat('Question: ', {strip('text')}, chr(10), 'Answer: ', {strip('nt')}), '{t.TOKEN_REGEX}'))) AS token_count,
+    concat('Question: ', {strip('text')}, chr(10), 'Answer: ', {strip('nt')}) AS content FROM p WHERE role = 'user' AND nr = 'assistant'""")
+def _(spark, sf):
+    """Questions and answers come in different batches; paired in stream state, logged, compacted into the store."""
+    root = scratch_dir(spark)
+    rows = fx(spark, sf, "turns").select("user_id", "turn", "role", "text", F.lit(None).cast("double").alias("evaluation_score"),
+                                         (F.lit("2024-01-01").cast("timestamp") + F.make_interval(mins=F.col("turn").cast("int"))).alias("at"))
+    rows.where("role = 'user' and turn % 4 = 0 or role = 'assistant' and turn % 4 <> 1").write.parquet(f"{root}/in/a")
+    rows.where("role = 'user' and turn % 4 <> 0 or role = 'assistant' and turn % 4 = 1").write.parquet(f"{root}/in/b")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 32).option("recursiveFileLookup", "true").parquet(f"{root}/in")
+    X.stream_transcripts(X.pair_stream(stream), f"{root}/log", f"{root}/ckpt").trigger(availableNow=True).start().awaitTermination()
+    empty = spark.createDataFrame([], TURN_STORE)
+    sinks.write_store(empty, f"{root}/store", 64)
+    X.compact(spark, f"{root}/log", f"{root}/store", empty.schema, NOW, parts=64)
+    return sinks.read_store(spark, f"{root}/store", empty.schema, parts=64).select("user_id", "chunk_id", "source_type", "token_count", "content")
+
+
 @query("x02_plugin_embedder")
 def _(spark, sf):
     def load():
@@ -413,7 +452,7 @@ def _(spark, sf):
 @query("s08_versioned_table", "SELECT user_id, chunk_id, source_type, content FROM chunk_store UNION ALL SELECT user_id, chunk_id, source_type, content FROM chunk_batch")
 def _(spark, sf):
     root = scratch_dir(spark)
-    sinks.write_table(fx(spark, sf, "chunk_batch"), root, "chunks", partition_by=["source_type"])
-    sinks.write_table(fx(spark, sf, "chunk_store").drop("created_at", "deleted_at"), root, "chunks", partition_by=["source_type"])
-    sinks.write_table(fx(spark, sf, "chunk_batch"), root, "chunks", mode="append", partition_by=["source_type"])
-    return sinks.read_table(spark, root, "chunks").select("user_id", "chunk_id", "source_type", "content")
+    sinks.write_table(fx(spark, sf, "chunk_batch"), root, partition_by=["source_type"])
+    sinks.write_table(fx(spark, sf, "chunk_store").drop("created_at", "deleted_at"), root, partition_by=["source_type"])
+    sinks.write_table(fx(spark, sf, "chunk_batch"), root, mode="append", partition_by=["source_type"])
+    return sinks.read_table(spark, root).select("user_id", "chunk_id", "source_type", "content")

@@ -11,12 +11,14 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import blank, let
 from profilelab.operators.ordered import salted_join, settled
 from profilelab.schemas import EMBEDDING_DIM
+from profilelab.sources.sinks import PARTS, part_of, read_store, write_store
 
 
 # --- U1 / X2 ------------------------------------------------------------------------------------------------
@@ -117,6 +119,27 @@ def upsert_chunks(store: DataFrame, batch: DataFrame, as_of: str, mode: str = "a
         F.col("deleted_at"))).select(*store.columns)
 
 
+def merge_store(path: str, schema: StructType, batch: DataFrame, as_of: str, mode: str = "append", covered_types: list[str] | None = None,
+                version: Column | None = None, newer: str | None = None, parts: int = PARTS) -> list[int]:
+    """U2 + U3 on a stored table: only the folders of the batch's candidates are read, merged and replaced.
+
+    Returns the folders touched, at most `parts` numbers. `newer` names a column of store and batch: a batch row whose value
+    is below the stored row's changes nothing. An empty batch writes nothing; applied twice the result is the same.
+    """
+    spark = batch.sparkSession
+    batch = settled(batch)
+    touched = sorted(r.part for r in batch.select(part_of("user_id", parts).alias("part")).distinct().collect())
+    if not touched:
+        return []
+    store = read_store(spark, path, schema, touched, parts)
+    if newer:
+        keys = ["user_id", "chunk_id"]
+        batch = batch.join(store.select(*keys, F.col(newer).alias("_stored")), keys, "left").where(
+            F.col("_stored").isNull() | (F.col(newer) >= F.col("_stored"))).drop("_stored")
+    write_store(settled(upsert_chunks(store, batch, as_of, mode, covered_types, version)), path, parts)
+    return touched
+
+
 def tombstone(store: DataFrame, batch: DataFrame, as_of: str, covered_types: list[str] | None = None) -> DataFrame:
     """U3 alone: store rows with deleted_at set where the snapshot batch dropped them."""
     touched = batch.select("user_id", "source_type").distinct()

@@ -1,74 +1,51 @@
-"""Versioned tables. A write lands in a new directory and becomes visible when the pointer file is replaced.
+"""Tables of Spark's own Parquet writer.
 
-The pointer names the directories of the current version, one a line: one after an overwrite, one more after each append.
-It is written beside its place and renamed over it, so a reader sees the old or the new list, never a part of one."""
+Snapshots overwrite a folder, appends add files to it. A store is laid out by hash of its owner, so a merge reads and
+replaces the folders of the owners it touches and no others (dynamic partition overwrite). Spark replaces folders at the
+commit of a write, one after the other: one writer at a time, and readers between writes."""
 
 from __future__ import annotations
 
-import uuid
-from functools import reduce
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructType
 
-from pyspark.sql import DataFrame, SparkSession
+from profilelab.functions import text as t
 
-_POINTER = "_current"
+PARTS = 256
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+def write_table(df: DataFrame, path: str, mode: str = "overwrite", partition_by: list[str] | None = None,
+                rows_per_file: int = 2_000_000) -> None:
+    """Write a snapshot ('overwrite') or add rows ('append')."""
+    writer = df.write.mode(mode).option("maxRecordsPerFile", rows_per_file)
+    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
-def current_parts(spark: SparkSession, root: str, name: str) -> list[str]:
-    """Directories the table's pointer names, none before the first write."""
-    fs, p = _fs(spark, f"{root}/{name}/{_POINTER}")
-    if not fs.exists(p):
-        return []
-    stream = fs.open(p)
-    try:
-        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8").split()
-    finally:
-        stream.close()
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "true").parquet(path)
 
 
-def current_version(spark: SparkSession, root: str, name: str) -> str | None:
-    """Directory of the last overwrite, None before the first write."""
-    return next(iter(current_parts(spark, root, name)), None)
+def part_of(owner, parts: int = PARTS) -> Column:
+    """The folder of an owner."""
+    return F.pmod(F.xxhash64(t.col(owner).cast("string")), F.lit(parts)).cast("int")
 
 
-def read_table(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    parts = current_parts(spark, root, name)
-    tables = [spark.read.parquet(f"{root}/{name}/{p}") for p in parts]  # each directory has its own partition folders
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else None
+def write_store(rows: DataFrame, path: str, parts: int = PARTS, owner: str = "user_id", spread: str = "chunk_id", rows_per_file: int = 2_000_000) -> None:
+    """Replace the folders of the owners in `rows`; other folders keep their files.
 
-
-def write_table(df: DataFrame, root: str, name: str, mode: str = "overwrite", partition_by: list[str] | None = None,
-                rows_per_file: int = 2_000_000) -> str:
-    """Write a snapshot ('overwrite': swap in a new version) or add rows to the current one ('append').
-
-    A failed or repeated write never disturbs readers: the pointer moves only after the data is complete.
+    Rows are cut into ranges of (folder, hash), so folders have few files and a busy owner's folder is written by many tasks.
     """
-    spark = df.sparkSession
-    version = f"v-{uuid.uuid4().hex}"
-    kept = [] if mode == "overwrite" else current_parts(spark, root, name)
-    writer = df.write.mode("errorifexists").option("maxRecordsPerFile", rows_per_file)
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(f"{root}/{name}/{version}")
-    _point(spark, root, name, [*kept, version])
-    return version
-
-
-def _point(spark: SparkSession, root: str, name: str, parts: list[str]) -> None:
-    """Replace the pointer by one rename."""
-    fs, beside = _fs(spark, f"{root}/{name}/{_POINTER}-{uuid.uuid4().hex}")
-    out = fs.create(beside, True)
-    try:
-        out.write(bytearray("\n".join(parts).encode("utf-8")))
-    finally:
-        out.close()
-    jvm = spark._jvm
-    target = jvm.org.apache.hadoop.fs.Path(f"{root}/{name}/{_POINTER}")
-    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri() if target.toUri().getScheme() else fs.getUri(), spark._jsc.hadoopConfiguration()).rename(beside, target, options)
+    placed = rows.withColumn("part", part_of(owner, parts)).repartitionByRange("part", F.xxhash64(spread))
+    (placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_per_file)
+     .partitionBy("part").parquet(path))
+
+
+def read_store(spark: SparkSession, path: str, schema: StructType, only: list[int] | None = None, parts: int = PARTS, owner: str = "user_id") -> DataFrame:
+    """Rows of the store, or of some folders of it. A store written with another number of folders raises."""
+    rows = spark.read.schema(StructType([*schema.fields]).add("part", IntegerType())).parquet(path)
+    if only is not None:
+        rows = rows.where(F.col("part").isin(only))
+    wrong = F.col("part") != part_of(owner, parts)
+    checked = F.when(wrong, F.raise_error(F.lit(f"the store has not {parts} parts")).cast(schema[owner].dataType)).otherwise(F.col(owner))
+    return rows.withColumn(owner, checked).select(*schema.names)

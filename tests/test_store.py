@@ -1,3 +1,4 @@
+import datetime
 import random
 
 import pytest
@@ -85,14 +86,75 @@ def test_sessions_split(spark):
     assert [r.request_id for r in bad.collect()] == [2]
 
 
-def test_versioned_table_swaps_whole(spark, tmp_path):
-    root = str(tmp_path)
-    assert sinks.read_table(spark, root, "t") is None
-    a = sinks.write_table(spark.range(3), root, "t")
-    b = sinks.write_table(spark.range(5), root, "t")
-    assert a != b and sinks.read_table(spark, root, "t").count() == 5
-    sinks.write_table(spark.range(2), root, "t", mode="append")
-    assert sinks.read_table(spark, root, "t").count() == 7 and sinks.current_version(spark, root, "t") == b
+def test_tables_are_replaced_or_extended(spark, tmp_path):
+    path = str(tmp_path / "t")
+    sinks.write_table(spark.range(3), path)
+    sinks.write_table(spark.range(5), path)
+    assert sinks.read_table(spark, path).count() == 5
+    sinks.write_table(spark.range(2).withColumn("more", F.lit(1)), path, mode="append")
+    assert sinks.read_table(spark, path).where("more is null").count() == 5 and sinks.read_table(spark, path).count() == 7
+
+
+def test_a_merge_touches_its_candidates_only(spark, tmp_path):
+    import glob
+
+    path = str(tmp_path / "store")
+    ddl = "user_id string, chunk_id string, source_type string, content string, created_at timestamp, deleted_at timestamp"
+    then = datetime.datetime(2024, 1, 1)
+    rows = [(f"u{i % 40}", f"c{i}", "project", "old", then, None) for i in range(400)] + [(None, "n", "project", "old", then, None)]
+    have = spark.createDataFrame(rows, ddl)
+    sinks.write_store(have, path, 32)
+    files = lambda: set(glob.glob(f"{path}/part=*/*.parquet"))
+    names = lambda fs, parts: {f for f in fs if int(f.split("part=")[1].split("/")[0]) in parts}
+    before = files()
+    batch = spark.createDataFrame([("u3", "c3", "project", "new"), ("u7", "fresh", "project", "new")], "user_id string, chunk_id string, source_type string, content string")
+    touched = U.merge_store(path, have.schema, batch, "2024-02-01", mode="snapshot", parts=32)
+    after = files()
+    assert 1 <= len(touched) <= 2 and names(before, touched).isdisjoint(after)
+    assert before - names(before, touched) == after - names(after, touched)
+    show = lambda: sorted(map(str, sinks.read_store(spark, path, have.schema, parts=32).collect()))
+    once = show()
+    want = sorted(map(str, U.upsert_chunks(have, batch, "2024-02-01", "snapshot").collect()))
+    assert once == want
+    U.merge_store(path, have.schema, batch, "2024-02-01", mode="snapshot", parts=32)
+    assert show() == once and U.merge_store(path, have.schema, batch.limit(0), "2024-02-01", parts=32) == []
+    with pytest.raises(Exception, match="has not 16 parts"):
+        sinks.read_store(spark, path, have.schema, parts=16).collect()
+
+
+def test_answers_may_come_batches_later(spark, tmp_path):
+    """Question first, answer two batches later, a re-scored answer, an older one, a repeat; then compaction and a late old version."""
+    from catalog.q_store import TURN_STORE
+
+    src, log, path = str(tmp_path / "in"), str(tmp_path / "log"), str(tmp_path / "store")
+    ddl = "user_id string, turn int, role string, text string, evaluation_score double, at timestamp"
+    at = lambda day: datetime.datetime(2024, 1, day)
+    feed = [[("u", 0, "user", "why", None, at(1)), ("v", 2, "assistant", "lone", None, at(1)), ("u", 9, "system", "x", None, at(1)), ("u", None, "user", "x", None, at(1))],
+            [("w", 4, "user", "never answered", None, at(1))],
+            [("u", 1, "assistant", "because", None, at(3))]]
+    def drain(batches, start):
+        for i, rows in enumerate(batches):
+            spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(f"{src}/{start + i}")
+            stream = spark.readStream.schema(ddl).option("recursiveFileLookup", "true").parquet(src)
+            X.stream_transcripts(X.pair_stream(stream), log, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+    drain(feed, 0)
+    got = X.read_transcripts(spark, log).collect()
+    assert [(r.user_id, r.chunk_id, r.content) for r in got] == [("u", "u-turn-0", "Question: why\nAnswer: because")]
+    empty = spark.createDataFrame([], TURN_STORE)
+    sinks.write_store(empty, path, 8)
+    assert X.compact(spark, log, path, empty.schema, "2024-02-01", parts=8) >= 1
+    assert X.log_batches(spark, log) == [] and X.read_log(spark, log) is None and X.compact(spark, log, path, empty.schema, "2024-02-01", parts=8) == 0
+    stored = lambda: [(r.chunk_id, r.content, r.token_count, len(r.embedding)) for r in sinks.read_store(spark, path, empty.schema, parts=8).collect()]
+    first = stored()
+    assert len(first) == 1 and first[0][1].endswith("because")
+    drain([[("u", 1, "assistant", "older", None, at(2)), ("u", 1, "assistant", "because", None, at(3))]], 3)
+    X.compact(spark, log, path, empty.schema, "2024-02-01", parts=8)
+    assert stored() == first
+    drain([[("u", 1, "assistant", "better", 7.0, at(5))]], 4)
+    both = X.read_transcripts(spark, log, sinks.read_store(spark, path, empty.schema, parts=8)).collect()
+    assert [r.content[-6:] for r in both] == ["better"]
+    X.compact(spark, log, path, empty.schema, "2024-02-01", parts=8)
+    assert [c[1][-6:] for c in stored()] == ["better"]
 
 
 def test_stream_takes_the_newest_version_in_any_order(spark, tmp_path):
@@ -105,8 +167,6 @@ def test_stream_takes_the_newest_version_in_any_order(spark, tmp_path):
     X.stream_transcripts(stream, log, str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
     row = X.read_transcripts(spark, log).collect()
     assert len(row) == 1 and row[0].content.endswith("late") and row[0].metadata.evaluation_score == 9.0
-    X.compact(spark, log, str(tmp_path / "tables"))
-    assert sinks.read_table(spark, str(tmp_path / "tables"), "transcripts").count() == 1
 
 
 def test_question_trees(spark):
@@ -131,17 +191,3 @@ def test_copies_of_a_key_need_a_version(spark):
     with pytest.raises(Exception, match="need a version"):
         U.last_per_key(rows, ["user_id", "chunk_id"], None).collect()
     assert [r.v for r in U.last_per_key(rows, ["user_id", "chunk_id"], F.col("v")).collect()] == [2]
-
-
-def test_readers_see_whole_versions(spark, tmp_path):
-    import os
-
-    root = str(tmp_path / "tables")
-    sinks.write_table(spark.range(3), root, "t")
-    before = sinks.read_table(spark, root, "t")
-    sinks.write_table(spark.range(4), root, "t", mode="append")
-    assert before.count() == 3 and sinks.read_table(spark, root, "t").count() == 7
-    assert len(sinks.current_parts(spark, root, "t")) == 2
-    sinks.write_table(spark.range(1), root, "t")
-    assert sinks.read_table(spark, root, "t").count() == 1
-    assert [f for f in os.listdir(f"{root}/t") if f.startswith("_current-")] == []
