@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 from catalog.base import fx, query, strip
@@ -419,6 +420,28 @@ def _(spark, sf):
     return R.file_inventory(spark.sql(PATHS).select("repo_id", "path", F.encode("body", "UTF-8").alias("content")))
 
 
+LANDED = """SELECT CASE WHEN page_id % 3 = 0 THEN 'hot' ELSE concat('r', page_id % 20) END AS repo_id, concat('d', page_id % 7, '/', page_id, '/', CASE page_id % 8 WHEN 0 THEN 'src/app.py' WHEN 1 THEN 'node_modules/x.js' WHEN 2 THEN 'logo.PNG' WHEN 3 THEN '.github/ci.yml' WHEN 4 THEN 'Makefile' WHEN 5 THEN '__init__.py' ELSE 'lib/My.File.TSX' END) AS path,
+    CASE WHEN page_id % 8 = 5 THEN '' ELSE coalesce(html, '') END AS body FROM pages"""
+
+
+@query("s04_read_files", f"""SELECT repo_id, path, CASE WHEN path LIKE '%.py' THEN '.py' WHEN path LIKE '%.TSX' THEN '.tsx' ELSE '' END AS extension, CASE WHEN body = '' THEN 0 ELSE len(regexp_extract_all(body, '\\r\\n|\\r|\\n')) + CASE WHEN body[-1] IN (chr(10), chr(13)) THEN 0 ELSE 1 END END AS loc, path NOT LIKE '%Makefile' AS is_source
+    FROM ({LANDED}) WHERE path NOT LIKE '%node_modules%' AND path NOT LIKE '%.PNG' AND path NOT LIKE '%.github%'""")
+def _(spark, sf):
+    """Every page is landed as a file of a clone, then listed and read back."""
+    fx(spark, sf, "pages")
+    root = scratch_dir(spark)
+
+    def land(rows):
+        for row in rows:
+            target, at = fs.FileSystem.from_uri(f"{root}/{row.repo_id}/{row.path}")
+            target.create_dir(at.rsplit("/", 1)[0], recursive=True)
+            with target.open_output_stream(at) as out:
+                out.write(row.body.encode("utf-8"))
+
+    spark.sql(LANDED).foreachPartition(land)
+    return R.file_inventory(R.read_files(spark, root))
+
+
 @query("s05_parse_commits", """SELECT repo_id, split_part(value, '|', 1) AS sha, CAST(split_part(value, '|', 2)[1:10] AS TIMESTAMP) + INTERVAL 8 HOUR AS committed_at, substr(value, length(split_part(value, '|', 1)) + length(split_part(value, '|', 2)) + 3) AS subject FROM commit_lines WHERE value LIKE '%+02:00%'""")
 def _(spark, sf):
     return R.parse_commits(fx(spark, sf, "commit_lines"))

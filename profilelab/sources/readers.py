@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+from functools import reduce
+
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from profilelab import schemas, vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import strip
-from profilelab.operators.ordered import summed_before
+from profilelab.operators.ordered import settled, summed_before
 
 
 def spread(df: DataFrame, text_columns=("text", "html")) -> DataFrame:
@@ -104,15 +110,73 @@ def file_inventory(files: DataFrame, skipped_dirs: list[str] | None = None) -> D
                        F.col("extension").isin(vocab.SOURCE_EXTENSIONS).alias("is_source"))
 
 
-def read_files(spark: SparkSession, root: str) -> DataFrame:
-    """Landed clones root/<repo_id>/<path…> as files(repo_id, path, content).
+_ENTRY = "repo_id string, path string, location string, folder boolean, size long"
+
 
-    Spark's file sources never plan files of zero bytes, so empty files do not appear.
+def listed_entries(spark: SparkSession, root: str, skipped_dirs: list[str] | None = None, binary_extensions: list[str] | None = None) -> DataFrame:
+    """Folders and files under root/<repo_id>/…, listed by tasks one depth at a time: (repo_id, path, location, folder, size).
+
+    Every folder is listed once, wherever it lies, so a large repository is spread like many small ones. Skipped folders, linked
+    folders and files of binary endings are left out where they are met: nothing below them is listed. Files of zero bytes count.
+    The file systems are those of pyarrow (local or mounted paths, hdfs, s3, gs), by the scheme of `root`.
+    """
+    skipped, binary = set(vocab.SKIPPED_DIRS if skipped_dirs is None else skipped_dirs), set(vocab.BINARY_EXTENSIONS if binary_extensions is None else binary_extensions)
+    scheme = root.split("://")[0] + "://" if "://" in root else root.split(":")[0] + ":" if root.startswith("file:") else ""
+
+    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for repo, above, location in zip(frame["repo_id"], frame["path"], frame["location"]):
+                files, at = fs.FileSystem.from_uri(location)
+                rows = []
+                for entry in files.get_file_info(fs.FileSelector(at, allow_not_found=True)):
+                    name = entry.base_name
+                    folder = entry.type == fs.FileType.Directory
+                    if folder:
+                        linked = isinstance(files, fs.LocalFileSystem) and os.path.islink(entry.path)
+                        if linked or (repo is not None and (name in skipped or name.startswith(".git"))):
+                            continue
+                    elif repo is None or entry.type != fs.FileType.File or os.path.splitext(name)[1].lower() in binary:
+                        continue
+                    path = None if repo is None else name if above is None else f"{above}/{name}"
+                    rows.append((name if repo is None else repo, path, scheme + entry.path, folder, entry.size))
+                    if len(rows) == 10_000:
+                        yield pd.DataFrame(rows, columns=["repo_id", "path", "location", "folder", "size"])
+                        rows = []
+                if rows:
+                    yield pd.DataFrame(rows, columns=["repo_id", "path", "location", "folder", "size"])
+
+    todo, levels = spark.createDataFrame([(None, None, root)], "repo_id string, path string, location string"), []
+    n = 1
+    while n:
+        spread_out = todo.repartition(min(-(-n // 16), 20_000), F.xxhash64("location"))
+        levels.append(settled(spread_out.mapInPandas(listed, _ENTRY)))
+        todo = levels[-1].where("folder").select("repo_id", "path", "location")
+        n = todo.count()
+    return reduce(DataFrame.unionByName, levels)
+
+
+def read_files(spark: SparkSession, root: str, skipped_dirs: list[str] | None = None, binary_extensions: list[str] | None = None) -> DataFrame:
+    """Landed clones root/<repo_id>/<path…> as files(repo_id, path, content), empty files included.
+
+    Only files that the listing keeps are opened, in tasks of about 64 MB or 256 files. A file that may not be read or has gone has null
+    content (`file_inventory` drops it); any other failure is raised.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rel = F.regexp_replace("path", "^.*?" + root.strip("/").split("/")[-1] + "/", "")
-    return raw.select(F.split_part(rel, F.lit("/"), F.lit(1)).alias("repo_id"),
-                      F.regexp_replace(rel, "^[^/]*/", "").alias("path"), "content")
+    files = listed_entries(spark, root, skipped_dirs, binary_extensions).where("not folder")
+    n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+
+    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for repo, path, location in zip(frame["repo_id"], frame["path"], frame["location"]):
+                source, at = fs.FileSystem.from_uri(location)
+                try:
+                    with source.open_input_file(at) as f:
+                        content = f.read()
+                except (PermissionError, FileNotFoundError):
+                    content = None
+                yield pd.DataFrame({"repo_id": [repo], "path": [path], "content": [content]})
+
+    tasks = max(1, min(max(-(-n // 256), -(-size // (64 << 20))), 20_000))
+    return files.repartition(tasks, F.xxhash64("location")).mapInPandas(opened, "repo_id string, path string, content binary")
 
 
 def parse_commits(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -16,6 +16,25 @@ def test_files_from_a_landed_clone(spark, tmp_path):
     assert got == {("r1", "src/app.py"): (".py", 2, True), ("r2", "README"): ("", 2, False)}
 
 
+def test_listing_prunes_and_keeps_empty_files(spark, tmp_path):
+    root = tmp_path / "clones"
+    made = {"r1/a/__init__.py": b"", "r1/a/b/c/d/deep.py": b"x\n", "r1/node_modules/p/q/x.js": b"x", "r1/.git/HEAD": b"x", "r1/pic.png": b"x", "build/vendor/x.py": b"x", "build/x.py": b"1\r\n2",
+            "r1/\u00e9 %20/z#?.md": b"a", "top.txt": b"of no repository"}
+    for name, body in made.items():
+        p = root / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(body)
+    (root / "none").mkdir()
+    (root / "r1" / "loop").symlink_to(root / "r1")
+    (root / "r1" / "gone.txt").symlink_to(root / "nowhere")
+    seen = R.listed_entries(spark, str(root)).collect()
+    assert len(seen) == len({r.location for r in seen})
+    assert not [r for r in seen if r.path and any(x in r.path for x in ("node_modules", ".git", "vendor", "loop", "png"))]
+    got = {(r.repo_id, r.path): r.loc for r in R.file_inventory(R.read_files(spark, str(root))).collect()}
+    assert got == {("r1", "a/__init__.py"): 0, ("r1", "a/b/c/d/deep.py"): 1, ("build", "x.py"): 2, ("r1", "\u00e9 %20/z#?.md"): 1}
+    assert R.read_files(spark, str(tmp_path / "absent")).count() == 0
+
+
 def test_activity_reads_the_same_as_stream_and_batch(spark, tmp_path):
     src = tmp_path / "ev"
     src.mkdir()
