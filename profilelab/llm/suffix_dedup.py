@@ -12,8 +12,12 @@ removed; strings are judged on the input and never cross documents.
    without sorting their suffixes together: an interleave of shard numbers is refined symbol by symbol, as the stable
    order of the BWT symbols in the interleave before; places where it splits bound the common prefixes. After
    span / step rounds the intervals between bounds hold the equal spans, and all but the earliest are repeats.
-4. Merging goes in levels of at most `fan_in` shards; only spans that are first in their merge go on, so a passage that a
-   third of all documents share reaches the next level once per merge.
+4. The segments of a part are merged at once, a shard for each run of blocks that one task cut. A part of more than `team_bytes`
+   or `fan_in` shards is merged in teams; only spans that are first in their team go on to the next level, so a passage that
+   a third of all documents share goes on once per team. There they are dealt anew by ever wider surroundings of the
+   anchor: spans are told apart by the place of the anchor in them, in twice as many classes a level, and a class deals by
+   the bytes that all its spans share. In the end a key is the whole span and its spans are equal, which a team thins to one;
+   so an anchor that very many different spans share never meets in one task.
 
 Null texts are empty. Rows of one id and text are one document and get the same result; a null id comes after all
 others. Extra columns are not carried. Names are 64-bit hashes of grams, compared inside one merge.
@@ -24,6 +28,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +41,8 @@ from profilelab.llm.common import drop, shared_dir, staged, table
 from profilelab.llm.near_dups import bounded_broadcast
 from profilelab.llm.words import mix, prefix_hashes, row_groups, span_hashes, string_parts
 
-SPAN, STEP, GRAM, FAN_IN, BLOCK_BYTES = 100, 50, 16, 64, 2 << 20
+SPAN, STEP, GRAM, FAN_IN, BLOCK_BYTES = 100, 50, 16, 4096, 2 << 20
+TEAM_BYTES, CUT_BLOCKS, MOST_PARTS = 2 << 20, 16, 1 << 14
 _LAST = (1 << 63) - 1
 BLOCKS = "block long, path string, start long, size long, hashes binary"
 RESULT = "doc long, fp long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -67,9 +73,10 @@ def read_block(path: str, start: int, size: int) -> Block:
 
 @dataclass
 class Runs:
-    """Runs of span starts with one anchor: hash, first start (in the block), number of starts."""
+    """Runs of span starts with one anchor: its hash and place, first start (in the block), number of starts."""
 
     hashes: np.ndarray
+    places: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
 
@@ -78,7 +85,7 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, span: int) -> Runs:
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < span:
-        return Runs(none.view(np.uint64), none, none)
+        return Runs(none.view(np.uint64), none, none, none)
     at = np.arange(n - GRAM + 1)
     h = span_hashes(prefix_hashes(data), at, at + GRAM)
     key = (h >> np.uint64(32) << np.uint64(32)) | at.astype(np.uint64)
@@ -91,13 +98,13 @@ def anchor_runs(data: np.ndarray, offsets: np.ndarray, span: int) -> Runs:
     ends = np.repeat(offsets[1:], np.diff(offsets))
     valid = np.flatnonzero(ends[: len(key)] - np.arange(len(key)) >= span)
     if not len(valid):
-        return Runs(none.view(np.uint64), none, none)
+        return Runs(none.view(np.uint64), none, none, none)
     place = (key[valid] & np.uint64(0xFFFFFFFF)).astype(np.int64)
     head = np.flatnonzero(np.concatenate(([True], (place[1:] != place[:-1]) | (valid[1:] != valid[:-1] + 1))))
-    return Runs(h[place[head]], valid[head], np.diff(head, append=len(valid)))
+    return Runs(h[place[head]], place[head], valid[head], np.diff(head, append=len(valid)))
 
 
-SEGMENTS = ("block", "row", "doc", "at", "run", "anchor")
+SEGMENTS = ("block", "row", "doc", "at", "run", "lead")  # lead: bytes from the first span start to the anchor
 
 
 def pack_segments(cols: dict[str, np.ndarray], data: np.ndarray) -> bytes:
@@ -125,17 +132,32 @@ class Shard:
     bwt: np.ndarray
 
 
+def by_name(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places by name, equal names by place; rank of each name from 1)."""
+    bits = np.uint64(max(1, len(names)).bit_length())
+    top = names if not len(names) or int(names.max()) >> (64 - int(bits)) else names << bits  # small names are shifted, large ones cut
+    order = (np.sort((top >> bits << bits) | np.arange(len(names), dtype=np.uint64)) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    inner = names[order]
+    split = inner[1:] != inner[:-1]
+    if (split & (top[order[1:]] >> bits == top[order[:-1]] >> bits)).any():  # two names that agree where they were cut
+        order = np.argsort(names, kind="stable")
+        inner = names[order]
+        split = inner[1:] != inner[:-1]
+    rank = np.empty(len(names), np.int64)
+    rank[order] = np.cumsum(np.concatenate(([1], split))) if len(names) else 0
+    return order, rank
+
+
 def build_shard(codes: np.ndarray, following: np.ndarray, before: np.ndarray, last: np.ndarray, empties: np.ndarray, longest: int) -> Shard:
     """Sort the suffixes of one shard by doubling. `following`: number of the suffix one symbol later, -1 at the end;
     `before`: code of the symbol one earlier; `last`: code of each string's last symbol; `empties`: numbers of the empty suffixes."""
     rank, have, jump = codes.astype(np.int64), 1, following
+    order = np.argsort(rank, kind="stable") if longest <= 1 else rank
     while have < longest:
         later = np.where(jump >= 0, rank[jump], 0)
-        key = rank * (int(rank.max(initial=0)) + 1) + later
-        rank = np.unique(key, return_inverse=True)[1].astype(np.int64) + 1
+        order, rank = by_name((rank * (int(rank.max(initial=0)) + 1) + later).view(np.uint64))  # equal suffixes by place
         jump = np.where(jump >= 0, following[jump] if have == 1 else jump[jump], -1)
         have *= 2
-    order = np.argsort(rank * len(rank) + np.arange(len(rank)))  # equal suffixes by place
     return Shard(np.concatenate((empties, order)), np.concatenate((last, before[order])))
 
 
@@ -172,8 +194,7 @@ def repeated_starts(parts: list[tuple[dict[str, np.ndarray], np.ndarray]], span:
     real_at = np.concatenate(([0], np.cumsum(n_real)))
     place = _ranges(offsets[:-1], n_real)
     total = len(place)
-    names, codes = np.unique(span_hashes(prefix_hashes(data), place, place + step), return_inverse=True)
-    codes = codes.astype(np.int64) + 1
+    codes = by_name(span_hashes(prefix_hashes(data), place, place + step))[1]
     inside = place - np.repeat(offsets[:-1], n_real)
     following = np.where(inside + step < np.repeat(n_real, n_real), np.arange(total) + step, -1)
     before = np.where(inside >= step, codes[np.maximum(np.arange(total) - step, 0)], 0)
@@ -222,7 +243,7 @@ def _flag_runs(cols: dict[str, np.ndarray], flags: np.ndarray) -> tuple[np.ndarr
     return seg, a - begin[seg], b - a
 
 
-MERGED = "kind int, block long, part long, packed binary"
+MERGED = "kind int, block long, part long, size long, packed binary"
 
 
 def dealt(anchors: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
@@ -232,9 +253,26 @@ def dealt(anchors: np.ndarray, parts: int) -> list[tuple[int, np.ndarray]]:
     return [(int(to[g[0]]), g) for g in np.split(by, np.flatnonzero(np.diff(to[by])) + 1) if len(g)]
 
 
-def _merge_group(rows: pa.Table, span: int, step: int, parts: int) -> pa.Table:
-    """Marks of repeats for each block (kind 0), and the segments whose spans go on (kind 1), dealt to the next level's
-    `parts`, one shard each; 0 at the last level."""
+def _cut_classes(cols: dict[str, np.ndarray], first: np.ndarray, data: np.ndarray, span: int, classes: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+    """Segments cut where the anchor's place in the span changes its class; first bytes; hashes of what all spans of a piece share.
+    Equal spans have their anchor at the same place, so they are in equal classes and have equal hashes."""
+    widest = span - GRAM
+    width = -(-(widest + 1) // classes)
+    top = cols["lead"] // width
+    n = top - (cols["lead"] - cols["run"] + 1) // width + 1
+    seg = np.repeat(np.arange(len(n)), n)
+    kind = np.repeat(top, n) - _ranges(np.zeros(len(n), np.int64), n)
+    lead, least, most = cols["lead"][seg], kind * width, np.minimum(kind * width + width - 1, widest)
+    lo, hi = np.maximum(0, lead - most), np.minimum(cols["run"][seg] - 1, lead - least)
+    anchor = first[seg] + lead
+    keys = span_hashes(prefix_hashes(data), anchor - least, anchor + span - most) ^ mix(kind.astype(np.uint64))
+    out = {c: cols[c][seg] for c in SEGMENTS} | {"at": cols["at"][seg] + lo, "run": hi - lo + 1, "lead": lead - lo}
+    return out, first[seg] + lo, keys
+
+
+def _merge_group(rows: pa.Table, span: int, step: int, classes: int, level: int) -> pa.Table:
+    """Marks of repeats for each block (kind 0) and, where the part has other teams, the segments whose spans go on (kind 1),
+    dealt anew to as many parts, one shard each."""
     cols, data, offsets, flags = repeated_starts([unpack_segments(x) for x in rows.column("packed").to_pylist()], span, step)
     out: list[tuple] = []
     seg, at, n = _flag_runs(cols, flags)
@@ -242,26 +280,23 @@ def _merge_group(rows: pa.Table, span: int, step: int, parts: int) -> pa.Table:
     by = np.argsort(home, kind="stable")
     for own in np.split(by, np.flatnonzero(np.diff(home[by])) + 1) if len(by) else []:
         marks = np.stack([cols["row"][seg[own]], cols["at"][seg[own]] + at[own], n[own]]).astype(np.int64)
-        out.append((0, int(home[own[0]]), 0, zstandard.ZstdCompressor(level=1).compress(marks.tobytes())))
-    if parts:
-        seg, at, n = _flag_runs(cols, ~flags)
-        if len(seg):
-            keep = np.unique(seg)
-            lo = np.full(len(cols["run"]), 1 << 40)
-            hi = np.zeros(len(cols["run"]), np.int64)
-            np.minimum.at(lo, seg, at)
-            np.maximum.at(hi, seg, at + n)
-            lo, hi = lo[keep], hi[keep]
-            new = {c: cols[c][keep] for c in SEGMENTS} | {"at": cols["at"][keep] + lo, "run": hi - lo}
-            first = offsets[keep] + lo
-            for part, g in dealt(new["anchor"], parts):
-                out.append((1, 0, part, pack_segments({c: new[c][g] for c in SEGMENTS}, data[_ranges(first[g], new["run"][g] + span - 1)])))
-    kinds, blocks, parts_, packed = zip(*out) if out else ((), (), (), ())
-    return pa.table({"kind": pa.array(kinds, pa.int32()), "block": pa.array(blocks, pa.int64()), "part": pa.array(parts_, pa.int64()), "packed": pa.array(packed, pa.binary())})
-
-
-def _merger(span: int, step: int, parts: int):
-    return lambda rows: _merge_group(rows, span, step, parts)
+        out.append((0, int(home[own[0]]), 0, 0, zstandard.ZstdCompressor(level=1).compress(marks.tobytes())))
+    part, teams = rows.column("part")[0].as_py(), rows.column("teams")[0].as_py()
+    seg, at, n = _flag_runs(cols, ~flags) if teams > 1 else (np.zeros(0, np.int64),) * 3
+    if len(seg):
+        new = {c: cols[c][seg] for c in SEGMENTS} | {"at": cols["at"][seg] + at, "run": n, "lead": cols["lead"][seg] - at}
+        new, first, keys = _cut_classes(new, offsets[seg] + at, data, span, classes)
+        for to, g in dealt(mix(keys + np.uint64(level)), teams):  # another deal at every level
+            name = int(mix(mix(np.array([part], np.int64).view(np.uint64)) + np.uint64(to)).view(np.int64)[0])
+            mine = data[_ranges(first[g], new["run"][g] + span - 1)]
+            out.append((1, 0, name, len(mine), pack_segments({c: new[c][g] for c in SEGMENTS}, mine)))
+    kinds, blocks, parts, sizes, packed = zip(*out) if out else ((),) * 5
+    return pa.table({"kind": pa.array(kinds, pa.int32()), "block": pa.array(blocks, pa.int64()), "part": pa.array(parts, pa.int64()),
+                     "size": pa.array(sizes, pa.int64()), "packed": pa.array(packed, pa.binary())})
+
+
+def _merger(span: int, step: int, classes: int, level: int):
+    return lambda rows: _merge_group(rows, span, step, classes, level)
 
 
 def _write_blocks(docs: DataFrame, folder: str, span: int) -> DataFrame:
@@ -304,7 +339,8 @@ def _shared_anchors(rows: pa.Table) -> pa.Table:
     return pa.table({"block": rows.column("block"), "part": rows.column("part"), "bits": pa.array(bits, pa.binary())})
 
 
-def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, step: int = STEP, fan_in: int = FAN_IN) -> DataFrame:
+def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", span: int = SPAN, step: int = STEP, fan_in: int = FAN_IN,
+                team_bytes: int = TEAM_BYTES) -> DataFrame:
     """(doc, fp, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
     if span % step or span < 2 * step or span < GRAM:
         raise ValueError("span must be a multiple of step, at least two of them, and no shorter than an anchor")
@@ -322,9 +358,9 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     blocks = _write_blocks(own, shared_dir(spark), span)
     places = blocks.select("block", "path", "start", "size")
     n_blocks = places.count()
-    # Parts grow with the number of blocks: a few blocks' anchors each, and at every level of merging about the same load.
+    # Parts grow with the number of blocks: a few blocks' anchors each, and a block's bytes of segments or fewer.
     anchor_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 4)
-    parts = 2 * max(1, min(n_blocks, fan_in))
+    parts = max(1, min(n_blocks, MOST_PARTS))
 
     def by_part(it):
         for batch in it:
@@ -337,39 +373,53 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     bits = split.groupBy("part").applyInArrow(_shared_anchors, "block long, part long, bits binary")
     flags = bits.groupBy("block").agg(F.collect_list(F.struct("part", "bits")).alias("flags"))
 
+    def cut(row: dict) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        block = read_block(row["path"], row["start"], row["size"])
+        runs = anchor_runs(block.data, block.offsets, span)
+        own, inverse, count = np.unique(runs.hashes, return_inverse=True, return_counts=True)
+        shared, of = count > 1, dict(dealt(own, anchor_parts))
+        for f in row["flags"]:
+            mine = of[f["part"]]
+            shared[mine] |= np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=len(mine)).astype(bool)
+        chosen = np.flatnonzero(shared[inverse])
+        start, n = runs.starts[chosen], runs.lengths[chosen]
+        d = np.searchsorted(block.offsets, start, side="right") - 1
+        cols = {"block": np.full(len(chosen), row["block"]), "row": d, "doc": block.ids[d], "at": start - block.offsets[d], "run": n, "lead": runs.places[chosen] - start}
+        return cols, runs.hashes[chosen], block.data[_ranges(start, n + span - 1)]
+
     def segments(it):
-        for batch in it:
-            for row in batch.to_pylist():
-                block = read_block(row["path"], row["start"], row["size"])
-                runs = anchor_runs(block.data, block.offsets, span)
-                own, inverse, count = np.unique(runs.hashes, return_inverse=True, return_counts=True)
-                shared, of = count > 1, dict(dealt(own, anchor_parts))
-                for f in row["flags"]:
-                    mine = of[f["part"]]
-                    shared[mine] |= np.unpackbits(np.frombuffer(f["bits"], np.uint8), count=len(mine)).astype(bool)
-                chosen = np.flatnonzero(shared[inverse])
-                anchor = runs.hashes[chosen]
-                for part, g in dealt(anchor, parts):
-                    start, n = runs.starts[chosen[g]], runs.lengths[chosen[g]]
-                    d = np.searchsorted(block.offsets, start, side="right") - 1
-                    cols = {"block": np.full(len(g), row["block"]), "row": d, "doc": block.ids[d], "at": start - block.offsets[d], "run": n, "anchor": anchor[g].view(np.int64)}
-                    yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([row["block"]]), pa.array([part]),
-                                                      pa.array([pack_segments(cols, block.data[_ranges(start, n + span - 1)])], pa.binary())], ["kind", "block", "part", "packed"])
-
-    current = staged(places.join(flags, "block").mapInArrow(segments, MERGED))
-    marks, teams = None, -(-n_blocks // fan_in) or 1
+        rows = (row for batch in it for row in batch.to_pylist())
+        while some := list(islice(rows, CUT_BLOCKS)):
+            cuts = [cut(row) for row in some]
+            cols = {c: np.concatenate([x[0][c] for x in cuts]) for c in SEGMENTS}
+            anchors, data = (np.concatenate([x[i] for x in cuts]) for i in (1, 2))
+            lengths = cols["run"] + span - 1
+            first = np.cumsum(lengths) - lengths
+            for part, g in dealt(anchors, parts):
+                mine = data[_ranges(first[g], lengths[g])]
+                yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), pa.array([some[0]["block"]]), pa.array([part]), pa.array([len(mine)]),
+                                                  pa.array([pack_segments({c: cols[c][g] for c in SEGMENTS}, mine)], pa.binary())], ["kind", "block", "part", "size", "packed"])
+
+    # Few bytes a row but much work: a counted number of tasks instead of what adaptive execution makes of the bytes.
+    tasks = max(1, min(n_blocks, max(2 * spark.sparkContext.defaultParallelism, n_blocks // CUT_BLOCKS)))
+    current = staged(places.join(flags, "block").repartition(tasks).mapInArrow(segments, MERGED))
+    marks, classes, level, before = None, 1, 0, None
     while True:
-        following = 0 if teams == 1 else parts * min(teams, fan_in)
-        by_team = current.where("kind = 1").withColumn("team", F.pmod(F.xxhash64("block", F.col("packed")), F.lit(teams)))
-        merged = staged(by_team.groupBy("part", "team").applyInArrow(_merger(span, step, following), MERGED))
+        left = current.where("kind = 1")
+        load = staged(left.groupBy("part").agg(F.sum("size").alias("bytes"), F.greatest(F.ceil(F.sum("size") / team_bytes), F.ceil(F.count("*") / fan_in)).cast("long").alias("teams")))
+        n_parts, most, heaviest = load.agg(F.count("*"), F.max("teams"), F.max("bytes")).first()
+        if classes > span - GRAM and before is not None and heaviest is not None and heaviest >= before:
+            load, most = load.withColumn("teams", F.lit(1).cast("long")), 1  # only rows of one id and text are left: none is earlier, so none thins
+        classes, level, before = min(2 * classes, span - GRAM + 1), level + 1, heaviest
+        by_team = left.join(bounded_broadcast(load.drop("bytes"), n_parts), "part").withColumn("team", F.pmod(F.xxhash64("block", "packed"), "teams"))
+        merged = staged(by_team.groupBy("part", "team").applyInArrow(_merger(span, step, classes, level), MERGED))
         if marks is None:
             drop(current)
-        current, parts = merged, following
+        current = merged
         found = merged.where("kind = 0").select("block", "packed")
         marks = found if marks is None else marks.union(found)
-        if teams == 1:
+        if (most or 0) <= 1:
             break
-        teams = -(-teams // fan_in)
 
     def results(it):
         for batch in it:

@@ -167,6 +167,25 @@ def test_spans_match_brute_force(spark, edge, edge_rows, fan_in, block, monkeypa
     assert sorted((r.doc, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_spans(edge_rows, 100)
 
 
+def test_an_anchor_that_many_different_spans_share(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 3000)
+    rng = random.Random(6)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, long = "the boilerplate that they share", own(75)
+    rows = [(i, own(rng.randint(0, 90)) + line + own(rng.randint(0, 90)) + long + own(60)) for i in range(150)]
+    rows += [(200 + i, rows[i][1][5 : 5 + rng.randint(90, 200)] + own(50)) for i in range(60)] + [(i, own(300)) for i in range(300, 400)]
+    for team_bytes in (2000, 20000):
+        got = suffix_dedup.dedup_spans(frame(spark, rows).repartition(4), team_bytes=team_bytes)
+        assert sorted((r.doc, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_spans(rows, 100)
+
+
+def test_names_that_agree_where_they_are_cut():
+    names = np.array([(5 << 60) | 3, (5 << 60) | 1, (5 << 60) | 3, 1 << 63, 0, (5 << 60) | 1], np.uint64)
+    order, rank = suffix_dedup.by_name(names)
+    assert order.tolist() == [4, 1, 5, 0, 2, 3] and rank.tolist() == [3, 2, 3, 4, 1, 2]
+    assert [x.tolist() for x in suffix_dedup.by_name(np.array([2, 1, 2], np.uint64))] == [[1, 0, 2], [2, 1, 2]]
+
+
 def test_short_spans(spark):
     rng = random.Random(2)
     rows = [(i, "".join(rng.choice("ab") for _ in range(120))) for i in range(30)]
