@@ -42,7 +42,7 @@ from profilelab.llm.near_dups import bounded_broadcast
 from profilelab.llm.words import mix, prefix_hashes, row_groups, span_hashes, string_parts
 
 SPAN, STEP, GRAM, FAN_IN, BLOCK_BYTES = 100, 50, 16, 4096, 2 << 20
-TEAM_BYTES, CUT_BLOCKS, MOST_PARTS = 2 << 20, 16, 1 << 14
+TEAM_BYTES, CUT_BLOCKS, MOST_PARTS = 4 << 20, 16, 1 << 15
 _LAST = (1 << 63) - 1
 BLOCKS = "block long, path string, start long, size long, hashes binary"
 RESULT = "doc long, fp long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -358,9 +358,9 @@ def dedup_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", spa
     blocks = _write_blocks(own, shared_dir(spark), span)
     places = blocks.select("block", "path", "start", "size")
     n_blocks = places.count()
-    # Parts grow with the number of blocks: a few blocks' anchors each, and a block's bytes of segments or fewer.
+    # Parts grow with the number of blocks: a few blocks' anchors each, and half a block's bytes of segments or so, which is one team.
     anchor_parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n_blocks // 4)
-    parts = max(1, min(n_blocks, MOST_PARTS))
+    parts = max(1, min(4 * n_blocks, MOST_PARTS))
 
     def by_part(it):
         for batch in it:
