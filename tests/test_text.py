@@ -57,6 +57,46 @@ def test_windows_cover_the_text(words, size, overlap):
         assert joined == toks
 
 
+def folded(text, size, overlap):
+    """T6 by its definition, over the list of all tokens."""
+    spans, found, first = [m.span() for m in WORD.finditer(text)], [], 0
+    if len(spans) <= size:
+        return [text.strip()]
+    while True:
+        last = min(first + size, len(spans))
+        lo, hi, taken = spans[first][0], spans[last - 1][1], last - first
+        if last < len(spans):
+            view = text[lo:hi + 1]
+            stop = max((p + len(x) for x in (". ", ".\n", "\n", "? ", "! ") if (p := view.rfind(x)) > (hi - lo) // 2), default=0)
+            if stop:
+                hi = lo + stop
+                taken = sum(end <= hi for _, end in spans[first:last])
+        found.append(text[lo:hi].strip())
+        if last >= len(spans):
+            return [w for w in found if w]
+        first += max(1, taken - overlap)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "bc", "a" * 70, "é", "\u0301", " ", "  ", "\n", ". ", "! ", "?", ".", "\x1c", "\x85", "漢", "_"]), min_size=1, max_size=80),
+       st.integers(1, 14), st.integers(0, 14))
+def test_windows_equal_the_fold_over_all_tokens(parts, size, overlap):
+    text = "".join(parts)
+    if text.strip():
+        assert W._cut(text, size, overlap) == folded(text, size, overlap)
+
+
+def test_windows_count_no_tokens_in_the_jvm(spark):
+    """To count them there made an array of all tokens of a text, twice a row."""
+    rows = spark.createDataFrame([(1, "a b c " * 9), (2, None), (3, " \n "), (4, " a b ")], "id int, text string")
+    out = W.token_windows(rows, "text", 8, 2)
+    assert "regexp_extract_all" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in out.orderBy("id", "window_no").collect():
+        got.setdefault(r["id"], []).append(r["window"])
+    assert got == {1: folded("a b c " * 9, 8, 2), 4: ["a b"]}
+
+
 def test_windows_end_at_sentences(spark):
     text = " ".join(f"This is sentence number {i} about queues and storage engines." for i in range(9))
     df = spark.createDataFrame([(1, text)], "id int, text string")
