@@ -551,13 +551,16 @@ STACK_WORDS = ["tech", "tools", "stack", "github", "built"]
 def starts_entry(line: Column, following: Column, name: Column) -> Column:
     """True when a (trimmed) line opens a logical entry of a section called `name` (lower case)."""
     has = lambda words: t.any_contains(name, words)
-    bullet = line.rlike(BULLET_START)
+    # Each pattern is preceded by a cheap test that holds wherever it does: few lines are searched for it.
+    opens = lambda c: F.substring(c, 1, 1).rlike(r"[\s\-\*•–▪●►\[\d]") & c.rlike(BULLET_START)
+    dated = line.rlike(r"\d{4}") & line.rlike(DATE_HEADER)
+    bullet = opens(line)
     work, study, project = has(WORK_NAMES), has(STUDY_NAMES), has(PROJECT_NAMES)
-    item = has(ITEM_NAMES) & (bullet | (line.rlike(r"\b(?:19|20)\d{2}\b") & (F.length(line) < 100)))
-    job = work & ~bullet & (line.rlike(DATE_HEADER) | (line.rlike(ROLE) & t.any_contains(line, ROLE_SEPARATORS)))
-    degree = study & ~bullet & (line.rlike(DATE_HEADER) | line.rlike(DEGREE) | line.rlike(INSTITUTION))
-    titled = project & (line.rlike(PROJECT_MARKER) | (~bullet & (F.length(line) <= 75) & (
-        t.any_contains(line, DASHES) | following.rlike(BULLET_START)
+    item = has(ITEM_NAMES) & (bullet | ((F.length(line) < 100) & line.rlike(r"\b(?:19|20)\d{2}\b")))
+    job = work & ~bullet & (dated | (t.any_contains(line, ROLE_SEPARATORS) & line.rlike(ROLE)))
+    degree = study & ~bullet & (dated | line.rlike(DEGREE) | line.rlike(INSTITUTION))
+    titled = project & (line.rlike(PROJECT_MARKER) | ((F.length(line) <= 75) & ~bullet & (
+        t.any_contains(line, DASHES) | opens(following)
         | t.any_contains(F.lower(following), STACK_WORDS))))
     return (line != "") & ~(bullet & (work | study | project)) & (item | job | degree | titled | bullet)
 

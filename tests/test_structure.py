@@ -100,3 +100,27 @@ def test_terms_of_any_length_and_large_vocabularies(spark):
     docs = spark.createDataFrame([(1, "with natural language processing toolkit kit and a b c, opener2400 tail")], "doc_id int, content string")
     got = structure.detected_tech(docs, gaz, ["doc_id"]).first().detected_tech
     assert got == ["a b c", "natural language processing toolkit kit", "opener2400 tail"]
+
+
+def test_entry_starts_behind_cheap_tests(spark):
+    """Long patterns are searched only in lines that pass a cheap test; the verdicts are those of the patterns alone."""
+    lines = ["", "- built it", "  • x", "1. first", "[3] third", "12) x", "Engineer at Acme", "engineer", "Analyst | Acme", "(Jan 2019 - Present)", "2019 – 2021", "3/2019 to 4/2020",
+             "12345", "won in 1999", "won in 1999 " + "x" * 100, "B.S. Maths", "State University", "Project 2: more", "Tool - a tool", "Tool", "plain"]
+    follow = ["", "- did it", "1. one", "built with rods", "[7] x", "(x)", "plain"]
+    rows = [(a, b, n) for a in lines for b in follow for n in ("experience", "education", "awards", "projects", "summary")]
+    df = spark.createDataFrame(rows, "line string, nxt string, name string")
+
+    def plainly(line, nxt, name):
+        has = lambda words: S.t.any_contains(name, words)
+        bullet, work, study, project = line.rlike(S.BULLET_START), has(S.WORK_NAMES), has(S.STUDY_NAMES), has(S.PROJECT_NAMES)
+        item = has(S.ITEM_NAMES) & (bullet | (line.rlike(r"\b(?:19|20)\d{2}\b") & (F.length(line) < 100)))
+        job = work & ~bullet & (line.rlike(S.DATE_HEADER) | (line.rlike(S.ROLE) & S.t.any_contains(line, S.ROLE_SEPARATORS)))
+        degree = study & ~bullet & (line.rlike(S.DATE_HEADER) | line.rlike(S.DEGREE) | line.rlike(S.INSTITUTION))
+        titled = project & (line.rlike(S.PROJECT_MARKER) | (~bullet & (F.length(line) <= 75) & (
+            S.t.any_contains(line, S.DASHES) | nxt.rlike(S.BULLET_START) | S.t.any_contains(F.lower(nxt), S.STACK_WORDS))))
+        return (line != "") & ~(bullet & (work | study | project)) & (item | job | degree | titled | bullet)
+
+    c = (F.col("line"), F.col("nxt"), F.col("name"))
+    got = df.select(S.starts_entry(*c).alias("a"), plainly(*c).alias("b"))
+    assert got.where("a <> b or a is null").count() == 0 and got.where("a").count() > 0
+    assert ", \\d{4})" in df.select(S.starts_entry(*c))._jdf.queryExecution().analyzed().toString()
