@@ -124,3 +124,12 @@ def test_entry_starts_behind_cheap_tests(spark):
     got = df.select(S.starts_entry(*c).alias("a"), plainly(*c).alias("b"))
     assert got.where("a <> b or a is null").count() == 0 and got.where("a").count() > 0
     assert ", \\d{4})" in df.select(S.starts_entry(*c))._jdf.queryExecution().analyzed().toString()
+
+
+def test_texts_without_a_first_word_are_not_cut(spark):
+    """Few first words are looked for in the whole text; a text without them gives no tokens."""
+    df = spark.createDataFrame([(1, "Built on KAFKA Streams"), (2, "nothing here"), (3, None), (4, "rebuilt"), (5, "Kafka")], "id int, text string")
+    terms = S.held_terms(vocab.gazetteer_df(spark, ["Built"], ["kafka streams", "kafka"]))
+    out = S.with_tech(df, terms, F.col("text"))
+    assert "contains(" in out._jdf.queryExecution().analyzed().toString().lower()
+    assert {r.id: r.detected_tech for r in out.collect()} == {1: ["built", "kafka streams"], 2: [], 3: [], 4: [], 5: ["kafka"]}
