@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -179,6 +180,25 @@ def test_an_anchor_that_many_different_spans_share(spark, monkeypatch):
         assert sorted((r.doc, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got.collect()) == brute_spans(rows, 100)
 
 
+def test_a_merge_takes_little_memory_for_its_bytes_and_rows_stay_small(spark, monkeypatch):
+    n, long = 2000, 141
+    rng = np.random.default_rng(1)
+    data = rng.integers(97, 123, (n, long)).astype(np.uint8)
+    data[:, :110] = data[0, :110]
+    cols = {c: np.zeros(n, np.int64) for c in suffix_dedup.SEGMENTS} | {"run": np.full(n, 42), "doc": np.arange(n), "row": np.arange(n), "lead": np.full(n, 60)}
+    parts = [suffix_dedup.unpack_segments(suffix_dedup.pack_segments({c: v[k::8] for c, v in cols.items()}, data[k::8].reshape(-1))) for k in range(8)]
+    suffix_dedup.repeated_starts(parts, 100, 50)  # tables of powers are made once
+    tracemalloc.start()
+    flags = suffix_dedup.repeated_starts(parts, 100, 50)[3]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert int(flags.sum()) >= 11 * (n - 1)
+    assert peak < 90 * data.size
+    monkeypatch.setattr(suffix_dedup, "ROW_BYTES", 1000)
+    pieces = list(suffix_dedup._pieces(np.arange(3, 60), np.full(n, long)))
+    assert np.concatenate(pieces).tolist() == list(range(3, 60)) and max(len(p) for p in pieces) == 7
+
+
 def test_names_that_agree_where_they_are_cut():
     names = np.array([(5 << 60) | 3, (5 << 60) | 1, (5 << 60) | 3, 1 << 63, 0, (5 << 60) | 1], np.uint64)
     order, rank = suffix_dedup.by_name(names)
