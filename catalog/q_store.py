@@ -432,8 +432,9 @@ def _(spark, sf):
     root = scratch_dir(spark)
 
     def land(rows):
+        target, base = fs.FileSystem.from_uri(root)
         for row in rows:
-            target, at = fs.FileSystem.from_uri(f"{root}/{row.repo_id}/{row.path}")
+            at = f"{base}/{row.repo_id}/{row.path}"
             target.create_dir(at.rsplit("/", 1)[0], recursive=True)
             with target.open_output_stream(at) as out:
                 out.write(row.body.encode("utf-8"))

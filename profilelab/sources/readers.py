@@ -6,10 +6,11 @@ import os
 from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from profilelab import schemas, vocab
 from profilelab.functions import text as t
@@ -110,7 +111,22 @@ def file_inventory(files: DataFrame, skipped_dirs: list[str] | None = None) -> D
                        F.col("extension").isin(vocab.SOURCE_EXTENSIONS).alias("is_source"))
 
 
-_ENTRY = "repo_id string, path string, location string, folder boolean, size long"
+_ENTRY = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("location", pa.string()), ("folder", pa.bool_()), ("size", pa.int64())])
+_FILE = pa.schema([("repo_id", pa.string()), ("path", pa.string()), ("content", pa.binary())])
+
+
+def batched(rows: Iterator[tuple], schema: pa.Schema, most_rows: int = 10_000, most_bytes: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows in Arrow batches that end at `most_rows` rows, or once their binary values reach `most_bytes`."""
+    made = lambda held: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, bytes))
+        if len(held) >= most_rows or size >= most_bytes:
+            yield made(held)
+            held, size = [], 0
+    if held:
+        yield made(held)
 
 
 def listed_entries(spark: SparkSession, root: str, skipped_dirs: list[str] | None = None, binary_extensions: list[str] | None = None) -> DataFrame:
@@ -123,11 +139,10 @@ def listed_entries(spark: SparkSession, root: str, skipped_dirs: list[str] | Non
     skipped, binary = set(vocab.SKIPPED_DIRS if skipped_dirs is None else skipped_dirs), set(vocab.BINARY_EXTENSIONS if binary_extensions is None else binary_extensions)
     scheme = root.split("://")[0] + "://" if "://" in root else root.split(":")[0] + ":" if root.startswith("file:") else ""
 
-    def listed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for repo, above, location in zip(frame["repo_id"], frame["path"], frame["location"]):
+    def listed(todo: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in todo:
+            for repo, above, location in zip(*batch.to_pydict().values()):
                 files, at = fs.FileSystem.from_uri(location)
-                rows = []
                 for entry in files.get_file_info(fs.FileSelector(at, allow_not_found=True)):
                     name = entry.base_name
                     folder = entry.type == fs.FileType.Directory
@@ -138,18 +153,15 @@ def listed_entries(spark: SparkSession, root: str, skipped_dirs: list[str] | Non
                     elif repo is None or entry.type != fs.FileType.File or os.path.splitext(name)[1].lower() in binary:
                         continue
                     path = None if repo is None else name if above is None else f"{above}/{name}"
-                    rows.append((name if repo is None else repo, path, scheme + entry.path, folder, entry.size))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=["repo_id", "path", "location", "folder", "size"])
-                        rows = []
-                if rows:
-                    yield pd.DataFrame(rows, columns=["repo_id", "path", "location", "folder", "size"])
+                    yield name if repo is None else repo, path, scheme + entry.path, folder, entry.size
 
     todo, levels = spark.createDataFrame([(None, None, root)], "repo_id string, path string, location string"), []
-    n = 1
+    n, kind = 1, from_arrow_schema(_ENTRY)
     while n:
-        spread_out = todo.repartition(min(-(-n // 16), 20_000), F.xxhash64("location"))
-        levels.append(settled(spread_out.mapInPandas(listed, _ENTRY)))
+        # A few tasks for every core, and more only where a task would list over 256 folders.
+        tasks = min(n, max(4 * spark.sparkContext.defaultParallelism, -(-n // 256)), 20_000)
+        spread_out = todo.repartition(tasks, F.xxhash64("location"))
+        levels.append(settled(spread_out.mapInArrow(lambda it: batched(listed(it), _ENTRY), kind)))
         todo = levels[-1].where("folder").select("repo_id", "path", "location")
         n = todo.count()
     return reduce(DataFrame.unionByName, levels)
@@ -164,19 +176,19 @@ def read_files(spark: SparkSession, root: str, skipped_dirs: list[str] | None =
     files = listed_entries(spark, root, skipped_dirs, binary_extensions).where("not folder")
     n, size = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
 
-    def opened(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for repo, path, location in zip(frame["repo_id"], frame["path"], frame["location"]):
+    def opened(todo: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in todo:
+            for repo, path, location in zip(*batch.to_pydict().values()):
                 source, at = fs.FileSystem.from_uri(location)
                 try:
                     with source.open_input_file(at) as f:
                         content = f.read()
                 except (PermissionError, FileNotFoundError):
                     content = None
-                yield pd.DataFrame({"repo_id": [repo], "path": [path], "content": [content]})
+                yield repo, path, content
 
     tasks = max(1, min(max(-(-n // 256), -(-size // (64 << 20))), 20_000))
-    return files.repartition(tasks, F.xxhash64("location")).mapInPandas(opened, "repo_id string, path string, content binary")
+    return files.select("repo_id", "path", "location").repartition(tasks, F.xxhash64("location")).mapInArrow(lambda it: batched(opened(it), _FILE), from_arrow_schema(_FILE))
 
 
 def parse_commits(lines: DataFrame, value: str = "value") -> DataFrame:

@@ -35,6 +35,20 @@ def test_listing_prunes_and_keeps_empty_files(spark, tmp_path):
     assert R.read_files(spark, str(tmp_path / "absent")).count() == 0
 
 
+def test_files_travel_many_to_a_batch(spark, tmp_path):
+    rows = [("r", f"f{i}", b"x" * 10) for i in range(25)]
+    got = list(R.batched(iter(rows), R._FILE, most_rows=10))
+    assert [b.num_rows for b in got] == [10, 10, 5] and [tuple(x.values()) for b in got for x in b.to_pylist()] == rows
+    large = [("r", "a", b"x" * 50), ("r", "b", None), ("r", "c", b"x" * 60), ("r", "d", b"")]
+    assert [b.num_rows for b in R.batched(iter(large), R._FILE, most_bytes=100)] == [3, 1]
+    for i in range(200):
+        (tmp_path / f"r{i % 3}" / f"d{i}").mkdir(parents=True)
+        (tmp_path / f"r{i % 3}" / f"d{i}" / "a.py").write_bytes(b"1\n")
+    seen = R.listed_entries(spark, str(tmp_path))
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    assert seen.where("not folder").count() == 200 and len(seen.inputFiles()) <= 1 + 3 + 2 * tasks
+
+
 def test_activity_reads_the_same_as_stream_and_batch(spark, tmp_path):
     src = tmp_path / "ev"
     src.mkdir()
