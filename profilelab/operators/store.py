@@ -80,6 +80,26 @@ def last_per_key(batch: DataFrame, keys: list[str], version: Column | None) -> D
     return batch.groupBy(*keys).agg(F.max_by(F.struct(*rest), version).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
 
 
+def _touched(batch: DataFrame, covered_types: list[str] | None) -> DataFrame:
+    touched = batch.select("user_id", "source_type").distinct()
+    if not covered_types:
+        return touched
+    extra = batch.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(s) for s in covered_types])).alias("source_type"))
+    return touched.union(extra).distinct()
+
+
+def _with_touched(store: DataFrame, touched: DataFrame, keys: list[str]) -> DataFrame:
+    """Adds `_touched` to live rows of touched (user, source type). Only keys travel to the types; the rows get theirs by a join
+    on `keys`, in the exchange that the merge needs anyway. Rows without a chunk_id match no key and are looked up themselves."""
+    of = ["user_id", "source_type"]
+    lookup = lambda rows, how, small: salted_join(rows, small, of, ["chunk_id"], how, counts=rows.select(*of))
+    live = store.where("deleted_at is null and chunk_id is not null").select(*keys, "source_type")
+    types = lookup(live, "left_semi", touched).groupBy(*keys).agg(F.collect_set("source_type").alias("_types"))
+    keyed = store.where("chunk_id is not null").join(types, keys, "left").withColumn("_touched", F.array_contains("_types", F.col("source_type"))).drop("_types")
+    loose = lookup(store.where("chunk_id is null"), "left", touched.withColumn("_touched", F.lit(True)))
+    return keyed.unionByName(loose)
+
+
 def upsert_chunks(store: DataFrame, batch: DataFrame, as_of: str, mode: str = "append",
                   covered_types: list[str] | None = None, version: Column | None = None) -> DataFrame:
     """U2 + U3 in one join on (user_id, chunk_id).
@@ -94,7 +114,8 @@ def upsert_chunks(store: DataFrame, batch: DataFrame, as_of: str, mode: str = "a
     new = last_per_key(batch, keys, version)
     now = F.lit(as_of).cast("timestamp")
     fresh = new.select(*keys, F.struct("source_type", *body).alias("_new"))
-    both = store.withColumn("_old", F.lit(True)).join(fresh, keys, "full_outer")
+    marked = store if mode == "append" else _with_touched(store, _touched(batch, covered_types), keys)
+    both = marked.join(fresh, keys, "full_outer")
     hit = F.col("_new").isNotNull()
     out = {"source_type": F.coalesce("source_type", "_new.source_type")}
     for c in store.columns:
@@ -108,14 +129,8 @@ def upsert_chunks(store: DataFrame, batch: DataFrame, as_of: str, mode: str = "a
     if mode == "append":
         return merged.withColumn("deleted_at", F.when(hit, F.lit(None).cast("timestamp")).otherwise(
             F.col("deleted_at"))).select(*store.columns)
-    touched = batch.select("user_id", "source_type").distinct()
-    if covered_types:
-        extra = batch.select("user_id").distinct().select("user_id", F.explode(F.array(*[F.lit(s) for s in covered_types])).alias("source_type"))
-        touched = touched.union(extra).distinct()
-    flagged = salted_join(merged, touched.withColumn("_touched", F.lit(True)), ["user_id", "source_type"], ["chunk_id"], "left",
-                          counts=store.select("user_id", "source_type"))
     stale = ~hit & F.col("deleted_at").isNull() & F.coalesce("_touched", F.lit(False))
-    return flagged.withColumn("deleted_at", F.when(hit, F.lit(None).cast("timestamp")).when(stale, now).otherwise(
+    return merged.withColumn("deleted_at", F.when(hit, F.lit(None).cast("timestamp")).when(stale, now).otherwise(
         F.col("deleted_at"))).select(*store.columns)
 
 
@@ -136,7 +151,8 @@ def merge_store(path: str, schema: StructType, batch: DataFrame, as_of: str, mod
         keys = ["user_id", "chunk_id"]
         batch = batch.join(store.select(*keys, F.col(newer).alias("_stored")), keys, "left").where(
             F.col("_stored").isNull() | (F.col(newer) >= F.col("_stored"))).drop("_stored")
-    write_store(settled(upsert_chunks(store, batch, as_of, mode, covered_types, version)), path, parts)
+    # The folders that are read are replaced at the commit of the write, after all of them were read.
+    write_store(upsert_chunks(store, batch, as_of, mode, covered_types, version), path, parts)
     return touched
 
 

@@ -191,3 +191,36 @@ def test_copies_of_a_key_need_a_version(spark):
     with pytest.raises(Exception, match="need a version"):
         U.last_per_key(rows, ["user_id", "chunk_id"], None).collect()
     assert [r.v for r in U.last_per_key(rows, ["user_id", "chunk_id"], F.col("v")).collect()] == [2]
+
+
+def test_a_snapshot_moves_keys_not_rows_to_the_types(spark, monkeypatch):
+    rows = [(1, "a", "claim", "x", None), (1, "b", "claim", "x", None), (1, None, "claim", "x", None), (1, "c", "claim", "x", "2023-01-01"), (1, "c", "readme", "x", None),
+            (1, "d", None, "x", None), (None, "e", "claim", "x", None), (2, "f", "claim", "x", None), (1, "b", "readme", "x", None), (2, None, "readme", "x", None)]
+    have = spark.createDataFrame(rows, "user_id long, chunk_id string, source_type string, content string, d string").selectExpr(
+        "user_id", "chunk_id", "source_type", "content", "timestamp '2022-01-01' as created_at", "cast(d as timestamp) as deleted_at")
+    batch = spark.createDataFrame([(1, "a", "claim", "new")], "user_id long, chunk_id string, source_type string, content string")
+    moved, join = [], U.salted_join
+
+    def seen(big, *args, **kwargs):
+        moved.append(big)
+        return join(big, *args, **kwargs)
+
+    monkeypatch.setattr(U, "salted_join", seen)
+    got = sorted(str((r.user_id, r.chunk_id, r.source_type, r.content, r.deleted_at and r.deleted_at.year)) for r in U.upsert_chunks(have, batch, "2024-02-01", "snapshot").collect())
+    assert got == sorted(map(str, [
+        (1, "a", "claim", "new", None), (1, "b", "claim", "x", 2024), (1, None, "claim", "x", 2024), (1, "c", "claim", "x", 2023), (1, "c", "readme", "x", None), (1, "d", None, "x", None),
+        (None, "e", "claim", "x", None), (2, "f", "claim", "x", None), (1, "b", "readme", "x", None), (2, None, "readme", "x", None)]))
+    assert all(b.where("chunk_id is not null").isEmpty() for b in moved if "content" in b.columns)
+
+
+def test_a_merge_writes_its_rows_once(spark, tmp_path, monkeypatch):
+    have = spark.createDataFrame([(i, f"c{i}", "claim", "x") for i in range(20)], "user_id long, chunk_id string, source_type string, content string").selectExpr(
+        "*", "timestamp '2022-01-01' as created_at", "cast(null as timestamp) as deleted_at")
+    path, kept, settled = str(tmp_path / "store"), [], U.settled
+    sinks.write_store(have, path, 8)
+    monkeypatch.setattr(U, "settled", lambda df: kept.append(df.columns) or settled(df))
+    batch = spark.createDataFrame([(i, f"c{i}", "claim", "new") for i in range(3, 9)], "user_id long, chunk_id string, source_type string, content string")
+    U.merge_store(path, have.schema, batch, "2024-02-01", parts=8)
+    assert kept == [batch.columns]
+    got = {r.chunk_id: r.content for r in sinks.read_store(spark, path, have.schema, parts=8).collect()}
+    assert got == {f"c{i}": "new" if 3 <= i < 9 else "x" for i in range(20)}
