@@ -83,13 +83,13 @@ def _cells(df: DataFrame, size: float) -> DataFrame:
     return df.select("*", F.inline(cells)).hint("merge")
 
 
-def _overlap() -> Column:
-    span = lambda a: F.greatest(F.lit(0.0), F.least(F.col(f"{a}1"), F.col(f"w_{a}1")) - F.greatest(F.col(f"{a}0"), F.col(f"w_{a}0")))
+def _overlap(at=F.col) -> Column:
+    span = lambda a: F.greatest(F.lit(0.0), F.least(at(f"{a}1"), at(f"w_{a}1")) - F.greatest(at(f"{a}0"), at(f"w_{a}0")))
     return span("x") * span("y")
 
 
-def _distance() -> Column:
-    return F.pow(F.col("cx") - F.col("w_cx"), 2) + F.pow(F.col("cy") - F.col("w_cy"), 2)
+def _distance(at=F.col) -> Column:
+    return F.pow(at("cx") - at("w_cx"), 2) + F.pow(at("cy") - at("w_cy"), 2)
 
 
 def _nearest_centres(points: DataFrame, open_links: DataFrame, key: str, link_id: list[str], order: list[str], finest: float) -> DataFrame:
@@ -128,12 +128,27 @@ def _nearest_centres(points: DataFrame, open_links: DataFrame, key: str, link_id
             .groupBy(*link_id).agg(F.min_by("text", F.struct("_d", *order)).alias("anchor")))
 
 
+def _anchors_in_row(links: DataFrame, words: DataFrame, key: str, link_id: list[str], order: list[str]) -> DataFrame:
+    """(link_id…, anchor) for documents whose pairs of a word and a link are few, so that their words fit a list."""
+    box = ["w_x0", "w_x1", "w_y0", "w_y1", "w_cx", "w_cy"]
+    listed = (words.join(links.select(key).distinct(), key, "left_semi").groupBy(key)
+              .agg(F.collect_list(F.struct(*order, "text", *box)).alias("_ws")))
+
+    def rank(w):
+        at = lambda c: w[c] if c in box else F.col(c)
+        over = _overlap(at)
+        return F.struct((-over).alias("o"), F.when(over > 0, F.lit(0.0)).otherwise(_distance(at)).alias("d"), *[w[c].alias(c) for c in order], w["text"].alias("text"))
+
+    best = salted_join(links, listed, [key], link_id).select(*link_id, F.array_min(F.transform("_ws", rank)).alias("_b"))
+    return best.groupBy(*link_id).agg(F.min("_b").alias("_b")).select(*link_id, F.col("_b.text").alias("anchor"))
+
+
 def nearest_word(words: DataFrame, links: DataFrame, key: str = "doc_id", link_id: list[str] | None = None,
                  word_order: list[str] | None = None, cell: float = 64.0, direct: int = 1024) -> DataFrame:
     """Links plus `anchor`: the word overlapping the link most, else the word with the nearest centre.
 
-    A document with at most `direct` pairs of a word and a link is settled by one join on the document. In larger ones a
-    grid makes the overlap search an equi-join on (document, cell), and links that overlap nothing descend a pyramid of
+    In a document with at most `direct` pairs of a word and a link each link looks through the list of words, inside its
+    row; no pair is a row of its own. In larger ones a grid makes the overlap search an equi-join on (document, cell), and links that overlap nothing descend a pyramid of
     cells, so that only neighbours meet however many words and links a document has. Ties take the lowest reading order.
     """
     link_id = link_id or [key, "uri"]
@@ -148,9 +163,7 @@ def nearest_word(words: DataFrame, links: DataFrame, key: str = "doc_id", link_i
     large = settled(sizes)
     none_large = not large.limit(1).count()
     small_k = k if none_large else k.join(large, key, "left_anti")
-    pairs = salted_join(small_k, w, [key], link_id).withColumn("_o", _overlap())
-    rank = F.struct((-F.col("_o")).alias("o"), F.when(F.col("_o") > 0, F.lit(0.0)).otherwise(_distance()).alias("d"), *order)
-    anchors = pairs.groupBy(*link_id).agg(F.min_by("text", rank).alias("anchor"))
+    anchors = _anchors_in_row(small_k, w, key, link_id, order)
     if not none_large:
         k, w = settled(k.join(large, key, "left_semi")), settled(w.join(large, key, "left_semi"))
         boxed = _cells(w.withColumnsRenamed({f"w_{c}": c for c in box}), cell).withColumnsRenamed({c: f"w_{c}" for c in box})

@@ -41,6 +41,17 @@ def test_nearest_word_equals_the_plain_search(spark, direct):
     assert {(r.doc_id, r.uri): r.anchor for r in got.collect()} == plain(words, links)
 
 
+def test_small_documents_make_no_row_for_each_pair(spark):
+    words = [(1, 0, "a", 0.0, 8.0, 0.0, 8.0), (1, 1, "b", 0.0, 8.0, 0.0, 8.0), (1, 2, None, 90.0, 98.0, 0.0, 8.0), (1, 3, "no box", None, 8.0, 0.0, 8.0),
+             (None, 0, "no key", 0.0, 8.0, 0.0, 8.0), (2, 0, "other", 0.0, 8.0, 0.0, 8.0)]
+    links = [(1, "tie", 0.0, 4.0, 0.0, 4.0), (1, "twice", 500.0, 501.0, 0.0, 4.0), (1, "twice", 1.0, 2.0, 0.0, 4.0), (1, "null text", 91.0, 92.0, 0.0, 4.0),
+             (1, "no box", None, 4.0, 0.0, 4.0), (None, "no key", 0.0, 4.0, 0.0, 4.0), (3, "no words", 0.0, 4.0, 0.0, 4.0)]
+    got = L.nearest_word(spark.createDataFrame(words, WORDS), spark.createDataFrame(links, LINKS))
+    assert sorted((r.doc_id or 0, r.uri, r.anchor) for r in got.collect()) == [
+        (0, "no key", ""), (1, "no box", "a"), (1, "null text", ""), (1, "tie", "a"), (1, "twice", "a"), (1, "twice", "a"), (3, "no words", "")]
+    assert "min_by(" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_one_document_with_many_words_and_far_links(spark):
     rng = np.random.default_rng(12)
     at = np.column_stack([rng.uniform(0, 2000, 10_000), rng.uniform(0, 30_000, 10_000)]).round(2)
