@@ -16,7 +16,7 @@ from pyspark.sql.types import StructType
 from profilelab import vocab
 from profilelab.functions import text as t
 from profilelab.functions.text import blank, let
-from profilelab.operators.ordered import salted_join, settled
+from profilelab.operators.ordered import even_parts, key_weights, salted_join, settled
 from profilelab.schemas import EMBEDDING_DIM
 from profilelab.sources.sinks import PARTS, part_of, read_store, write_store
 
@@ -318,22 +318,57 @@ def create_sessions(requests: DataFrame, default_difficulty: int = 2) -> tuple[D
     return sessions, requests.where(~ok)
 
 
-def audit(tables: dict[str, DataFrame], rules: list[dict]) -> DataFrame:
+def _repeated(rows: DataFrame, weights: dict[int, int] | None, rows_per_task: int) -> DataFrame:
+    """Rows that occur more than once, each once. They are dealt in parts of bounded size and then grouped; those that are
+    frequent, and so shrink most, are combined where they are read."""
+    more = lambda df: df.groupBy(*df.columns).count().where("count > 1").drop("count")
+    if weights is None or sum(weights.values()) <= rows_per_task:
+        return more(rows)
+    n, cold, hot = even_parts(weights, rows.columns, rows_per_task)
+    out = more(rows.where(cold).repartition(n, *rows.columns))
+    return out if hot is None else out.unionByName(more(rows.where(hot)))
+
+
+def _unknown(child: DataFrame, parent: DataFrame, column: str, weights: dict[int, int] | None, known: dict[int, int] | None, rows_per_task: int) -> DataFrame:
+    """Rows of `child` whose `column` is no value of `parent`. Both are dealt in parts of bounded size; rows of frequent
+    values, and all if few parents stand on the other side, are left to a join that adaptive execution may split."""
+    values = parent.distinct()
+    if weights is None or known is None or dict(child.dtypes)[column] != dict(parent.dtypes)[column] or sum(weights.values()) + sum(known.values()) <= rows_per_task:
+        return child.join(values, column, "left_anti")
+    if sum(known.values()) <= FEW_PARENTS and dict(parent.dtypes)[column] != "string":
+        return child.join(F.broadcast(values), column, "left_anti")
+    n, cold, hot = even_parts({b: weights.get(b, 0) + known.get(b, 0) for b in {*weights, *known}}, [column], rows_per_task)
+    # The hint keeps the planner from broadcasting parents whose size it takes for small.
+    out = child.where(cold).repartition(n, column).join(parent.where(cold).repartition(n, column).hint("merge"), column, "left_anti")
+    return out if hot is None else out.unionByName(child.where(hot).join(values.where(hot), column, "left_anti"))
+
+
+FEW_PARENTS = 100_000  # numbers or dates that are broadcast
+
+
+def audit(tables: dict[str, DataFrame], rules: list[dict], rows_per_task: int = 500_000) -> DataFrame:
     """Violations (rule, table, key) of declared constraints.
 
     rules: {name, table, kind, ...} with kind not_null(column) | unique(columns) | domain(column, values) |
     between(column, low, high) | array_size(column, size) | foreign_key(column, parent, parent_column);
-    `key` names the reported column.
+    `key` names the reported column. Unique columns and references are dealt so that a task gets about `rows_per_task` rows.
     """
     out, by_row = [], {}
+    # Every list of keys that a rule looks at, once.
+    sides = list(dict.fromkeys(s for r in rules for s in (
+        [(r["table"], *r["columns"])] if r["kind"] == "unique" else [(r["table"], r["column"]), (r["parent"], r["parent_column"])] if r["kind"] == "foreign_key" else [])))
+    keyed = {s: tables[s[0]].select(*s[1:]).dropna() for s in sides}
+    weights = dict(zip(sides, key_weights([keyed[s] for s in sides]), strict=True))
     for r in rules:
         df, kind = tables[r["table"]], r["kind"]
         if kind == "unique":
-            bad = df.dropna(subset=r["columns"]).groupBy(*r["columns"]).count().where("count > 1").select(
-                F.concat_ws("|", *[F.col(c).cast("string") for c in r["columns"]]).alias("key"))
+            side = (r["table"], *r["columns"])
+            bad = _repeated(keyed[side], weights[side], rows_per_task).select(F.concat_ws("|", *[F.col(c).cast("string") for c in r["columns"]]).alias("key"))
         elif kind == "foreign_key":
-            parent = tables[r["parent"]].select(F.col(r["parent_column"]).alias(r["column"])).distinct()
-            bad = df.where(F.col(r["column"]).isNotNull()).join(parent, r["column"], "left_anti").select(F.col(r["key"]).cast("string").alias("key"))
+            side = (r["parent"], r["parent_column"])
+            child = df.where(F.col(r["column"]).isNotNull()).select(F.col(r["column"]), F.col(r["key"]).cast("string").alias("key"))
+            parent = keyed[side].withColumnRenamed(r["parent_column"], r["column"])
+            bad = _unknown(child, parent, r["column"], weights[r["table"], r["column"]], weights[side], rows_per_task).select("key")
         else:  # rules of one row share one scan of their table
             by_row.setdefault(r["table"], []).append(r)
             continue

@@ -224,3 +224,21 @@ def test_a_merge_writes_its_rows_once(spark, tmp_path, monkeypatch):
     assert kept == [batch.columns]
     got = {r.chunk_id: r.content for r in sinks.read_store(spark, path, have.schema, parts=8).collect()}
     assert got == {f"c{i}": "new" if 3 <= i < 9 else "x" for i in range(20)}
+
+
+def test_audit_deals_long_keys_in_parts_of_bounded_size(spark):
+    rows = [(i, i % 40 if i < 400 else 7, None if i % 9 == 0 else i + 5) for i in range(600)] + [(3, 1, 1)] * 2
+    t = {"p": spark.createDataFrame([(i,) for i in range(30)] * 2 + [(None,)], "id long"), "c": spark.createDataFrame(rows, "id long, owner long, other long")}
+    rules = [dict(name="c_key", table="c", kind="unique", columns=["id"], key="id"), dict(name="owner", table="c", kind="foreign_key", column="owner", parent="p", parent_column="id", key="id"),
+             dict(name="other", table="c", kind="foreign_key", column="other", parent="c", parent_column="id", key="id")]
+    plain, few = sorted(map(tuple, U.audit(t, rules).collect())), U.FEW_PARENTS
+    U.FEW_PARENTS = 0
+    try:
+        got = U.audit(t, rules, rows_per_task=50)
+        assert sorted(map(tuple, got.collect())) == plain
+        # All but the rows of the frequent owner and of its bucket are dealt, 50 to a part.
+        assert "REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    finally:
+        U.FEW_PARENTS = few
+    want = [("c_key", "c", "3")] + [("owner", "c", str(i)) for i, o, _ in rows if o >= 30] + [("other", "c", str(i)) for i, _, o in rows if o is not None and o >= 600]
+    assert plain == sorted(want)
