@@ -217,10 +217,12 @@ def rollup_links(resolved: DataFrame, key: str = "doc_id") -> tuple[DataFrame, D
 
 def text_links(c) -> Column:
     """D8 as a column: distinct array of struct(type, url)."""
-    hits = lambda rx: F.regexp_extract_all(t.col(c), F.lit(rx), F.lit(0))
+    # Each pattern is searched for only in texts that hold what all its matches hold.
+    hits = lambda rx, seen: F.when(seen, F.regexp_extract_all(t.col(c), F.lit(rx), F.lit(0))).otherwise(F.when(t.col(c).isNotNull(), F.array().cast("array<string>")))
+    low = F.lower(t.col(c))
     tagged = lambda arr, kind: F.transform(arr, lambda u: F.struct(F.lit(kind).alias("type"), u.alias("url")))
-    other = F.filter(hits(t.URL_REGEX), lambda u: ~u.contains("linkedin.com") & ~u.contains("github.com"))
-    return F.array_distinct(F.concat(tagged(hits(t.LINKEDIN_REGEX), "linkedin"), tagged(hits(t.GITHUB_REGEX), "github"),
+    other = F.filter(hits(t.URL_REGEX, t.col(c).contains("http")), lambda u: ~u.contains("linkedin.com") & ~u.contains("github.com"))
+    return F.array_distinct(F.concat(tagged(hits(t.LINKEDIN_REGEX, low.contains("linkedin.com")), "linkedin"), tagged(hits(t.GITHUB_REGEX, low.contains("github.com")), "github"),
                                      tagged(other, "other")))
 
 
@@ -284,8 +286,7 @@ def tag_array(lines, aliases: dict[str, str] | None = None) -> Column:
         body = F.when(section == "projects", F.flatten(F.transform(let(rest, parts), named))).otherwise(owned(rest, none))
         return F.concat(F.array(first), body)
 
-    every = F.flatten(F.transform(runs, tagged))
-    return F.slice(every, F.lit(2), F.size(every))  # without the opening line
+    return let(F.flatten(F.transform(runs, tagged)), lambda every: F.slice(every, F.lit(2), F.size(every)))  # without the opening line
 
 
 def section_array(tagged) -> Column:

@@ -133,3 +133,12 @@ def test_texts_without_a_first_word_are_not_cut(spark):
     out = S.with_tech(df, terms, F.col("text"))
     assert "contains(" in out._jdf.queryExecution().analyzed().toString().lower()
     assert {r.id: r.detected_tech for r in out.collect()} == {1: ["built", "kafka streams"], 2: [], 3: [], 4: [], 5: ["kafka"]}
+
+
+def test_date_ranges_are_searched_for_once(spark):
+    texts = ["Jan 2015 - Mar 2018", "sept. 2001 to PRESENT, 2003\u20132004", "May\n1999 \u2014 now", "1920 - 192", "2019 - 2018", "decem 2000-2001", "no year - now", "", None, "Aug 2020 to Aug 2020"]
+    df = spark.createDataFrame([(i, "", x) for i, x in enumerate(texts)], "doc_id int, text string, experience string")
+    got = S.years_experience(df, "2024-02-01")
+    assert {r.doc_id: r.years_of_experience for r in got.collect()} == {0: 3.2, 1: 23.5, 2: 24.8, 3: None, 4: None, 5: 1.0, 6: None, 7: None, 8: None, 9: 0.5}
+    plan = got.select("years_of_experience")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1

@@ -109,3 +109,13 @@ def test_regroup_keeps_all_sentences_in_small_groups(spark):
     df = spark.createDataFrame([(1, text)], "id int, text string")
     rows = [r.passage for r in W.regroup_sentences(df).orderBy("group_no").collect()]
     assert " ".join(rows) == text and all(len(WORD.findall(w)) <= 180 for w in rows) and len(rows) > 1
+
+
+def test_addresses_start_where_their_characters_start(spark):
+    import time
+
+    for s in ("a@b.comx-y@z.org", "x@y.org@z.net, -p.q%r@s.t-u.co and a@@b.de", "@a.de b@c", "", "é1@x.yz"):
+        assert one(spark, s, t.emails) == sorted(set(re.findall(t.EMAIL_REGEX, s)))
+    began = time.monotonic()  # a word without an address is read once, not once for each of its characters
+    assert one(spark, "a" * 400_000 + " n@m.org", t.emails) == ["n@m.org"]
+    assert time.monotonic() - began < 20
