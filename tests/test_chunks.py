@@ -205,3 +205,12 @@ def test_tags_of_a_large_vocabulary_equal_those_in_the_row(spark):
     assert tags(10_000) == tags(3)
     plan = jobs.tag_chunks(made, gaz)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join") == made._jdf.queryExecution().optimizedPlan().toString().count("Join")  # no join back
+
+
+def test_sections_of_candidates_with_a_text_are_not_moved(spark):
+    resumes = spark.createDataFrame([("a", "1", "text"), ("b", "2", " "), (None, "3", "text")], "user_id string, seq string, text string")
+    sections = spark.createDataFrame([("a", 0, "x", "one"), ("b", 0, "x", "two"), ("c", 1, "y", "three"), (None, 2, "z", "four")], "user_id string, pos int, section string, body string")
+    got = jobs.with_section_rows(resumes, sections)
+    assert sorted(map(str, (r.text for r in got.collect()))) == ["four", "text", "text", "three", "two"]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan and "LeftAnti" not in plan
