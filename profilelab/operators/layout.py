@@ -134,13 +134,23 @@ def _anchors_in_row(links: DataFrame, words: DataFrame, key: str, link_id: list[
     listed = (words.join(links.select(key).distinct(), key, "left_semi").groupBy(key)
               .agg(F.collect_list(F.struct(*order, "text", *box)).alias("_ws")))
 
-    def rank(w):
-        at = lambda c: w[c] if c in box else F.col(c)
-        over = _overlap(at)
-        return F.struct((-over).alias("o"), F.when(over > 0, F.lit(0.0)).otherwise(_distance(at)).alias("d"), *[w[c].alias(c) for c in order], w["text"].alias("text"))
+    at = lambda w: lambda c: w[c] if c in box else F.col(c)
+    least = lambda test: F.array_min(F.transform("_ws", lambda w, i: F.when(test(i), F.struct(*[w[c].alias(c) for c in order], w["text"].alias("text")))))
+    rank = lambda o, d, first: F.struct(o.alias("o"), d.alias("d"), first.alias("w"))
 
-    best = salted_join(links, listed, [key], link_id).select(*link_id, F.array_min(F.transform("_ws", rank)).alias("_b"))
-    return best.groupBy(*link_id).agg(F.min("_b").alias("_b")).select(*link_id, F.col("_b.text").alias("anchor"))
+    def nearest(os, o):  # words of no overlap go by their distance
+        ds = F.transform("_ws", lambda w, i: F.when(F.get(os, i).eqNullSafe(o), _distance(at(w))))
+        with_ds = lambda ds: let(F.array_min(ds), lambda d: rank(o, d, least(lambda i: F.get(os, i).eqNullSafe(o) & F.get(ds, i).eqNullSafe(d))))
+        return let(ds, with_ds)
+
+    def ranked(os):
+        over = lambda o: rank(o, F.lit(0.0), least(lambda i: F.get(os, i).eqNullSafe(o)))
+        return let(F.array_min(os), lambda o: F.when(o == 0, nearest(os, o)).otherwise(over(o)))
+
+    # Overlaps and distances are plain numbers; only the words that tie for the best are compared as words.
+    overlaps = F.transform("_ws", lambda w: -_overlap(at(w)))
+    best = salted_join(links, listed, [key], link_id).select(*link_id, let(overlaps, ranked).alias("_b"))
+    return best.groupBy(*link_id).agg(F.min("_b").alias("_b")).select(*link_id, F.col("_b.w.text").alias("anchor"))
 
 
 def nearest_word(words: DataFrame, links: DataFrame, key: str = "doc_id", link_id: list[str] | None = None,
@@ -157,7 +167,9 @@ def nearest_word(words: DataFrame, links: DataFrame, key: str = "doc_id", link_i
     box = ["x0", "x1", "y0", "y1"]
     w = words.select(key, *order, "text", *[F.col(c).alias(f"w_{c}") for c in box], middle("x").alias("w_cx"), middle("y").alias("w_cy"))
     w = w.where(F.col("w_cx").isNotNull() & F.col("w_cy").isNotNull())
-    k = links.select(*dict.fromkeys([key, *link_id, *box]), middle("x").alias("cx"), middle("y").alias("cy"))
+    # Next to words with doubles, links of another type would be cast for every pair.
+    plain = (lambda c: c.cast("double")) if all(words.schema[c].dataType.typeName() == "double" for c in box) else (lambda c: c)
+    k = links.select(*dict.fromkeys([key, *link_id]), *[plain(F.col(c)).alias(c) for c in box if c not in (key, *link_id)], plain(middle("x")).alias("cx"), plain(middle("y")).alias("cy"))
     sizes = (w.groupBy(key).agg(F.count(F.lit(1)).alias("_w")).join(k.groupBy(key).agg(F.count(F.lit(1)).alias("_k")), key)
              .where(F.col("_w") * F.col("_k") > direct).select(key))
     large = settled(sizes)
@@ -236,15 +248,14 @@ def links_from_text(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 def line_array(words) -> Column:
     """D2 for the words of one document, an array of struct(page, block, line, word_no, text, x0, x1, y0, y1): its lines
     as struct(y0, x0, text) from top to bottom."""
-    place = lambda w: F.struct(w["page"], w["block"], w["line"])
-
     def cut(ws):
-        return t.ends_sliced(ws, t.places(ws, lambda w, i: (i == 0) | (place(w) != place(F.get(ws, i - 1)))))
+        return t.ends_sliced(ws, t.places(ws, lambda w, i: (i == 0) | ~same(w, F.get(ws, i - 1))))
 
+    same = lambda w, v: w["line"].eqNullSafe(v["line"]) & w["block"].eqNullSafe(v["block"]) & w["page"].eqNullSafe(v["page"])
     made = F.transform(let(F.array_sort(words), cut), lambda ws: F.struct(
-        F.array_min(F.transform(ws, lambda w: w["y0"])).alias("y0"), F.array_min(F.transform(ws, lambda w: w["x0"])).alias("x0"),
+        F.array_min(ws["y0"]).alias("y0"), F.array_min(ws["x0"]).alias("x0"),
         F.get(ws, F.lit(0))["page"].alias("page"), F.get(ws, F.lit(0))["block"].alias("block"), F.get(ws, F.lit(0))["line"].alias("line"),
-        F.array_join(F.transform(ws, lambda w: w["text"]), " ").alias("text")))
+        F.array_join(ws["text"], " ").alias("text")))
     return F.transform(F.array_sort(made), lambda x: F.struct(x["y0"].alias("y0"), x["x0"].alias("x0"), x["text"].alias("text")))
 
 
@@ -255,7 +266,7 @@ def tag_array(lines, aliases: dict[str, str] | None = None) -> Column:
     none = F.lit(None).cast("string")
 
     def seen(ls):
-        return F.transform(F.arrays_zip(ls.alias("at"), structure.line_facts(F.transform(ls, lambda x: x["text"]), aliases).alias("f")), lambda z: F.struct(
+        return F.transform(F.arrays_zip(ls.alias("at"), structure.line_facts(ls["text"], aliases).alias("f")), lambda z: F.struct(
             z["at"]["y0"].alias("y0"), z["f"]["raw"].alias("raw"), structure.bare(z["f"]["raw"]).alias("cand"), z["f"]["key"].alias("key"), z["f"]["rest"].alias("rest"), z["f"]["slug"].alias("slug")))
 
     opening = F.array(F.struct(F.lit(None).cast("double").alias("y0"), F.lit("").alias("raw"), F.lit("").alias("cand"), F.lit("header").alias("key"), none.alias("rest"), none.alias("slug")))
@@ -291,9 +302,9 @@ def tag_array(lines, aliases: dict[str, str] | None = None) -> Column:
 
 def section_array(tagged) -> Column:
     """D4 for one document: struct(section, body) in order of first appearance."""
-    names = F.array_distinct(F.transform(tagged, lambda x: x["section"]))
-    return F.transform(names, lambda n: F.struct(n.alias("section"), strip(F.array_join(F.transform(
-        F.filter(tagged, lambda x: (x["section"] == n) & ~x["is_header"]), lambda x: x["text"]), "\n")).alias("body")))
+    names = F.array_distinct(tagged["section"])
+    return F.transform(names, lambda n: F.struct(n.alias("section"), strip(F.array_join(
+        F.filter(tagged, lambda x: (x["section"] == n) & ~x["is_header"])["text"], "\n")).alias("body")))
 
 
 def link_array(links, tagged, slack: float = 2.0) -> Column:

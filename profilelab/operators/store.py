@@ -8,14 +8,17 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from profilelab import vocab
 from profilelab.functions import text as t
-from profilelab.functions.text import blank, let
+from profilelab.functions.text import blank
 from profilelab.operators.ordered import even_parts, key_weights, salted_join, settled
 from profilelab.schemas import EMBEDDING_DIM
 from profilelab.sources.sinks import PARTS, part_of, read_store, write_store
@@ -24,20 +27,25 @@ from profilelab.sources.sinks import PARTS, part_of, read_store, write_store
 # --- U1 / X2 ------------------------------------------------------------------------------------------------
 
 def hashed_embedding(c, dim: int = EMBEDDING_DIM, token_regex: str = t.TOKEN_REGEX) -> Column:
-    """Default embedder: hashed bag of lower-case tokens, unit length, JVM only."""
-    slots = F.array_sort(F.transform(F.regexp_extract_all(F.lower(t.col(c)), F.lit(token_regex), F.lit(0)),
-                                     lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int")))
-    # Sorted slots: the run of a slot starts where its left neighbour differs and ends at the next start.
-    runs = lambda a: t.ends_sliced(a, t.places(a, lambda s, i: (i == 0) | (s != F.get(a, i - 1))))
-    table = F.map_from_entries(F.transform(let(slots, runs), lambda r: F.struct(
-        F.get(r, F.lit(0)).alias("slot"), F.size(r).cast("double").alias("n"))))
-    norm = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda a, x: a + x * x))
-    every = F.sequence(F.lit(0), F.lit(dim - 1))
-    spread = lambda p: F.transform(every, lambda i: (
-        F.coalesce(F.try_element_at(p["m"], i), F.lit(0.0)) / p["norm"]).cast("float"))
-    unit = let(table, lambda m: let(F.struct(m.alias("m"), norm(m).alias("norm")), spread))
-    first = F.transform(every, lambda i: F.when(i == 0, F.lit(1.0)).otherwise(F.lit(0.0)).cast("float"))
-    return F.when(F.regexp_like(t.col(c), F.lit(token_regex)), unit).otherwise(first)
+    """Default embedder: hashed bag of lower-case tokens, unit length. Tokens get their places in the JVM, vectors are filled
+    by the Arrow batch."""
+    slots = F.transform(F.regexp_extract_all(F.lower(t.col(c)), F.lit(token_regex), F.lit(0)),
+                        lambda w: F.pmod(F.xxhash64(w), F.lit(dim)).cast("int"))
+
+    @F.arrow_udf("array<float>")
+    def filled(rows: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(rows), 0).to_numpy()
+        ends, places = np.concatenate([[0], np.cumsum(sizes)]), rows.flatten().to_numpy()
+        out = np.empty((len(rows), dim), "float32")
+        for lo in range(0, len(rows), 512):  # few rows at a time are held as doubles
+            n = sizes[lo:lo + 512]
+            at = np.repeat(np.arange(len(n)) * dim, n) + places[ends[lo]:ends[lo + len(n)]]
+            counts = np.bincount(at, minlength=len(n) * dim).reshape(-1, dim).astype("float64")
+            counts[n == 0, 0] = 1.0
+            out[lo:lo + 512] = counts / np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype="int32") * dim), pa.array(out.reshape(-1)))
+
+    return filled(slots)
 
 
 def register_embedder(load: Callable[[], Callable[[list[str]], list]], dim: int = EMBEDDING_DIM) -> Callable[[Column], Column]:
