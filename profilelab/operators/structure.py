@@ -330,17 +330,20 @@ def skill_category(c, taxonomy: dict[str, list[str]] | None = None, strict: bool
     The taxonomy is a parameter held in the expression, so categorising needs no join.
     """
     groups = {cat: [i.lower() for i in items] for cat, items in (taxonomy or vocab.SKILL_TAXONOMY).items()}
-    s = F.lower(strip(c))
-    exact = loose = F.lit(None).cast("string")
-    for cat, items in reversed(groups.items()):
-        listed = F.array(*[F.lit(i) for i in items])
-        if strict:
-            near = F.arrays_overlap(listed, F.split(s, r"[^a-z0-9+#.]+", -1))
-        else:
-            near = F.exists(listed, lambda i: s.contains(i) | i.contains(s))
-        exact = F.when(s.isin(items), F.lit(cat)).otherwise(exact)
-        loose = F.when(near, F.lit(cat)).otherwise(loose)
-    return F.coalesce(exact, loose, F.lit(default))
+
+    def found(s):
+        exact = loose = F.lit(None).cast("string")
+        for cat, items in reversed(groups.items()):
+            listed = F.array(*[F.lit(i) for i in items])
+            if strict:
+                near = F.arrays_overlap(listed, F.split(s, r"[^a-z0-9+#.]+", -1))
+            else:
+                near = F.exists(listed, lambda i: s.contains(i) | i.contains(s))
+            exact = F.when(s.isin(items), F.lit(cat)).otherwise(exact)
+            loose = F.when(near, F.lit(cat)).otherwise(loose)
+        return F.coalesce(exact, loose, F.lit(default))
+
+    return let(F.lower(strip(c)), found)  # not lowered again for every item
 
 
 # --- people, organisations, dates ---------------------------------------------------------------------------

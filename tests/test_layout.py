@@ -130,3 +130,15 @@ def test_ingest_twice_is_once_and_finds_its_chunks(spark):
     later = run(two, docs.where("user_id = 'a'").withColumn("text", F.regexp_replace("text", "Rocket", "Plane")), "2024-04-01")[1]
     gone = later.where("deleted_at is not null and source_type = 'project'").collect()
     assert [(r.user_id, r.chunk_id) for r in gone] == [("a", "a-project-rocket")]
+
+
+def test_links_with_decimals_are_cast_once_and_not_for_every_word(spark):
+    words = [(1, 0, "a", 0.0, 8.0, 0.0, 8.0), (1, 1, "b", 0.25, 9.0, 0.0, 8.0), (1, 2, "far", 90.0, 98.0, 0.0, 8.0)]
+    links = [(1, "most", 0.2, 9.1, 0.0, 8.3), (1, "near", 60.3, 60.4, 0.0, 4.0), (1, "none", None, 1.0, 0.0, 1.0)]
+    k = spark.createDataFrame(links, LINKS)
+    exact = k.select("doc_id", "uri", *[k[c].cast("decimal(6,1)").alias(c) for c in ("x0", "x1", "y0", "y1")])
+    got = L.nearest_word(spark.createDataFrame(words, WORDS), exact)
+    assert {r.uri: r.anchor for r in got.collect()} == {"most": "b", "near": "far", "none": "a"}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    line = next(x for x in plan.split("\n") if "transform(_ws" in x)
+    assert "cast(" not in line, line

@@ -1,6 +1,7 @@
 import datetime
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -242,3 +243,30 @@ def test_audit_deals_long_keys_in_parts_of_bounded_size(spark):
         U.FEW_PARENTS = few
     want = [("c_key", "c", "3")] + [("owner", "c", str(i)) for i, o, _ in rows if o >= 30] + [("other", "c", str(i)) for i, _, o in rows if o is not None and o >= 600]
     assert plain == sorted(want)
+
+
+def test_embedding_fills_a_vector_by_the_hashes_of_its_tokens(spark):
+    rng = random.Random(5)
+    texts = [None, "", "  ", "Ünïted É 9", *[" ".join(rng.choice(["Go", "go", "kafka", "C++", "x_1"]) + rng.choice(["", "!", str(rng.randrange(40))]) for _ in range(rng.randrange(1, 60))) for _ in range(1300)]]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, content string").coalesce(1)  # one batch of more than 512 rows
+    cut = F.transform(F.regexp_extract_all(F.lower("content"), F.lit(U.t.TOKEN_REGEX), F.lit(0)), lambda w: F.pmod(F.xxhash64(w), F.lit(384)))
+    out = df.select("i", cut.alias("at"), U.hashed_embedding("content").alias("e"))
+    assert "element_at" not in out._jdf.queryExecution().optimizedPlan().toString()  # no look-up for each place
+    rows = out.collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        n = np.bincount(r.at or [0], minlength=384).astype("float64")
+        assert r.e == (n / np.sqrt((n * n).sum())).astype("float32").tolist(), texts[r.i]
+
+
+def test_ingested_vectors_are_not_written_beside_the_merge(spark, monkeypatch):
+    from profilelab.plans import jobs
+    from profilelab.vocab import gazetteer_df
+
+    written, plain = [], jobs.settled
+    monkeypatch.setattr(jobs, "settled", lambda df: (written.append(df.columns), plain(df))[1])
+    docs = spark.createDataFrame([("u", "Ann Lee\nann@example.org\n\nSkills: Go, Kafka\n\nProjects\nRelay\n- moved Kafka messages\n\nSummary: builds things")], "user_id string, text string")
+    _, store = jobs.ingest_resumes(jobs.chunk_store(spark), docs, None, None, None, gazetteer_df(spark, ["Go", "Kafka"], []), "2024-02-01", on_long="keep")
+    rows = store.collect()
+    assert {"skills", "project"} <= {r.source_type for r in rows} and all(len(r.embedding) == 384 and r.token_count > 0 and r.deleted_at is None for r in rows)
+    assert written and not any("embedding" in columns for columns in written)

@@ -142,3 +142,13 @@ def test_date_ranges_are_searched_for_once(spark):
     assert {r.doc_id: r.years_of_experience for r in got.collect()} == {0: 3.2, 1: 23.5, 2: 24.8, 3: None, 4: None, 5: 1.0, 6: None, 7: None, 8: None, 9: 0.5}
     plan = got.select("years_of_experience")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all") == 1
+
+
+def test_a_skill_is_lowered_once_for_its_category(spark):
+    groups = {"languages": ["Go", "Rust"], "data": ["SQL", "Kafka Streams"]}
+    rows = [(" GO ",), ("MySQL 8",), ("kafka",), ("rust",), ("other",), (None,), ("",)]
+    df = spark.createDataFrame(rows, "s string")
+    out = df.select("s", S.skill_category("s", groups).alias("c"), S.skill_category("s", groups, strict=True).alias("w"))
+    assert [(r.c, r.w) for r in out.collect()] == [("languages", "languages"), ("data", vocab.DEFAULT_CATEGORY), ("data", vocab.DEFAULT_CATEGORY), ("languages", "languages"),
+                                                  *[(vocab.DEFAULT_CATEGORY, vocab.DEFAULT_CATEGORY)] * 2, ("languages", vocab.DEFAULT_CATEGORY)]
+    assert df.select(S.skill_category("s", groups).alias("c"))._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
