@@ -264,6 +264,7 @@ def test_ingested_vectors_are_not_written_beside_the_merge(spark, monkeypatch):
     from profilelab.vocab import gazetteer_df
 
     written, plain = [], jobs.settled
+    monkeypatch.setattr(jobs, "ROWS_PER_PART", 2)  # the chunks are dealt in several parts
     monkeypatch.setattr(jobs, "settled", lambda df: (written.append(df.columns), plain(df))[1])
     docs = spark.createDataFrame([("u", "Ann Lee\nann@example.org\n\nSkills: Go, Kafka\n\nProjects\nRelay\n- moved Kafka messages\n\nSummary: builds things")], "user_id string, text string")
     _, store = jobs.ingest_resumes(jobs.chunk_store(spark), docs, None, None, None, gazetteer_df(spark, ["Go", "Kafka"], []), "2024-02-01", on_long="keep")
