@@ -214,3 +214,20 @@ def test_sections_of_candidates_with_a_text_are_not_moved(spark):
     assert sorted(map(str, (r.text for r in got.collect()))) == ["four", "text", "text", "three", "two"]
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan and "LeftAnti" not in plan
+
+
+def test_claims_without_their_lines(spark):
+    """A claim does not carry its line, which may hold many others; each keeps the project of its sentence or line."""
+    resumes = spark.createDataFrame([("u", "1", "Alpha app\nWe built it with the team. WE BUILT IT with the team.\nWe designed Beta app with care."), (None, "2", "We built it for nobody at all.")],
+                                    "user_id string, seq string, text string")
+    full = C.extract_claims(None, resumes)
+    bare = C.extract_claims(None, resumes, with_line=False)
+    assert bare.columns == [c for c in full.columns if c != "line"]
+    same = lambda df: sorted(map(str, df.select(bare.columns).collect()))
+    assert same(bare) == same(full) and bare.count() == 3
+    names = spark.createDataFrame([("u", "alpha app", ("1", 1), "alpha-app", "r1"), ("u", "beta app", ("2", 1), "beta-app", None)],
+                                  "user_id string, name string, ord struct<seq:string,i:int>, key string, repo_id string")
+    ln = resumes.select("user_id", "seq", F.posexplode(t.clean_lines("text")).alias("line_no", "line"))
+    got = C.attribute_claims(bare, ln, names)
+    assert {(r.user_id, r.claim[:11]): (r.project_key, r.repo_id) for r in got.collect()} == {
+        ("u", "We built it"): ("alpha-app", "r1"), ("u", "We designed"): ("beta-app", None), (None, "We built it"): (None, None)}

@@ -63,3 +63,21 @@ def test_settled_uses_the_shared_folder(spark):
     before = set(shared.glob("profilelab-*"))
     assert O.settled(spark.range(5)).count() == 5
     assert len(set(shared.glob("profilelab-*")) - before) == 1
+
+
+def test_settled_leaves_no_shuffle_files(spark):
+    import time
+
+    files = lambda: {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(
+        spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if f.getName().startswith("shuffle_")}
+    before, setting = files(), spark.conf.get(O._CLEANUP, None)
+    df = spark.range(20_000).groupBy((F.col("id") % 7_001).alias("k")).agg(F.count(F.lit(1)).alias("n")).repartition(5, "n", "k")
+    kept = O.settled(df)
+    for _ in range(50):  # files go in the background
+        if not files() - before:
+            break
+        time.sleep(0.2)
+    assert not files() - before and spark.conf.get(O._CLEANUP, None) == setting
+    assert kept.count() == 7_001 and kept.count() == df.count()  # the rows stay, and so does the way to make them
+    O.dropped(kept)
+    assert not Path(kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]).exists()
