@@ -216,6 +216,17 @@ def test_sections_of_candidates_with_a_text_are_not_moved(spark):
     assert "LeftSemi" in plan and "LeftAnti" not in plan
 
 
+def test_only_sections_that_may_list_skills_meet_the_owners(spark):
+    """A null name is left out for a candidate with skills, as before; bodies of other sections pass no join."""
+    names = ["Skills", "technical skills", "Work", None]
+    sections = spark.createDataFrame([(u, n, f"body of {u} {n}") for u in ("a", "b", None) for n in names], "user_id string, section string, body string")
+    skills = spark.createDataFrame([("a", 0, "Go"), ("b", 0, " "), (None, 0, "Go")], "user_id string, pos int, skill string")
+    out = jobs.build_all_chunks(skills=skills, sections=sections, on_long="keep").where("source_type = 'resume'")
+    assert sorted(r.content for r in out.collect()) == sorted(f"body of {u} {n}" for u in ("a", "b", None) for n in names if u != "a" or n == "Work")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" in plan and "LeftOuter" in plan
+
+
 def test_claims_without_their_lines(spark):
     """A claim does not carry its line, which may hold many others; each keeps the project of its sentence or line."""
     resumes = spark.createDataFrame([("u", "1", "Alpha app\nWe built it with the team. WE BUILT IT with the team.\nWe designed Beta app with care."), (None, "2", "We built it for nobody at all.")],
