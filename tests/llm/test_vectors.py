@@ -190,3 +190,20 @@ def test_limbs_of_large_integers():
     want = [[sum(int(r[i]) * int(r[j]) for r in y) for j in range(2)] for i in range(2)]
     assert whitening._exact_products(y).tolist() == want
     assert whitening.integers(pa.array([[1.5], [], [-0.0001, 2.0]], pa.list_(pa.float64())), 2, 1024).tolist() == [[1536, 0], [0, 0], [-1, 2048]]
+
+
+def test_pivots_come_block_by_block(spark, monkeypatch):
+    """The same pivots as from the whole sample at once, with no more of it on the driver than a block."""
+    monkeypatch.setattr(vector_dups, "SAMPLE_BLOCK", 8)
+    rng = np.random.default_rng(11)
+    e = np.concatenate([rng.normal(size=(60, 4)), np.ones((40, 4))])
+    table = vectors(spark, [(i, [float(x) for x in v]) for i, v in enumerate(e)])
+    rows = vector_dups.clean(table, "vec_id", "embedding").select("*", *vector_dups._digests())
+    first = {(r.d2, r.d1): list(r.e) for r in rows.collect()}
+    want = []
+    for _, v in sorted(first.items())[: 4 * 10]:
+        one = unit(np.array([v]))[0]
+        if len(want) < 10 and all(one @ w <= 0.7 for w in want):
+            want.append(one)
+    got = vector_dups.choose_pivots(rows, 4, 10)
+    assert got.shape == (len(want), 4) and np.allclose(got, want)
